@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import language_id, line_dedup, url_filter
 from .common import table
 
 
@@ -17,5 +17,9 @@ def op8_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op8_line_dedup)}
+def op9_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op8_line_dedup, op9_language_id)}
 ORACLES = {"op1_url_filter": url_filter.oracle(), "op8_line_dedup": line_dedup.ORACLE}
