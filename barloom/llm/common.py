@@ -89,3 +89,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def sliced(batches, column: str, most: int = 4 << 20):
+    """Cut record batches where the strings of a column pass about ``most`` characters; rows stay whole."""
+    for batch in batches:
+        col = batch.column(column)
+        start = held = 0
+        for i in range(batch.num_rows):
+            held += len(s) if (s := col[i].as_py()) else 0
+            if held >= most:
+                yield batch.slice(start, i + 1 - start)
+                start, held = i + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def typed(df: DataFrame, *without: str) -> list[str]:
+    """Column definitions of df for a schema string."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without]

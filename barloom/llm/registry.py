@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, url_filter
+from . import language_id, line_dedup, sentencepiece_fst, token_count, url_filter
 from .common import table
 
 
@@ -12,6 +12,20 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_token_counts(spark, sf_dir):
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_fst.decode_documents(sentencepiece_fst.encode_documents(docs))
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op8_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -21,5 +35,5 @@ def op9_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op8_line_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op4_sentencepiece, op8_line_dedup, op9_language_id)}
 ORACLES = {"op1_url_filter": url_filter.oracle(), "op8_line_dedup": line_dedup.ORACLE}
