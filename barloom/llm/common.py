@@ -108,3 +108,62 @@ def sliced(batches, column: str, most: int = 4 << 20):
 def typed(df: DataFrame, *without: str) -> list[str]:
     """Column definitions of df for a schema string."""
     return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without]
+
+
+def runs(batches, keys: list[str]):
+    """Consecutive rows with equal keys as one table each; input sorted by the keys, runs may span batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def link_summary(ids, weight, i, j):
+    """For linked pairs (i, j) of rows: the summed weight of each row's partners, and the smallest id each row reaches."""
+    import numpy as np
+
+    n = len(ids)
+    total = np.bincount(i, weights=weight[j], minlength=n) + np.bincount(j, weights=weight[i], minlength=n)
+    root = ids.copy()
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        if (before == root).all():
+            return total.astype(np.int64), root
+
+
+def blocked(rows: DataFrame, keys: list[str], blocks: str, node: str) -> DataFrame:
+    """Deal each group of rows over pairs of blocks (bi <= bj), so that every pair of rows meets in one of them.
+
+    ``blocks`` is a column with the number of blocks of the row's group; a row's own block, blk,
+    comes from a hash of ``node``. A group of g blocks costs each row g copies and no task more
+    than two blocks. Rows come out sorted by keys, bi, bj within each partition.
+    """
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64(node, F.lit(7)), F.col(blocks)).cast("int"))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1), lambda k: k))
+    rows = rows.withColumn("_o", other)
+    rows = rows.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_o", blocks)
+    by = [*keys, "bi", "bj"]
+    return rows.repartition(*by).sortWithinPartitions(*by)

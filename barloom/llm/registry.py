@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, sentencepiece_fst, token_count, url_filter
+from . import embedding_dedup, language_id, line_dedup, ngram_jaccard, sentencepiece_fst, token_count, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_sentencepiece(spark, sf_dir):
     )
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -35,5 +39,19 @@ def op9_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op4_sentencepiece, op8_line_dedup, op9_language_id)}
-ORACLES = {"op1_url_filter": url_filter.oracle(), "op8_line_dedup": line_dedup.ORACLE}
+def op10_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_token_counts, op4_sentencepiece, op6_ngram_jaccard, op8_line_dedup, op9_language_id,
+        op10_embedding_dedup,
+    )
+}
+ORACLES = {
+    "op1_url_filter": url_filter.oracle(),
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
+}
