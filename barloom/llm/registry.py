@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, line_dedup, ngram_jaccard, sentencepiece_fst, token_count, url_filter
+from . import decontaminate, embedding_dedup, language_id, line_dedup, ngram_jaccard, sentencepiece_fst, token_count, toxicity, url_filter
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op4_sentencepiece(spark, sf_dir):
     )
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -46,8 +54,8 @@ def op10_embedding_dedup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_token_counts, op4_sentencepiece, op6_ngram_jaccard, op8_line_dedup, op9_language_id,
-        op10_embedding_dedup,
+        op1_url_filter, op2_token_counts, op4_sentencepiece, op5_toxicity, op6_ngram_jaccard,
+        op7_decontamination, op8_line_dedup, op9_language_id, op10_embedding_dedup,
     )
 }
 ORACLES = {
