@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, ngram_jaccard, sentencepiece_fst, token_count, toxicity, url_filter
+from . import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, ngram_jaccard, sentencepiece_fst, token_count, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark, sf_dir):
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sentencepiece_fst.decode_documents(sentencepiece_fst.encode_documents(docs))
@@ -54,7 +58,7 @@ def op10_embedding_dedup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_token_counts, op4_sentencepiece, op5_toxicity, op6_ngram_jaccard,
+        op1_url_filter, op2_token_counts, op3_lm_score, op4_sentencepiece, op5_toxicity, op6_ngram_jaccard,
         op7_decontamination, op8_line_dedup, op9_language_id, op10_embedding_dedup,
     )
 }
