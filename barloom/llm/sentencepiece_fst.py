@@ -56,10 +56,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += n
 
 
+class Memo(dict):
+    """Remembers a function's results for frequent arguments: two generations of at most ``most`` entries."""
+
+    def __init__(self, function, most: int):
+        super().__init__()
+        self.function, self.most, self.older = function, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        self[key] = value = self.function(key) if value is None else value
+        return value
+
+
 class Transducer:
     """The compiled machine of one model file's bytes."""
 
-    def __init__(self, data: bytes, cache: int = 400_000):
+    def __init__(self, data: bytes, cache: int = 120_000):
         self.pieces: list[str] = []
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
@@ -83,11 +99,12 @@ class Transducer:
             raise ValueError("only unigram and merge models without user-defined pieces are supported")
         self.longest = max(map(len, self.ids), default=1)
         self.least = min(self.score.values(), default=0.0)
-        # Pieces never go on behind a word: then the lattice falls apart in front of each run of marks.
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if not any(MARK in p.lstrip(MARK) for p in self.ids) else "(?s).+")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.most, self.known = cache, {}
+        self.cut = self._cuts()
+        self.pairs: dict[int, bool] = {}
+        self.known = Memo(self._ids, cache)
+        self.plain = {i for i, k in enumerate(self.kinds) if k == NORMAL}
+        if self.kind == BPE:
+            self._compile_merges()
 
     def _piece(self, piece: str, score: float, kind: int) -> None:
         at = len(self.pieces)
@@ -98,15 +115,61 @@ class Transducer:
         elif kind == BYTE:
             self.byte_id[int(piece[3:5], 16)] = at
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pairs": {}, "known": self.known.most}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.known = Memo(self._ids, state["known"])
+
+    def _cuts(self) -> re.Pattern:
+        """Parts into which every lattice falls: a part ends in front of a mark, and behind a letter, digit
+        or _ in front of another sign, except where a piece has such a pair inside."""
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            return re.compile("(?s).+")
+        sign = rf"[^\w{MARK}]"
+        pair = re.compile(rf"(?=(\w){sign})")
+        bound = re.escape("".join(sorted({x for p in self.ids for x in pair.findall(p)})))
+        more = rf"(?:(?<=[{bound}]){sign}+\w*)*" if bound else ""
+        return re.compile(rf"(?:{MARK}+{sign}*\w*|{sign}+\w*|\w+){more}")
+
     def normal(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def _merged(self, s: str) -> list[str]:
-        """The merges of a short string: best score first, leftmost in a tie. Used on pairs of pieces only."""
+    def _compile_merges(self) -> None:
+        """Each piece's last merge, as (left, right), and its rank among the merges.
+
+        ``stands`` are the pieces that merging alone makes; only those can be in an encoding.
+        """
+        self.rank = {piece: i for i, piece in enumerate(sorted(self.ids, key=lambda p: -self.score[p]))}
+        self.split: dict[str, tuple[str, str]] = {}
+        self.stands: set[str] = set()
+        for piece in self.ids:
+            parts = self._merged(piece, keep=2)
+            if len(piece) == 1 or len(parts) == 2:
+                self.stands.add(piece)
+                if len(piece) > 1:
+                    self.split[piece] = (parts[0], parts[1])
+        #: The trie of pieces: a node maps a character to (node, id of the longest piece on the way here or -1).
+        self.trie: dict = {}
+        #: The longest other piece that begins each piece, or -1.
+        self.shorter = [-1] * len(self.pieces)
+        self.length = [len(p) for p in self.pieces]
+        for piece in sorted(self.stands, key=len):  # shorter ones first, so that the way there is complete
+            node, longest = self.trie, -1
+            for c in piece[:-1]:
+                node, longest = node.setdefault(c, ({}, longest))
+            self.shorter[self.ids[piece]] = longest
+            node[piece[-1]] = (node.get(piece[-1], ({}, -1))[0], self.ids[piece])
+        #: Characters that only longer pieces hold; parts with them need the search over strings.
+        self.odd = {c for p in self.ids for c in p} - {p for p in self.ids if len(p) == 1}
+
+    def _merged(self, s: str, keep: int = 1) -> list[str]:
+        """The merges of a short string, best score first, leftmost in a tie, down to ``keep`` parts."""
         parts = list(s)
-        while True:
+        while len(parts) > keep:
             best = None
             for i in range(len(parts) - 1):
                 score = self.score.get(parts[i] + parts[i + 1])
@@ -115,82 +178,136 @@ class Transducer:
             if best is None:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return parts
 
     def _follows(self, a: str, b: str) -> bool:
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self._merged(a + b) == [a, b]
-        return ok
-
-    def _stands(self, piece: str) -> bool:
-        ok = self.alone.get(piece)
-        if ok is None:
-            ok = self.alone[piece] = self._merged(piece) == [piece]
-        return ok
-
-    def path(self, s: str) -> list[str]:
-        """The pieces (or single characters without one) of the shortest path over s."""
-        n, ids, longest = len(s), self.ids, self.longest
-        last: list[str | None] = [None] * (n + 1)
-        if self.kind == BPE:
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = s[start:end]
-                    if (piece in ids or start == end - 1) and (start == 0 or (before := last[start]) is not None):
-                        if self._stands(piece) and (start == 0 or self._follows(before, piece)):
-                            last[end] = piece
-                            break
-        else:
-            cost = [0.0] + [float("inf")] * n
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = s[start:end]
-                    if piece in ids:
-                        c = cost[start] - self.score[piece]
-                    elif start == end - 1:
-                        c = cost[start] - (self.least - UNKNOWN_PENALTY)
-                    else:
-                        continue
-                    if c < cost[end]:
-                        cost[end], last[end] = c, piece
-        out, at = [], n
+        """Whether merging a+b leaves a and b, that is, the arc of b after a has weight 0.
+
+        Both pieces are taken apart along their last merges, the later one first; wherever the two
+        inner edges could themselves merge before the merge just undone, the pair breaks. Runs of
+        marks merge with equal scores, by place; those pairs are merged outright.
+        """
+        if MARK in b or a[-1] == MARK or len(a) == 1 and a not in self.ids or len(b) == 1 and b not in self.ids:
+            return self._merged(a + b) == [a, b]
+        return self._apart(a, b)
+
+    def _apart(self, a: str, b: str) -> bool:
+        rank, split = self.rank, self.split
+        limit = len(rank)  # merges of rank below this happen before the merge that was undone last
+        while True:
+            joint = rank.get(a + b)
+            if joint is not None and joint < limit:
+                return False
+            ra, rb = (rank[a] if a in split else -1), (rank[b] if b in split else -1)
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = ra, split[a][1]
+            else:  # a merge on the left goes first in a tie, so one of the same rank still breaks the pair
+                limit, b = rb + 1, split[b][0]
+
+    def _only_path(self, s: str) -> list[int]:
+        """Depth first, longest piece first, over the arcs of weight 0; ids, or -1 - code point for a character without a piece.
+
+        All finite paths to a position are one, so a position that leads nowhere is left for good.
+        """
+        trie, pairs, shorter, length, n = self.trie, self.pairs, self.shorter, self.length, len(s)
+        out: list[int] = []
+        dead: set[int] = set()
+        at, limit, before = 0, n, -1
+        while at < n:
+            node, piece = trie, -1
+            for c in s[at:limit]:
+                step = node.get(c)
+                if step is None:
+                    break
+                node, piece = step
+            if piece < 0 and at < limit:
+                piece = -1 - ord(s[at])
+            while piece != -1:
+                end = at + (length[piece] if piece >= 0 else 1)
+                if piece < 0 or not (dead and end in dead):
+                    if before < 0 or piece < 0:
+                        break
+                    ok = pairs.get(before << 20 | piece)
+                    if ok is None:
+                        ok = self._follows(self.pieces[before], self.pieces[piece])
+                        if len(pairs) > 250_000:
+                            pairs.clear()
+                        pairs[before << 20 | piece] = ok
+                    if ok:
+                        break
+                piece = shorter[piece]
+            if piece != -1:
+                out.append(piece)
+                at, before, limit = end, piece, n
+            else:
+                dead.add(at)
+                limit = at - 1
+                at -= length[before] if before >= 0 else 1
+                out.pop()
+                before = out[-1] if out else -1
+        return out
+
+    def _slow_path(self, s: str) -> list[str]:
+        """The same over strings, for characters that are in pieces without being one."""
+        n = len(s)
+        last: list[str] = [""] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):
+                piece = s[start:end]
+                if (piece in self.stands or start == end - 1) and (not start or last[start]):
+                    if not start or self._follows(last[start], piece):
+                        last[end] = piece
+                        break
+        return self._back(last)
+
+    @staticmethod
+    def _back(last: list[str]) -> list[str]:
+        out, at = [], len(last) - 1
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
-    def _ids(self, part: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self.path(part):
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.fallback:
-                out += [self.byte_id[b] for b in piece.encode("utf-8", "replace")]
-            else:
-                out.append(self.unknown)
-        return tuple(out)
-
-    def encode(self, text: str) -> list[int]:
-        known = self.known
-        parts = self.cut.findall(self.normal(text))
-        for part in parts:
-            if part not in known:
-                if len(known) >= self.most:
-                    known.clear()
-                    return self.encode_uncached(parts)
-                known[part] = self._ids(part)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
-
-    def encode_uncached(self, parts: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self._ids, parts)))
+    def _best_path(self, s: str) -> list[str]:
+        n, ids, longest = len(s), self.ids, self.longest
+        last: list[str] = [""] * (n + 1)
+        cost = [0.0] + [float("inf")] * n
+        for end in range(1, n + 1):
+            for start in range(max(0, end - longest), end):
+                piece = s[start:end]
+                if piece in ids:
+                    c = cost[start] - self.score[piece]
+                elif start == end - 1:
+                    c = cost[start] - (self.least - UNKNOWN_PENALTY)
+                else:
+                    continue
+                if c < cost[end]:
+                    cost[end], last[end] = c, piece
+        return self._back(last)
+
+    def _spelled(self, c: str) -> list[int]:
+        return [self.byte_id[b] for b in c.encode("utf-8", "replace")] if self.fallback else [self.unknown]
+
+    def _ids(self, part: str) -> bytes:
+        """The ids of the shortest path over one part of a text, as 32-bit numbers."""
+        if self.kind == BPE and not (self.odd and self.odd.intersection(part)):
+            path = self._only_path(part)
+            if min(path, default=0) < 0:
+                path = list(chain.from_iterable([i] if i >= 0 else self._spelled(chr(-1 - i)) for i in path))
+        else:
+            pieces = self._slow_path(part) if self.kind == BPE else self._best_path(part)
+            path = list(chain.from_iterable([self.ids[p]] if p in self.ids else self._spelled(p) for p in pieces))
+        return struct.pack(f"={len(path)}i", *path)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut.findall(self.normal(text)))), np.int32)
 
     def decode(self, ids: list[int]) -> str:
+        ids = ids if isinstance(ids, list) else list(map(int, ids))
         pieces, kinds = self.pieces, self.kinds
-        if self.byte_id and any(kinds[i] != NORMAL for i in set(ids)):
+        if not self.plain.issuperset(ids):
             out: list[str] = []
             run = bytearray()
             for i in ids:
@@ -212,17 +329,6 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_machines: dict[int, Transducer] = {}
-
-
-def machine(data: bytes) -> Transducer:
-    """One machine, with its memo of parts, per process and model."""
-    key = hash(data)
-    if key not in _machines:
-        _machines[key] = Transducer(data)
-    return _machines[key]
-
-
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -230,10 +336,10 @@ def read_model(path: str) -> bytes:
 
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(shared.value)
+        m: Transducer = shared.value
         low, high = (min(m.byte_id.values()), max(m.byte_id.values())) if m.byte_id else (0, -1)
         for batch in sliced(batches, "_text"):
-            ids = [np.array(m.encode(t or ""), np.int32) for t in batch.column("_text").to_pylist()]
+            ids = [m.encode(t or "") for t in batch.column("_text").to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             n_bytes = [int(((x >= low) & (x <= high)).sum()) for x in ids]
             rest = [c for c in batch.schema.names if c != "_text"]
@@ -247,11 +353,13 @@ def _encode(shared):
 
 def _decode(shared, column: str, to: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(shared.value)
+        m: Transducer = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                texts = [None if x is None else m.decode(x) for x in batch.column(column).to_pylist()]
+                col = batch.column(column)
+                flat, ends = col.flatten().to_numpy(), np.cumsum([0, *(len(x) if x.is_valid else 0 for x in col)])
+                texts = [m.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], col.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 
     return run
@@ -263,13 +371,13 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL
     Null or empty text has no ids. Columns of docs stay; they must not be called ids or n_byte_pieces
     (rename first), since those are replaced. Rows are encoded one by one, so repeated rows get equal ids.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
+    shared = docs.sparkSession.sparkContext.broadcast(Transducer(read_model(model)))
     rows = docs.drop("ids", "n_byte_pieces").withColumn("_text", F.col(f"`{text_col}`"))
     return rows.mapInArrow(_encode(shared), ", ".join([*typed(rows, "_text"), "ids array<int>", "n_byte_pieces long"]))
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", model: str = MODEL) -> DataFrame:
     """Add the text of an array of ids; null ids give null, no ids the empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_model(model))
+    shared = encoded.sparkSession.sparkContext.broadcast(Transducer(read_model(model)))
     rows = encoded.drop(to)
     return rows.mapInArrow(_decode(shared, ids_col, to), ", ".join([*typed(rows), f"`{to}` string"]))
