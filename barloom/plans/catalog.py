@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import market
+from . import backtests, market  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return market.condition_cross(spark, sf_dir)
+    return backtests.portfolio_every_bar(spark, sf_dir)
