@@ -19,11 +19,14 @@ TOKEN = re.compile(r"\w+")
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
+#: Lengths of the word beginnings that are features of their own.
+BEGINNINGS = (2, 3, 5)
+
+
 def features(text: str | None) -> set[str]:
-    """The distinct lower-cased words of the whole text, and of those of 7 letters or more their first 5 and 6 as ``xxxxx~``."""
+    """The distinct lower-cased words of the whole text, and the beginnings of the longer ones as ``xxx~``."""
     words = set(TOKEN.findall(text.lower())) if text else set()
-    long = [w for w in words if len(w) >= 7]
-    return words.union([w[:5] + "~" for w in long], [w[:6] + "~" for w in long])
+    return words.union([w[:n] + "~" for n in BEGINNINGS for w in words if len(w) > n])
 
 
 def _sigmoid(z):
@@ -133,11 +136,13 @@ def train(
     features are chosen within each fit. Thresholds give the best F1 of the out-of-fold
     probabilities (0.5 where a category has no positive or no negative).
     """
-    sets = [features(t) for t in texts]
-    count = Counter(w for s in sets for w in s)
+    count: Counter = Counter()
+    for t in texts:
+        count.update(features(t))
     vocabulary = sorted(w for w, n in count.items() if n >= min_docs)
+    del count
     index = {w: i for i, w in enumerate(vocabulary)}
-    cols = [np.array(sorted(index[w] for w in s if w in index), np.int64) for s in sets]
+    cols = [np.array(sorted(index[w] for w in features(t) if w in index), np.int64) for t in texts]
     row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)])
     first: dict[str, int] = {}
     fold = np.array([first.setdefault(t, i % folds) for i, t in enumerate(texts)])
@@ -185,10 +190,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], max_ro
     )
     n = known.count()
     chosen = known.where(F.col("u") < 4.0 * max_rows / max(1, n))
-    rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("size", F.octet_length("text"))  # about 4 max_rows ids at most
-    order = Window.orderBy("u", "doc_id", F.md5("text"))
-    picked = rows.withColumn("ahead", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return picked.where(F.col("ahead") < max_bytes).orderBy("u", "doc_id", F.md5("text")).select("text", *columns).limit(max_rows).collect()
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id")  # about 4 max_rows ids at most
+    order = Window.orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    picked = sizes.withColumn("ahead", F.coalesce(F.sum("size").over(order), F.lit(0))).where(F.col("ahead") < max_bytes)
+    ids = picked.groupBy("doc_id", "u", *columns).agg(F.lit(1).alias("_")).drop("_").orderBy("u", "doc_id").limit(max_rows)
+    rows = docs.join(F.broadcast(ids), "doc_id")
+    return sorted(rows.select("u", "text", *columns).collect(), key=lambda r: (r["u"], r["text"]))
 
 
 def _predict(shared):
@@ -207,7 +214,7 @@ def _predict(shared):
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain=CHAIN,
-    max_train_rows: int = 8000, max_train_bytes: int = 20_000_000, **how,
+    max_train_rows: int = 5000, max_train_bytes: int = 12_000_000, **how,
 ) -> DataFrame:
     """Per input row: doc_id, p_<category> and <category> (boolean) for each category of the chain.
 
