@@ -1,0 +1,114 @@
+"""Walk-forward analysis: windows, in-sample choice, out-of-sample evaluation, acceptance.
+
+Bars are cut into (window, part) slices before features are built, so every slice warms up anew.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.safe import by_time, div
+
+
+def windows(n: int, train: int, test: int, step: int | None = None, anchored: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(window_id, train start, train end, test start, test end), ends exclusive; anchored keeps the start and grows."""
+    step, out, start = step or test, [], 0
+    while start + train + test <= n:
+        out.append((len(out), 0 if anchored else start, start + train, start + train, start + train + test))
+        start += step
+    return out
+
+
+def sized(n: int, train_ratio: float, test_ratio: float, step_ratio: float | None = None, anchored: bool = False):
+    """Windows by shares of the number of bars, each at least one bar."""
+    size = lambda r: max(1, int(n * r))
+    return windows(n, size(train_ratio), size(test_ratio), size(step_ratio) if step_ratio else None, anchored)
+
+
+def sliced(spark: SparkSession, panel: DataFrame, plan: list[tuple]) -> DataFrame:
+    """The panel once per (window_id, part): part is train or test. Window plans are control data; the
+    calendar of session numbers is a table of one row a date."""
+    dates = panel.select("ts").distinct()
+    numbered = dates.withColumn("_y", F.year("ts"))
+    per = numbered.groupBy("_y").agg(F.count("*").alias("k"))
+    before = per.select("_y", F.coalesce(F.sum("k").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # one row a year
+    pos = numbered.join(before, "_y").select("ts", (F.row_number().over(Window.partitionBy("_y").orderBy("ts")) - 1 + F.col("b")).alias("_i"))
+    parts = [(w, p, a, z) for w, a0, a1, b0, b1 in plan for p, a, z in (("train", a0, a1), ("test", b0, b1))]
+    cut = spark.createDataFrame(parts, "window_id int, part string, a long, z long")
+    return panel.join(pos, "ts").join(F.broadcast(cut), (F.col("_i") >= F.col("a")) & (F.col("_i") < F.col("z"))).drop("_i", "a", "z")
+
+
+def evaluate(slices: DataFrame, combos: DataFrame, periods: list[int]) -> DataFrame:
+    """Sharpe (population, 252, first return dropped), total return, drawdown and Calmar of every
+    (window, part, combo): hold the equal-weight panel's assets while their fast average exceeds the slow one."""
+    w0 = by_time("window_id", "part", "asset")
+    cells = F.array(*[F.struct(F.lit(p).alias("period"), F.when(F.count("close").over(w0.rowsBetween(-(p - 1), 0)) >= p, F.avg("close").over(w0.rowsBetween(-(p - 1), 0))).alias("avg")) for p in periods])
+    r = F.coalesce(div(F.col("close"), F.lag("close").over(w0)) - 1, F.lit(0.0))
+    base = slices.withColumns({"r": r, "cells": cells})
+    m = F.map_from_entries(F.col("cells"))
+    grid = base.withColumn("m", m).crossJoin(F.broadcast(combos))  # combos are capped by the combo guard
+    grid = grid.withColumn("on", F.coalesce((F.col("m")[F.col("fast")] > F.col("m")[F.col("slow")]).cast("double"), F.lit(0.0))).drop("m", "cells")
+    keys = ("window_id", "part", "combo_id")
+    held = F.coalesce(F.lag("on").over(by_time(*keys, "asset")), F.lit(0.0))
+    bars = grid.withColumn("p", held * F.col("r")).groupBy(*keys, "fast", "slow", "ts").agg(F.avg("p").alias("ret"))
+    w = by_time(*keys)
+    path = bars.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    path = path.withColumns({"dd": F.col("equity") / F.greatest(F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1, "i": F.row_number().over(w)})
+    later = F.col("i") > 1
+    out = path.groupBy(*keys, "fast", "slow").agg(
+        F.count("*").alias("n"), F.max_by("equity", "ts").alias("_e"), F.min("dd").alias("max_drawdown"), F.avg(F.when(later, F.col("ret"))).alias("_m"),
+        F.stddev_pop(F.when(later, F.col("ret"))).alias("_s"), F.count_if(F.abs("ret") > 1e-12).alias("active_bars"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select(
+        *keys, "fast", "slow", "n", "active_bars", (F.col("_e") - 1).alias("total_return"), "max_drawdown",
+        zero(div(F.col("_m"), F.nullif(F.col("_s"), F.lit(0.0))) * math.sqrt(252)).alias("sharpe"),
+        zero(div(F.col("_e") - 1, F.nullif(F.abs("max_drawdown"), F.lit(0.0)))).alias("calmar"),
+    )
+
+
+def viable(scores: DataFrame, least_active: float) -> DataFrame:
+    """Candidates whose share of active bars is enough; all of a window's if none is."""
+    ok = (F.col("active_bars") >= F.col("n") * least_active).cast("int")
+    some = F.max(ok).over(Window.partitionBy("window_id", "part"))
+    return scores.withColumns({"_ok": ok, "_some": some}).where("_ok = 1 or _some = 0").drop("_ok", "_some")
+
+
+def select(scores: DataFrame, objectives=("sharpe", "calmar", "total_return"), least_active: float = 0.0) -> DataFrame:
+    """Per window and objective: the best in-sample combo (first combo in a tie) with its out-of-sample numbers."""
+    train = viable(scores.where("part = 'train'"), least_active)
+    test = scores.where("part = 'test'").select("window_id", "combo_id", *[F.col(c).alias("oos_" + c) for c in ("sharpe", "calmar", "total_return", "max_drawdown")])
+    out = None
+    for o in objectives:
+        w = Window.partitionBy("window_id").orderBy(F.col(o).desc(), "combo_id")
+        best = train.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(
+            "window_id", F.lit(o).alias("objective"), "combo_id", "fast", "slow", *[F.col(c).alias("is_" + c) for c in ("sharpe", "calmar", "total_return", "max_drawdown")]
+        )
+        out = best if out is None else out.unionByName(best)
+    return out.join(test, ["window_id", "combo_id"])
+
+
+def accepted(chosen: DataFrame, min_sharpe: float = 0.0, min_calmar: float = 0.0, min_ratio: float = 0.7) -> DataFrame:
+    """Add oos_is_ratio, accepted and the reasons against."""
+    ratio = F.coalesce(div(F.col("oos_sharpe"), F.nullif(F.col("is_sharpe"), F.lit(0.0))), F.lit(0.0))
+    out = chosen.withColumn("oos_is_ratio", ratio)
+    checks = {
+        "oos_sharpe_below_min": F.col("oos_sharpe") < min_sharpe, "oos_calmar_below_min": F.col("oos_calmar") < min_calmar,
+        "oos_is_ratio_below_min": F.col("oos_is_ratio") < min_ratio, "oos_not_positive": F.col("oos_total_return") <= 0,
+    }
+    out = out.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()])))
+    return out.withColumn("accepted", F.size("reasons") == 0)
+
+
+def ranking_report(chosen: DataFrame, top: int = 20) -> DataFrame:
+    """Per combo: mean out-of-sample score, windows won, mean return; the best ``top``."""
+    agg = chosen.groupBy("combo_id", "fast", "slow").agg(F.avg("oos_sharpe").alias("mean_score"), F.count_distinct("window_id").alias("windows"), F.avg("oos_total_return").alias("mean_return"))
+    return agg.orderBy(F.desc("mean_score"), "combo_id").limit(top)
+
+
+def timeline(chosen: DataFrame) -> DataFrame:
+    """Per window: mean metrics over objectives."""
+    return chosen.groupBy("window_id").agg(*[F.avg(c).alias(c) for c in ("is_sharpe", "oos_sharpe", "oos_total_return")], F.count_if("accepted").alias("accepted"))

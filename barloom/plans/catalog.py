@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backtests, market, reports  # noqa: F401
+from . import backtests, market, reports, research  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
