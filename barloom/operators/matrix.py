@@ -57,7 +57,7 @@ def combo_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 def averages_by_period(panel: DataFrame, periods: list[int], x: str = "close") -> DataFrame:
     """(asset, ts, close, period, avg): every distinct period once, all over one ordering of the panel."""
-    cells = F.array(*[F.struct(F.lit(p).alias("period"), full(F.avg(x).over(trailing(p, "asset")), F.col(x), p).alias("avg")) for p in periods])
+    cells = F.array(*[F.struct(F.lit(p).cast("long").alias("period"), full(F.avg(x).over(trailing(p, "asset")), F.col(x), p).alias("avg")) for p in periods])
     rows = panel.select("asset", "ts", "close", cells.alias("_c"))
     return rows.select("asset", "ts", "close", F.explode("_c").alias("e")).select("asset", "ts", "close", "e.period", "e.avg")
 
