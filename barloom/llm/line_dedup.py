@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, stored
+from .common import renamed, sliced, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 PROBES = 3
@@ -134,7 +134,7 @@ def _suspects(shared, bits: int, min_chars: int):
 
 def _keep(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             kept, n_lines, n_dropped = [], [], []
             for text, drop in zip(batch.column("_text"), batch.column("_drop")):
                 text, drop = text.as_py() or "", drop.as_py()
@@ -181,9 +181,10 @@ def dedup_lines(
     bits = filter_bits(int(n), max_filter_bits)
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen(base, bits, min_chars).tobytes())
     suspects = stored(base.mapInArrow(_suspects(shared, bits, min_chars), "key binary, doc_id long"), "suspect-lines")
-    drops = (
+    drops = stored(  # a table of its own, so that the join below can split a hot line's rows
         suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+        .groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs),
+        "repeated-lines",
     )
     lost = (
         suspects.join(drops, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
