@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Lower the session's Arrow batches, if they are at Spark's default or above, to sizes that fit long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -49,6 +56,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def renamed(df: DataFrame, **names: str) -> DataFrame:
     """The named input columns under internal names; other columns, whatever they are called, stay out."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
 
 

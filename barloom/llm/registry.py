@@ -22,7 +22,7 @@ def op3_lm_score(spark, sf_dir):
 
 def op4_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sentencepiece_fst.decode_documents(sentencepiece_fst.encode_documents(docs))
+    out = sentencepiece_fst.encode_documents(docs, decoded=True)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

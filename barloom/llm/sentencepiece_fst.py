@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, typed
+from .common import bounded_batches, sliced, typed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -75,7 +75,7 @@ class Memo(dict):
 class Transducer:
     """The compiled machine of one model file's bytes."""
 
-    def __init__(self, data: bytes, cache: int = 120_000):
+    def __init__(self, data: bytes, cache: int = 80_000):
         self.pieces: list[str] = []
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
@@ -232,7 +232,7 @@ class Transducer:
                     ok = pairs.get(before << 20 | piece)
                     if ok is None:
                         ok = self._follows(self.pieces[before], self.pieces[piece])
-                        if len(pairs) > 250_000:
+                        if len(pairs) > 150_000:
                             pairs.clear()
                         pairs[before << 20 | piece] = ok
                     if ok:
@@ -334,18 +334,18 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _encode(shared):
+def _encode(shared, column: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Transducer = shared.value
         low, high = (min(m.byte_id.values()), max(m.byte_id.values())) if m.byte_id else (0, -1)
-        for batch in sliced(batches, "_text"):
-            ids = [m.encode(t or "") for t in batch.column("_text").to_pylist()]
+        for batch in sliced(batches, column, 1 << 20):
+            ids = [m.encode(t or "") for t in batch.column(column).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             n_bytes = [int(((x >= low) & (x <= high)).sum()) for x in ids]
-            rest = [c for c in batch.schema.names if c != "_text"]
+            texts = [pa.array([m.decode(x.tolist()) for x in ids], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(n_bytes, pa.int64())],
-                names=[*rest, "ids", "n_byte_pieces"],
+                [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(n_bytes, pa.int64()), *texts],
+                names=[*batch.schema.names, "ids", "n_byte_pieces", *["decoded"] * decoded],
             )
 
     return run
@@ -365,15 +365,19 @@ def _decode(shared, column: str, to: str):
     return run
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """Add ids (array of int) and n_byte_pieces to every row: the encoding of the whole text.
+def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL, decoded: bool = False) -> DataFrame:
+    """Add ids (array of int) and n_byte_pieces to every row: the encoding of the whole text; with
+    ``decoded`` also the text that the ids stand for, in the same pass.
 
-    Null or empty text has no ids. Columns of docs stay; they must not be called ids or n_byte_pieces
-    (rename first), since those are replaced. Rows are encoded one by one, so repeated rows get equal ids.
+    Null or empty text has no ids and decodes to the empty text. Columns of docs stay; ids,
+    n_byte_pieces and decoded are replaced if docs has them. Rows are encoded one by one, so
+    repeated rows get equal ids.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Transducer(read_model(model)))
-    rows = docs.drop("ids", "n_byte_pieces").withColumn("_text", F.col(f"`{text_col}`"))
-    return rows.mapInArrow(_encode(shared), ", ".join([*typed(rows, "_text"), "ids array<int>", "n_byte_pieces long"]))
+    rows = docs.drop("ids", "n_byte_pieces", *["decoded"] * decoded)
+    schema = [*typed(rows), "ids array<int>", "n_byte_pieces long", *["decoded string"] * decoded]
+    return rows.mapInArrow(_encode(shared, text_col, decoded), ", ".join(schema))
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", to: str = "decoded", model: str = MODEL) -> DataFrame:
