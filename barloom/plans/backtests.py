@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, rnd
 from ..operators import portfolio, signals, simulate
 from ..sources.bars import event_bars
+from . import strategy
 from .base import query
 from .market import CROSS, O, featured, lag
 
@@ -268,3 +270,76 @@ def account_invariants(spark, d):
 @query("select 'top2' as backtest_id, 'valid' as status")
 def account_cost_status(spark, d):
     return portfolio.cost_status(portfolio.every_bar(targeted(spark, d), COST), COST)
+
+
+# Documents
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select *, 100 * exp(sum(ln((1 + ret) * greatest(1 - turnover * {COST}::double, 0))) over (order by ts)) as equity from b)
+select 'rotation' as backtest_id, ts, round(equity, 6) as equity, round(turnover, 6) as turnover from e"""
+)
+def strategy_ranked_rotation(spark, d):
+    doc = strategy.template("ranked_rotation", cost=COST, allocation={"type": "equal_weight", "position_limit": 0.6})
+    return strategy.run(event_bars(spark, d), doc, "rotation").select("backtest_id", "ts", rnd(F.col("equity")).alias("equity"), rnd(F.col("turnover")).alias("turnover"))
+
+
+@query()
+def strategy_matrix(spark, d):
+    doc = {**strategy.template("single_signal"), "cost": COST}
+    doc["features"]["slow"]["period"] = {"param_ref": "slow"}
+    out = strategy.run_matrix(event_bars(spark, d), doc, [{"slow": 4}, {"slow": 5}, {"slow": 6}])
+    return out.select("backtest_id", "ts", rnd(F.col("equity")).alias("equity"), rnd(F.col("turnover")).alias("turnover"))
+
+
+# Reports on accounts
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, h as (select *, coalesce(lag(target) over ({O}), 0) as w, coalesce(close / nullif({lag('close')}, 0) - 1, 0) as r from t)
+select asset, round(sum(w * r), 6) as contribution, round(avg(w), 6) as mean_weight, count(*) filter (abs(w) > 1e-12) as active_days, round(sum(w * r) / sum(sum(w * r)) over (), 6) as share from h group by asset"""
+)
+def report_contributions(spark, d):
+    w = by_time("asset")
+    rows = targeted(spark, d).withColumns({"w": F.coalesce(F.lag("target").over(w), F.lit(0.0)), "r": F.coalesce(F.try_divide("close", F.lag("close").over(w)) - 1, F.lit(0.0))})
+    agg = rows.groupBy("asset").agg(F.sum(F.col("w") * F.col("r")).alias("contribution"), F.avg("w").alias("mean_weight"), F.count_if(F.abs("w") > 1e-12).alias("active_days"))
+    total = agg.agg(F.sum("contribution").alias("t"))
+    out = agg.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide("contribution", "t"))  # one row
+    return out.select("asset", "active_days", *[rnd(F.col(c)).alias(c) for c in ("contribution", "mean_weight", "share")])
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, {DRIFT} select count(*) filter (turnover > 1e-12) as rebalances, round(sum(turnover), 6) as total_turnover, round(avg(turnover) filter (turnover > 1e-12), 6) as mean_active, round(max(turnover), 6) as max_turnover from b"""
+)
+def report_turnover(spark, d):
+    b = portfolio.every_bar(targeted(spark, d), COST)
+    on = F.col("turnover") > 1e-12
+    return b.agg(F.count_if(on).alias("rebalances"), rnd(F.sum("turnover")).alias("total_turnover"), rnd(F.avg(F.when(on, F.col("turnover")))).alias("mean_active"), rnd(F.max("turnover")).alias("max_turnover"))
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, h as (select *, target - coalesce(lag(target) over ({O}), 0) as delta from t), tr as (select asset, ts, row_number() over (partition by ts order by asset) as ordinal from h where abs(delta) > 1e-12), ev as (select ts, 1 as ordinal from h group by ts having max(abs(delta)) > 1e-12)
+select ev.ts, ev.ordinal::int as ordinal, tr.asset from ev left join tr using (ts, ordinal)"""
+)
+def report_event_trades(spark, d):
+    """Rebalance events joined to trades by date and place within the day."""
+    rows = portfolio.rebalance_trades(targeted(spark, d), COST)
+    trades = rows.select("asset", "ts", F.row_number().over(Window.partitionBy("ts").orderBy("asset")).alias("ordinal"))
+    events = rows.select("ts").distinct().withColumn("ordinal", F.lit(1))
+    return events.join(trades, ["ts", "ordinal"], "left").select("ts", "ordinal", "asset")
+
+
+@query(
+    f"""with {{OB}}, f as (select asset, ts, close as x from bars where n > 1), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
+i as (select *, row_number() over ({O}) as i from j), g as (select *, case when source_ts is not null then i - min(i) over (partition by asset, source_ts) end as age from i)
+select asset, count(*) as rows, count(*) filter (age > 3) as stale, count(*) filter (source_ts is null) as missing, max(age)::double as max_age, count(*) filter (age > 3) > 0.2 * count(*) as warn from g group by asset"""
+)
+def report_feature_audit(spark, d):
+    """Staleness of a joined feature by asset, with a warning above 20 % stale rows."""
+    from .market import align_age_bars
+
+    rows = align_age_bars(spark, d)
+    stale = F.count_if(F.col("age_bars") > 3)
+    return rows.groupBy("asset").agg(
+        F.count("*").alias("rows"), stale.alias("stale"), F.count_if(F.col("source_ts").isNull()).alias("missing"), F.max("age_bars").alias("max_age"), (stale > 0.2 * F.count("*")).alias("warn")
+    )
