@@ -116,13 +116,12 @@ HITS = "array<struct<item_id:bigint,coverage:double,n_tiles:bigint,longest:bigin
 _TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest", pa.int64())]))
 
 
-def _against_all(shared, threshold: float):
+def _against_all(shared, column: str, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        for batch in sliced(batches, "_text"):
-            hits = [items.hits(t, threshold) for t in batch.column("_text").to_pylist()]
-            rest = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(hits, _TYPE)], names=[*rest, "hits"])
+        for batch in sliced(batches, column):
+            hits = [items.hits(t, threshold) for t in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, _TYPE)], names=[*batch.schema.names, "hits"])
 
     return run
 
@@ -177,8 +176,7 @@ def with_hits(
     docs = docs.drop("hits")
     if chars <= max_shared_chars:
         shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["item"]) for r in items.collect()], least))
-        rows = docs.withColumn("_text", F.col(f"`{text_col}`"))
-        return rows.mapInArrow(_against_all(shared, threshold), ", ".join([*typed(rows, "_text"), f"hits {HITS}"]))
+        return docs.mapInArrow(_against_all(shared, text_col, threshold), ", ".join([*typed(docs), f"hits {HITS}"]))
     base = renamed(docs, id=id_col, text=text_col).where("id is not null and text is not null")
     seeds = base.mapInArrow(_windows(least, False), f"key long, id {base.schema['id'].dataType.simpleString()}")
     marks = stored(items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(least, True), "key long, id long"), "item-windows")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import renamed
+from .common import renamed, sliced
 
 UNDETERMINED = "und"
 
@@ -206,11 +206,11 @@ def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[str]]:
     return out
 
 
-def _score(shared):
+def _score(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            lang, score, rate = predict(model, batch.column("_text").to_pylist())
+        for batch in sliced(batches, column):
+            lang, score, rate = predict(model, batch.column(column).to_pylist())
             rest = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64(), from_pandas=True)],
@@ -238,9 +238,10 @@ def identify(
     fold = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == held, F.lit(False))
     model = train(training_sample(base.where(~fold(F.col("doc_id"))), max_train_bytes), order)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = text_col if text_col in carry else "_text"  # a carried text goes to the tasks once
+    own = [] if text in carry else [F.col(f"`{text_col}`").alias(text)]
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), fold(F.col(f"`{id_col}`")).alias("held_out"),
-        *[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("_text"),
+        F.col(f"`{id_col}`").alias("doc_id"), fold(F.col(f"`{id_col}`")).alias("held_out"), *[F.col(f"`{c}`") for c in carry], *own
     )
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"]
-    return rows.mapInArrow(_score(shared), ", ".join([*fields, "lang_pred string", "score double", "bits_per_byte double"]))
+    return rows.mapInArrow(_score(shared, text), ", ".join([*fields, "lang_pred string", "score double", "bits_per_byte double"]))
