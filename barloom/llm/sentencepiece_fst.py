@@ -207,7 +207,7 @@ class Transducer:
                 limit, b = rb + 1, split[b][0]
 
     def _only_path(self, s: str) -> list[int]:
-        """Depth first, longest piece first, over the arcs of weight 0; ids, or -1 - code point for a character without a piece.
+        """Depth first, longest piece first, over the arcs of weight 0; ids, or -2 - code point for a character without a piece.
 
         All finite paths to a position are one, so a position that leads nowhere is left for good.
         """
@@ -223,7 +223,7 @@ class Transducer:
                     break
                 node, piece = step
             if piece < 0 and at < limit:
-                piece = -1 - ord(s[at])
+                piece = -2 - ord(s[at])
             while piece != -1:
                 end = at + (length[piece] if piece >= 0 else 1)
                 if piece < 0 or not (dead and end in dead):
@@ -295,7 +295,7 @@ class Transducer:
         if self.kind == BPE and not (self.odd and self.odd.intersection(part)):
             path = self._only_path(part)
             if min(path, default=0) < 0:
-                path = list(chain.from_iterable([i] if i >= 0 else self._spelled(chr(-1 - i)) for i in path))
+                path = list(chain.from_iterable([i] if i >= 0 else self._spelled(chr(-2 - i)) for i in path))
         else:
             pieces = self._slow_path(part) if self.kind == BPE else self._best_path(part)
             path = list(chain.from_iterable([self.ids[p]] if p in self.ids else self._spelled(p) for p in pieces))
