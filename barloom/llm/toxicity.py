@@ -20,13 +20,23 @@ CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
 #: Lengths of the word beginnings that are features of their own.
-BEGINNINGS = (2, 3, 5)
+BEGINNINGS = (3, 4, 5, 6)
 
 
 def features(text: str | None) -> set[str]:
-    """The distinct lower-cased words of the whole text, and the beginnings of the longer ones as ``xxx~``."""
-    words = set(TOKEN.findall(text.lower())) if text else set()
-    return words.union([w[:n] + "~" for n in BEGINNINGS for w in words if len(w) > n])
+    """The distinct lower-cased words of the whole text, the beginnings of longer words as ``xxx~``, and as
+    ``xxx~2`` those that occur twice or more."""
+    count = Counter(TOKEN.findall(text.lower())) if text else Counter()
+    out = set(count)
+    for word, n in count.items():
+        for size in BEGINNINGS:
+            if len(word) <= size:
+                break
+            start = word[:size] + "~"
+            if n > 1 or start in out:
+                out.add(start + "2")
+            out.add(start)
+    return out
 
 
 def _sigmoid(z):
@@ -128,7 +138,7 @@ class Chain:
 
 
 def train(
-    texts: list[str], labels: np.ndarray, names: list[str], folds: int = 5, min_docs: int = 4, max_words: int = 2000, penalty: float = 5e-4
+    texts: list[str], labels: np.ndarray, names: list[str], folds: int = 5, min_docs: int = 4, max_words: int = 2000, penalty: float = 3e-4
 ) -> Chain:
     """Fit the chain: each category sees, besides the words, out-of-fold log odds of the categories before it.
 
@@ -221,7 +231,7 @@ def classify(
     The models are fitted on a bounded sample of labelled rows (max_train_rows documents,
     max_train_bytes bytes of whole texts); every whole text is classified. Null or empty text has no
     words: its probabilities come from the constants alone. Without any labelled row all
-    probabilities are 0 and all categories false. Labels with a null are ignored; of several labels
+    probabilities are practically 0 (below 1e-200) and all categories false. Labels with a null are ignored; of several labels
     of a document the least counts. Rows are judged one by one, so repeated rows get equal results.
     """
     base = renamed(docs, doc_id=id_col, text=text_col)
