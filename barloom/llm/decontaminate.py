@@ -164,7 +164,8 @@ def with_hits(
     passages in another order count fully. Items with coverage >= threshold are hits.
 
     A benchmark of at most max_shared_chars characters goes to every task whole; a larger one is
-    joined by window hash (documents' windows shuffled, pairs made distinct, then both texts).
+    joined by window hash (documents' windows shuffled, pairs made distinct, then both texts); there,
+    rows with a null id match nothing, since no other key leads back to them.
     Null or empty texts, and items of fewer than ``least`` tokens, match nothing. Repeated items
     each count under their item_id; items with a null id are left out. Repeated rows of docs are
     judged alike. A column of docs called hits is replaced.

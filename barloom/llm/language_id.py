@@ -103,6 +103,8 @@ def train(texts: dict[str, list[str]], order: int = 4) -> Model:
     knows the context, plus its cost in the context one byte shorter; below order 0 each byte costs 8 bits.
     """
     languages = sorted(texts)
+    if not languages:
+        return Model([], order, [], [])
     symbols, escapes = [], []
     lower_keys = lower = None
     for k in range(order + 1):
