@@ -99,20 +99,22 @@ def parameter_importance(rows: DataFrame, params: list[str], score: str) -> Data
 
 
 def plateau(cells: DataFrame, x: str, y: str, value: str, reach: float = 20) -> DataFrame:
-    """Neighbours within ``reach`` on both axes: support (share at least 80 % as good), stability, and their 0.6/0.4 mix.
+    """Neighbours within ``reach`` on both axes. support: their share at 90 % of the cell or more (of the cell
+    itself if it is negative); stability: 1 - their population deviation over max(|cell|, 1), at least 0;
+    plateau_score: 0.6 support + 0.4 stability.
 
     Cells meet by buckets of the reach on both axes (each cell visits its 3 x 3 buckets), not all with all.
     """
-    a = cells.select(x, y, value).withColumns({"_bx": F.floor(F.col(x) / reach), "_by": F.floor(F.col(y) / reach)})
+    a = cells.select(x, y, F.col(value).alias("_c")).withColumns({"_bx": F.floor(F.col(x) / reach), "_by": F.floor(F.col(y) / reach)})
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v"), "_bx", "_by", F.explode(near).alias("_d"))
+    b = a.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("_c").alias("_v"), "_bx", "_by", F.explode(near).alias("_d"))
     b = b.select("_x", "_y", "_v", (F.col("_bx") + F.col("_d.i")).alias("_bx"), (F.col("_by") + F.col("_d.j")).alias("_by"))
-    pairs = a.join(b, ["_bx", "_by"]).where((F.abs(F.col(x) - F.col("_x")) <= reach) & (F.abs(F.col(y) - F.col("_y")) <= reach) & ~((F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))))
-    agg = pairs.groupBy(x, y, value).agg(
-        F.count("*").alias("neighbours"), F.avg((F.col("_v") >= 0.8 * F.col(value)).cast("double")).alias("support"), F.stddev_pop("_v").alias("_s"), F.avg(F.abs("_v")).alias("_m")
-    )
-    stability = F.greatest(F.lit(0.0), 1 - F.least(F.coalesce(div(F.col("_s"), F.nullif(F.col("_m"), F.lit(0.0))), F.lit(0.0)), F.lit(1.0)))
-    return agg.withColumn("stability", stability).select(x, y, "neighbours", "support", "stability", (0.6 * F.col("support") + 0.4 * F.col("stability")).alias("plateau_score"))
+    close = (F.abs(F.col(x) - F.col("_x")) <= reach) & (F.abs(F.col(y) - F.col("_y")) <= reach)
+    pairs = a.join(b, ["_bx", "_by"]).where(close & ~((F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))))
+    bar = F.when(F.col("_c") >= 0, 0.9 * F.col("_c")).otherwise(F.col("_c"))
+    agg = pairs.groupBy(x, y, "_c").agg(F.count("*").alias("neighbours"), F.avg((F.col("_v") >= bar).cast("double")).alias("support"), F.stddev_pop("_v").alias("_s"))
+    out = agg.withColumn("stability", F.greatest(F.lit(0.0), 1 - F.col("_s") / F.greatest(F.abs("_c"), F.lit(1.0))))
+    return out.select(x, y, "neighbours", "support", "stability", (0.6 * F.col("support") + 0.4 * F.col("stability")).alias("plateau_score"))
 
 
 def best_region(cells: DataFrame, x: str, y: str, value: str) -> DataFrame:
@@ -128,23 +130,54 @@ def robust_score(sharpe: str, ratio: str, std: str, drawdown: str):
     return F.col(sharpe) + F.col(ratio) - 0.25 * F.abs(F.col(std)) - 0.25 * F.abs(F.least(F.col(drawdown), F.lit(0.0)))
 
 
-#: Weights of return, Sharpe, Calmar and plateau in the blended score, and key order by ranking profile.
-BLEND = (0.45, 0.2, 0.2, 0.15)
+#: Weights of Sharpe, plateau and drawdown penalty, and sort keys, by ranking profile.
 PROFILES = {
-    "balanced": ("robust_score", "sharpe", "calmar"), "return": ("total_return", "robust_score", "sharpe"), "risk": ("calmar", "robust_score", "sharpe"), "plateau": ("plateau_score", "robust_score", "sharpe"),
+    "balanced": ((1.0, 0.35, 0.3), ("robust_score", "plateau_score", "sharpe")),
+    "stability_first": ((0.75, 0.5, 0.35), ("stability_score", "plateau_score", "robust_score", "sharpe")),
+    "performance_first": ((1.2, 0.2, 0.2), ("robust_score", "sharpe", "plateau_score")),
+    "drawdown_aware": ((0.9, 0.35, 0.5), ("robust_score", "max_drawdown", "plateau_score", "sharpe")),
 }
 
 
-def review(score, good: float = 0.6, fair: float = 0.3):
-    return F.when(score >= good, "Pass").when(score >= fair, "Review").otherwise("Fail")
+def _unit(c):
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))))
+
+
+def with_scores(rows: DataFrame, profile: str = "balanced") -> DataFrame:
+    """Add stability_score (plateau, exposure in %, drawdown, trades up to 30, weighed 0.45, 0.2, 0.2, 0.15) and
+    robust_score by the profile's weights, from plateau_score, exposure, max_drawdown, trade_count, sharpe."""
+    (a, b, c), _ = PROFILES[profile]
+    zero = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+    fall = _unit(F.abs("max_drawdown"))
+    return rows.withColumns({
+        "stability_score": 0.45 * zero("plateau_score") + 0.2 * _unit(F.col("exposure") / 100) + 0.2 * (1 - fall) + 0.15 * _unit(F.col("trade_count") / 30),
+        "robust_score": a * zero("sharpe") + b * zero("plateau_score") - c * fall,
+    })
+
+
+def review(accepted):
+    """Pass if accepted, Review from a plateau score of 0.45 or a Sharpe of 0.75, else Fail."""
+    near = (F.coalesce(F.col("plateau_score"), F.lit(0.0)) >= 0.45) | (F.coalesce(F.col("sharpe"), F.lit(0.0)) >= 0.75)
+    return F.when(accepted, "Pass").when(near, "Review").otherwise("Fail")
 
 
 def ranked(rows: DataFrame, profile: str, ties: list[str], within: tuple[str, ...] = ()) -> DataFrame:
     """Add position by the profile's keys, all descending with NULLs last; ties by the given columns."""
-    order = [F.desc_nulls_last(k) for k in PROFILES[profile] if k in rows.columns]
+    order = [F.desc_nulls_last(k) for k in PROFILES[profile][1] if k in rows.columns]
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(*order, *ties)))
 
 
+def shortlist(rows: DataFrame, ties: list[str]) -> DataFrame:
+    """The best row by each of robust_score, plateau_score, total_return and calmar: (representative_type, row)."""
+    out = None
+    for kind in ("robust_score", "plateau_score", "total_return", "calmar"):
+        if kind not in rows.columns:
+            continue
+        best = rows.orderBy(F.desc_nulls_last(kind), *ties).limit(1).withColumn("representative_type", F.lit(kind))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def clusters(rows: DataFrame, params: list[str], most: int = 5, seed: int = 42) -> DataFrame:
     """k-means clusters of standardised parameters, k by sqrt(n) up to ``most``; the row nearest its cluster's mean is the representative."""
     from pyspark.ml.clustering import KMeans

@@ -208,3 +208,11 @@ def mean_curve(curves: DataFrame, keys=KEYS) -> DataFrame:
     rows = curves.withColumn("pos", F.row_number().over(by_time(*keys)))
     shortest = rows.groupBy(*keys).agg(F.max("pos").alias("n")).agg(F.min("n").alias("n"))
     return rows.crossJoin(F.broadcast(shortest)).where("pos <= n").groupBy("pos").agg(F.avg("equity").alias("equity"))
+
+
+def exposure(ledger: DataFrame, keys=KEYS) -> DataFrame:
+    """exposure_pct: share of bars in a position; max_holding_ratio: longest run in a position over all bars."""
+    rows = ledger.withColumn("_in", F.col("position") != 0)
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (100 * F.avg(F.col("_in").cast("double"))).alias("exposure_pct"))
+    run = longest_run(rows, F.col("_in"), "_k", keys)
+    return n.join(run, list(keys)).select(*keys, "exposure_pct", (F.col("_k") / F.col("_n")).alias("max_holding_ratio"))

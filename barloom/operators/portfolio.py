@@ -207,3 +207,25 @@ def cost_status(curve: DataFrame, cost: float) -> DataFrame:
         ID,
         F.when(F.lit(cost) == 0, "not_configured").when(F.col("t") <= 1e-12, "no_turnover").when(F.col("c") > 0, "valid").otherwise("invalid_cost_accounting").alias("status"),
     )
+
+
+def checked(df: DataFrame, long_only: bool = True, max_gross: float = 1.0) -> DataFrame:
+    """The frame, failing at run time on a non-finite close, a short target in a long-only account, or gross above max_gross."""
+    gross = F.sum(F.abs("target")).over(Window.partitionBy(ID, "ts"))
+    bad = (
+        F.when(F.isnan("close") | (F.abs("close") == float("inf")), F.lit("non-finite price"))
+        .when((F.col("target") < -1e-12) & F.lit(long_only), F.lit("short target in a long-only account")).when(F.col("_gross") > max_gross + 1e-9, F.lit("gross exposure above the limit"))
+    )
+    rows = df.withColumn("_gross", gross)
+    return rows.withColumn("_ok", F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(F.lit(True))).where("_ok").drop("_ok", "_gross")
+
+
+def universe_report(members: DataFrame, configured: DataFrame, as_of) -> DataFrame:
+    """One row about a constituents table (asset, start, end) against configured assets (asset): rows,
+    symbols, duplicates, missing configured symbols, members at as_of, and a status."""
+    n = members.agg(F.count("*").alias("row_count"), F.count_distinct("asset").alias("symbols"))
+    twice = members.groupBy("asset", "start", "end").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
+    missing = configured.select("asset").distinct().join(members.select("asset"), "asset", "left_anti").agg(F.count("*").alias("missing"))
+    live = members.where((F.col("start") <= as_of) & (F.col("end").isNull() | (F.col("end") >= as_of))).agg(F.count_distinct("asset").alias("covered"))
+    row = n.crossJoin(twice).crossJoin(missing).crossJoin(live)  # one row each
+    return row.withColumn("status", F.when(F.col("row_count") == 0, "invalid").when((F.col("missing") > 0) | (F.col("covered") == 0), "invalid").when(F.col("duplicate_rows") > 0, "warning").otherwise("valid"))

@@ -96,8 +96,8 @@ def accepted(chosen: DataFrame, min_sharpe: float = 0.0, min_calmar: float = 0.0
     ratio = F.coalesce(div(F.col("oos_sharpe"), F.nullif(F.col("is_sharpe"), F.lit(0.0))), F.lit(0.0))
     out = chosen.withColumn("oos_is_ratio", ratio)
     checks = {
-        "oos_sharpe_below_min": F.col("oos_sharpe") < min_sharpe, "oos_calmar_below_min": F.col("oos_calmar") < min_calmar,
-        "oos_is_ratio_below_min": F.col("oos_is_ratio") < min_ratio, "oos_not_positive": F.col("oos_total_return") <= 0,
+        "oos_sharpe_not_positive": F.col("oos_sharpe") <= min_sharpe, "oos_calmar_not_positive": F.col("oos_calmar") <= min_calmar,
+        "oos_is_ratio_below_threshold": F.col("oos_is_ratio") < min_ratio, "oos_return_not_positive": F.col("oos_total_return") <= 0,
     }
     out = out.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()])))
     return out.withColumn("accepted", F.size("reasons") == 0)

@@ -343,3 +343,60 @@ def report_feature_audit(spark, d):
     return rows.groupBy("asset").agg(
         F.count("*").alias("rows"), stale.alias("stale"), F.count_if(F.col("source_ts").isNull()).alias("missing"), F.max("age_bars").alias("max_age"), (stale > 0.2 * F.count("*")).alias("warn")
     )
+
+
+@query(
+    f"""with recursive {{EB}}, {UPDOWN}, k as (select asset, ts, i, case when up then i end as since, false as fire from u where i = 1 union all
+ select u.asset, u.ts, u.i, case when k.since is not null then (case when u.down or u.i - k.since >= 3 then null else k.since end) when u.up then u.i end, k.since is not null and (u.down or u.i - k.since >= 3) from k join u on u.asset = k.asset and u.i = k.i + 1)
+select asset, ts, fire as exit from k"""
+)
+def timer_exit_mask(spark, d):
+    rows = crossed(spark, d).select("asset", "ts", F.col("up").alias("entry"), F.col("down").alias("exit"))
+    return simulate.timer_exit(rows, 3).select("asset", "ts", "exit")
+
+
+@query(
+    f"""with recursive {{EB}}, {UPDOWN}, {sim_sql('close', *LS, 0, 'ex = -position')}, b as (select *, position <> 0 as inn from k), g as (select *, row_number() over ({O}) - row_number() over (partition by asset, inn order by ts) as isl from b),
+r as (select asset, max(c) as m from (select asset, isl, count(*) as c from g where inn group by asset, isl) group by asset)
+select asset, round(100 * avg(inn::int), 6) as exposure_pct, round(coalesce(any_value(m), 0) / count(*)::double, 6) as max_holding_ratio from b left join r using (asset) group by asset"""
+)
+def metrics_exposure(spark, d):
+    from ..operators import metrics
+
+    out = metrics.exposure(simulate.simulate(_both_sides(spark, d), simulate.Rules(cost=COST, slippage=SLIP)))
+    return out.select("asset", rnd(F.col("exposure_pct")).alias("exposure_pct"), rnd(F.col("max_holding_ratio")).alias("max_holding_ratio"))
+
+
+@query(f"with {{EB}}, {TARGET} select asset, ts, round(target, 6) as target from t")
+def account_checked_targets(spark, d):
+    return portfolio.checked(targeted(spark, d), max_gross=1.2).select("asset", "ts", rnd(F.col("target")).alias("target"))
+
+
+@query(
+    """with m as (select s_name as asset, date '1995-01-01' + (s_suppkey * 13 % 800)::int as a, case when s_suppkey % 3 > 0 then date '1995-01-01' + (s_suppkey * 13 % 800 + 400)::int end as z from supplier)
+select count(*) as row_count, count(distinct asset) as symbols, (count(*) - count(distinct row(asset, a, z)))::bigint as duplicate_rows, 0::bigint as missing, count(distinct asset) filter (a <= date '1996-01-01' and (z is null or z >= date '1996-01-01')) as covered,
+case when count(distinct asset) filter (a <= date '1996-01-01' and (z is null or z >= date '1996-01-01')) = 0 then 'invalid' when count(*) > count(distinct row(asset, a, z)) then 'warning' else 'valid' end as status from m"""
+)
+def account_universe_report(spark, d):
+    k, start = F.col("s_suppkey") * 13 % 800, F.lit("1995-01-01").cast("date")
+    members = spark.read.parquet(f"{d}/supplier.parquet").select(
+        F.col("s_name").alias("asset"), F.date_add(start, k.cast("int")).alias("start"), F.when(F.col("s_suppkey") % 3 > 0, F.date_add(start, (k + 400).cast("int"))).alias("end")
+    )
+    return portfolio.universe_report(members, members.select("asset"), F.lit("1996-01-01").cast("date"))
+
+
+@query(
+    """with {EB}, a as (select asset, ts from bars where close > 100), b as (select asset, ts from bars where n > 60), last as (select *, row_number() over (partition by asset order by ts desc) as k from bars)
+select 'both' as what, asset, ts from (select * from a intersect select * from b) union all select 'only_first', asset, ts from (select * from a except select * from b)
+union all select 'either', asset, ts from (select * from a union select * from b) union all select 'last', asset, ts from last where k = 1"""
+)
+def set_operations(spark, d):
+    """Intersection, difference, union and keep-last, as the loaders and reports use them."""
+    bars = event_bars(spark, d)
+    a, b = bars.where("close > 100").select("asset", "ts"), bars.where("n > 60").select("asset", "ts")
+    last = bars.withColumn("k", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("ts")))).where("k = 1").select("asset", "ts")
+    out = None
+    for name, df in (("both", a.intersect(b)), ("only_first", a.exceptAll(b)), ("either", a.union(b).distinct()), ("last", last)):
+        one = df.select(F.lit(name).alias("what"), "asset", "ts")
+        out = one if out is None else out.unionByName(one)
+    return out

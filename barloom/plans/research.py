@@ -134,10 +134,13 @@ def matrix_importance(spark, d):
     return rounded(matrix.parameter_importance(cells(spark, d), ["fast", "slow"], "mean"), "importance")
 
 
+PLATEAU = f"""{CELLS}, pr as (select a.fast, a.slow, a.mean, b.mean as v from ce a join ce b on abs(a.fast - b.fast) <= 2 and abs(a.slow - b.slow) <= 2 and not (a.fast = b.fast and a.slow = b.slow)),
+ag as (select fast, slow, count(*) as neighbours, avg((v >= case when mean >= 0 then 0.9::double * mean else mean end)::int) as support, greatest(0, 1 - stddev_pop(v) / greatest(any_value(abs(mean)), 1)) as stability from pr group by fast, slow),
+pl as (select *, 0.6::double * support + 0.4::double * stability as plateau_score from ag)"""
+
+
 @query(
-    f"""with {{EB}}, {CELLS}, pr as (select a.fast, a.slow, a.mean, b.mean as v from ce a join ce b on abs(a.fast - b.fast) <= 2 and abs(a.slow - b.slow) <= 2 and not (a.fast = b.fast and a.slow = b.slow)),
-ag as (select fast, slow, count(*) as neighbours, avg((v >= 0.8::double * mean)::int) as support, greatest(0, 1 - least(coalesce(stddev_pop(v) / nullif(avg(abs(v)), 0), 0), 1)) as stability from pr group by fast, slow)
-select fast::bigint as fast, slow::bigint as slow, neighbours, round(support, 6) as support, round(stability, 6) as stability, round(0.6::double * support + 0.4::double * stability, 6) as plateau_score from ag"""
+    f"""with {{EB}}, {PLATEAU} select fast::bigint as fast, slow::bigint as slow, neighbours, round(support, 6) as support, round(stability, 6) as stability, round(plateau_score, 6) as plateau_score from pl"""
 )
 def matrix_plateau(spark, d):
     return rounded(matrix.plateau(cells(spark, d), "fast", "slow", "mean", 2), "support", "stability", "plateau_score")
@@ -148,15 +151,34 @@ def matrix_best_region(spark, d):
     return rounded(matrix.best_region(cells(spark, d), "fast", "slow", "mean"), "region_mean")
 
 
+SCORED = f"""{PLATEAU}, sc as (select fast, slow, plateau_score, m.mean / nullif(m.std, 0) as sharpe, m.worst as max_drawdown, 100 * m.n / 9.0::double as exposure, m.n as trade_count, m.mean as total_return from ce m join pl using (fast, slow)),
+rb as (select *, 0.45::double * plateau_score + 0.2::double * least(1, greatest(0, exposure / 100)) + 0.2::double * (1 - least(1, abs(max_drawdown))) + 0.15::double * least(1, trade_count / 30.0::double) as stability_score,
+ sharpe + 0.35::double * plateau_score - 0.3::double * least(1, abs(max_drawdown)) as robust_score from sc)"""
+
+
+def scored(spark, d):
+    c = cells(spark, d)
+    both = c.join(matrix.plateau(c, "fast", "slow", "mean", 2), ["fast", "slow"])
+    rows = both.select("fast", "slow", "plateau_score", F.try_divide("mean", F.nullif(F.col("std"), F.lit(0.0))).alias("sharpe"), F.col("worst").alias("max_drawdown"), (100 * F.col("n") / 9.0).alias("exposure"), F.col("n").alias("trade_count"), F.col("mean").alias("total_return"))
+    return matrix.with_scores(rows)
+
+
 @query(
-    f"""with {{EB}}, {SWEEP}, z as (select *, mean / nullif(std, 0) as sharpe from sw), rs as (select *, sharpe + 1 - 0.25::double * abs(std) as robust_score from z)
-select combo_id, asset, round(robust_score, 6) as robust_score, case when robust_score >= 0.6 then 'Pass' when robust_score >= 0.3 then 'Review' else 'Fail' end as review, row_number() over (partition by asset order by robust_score desc nulls last, sharpe desc nulls last, combo_id) as position from rs"""
+    f"""with {{EB}}, {SCORED} select fast::bigint as fast, slow::bigint as slow, round(stability_score, 6) as stability_score, round(robust_score, 6) as robust_score, case when sharpe > 2 then 'Pass' when plateau_score >= 0.45 or sharpe >= 0.75 then 'Review' else 'Fail' end as review,
+row_number() over (order by robust_score desc nulls last, plateau_score desc nulls last, sharpe desc nulls last, fast, slow) as balanced, row_number() over (order by stability_score desc nulls last, plateau_score desc nulls last, robust_score desc nulls last, sharpe desc nulls last, fast, slow) as stable from rb"""
 )
 def matrix_ranking(spark, d):
-    rows = sweep(spark, d).withColumns({"sharpe": F.try_divide("mean", F.nullif(F.col("std"), F.lit(0.0))), "ratio": F.lit(1.0), "dd": F.lit(0.0)})
-    rows = rows.withColumn("robust_score", matrix.robust_score("sharpe", "ratio", "std", "dd"))
-    out = matrix.ranked(rows, "balanced", ["combo_id"], ("asset",))
-    return rounded(out.select("combo_id", "asset", "robust_score", matrix.review(F.col("robust_score")).alias("review"), "position"), "robust_score")
+    rows = matrix.ranked(scored(spark, d), "balanced", ["fast", "slow"]).withColumnRenamed("position", "balanced")
+    rows = matrix.ranked(rows, "stability_first", ["fast", "slow"]).withColumnRenamed("position", "stable").withColumn("review", matrix.review(F.col("sharpe") > 2))
+    return rounded(rows.select("fast", "slow", "stability_score", "robust_score", "review", "balanced", "stable"), "stability_score", "robust_score")
+
+
+@query(
+    f"""with {{EB}}, {SCORED} select representative_type, fast::bigint as fast, slow::bigint as slow from (select 'robust_score' as representative_type, * from (select fast, slow from rb order by robust_score desc, fast, slow limit 1)
+ union all select 'plateau_score', * from (select fast, slow from rb order by plateau_score desc, fast, slow limit 1) union all select 'total_return', * from (select fast, slow from rb order by total_return desc, fast, slow limit 1))"""
+)
+def matrix_shortlist(spark, d):
+    return matrix.shortlist(scored(spark, d), ["fast", "slow"]).select("representative_type", "fast", "slow")
 
 
 @query()
@@ -197,7 +219,7 @@ CHOSEN = f"""{WFA}, tr as (select *, max((active_bars >= n * 0.2::double)::int)
 ob as (select unnest(['sharpe', 'calmar', 'total_return']) as objective), rk as (select v.*, objective, row_number() over (partition by window_id, objective order by case objective when 'sharpe' then sharpe when 'calmar' then calmar else total_return end desc, combo_id) as k from v, ob),
 ch as (select rk.window_id, rk.combo_id, objective, rk.fast, rk.slow, rk.sharpe as is_sharpe, t.sharpe as oos_sharpe, t.calmar as oos_calmar, t.total_return as oos_total_return, coalesce(t.sharpe / nullif(rk.sharpe, 0), 0) as ratio
  from rk join sc t on t.part = 'test' and t.window_id = rk.window_id and t.combo_id = rk.combo_id where k = 1)"""
-OK = "(oos_sharpe >= 0 and oos_calmar >= 0 and ratio >= 0.7 and oos_total_return > 0)"
+OK = "(oos_sharpe > 0 and oos_calmar > 0 and ratio >= 0.7 and oos_total_return > 0)"
 
 
 def chosen(spark, d):
@@ -218,3 +240,11 @@ def wfa_ranking_report(spark, d):
 @query(f"with {{EB}}, {CHOSEN} select window_id, round(avg(is_sharpe), 6) as is_sharpe, round(avg(oos_sharpe), 6) as oos_sharpe, round(avg(oos_total_return), 6) as oos_total_return, count(*) filter ({OK}) as accepted from ch group by window_id")
 def wfa_timeline(spark, d):
     return rounded(wfa.timeline(chosen(spark, d)), "is_sharpe", "oos_sharpe", "oos_total_return")
+
+
+@query()
+def stats_correlation_p_values(spark, d):
+    """Two-sided p-values of both correlations by lag."""
+    p = F.pandas_udf(lambda r, n: __import__("pandas").Series([stats.correlation_p(float(a), int(b)) for a, b in zip(r, n)]), "double")
+    out = lagged(spark, d)
+    return rounded(out.select("asset", "lag", p("pearson", "n").alias("pearson_p"), p("spearman", "n").alias("spearman_p")), "pearson_p", "spearman_p")
