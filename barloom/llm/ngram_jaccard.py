@@ -183,19 +183,19 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.99995,
     block_rows: int = 512, block_grams: int = 400_000,
 ) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, component_id, kept.
+    """One row per input row: doc_id, class_id, n_links, text_id, kept.
 
-    Words are runs of non-space; n-grams of words make a text's set. Texts with equal sets are one
-    class (class_id: its smallest doc_id). Banding, chosen for ``recall`` at the given similarity,
+    Words are runs of non-space; n-grams of words make a text's set. Texts with equal sets enter
+    once (text_id: their smallest doc_id). Banding, chosen for ``recall`` at the given similarity,
     finds candidates among class representatives; all pairs in a bucket are verified on the full
     sets by exact Jaccard >= similarity. Buckets with the same members are verified once; large
     ones are cut into pairs of blocks, and only sums and star edges leave a task, never all pairs.
-    n_links counts the other rows whose text is linked directly (copies included), component_id is
-    the smallest doc_id reachable, kept marks that document.
+    n_links counts the other rows whose text is linked directly (copies included), class_id is the
+    smallest doc_id reachable by links, kept marks that document.
 
     A text shorter than n words is one gram of all its words. Texts without a word (null, empty)
-    link with nothing: class and component are their own doc_id. Rows with a null doc_id take no
-    part: null class and component, no links, kept. Repeated rows count as copies.
+    link with nothing: class and text are their own doc_id. Rows with a null doc_id take no part:
+    null class and text, no links, kept. Repeated rows count as copies.
     """
     bands, rows = banding(similarity, recall)
     base = renamed(docs, doc_id=id_col, text=text_col)
@@ -249,8 +249,8 @@ def near_duplicates(
     alive = F.col("doc_id").isNotNull() & (F.col("n_grams") > 0)
     return out.select(
         "doc_id",
-        F.when(alive, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(alive, F.col("component")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(alive, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(alive, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(alive, F.col("rep")).otherwise(F.col("doc_id")).alias("text_id"),
         (~alive | (F.col("doc_id") == F.col("component"))).alias("kept"),
     )

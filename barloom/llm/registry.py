@@ -31,7 +31,8 @@ def op4_sentencepiece(spark, sf_dir):
 
 
 def op5_toxicity(spark, sf_dir):
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "toxic", "p_toxic", "p_low_quality")
 
 
 def op6_ngram_jaccard(spark, sf_dir):

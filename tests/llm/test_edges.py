@@ -47,8 +47,8 @@ def test_defined_results(spark):
     lang = {r["doc_id"]: r for r in language_id.identify(d).collect()}
     assert {k for k, r in lang.items() if r["lang_pred"] == "und"} == {2, 3, 4, 5} and lang[2]["score"] == 0 and all(0 <= r["score"] <= 1 for r in lang.values())
     near = {r["doc_id"]: r for r in ngram_jaccard.near_duplicates(d).collect()}
-    assert (near[6]["component_id"], near[7]["component_id"], near[7]["kept"]) == (6, 6, False)
-    assert near[1]["n_links"] == 2 and near[8]["class_id"] == 1 and near[None]["kept"] and near[None]["n_links"] == 0 and all(near[k]["n_links"] == 0 and near[k]["kept"] for k in (2, 3, 4, 9))
+    assert (near[6]["class_id"], near[7]["class_id"], near[7]["kept"]) == (6, 6, False)
+    assert near[1]["n_links"] == 2 and near[8]["text_id"] == 1 and near[None]["kept"] and near[None]["n_links"] == 0 and all(near[k]["n_links"] == 0 and near[k]["kept"] for k in (2, 3, 4, 9))
     hits = {r["doc_id"]: r["hits"] for r in decontaminate.with_hits(d, benchmark(spark)).collect()}
     assert [h["item_id"] for h in hits[6]] == [1] and hits[6][0]["coverage"] == 1 and hits[2] == [] and hits[1] == []
     text = {r["doc_id"]: r for r in sentencepiece_fst.encode_documents(d, decoded=True).collect()}

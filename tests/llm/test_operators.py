@@ -282,7 +282,7 @@ def test_near_duplicates(spark, texts):
     df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
     for r in ngram_jaccard.near_duplicates(df, block_rows=32).collect():
         i = r["doc_id"]
-        assert r["n_links"] == len(links[i]) and r["component_id"] == comp[i] and r["kept"] == (comp[i] == i)
+        assert r["n_links"] == len(links[i]) and r["class_id"] == comp[i] and r["kept"] == (comp[i] == i)
 
 
 def test_banding_reaches_the_recall():
