@@ -143,7 +143,7 @@ def _verify(width: int, cosine: float):
 
 def near_vectors(
     table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93,
-    width: int = 16, block_rows: int = 1024, small_cells: int = 100_000,
+    width: int = 16, block_rows: int = 2048, small_cells: int = 100_000,
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
