@@ -27,10 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where none is configured (tests on one machine) a temporary folder becomes it.
     """
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    sc, given = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="barloom-"))
+    return given or sc.getCheckpointDir()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
