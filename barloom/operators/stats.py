@@ -83,13 +83,19 @@ def correlation_p(r: float, n: int) -> float:
 
 
 def distribution(rows: DataFrame, x: str, keys=KEYS) -> DataFrame:
-    """Population skewness and excess kurtosis, Kolmogorov-Smirnov distance to the *standard* normal, is_normal (always False)."""
-    erf = F.pandas_udf(lambda s: s.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2)))), "double")
+    """Population skewness and excess kurtosis, Kolmogorov-Smirnov distance to the *standard* normal,
+    Anderson-Darling statistic against the normal with the sample's mean and deviation, is_normal (always False)."""
+    cdf = F.pandas_udf(lambda s: s.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2))), "double")
     r = rows.where(f"`{x}` is not null")
     w, whole = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys)
-    r = r.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(whole)}).withColumn("_p", erf(x))
+    r = r.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(whole), "_z": div(F.col(x) - F.avg(x).over(whole), F.nullif(F.stddev_samp(x).over(whole), F.lit(0.0)))})
+    r = r.withColumns({"_p": cdf(x), "_q": cdf("_z"), "_u": cdf(-F.col("_z"))})
     d = F.greatest(F.col("_i") / F.col("_n") - F.col("_p"), F.col("_p") - (F.col("_i") - 1) / F.col("_n"))
-    return r.groupBy(*keys).agg(F.skewness(x).alias("skew"), F.kurtosis(x).alias("excess_kurtosis"), F.max(d).alias("ks")).withColumn("is_normal", F.lit(False))
+    low, i, n = F.lit(1e-300), F.col("_i"), F.col("_n")
+    term = ((2 * i - 1) * F.ln(F.greatest("_q", low)) + (2 * (n - i) + 1) * F.ln(F.greatest("_u", low))) / n
+    return r.groupBy(*keys).agg(
+        F.skewness(x).alias("skew"), F.kurtosis(x).alias("excess_kurtosis"), F.max(d).alias("ks"), (-F.max("_n") - F.sum(term)).alias("anderson")
+    ).withColumn("is_normal", F.lit(False))
 
 
 def durbin(acf: np.ndarray) -> np.ndarray:

@@ -50,12 +50,12 @@ def stats_best_lag(spark, d):
 
 @query(f"with {{EB}}, {CURVE} select asset, round(skewness(ret) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)), 6) as skew, round(kurtosis_pop(ret), 6) as excess_kurtosis, false as is_normal from d group by asset")
 def stats_distribution(spark, d):
-    return rounded(stats.distribution(path(spark, d), "ret").drop("ks"), "skew", "excess_kurtosis")
+    return rounded(stats.distribution(path(spark, d), "ret").drop("ks", "anderson"), "skew", "excess_kurtosis")
 
 
 @query()
-def stats_kolmogorov_smirnov(spark, d):
-    return rounded(stats.distribution(path(spark, d), "ret").select("asset", "ks"), "ks")
+def stats_normality(spark, d):
+    return rounded(stats.distribution(path(spark, d), "ret").select("asset", "ks", "anderson"), "ks", "anderson")
 
 
 @query(

@@ -206,6 +206,17 @@ def test_statistics():
     assert stats.durbin(np.array([0.5, 0.25, 0.125])) == pytest.approx([0.5, 0, 0], abs=1e-12)
 
 
+def test_normality_statistics(spark):
+    x = np.sort(np.random.default_rng(3).normal(2, 3, 50))
+    df = spark.createDataFrame([("a", DAY, float(v)) for v in x], "asset string, ts date, x double")
+    row = stats.distribution(df, "x").first()
+    phi = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    q = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in (x - x.mean()) / x.std(ddof=1)])
+    i = np.arange(1, 51)
+    assert row["ks"] == pytest.approx(max((i / 50 - phi).max(), (phi - (i - 1) / 50).max()))
+    assert row["anderson"] == pytest.approx(-50 - ((2 * i - 1) * (np.log(q) + np.log(1 - q[::-1]))).sum() / 50)
+
+
 def test_metrics_edge_cases(spark):
     flat = metrics.with_path(spark.createDataFrame([("a", DAY + dt.timedelta(days=i), 100.0) for i in range(3)], "asset string, ts date, equity double"))
     row = metrics.summary(flat).first()
