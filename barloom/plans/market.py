@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import by_time, div, rnd, trailing
+from ..functions.safe import by_time, rnd, trailing
 from ..operators import align, calendar, clean
 from ..operators import indicators as ind
 from ..operators.conditions import with_mask
