@@ -126,7 +126,7 @@ def _against_all(shared, column: str, threshold: float):
     return run
 
 
-def _windows(least: int, place: bool):
+def _windows(least: int):
     """(window hash, id) of each text, every hash once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +179,8 @@ def with_hits(
         shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["item"]) for r in items.collect()], least))
         return docs.mapInArrow(_against_all(shared, text_col, threshold), ", ".join([*typed(docs), f"hits {HITS}"]))
     base = renamed(docs, id=id_col, text=text_col).where("id is not null and text is not null")
-    seeds = base.mapInArrow(_windows(least, False), f"key long, id {base.schema['id'].dataType.simpleString()}")
-    marks = stored(items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(least, True), "key long, id long"), "item-windows")
+    seeds = base.mapInArrow(_windows(least), f"key long, id {base.schema['id'].dataType.simpleString()}")
+    marks = stored(items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(least), "key long, id long"), "item-windows")
     pairs = (
         seeds.join(marks.withColumnRenamed("id", "item_id"), "key").groupBy("id", "item_id").agg(F.lit(1).alias("_")).drop("_")
     )
