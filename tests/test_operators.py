@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -266,6 +267,7 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_paged_source(spark):
+    spark.sparkContext.addPyFile(str(Path(__file__).with_name("paged_fixture.py")))
     spark.dataSource.register(readers.PagedBars)
-    df = spark.read.format("paged_bars").options(symbols="A,B", start=0, end=86400 * 7, page=3, fetch="tests.paged_fixture:fetch").load()
+    df = spark.read.format("paged_bars").options(symbols="A,B", start=0, end=86400 * 7, page=3, fetch="paged_fixture:fetch").load()
     assert df.groupBy("asset").count().collect()[0]["count"] == 8 and not math.isnan(df.first()["open"])
