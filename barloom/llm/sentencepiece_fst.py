@@ -74,7 +74,7 @@ class Memo(dict):
 class Transducer:
     """The compiled machine of one model file's bytes."""
 
-    def __init__(self, data: bytes, cache: int = 80_000):
+    def __init__(self, data: bytes, cache: int = 160_000):
         self.pieces: list[str] = []
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
@@ -231,7 +231,7 @@ class Transducer:
                     ok = pairs.get(before << 20 | piece)
                     if ok is None:
                         ok = self._follows(self.pieces[before], self.pieces[piece])
-                        if len(pairs) > 150_000:
+                        if len(pairs) > 250_000:
                             pairs.clear()
                         pairs[before << 20 | piece] = ok
                     if ok:
