@@ -183,27 +183,53 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return lang, score, rate
 
 
+def _draw(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """Per lang: cap, the bytes that one text may give; share, the u below which rows are drawn; least, its smallest u.
+
+    The cap is the smallest power of two, from about a twelfth of max_bytes up, by which the texts
+    fill max_bytes. The draw is by capped bytes: either all rows are drawn or 32 at least are expected.
+    """
+    sizes = docs.groupBy("lang", F.length(F.bin("bytes")).alias("width")).agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("u").alias("least")
+    )
+    per: dict[str, list] = {}
+    for r in sizes.collect():  # a few dozen rows a language
+        per.setdefault(r["lang"], []).append(r)
+    rows = []
+    for lang, found in per.items():
+        k = (max_bytes // 16).bit_length()
+        held = lambda k: sum(r["bytes"] if r["width"] <= k else r["n"] << k for r in found)
+        while held(k) < max_bytes and any(r["width"] > k for r in found):
+            k += 1
+        rows.append((lang, 1 << k, 4.0 * max_bytes / held(k), min(r["least"] for r in found)))
+    return docs.sparkSession.createDataFrame(rows, "lang string, cap long, share double, least double")
+
+
 def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[str]]:
-    """Whole texts per language, in the order of a hash of the id, until max_bytes are passed.
+    """Texts per language, in the order of a hash of the id, until max_bytes are passed.
 
     docs has (doc_id, text, lang). A share of rows is taken first so that the sort that follows
-    is over a bounded number of rows in each language, however many rows one language has.
+    is over a bounded number of rows in each language, however many rows one language has; the first
+    row is always among them. A long text gives its beginning only, if others fill the rest. Equal
+    rows count once.
     """
     docs = docs.where("lang is not null and text is not null and text <> ''")
-    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * max_bytes) / F.col("bytes"))
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.substring(F.md5("text"), 1, 8)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    docs = docs.withColumn("u", u).withColumn("bytes", F.octet_length("text").cast("long"))
     ahead = F.sum(F.octet_length("text")).over(
         Window.partitionBy("lang").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     )
+    # about cap bytes, in whole characters
+    part = F.expr("substring(text, 1, cast(greatest(1, least(char_length(text), cap * char_length(text) div bytes)) as int))")
     rows = (
-        docs.join(F.broadcast(sizes), "lang")  # one row per language
-        .withColumn("u", u).where(F.col("u") < share)
+        docs.join(F.broadcast(_draw(docs, max_bytes)), "lang")  # one row per language
+        .where((F.col("u") < F.col("share")) | (F.col("u") <= F.col("least")))
+        .select("lang", "u", "doc_id", part.alias("text")).distinct()
         .withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < max_bytes)
         .select("lang", "text", "u").orderBy("lang", "u", F.md5("text"))
     )
     out: dict[str, list[str]] = {}
-    for r in rows.collect():  # at most max_bytes and one document for each language
+    for r in rows.collect():  # at most max_bytes and one text's part for each language
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
@@ -229,7 +255,7 @@ def identify(
     """Per input row: doc_id, the carried columns, held_out, lang_pred, score, bits_per_byte.
 
     Learns one byte model per non-null language from documents whose crc32(doc_id as text) mod folds
-    is not ``held``: whole texts up to max_train_bytes a language, a fixed bound on the model that is
+    is not ``held``: texts up to max_train_bytes a language, a fixed bound on the model that is
     broadcast. Every whole text is then coded under every language; lang_pred is the shortest code
     (ties: the first by name), score its posterior under equal priors, bits_per_byte its rate.
     ``und`` with score 0 and null rate if the text is null, has no letter, or no language was

@@ -406,6 +406,19 @@ def test_held_out_languages(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows]) > 0.98 and all(r["held_out"] == (fold(r["doc_id"], 4) == 2) for r in rows)
 
 
+def test_training_sample_of_few_long_texts(spark):
+    rows = [(i, f"lang a {i} " * 12_000, "a") for i in range(3)] + [(i, f"lang b {i} " * 400, "b") for i in range(40)]
+    rows += [(1000 + i, f"lang c {i} " * (20_000 if i < 8 else 10), "c") for i in range(400)] + [(7, "lang d " * 10, "d")] * 3000
+    rows += [(1, "é" * 50_000, "e"), (2, None, "a"), (3, "", "f"), (4, "no language", None)]
+    got = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3000)
+    size = {k: sum(len(t.encode()) for t in v) for k, v in got.items()}
+    assert set(got) == set("abcde") and all(3000 <= size[k] <= 6000 for k in "abc") and 3000 <= size["e"] <= 4200
+    assert len(got["a"]) >= 2 and len(got["b"]) >= 8 and len(got["c"]) >= 8 and got["d"] == ["lang d " * 10]
+    few = spark.createDataFrame([(i, f"text {i} " * 100, "a") for i in range(5)], "doc_id long, text string, lang string")
+    assert sorted(language_id.training_sample(few, 1 << 20)["a"]) == [f"text {i} " * 100 for i in range(5)]
+    assert language_id.training_sample(few.limit(0), 3000) == {}
+
+
 # 10
 
 
