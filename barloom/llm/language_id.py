@@ -234,16 +234,35 @@ def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[str]]:
     return out
 
 
+def rate_bounds(model: Model, texts: dict[str, list[str]], times: float) -> np.ndarray:
+    """Bits a byte that a text in each language may need: times the median rate of its texts, which the
+    model has not seen. Without such texts a language has the others' loosest bound, or none."""
+    out = np.full(len(model.languages), np.nan)
+    for j, lang in enumerate(model.languages):
+        if own := [t for t in texts.get(lang, []) if has_letter(t)]:
+            size = np.array([len(t.encode("utf-8", "replace")) for t in own])
+            out[j] = times * np.median(code_lengths(model, own)[:, j] / size)
+    return np.where(np.isnan(out), np.nanmax(out) if (out == out).any() else np.inf, out)
+
+
+def fits(model: Model, bounds: np.ndarray, text: str | None, lang: str, rate: float, spare: float = 64.0) -> bool:
+    """Whether the rate of a text is within its language's bound; ``spare`` bits more for what few bytes cannot tell."""
+    if lang == UNDETERMINED:
+        return False
+    return bool(rate <= bounds[model.languages.index(lang)] + spare / max(1, len(text.encode("utf-8", "replace"))))
+
+
 def _score(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, bounds = shared.value
         for batch in sliced(batches, column):
-            lang, score, rate = predict(model, batch.column(column).to_pylist())
+            texts = batch.column(column).to_pylist()
+            lang, score, rate = predict(model, texts)
             rest = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64(), from_pandas=True)],
-                names=[*rest, "lang_pred", "score", "bits_per_byte"],
-            )
+            new = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "bits_per_byte": pa.array(rate, pa.float64(), from_pandas=True)}
+            if bounds is not None:
+                new["fits"] = pa.array([fits(model, bounds, *x) for x in zip(texts, lang, rate)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *new.values()], names=[*rest, *new])
 
     return run
 
@@ -251,6 +270,7 @@ def _score(shared, column: str):
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4,
     max_train_bytes: int = 500_000, folds: int = 4, held: int = 2, carry: tuple[str, ...] = (),
+    times: float | None = None,
 ) -> DataFrame:
     """Per input row: doc_id, the carried columns, held_out, lang_pred, score, bits_per_byte.
 
@@ -261,15 +281,22 @@ def identify(
     ``und`` with score 0 and null rate if the text is null, has no letter, or no language was
     learned. A null doc_id counts as the empty text in the fold rule. Rows are judged one by one,
     so repeated rows get equal results.
+
+    With ``times``, a column fits is added: whether bits_per_byte is at most so many times the median
+    rate of the language's held-out texts (of a bounded sample), with 64 bits a text to spare.
     """
     base = renamed(docs, doc_id=id_col, text=text_col, lang=lang_col)
     fold = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == held, F.lit(False))
     model = train(training_sample(base.where(~fold(F.col("doc_id"))), max_train_bytes), order)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounds = None
+    if times is not None:
+        bounds = rate_bounds(model, training_sample(base.where(fold(F.col("doc_id"))), max_train_bytes), times)
+    shared = docs.sparkSession.sparkContext.broadcast((model, bounds))
     text = text_col if text_col in carry else "_text"  # a carried text goes to the tasks once
     own = [] if text in carry else [F.col(f"`{text_col}`").alias(text)]
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), fold(F.col(f"`{id_col}`")).alias("held_out"), *[F.col(f"`{c}`") for c in carry], *own
     )
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"]
-    return rows.mapInArrow(_score(shared, text), ", ".join([*fields, "lang_pred string", "score double", "bits_per_byte double"]))
+    fields += ["lang_pred string", "score double", "bits_per_byte double", *(["fits boolean"] if bounds is not None else [])]
+    return rows.mapInArrow(_score(shared, text), ", ".join(fields))

@@ -419,6 +419,18 @@ def test_training_sample_of_few_long_texts(spark):
     assert language_id.training_sample(few.limit(0), 3000) == {}
 
 
+def test_language_stage_drops_unlearned_languages(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(600)
+    other = [
+        "Dzisiaj rano poszliśmy do sklepu, żeby kupić chleb i mleko na śniadanie.", "Tänä aamuna kävimme kaupassa ostamassa leipää ja maitoa aamiaiseksi.",
+        "Leo asubuhi tulienda dukani kununua mkate na maziwa kwa ajili ya kifungua kinywa.", "Сегодня утром мы пошли в магазин купить хлеб и молоко.",
+        "今天早上我们去商店买了面包和牛奶当早餐。", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08",
+    ]
+    new = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(other)], "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, d.unionByName(new, allowMissingColumns=True), "").select("doc_id").collect()}
+    assert got == {r["doc_id"] for r in d.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+
+
 # 10
 
 
