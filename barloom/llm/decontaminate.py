@@ -109,7 +109,7 @@ class Items:
             matched = sum(t[0] for t in found)
             if matched >= threshold * self.size[k]:
                 out.append({"item_id": self.ids[k], "coverage": matched / int(self.size[k]), "n_tiles": len(found), "longest": max(t[0] for t in found)})
-        return sorted(out, key=lambda h: h["item_id"])
+        return sorted(out, key=lambda h: tuple(h.values()))
 
 
 HITS = "array<struct<item_id:bigint,coverage:double,n_tiles:bigint,longest:bigint>>"
@@ -143,11 +143,11 @@ def _pairwise(least: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             ids, hits = [], []
-            for doc_id, text, item_id, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item"))):
+            for key, text, item_id, item in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "item_id", "item"))):
                 if found := Items([(item_id, item)], least).hits(text, threshold):
-                    ids.append(doc_id)
+                    ids.append(key)
                     hits.append(found[0])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, _TYPE.value_type)], names=["doc_id", "hit"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(hits, _TYPE.value_type)], names=["id", "hit"])
 
     return run
 
@@ -164,8 +164,8 @@ def with_hits(
     passages in another order count fully. Items with coverage >= threshold are hits.
 
     A benchmark of at most max_shared_chars characters goes to every task whole; a larger one is
-    joined by window hash (documents' windows shuffled, pairs made distinct, then both texts); there,
-    rows with a null id match nothing, since no other key leads back to them.
+    joined by window hash (documents' windows shuffled, pairs made distinct, then both texts), each
+    text under a 128-bit hash of itself, so that results do not depend on the size or on ids.
     Null or empty texts, and items of fewer than ``least`` tokens, match nothing. Repeated items
     each count under their item_id; items with a null id are left out. Repeated rows of docs are
     judged alike. A column of docs called hits is replaced.
@@ -178,19 +178,21 @@ def with_hits(
     if chars <= max_shared_chars:
         shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["item"]) for r in items.collect()], least))
         return docs.mapInArrow(_against_all(shared, text_col, threshold), ", ".join([*typed(docs), f"hits {HITS}"]))
-    base = renamed(docs, id=id_col, text=text_col).where("id is not null and text is not null")
-    seeds = base.mapInArrow(_windows(least), f"key long, id {base.schema['id'].dataType.simpleString()}")
+    text_key = F.substring(F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)), 1, 16)
+    base = renamed(docs.select(text_key.alias("id"), F.col(f"`{text_col}`").alias("text")), id="id", text="text").where("text is not null")
+    seeds = base.mapInArrow(_windows(least), "key long, id binary")
     marks = stored(items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(least), "key long, id long"), "item-windows")
-    pairs = (
-        seeds.join(marks.withColumnRenamed("id", "item_id"), "key").groupBy("id", "item_id").agg(F.lit(1).alias("_")).drop("_")
+    pairs = stored(
+        seeds.join(marks.withColumnRenamed("id", "item_id"), "key").groupBy("id", "item_id").agg(F.lit(1).alias("_")).drop("_"), "pairs"
     )
-    whole = pairs.join(items, "item_id").join(base, "id").select(F.col("id").cast("long").alias("doc_id"), "text", "item_id", "item")
+    once = base.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    whole = pairs.join(items, "item_id").join(once, "id").select("id", "text", "item_id", "item")
     hits = (
-        whole.mapInArrow(_pairwise(least, threshold), f"doc_id long, hit {HITS[6:-1]}")
-        .groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list("hit"))).alias("hits"))
-        .withColumnRenamed("doc_id", "_hit_id")
+        whole.mapInArrow(_pairwise(least, threshold), f"id binary, hit {HITS[6:-1]}")
+        .groupBy("id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+        .withColumnRenamed("id", "_text_key")
     )
-    out = docs.join(hits, F.col(f"`{id_col}`") == F.col("_hit_id"), "left").drop("_hit_id")
+    out = docs.withColumn("_text_key", text_key).join(hits, "_text_key", "left").drop("_text_key")
     return out.withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
 
 

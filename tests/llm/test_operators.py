@@ -345,6 +345,16 @@ def test_reordered_passage_and_both_ways(spark, docs):
     assert found[9001]["coverage"] > 0.9 and found[9001]["n_tiles"] >= 3 and 9002 not in found
 
 
+def test_tiling_joined_by_any_id(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight"), (1, "red green blue black white pink grey"), (2, "one two three four five six nine ten")], "item_id long, text string")
+    dirty, clean, other = "so one two three four five six seven eight", "nothing of the kind is said in here at all", "red green blue black white pink grey"
+    rows = [(None, dirty), (None, clean), ("a", dirty), ("a", clean), ("a", other), ("b", dirty), ("b", dirty), ("c", None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    small, large = ([(r["doc_id"], r["text"], [(h["item_id"], h["coverage"]) for h in r["hits"]]) for r in decontaminate.with_hits(docs, bench, max_shared_chars=n).collect()] for n in (32_000_000, 0))
+    assert sorted(map(repr, small)) == sorted(map(repr, large)) and len(large) == 9
+    assert all(bool(h) == (t in (dirty, other)) for _, t, h in large)
+
+
 # 8
 
 
