@@ -23,12 +23,15 @@ HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
 @dataclass(frozen=True)
 class Spread:
-    """damping: share that follows links. iterations: power steps. ratio: a host is blocked if its
-    share of distrust exceeds ratio times its share of trust."""
+    """damping: share that follows links. ratio: a host is blocked if its share of distrust exceeds ratio
+    times its share of trust. tolerance: largest L1 change of a kind's ranks over three steps at which the
+    walk ends. most_steps: steps after which it is an error. iterations: steps written out in the SQL."""
 
     damping: float = 0.85
     iterations: int = 10
     ratio: float = 1.0
+    tolerance: float = 1e-6
+    most_steps: int = 1000
 
 
 def split_url(url):
@@ -69,6 +72,7 @@ def spread(edges: DataFrame, seeds: DataFrame, p: Spread) -> DataFrame:
     """Personalised PageRank per kind: edges (kind, src, dst, w), seeds (kind, host, m summing to 1 per kind).
 
     r = (1-d) seed + d (sum over in-edges of r w/W + rank of hosts without out-edges, put back on the seeds).
+    Steps go on until the ranks have settled within the tolerance and reach no further host.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
     walk = checkpointed(
@@ -79,7 +83,8 @@ def spread(edges: DataFrame, seeds: DataFrame, p: Spread) -> DataFrame:
         return seeds.select("kind", "host", F.col("m").alias("r"))
     rank = seeds.select("kind", "host", F.col("m").alias("r"))
     sources = walk.select("kind", F.col("src").alias("host")).distinct()
-    for i in range(p.iterations):
+    rank = before = checkpointed(rank)
+    for i in range(p.most_steps):
         moved = rank.join(walk.withColumnRenamed("src", "host"), ["kind", "host"]).select(
             "kind", F.col("dst").alias("host"), (F.col("r") * F.col("p") * p.damping).alias("r")
         )
@@ -90,7 +95,14 @@ def spread(edges: DataFrame, seeds: DataFrame, p: Spread) -> DataFrame:
         rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         if i % 3 == 2:
             rank = checkpointed(rank)
-    return rank
+            both = rank.join(before.withColumnRenamed("r", "was"), ["kind", "host"], "left")
+            change = both.groupBy("kind").agg(
+                F.sum(F.abs(F.col("r") - F.coalesce("was", F.lit(0.0)))).alias("moved"), F.count_if(F.col("was").isNull()).alias("new")
+            )
+            if change.where((F.col("moved") > p.tolerance) | (F.col("new") > 0)).isEmpty():
+                return rank
+            before = rank
+    raise RuntimeError(f"ranks did not settle in {p.most_steps} steps")
 
 
 def filter_urls(

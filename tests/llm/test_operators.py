@@ -91,6 +91,16 @@ def test_links_spread_trust_and_distrust(spark):
         assert r["host_verdict"] == ("block" if worse else "allow")
 
 
+def test_distrust_reaches_far_hosts(spark):
+    link = lambda k: f"<a href='http://h{k + 1}.net/'>"
+    rows = [(k, f"http://h{k}.net/", link(k)) for k in range(14)] + [(14, "http://h14.net/", "<a href='http://bad.com/'>"), (15, "http://bad.com/de/x", ""), (16, "http://apart.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
+    assert got == {k: "allow" if k == 16 else "block" for k in range(17)}
+    with pytest.raises(RuntimeError, match="settle"):
+        url_filter.filter_urls(pages, p=url_filter.Spread(most_steps=6))
+
+
 # 2
 
 
