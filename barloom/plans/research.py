@@ -32,10 +32,10 @@ d as (select *, abs(lead(r1) over (partition by asset, lag order by x, ts) - r1)
 c as (select asset, lag::int as lag, count(*) as n, corr(x, y) as pearson, corr(rx, ry) as spearman, greatest(1 - max(n) * sum(d1) / (2.0::double * sum(l1 * (n - l1))), 1 - max(n) * sum(d2) / (2.0::double * sum(l2 * (n - l2)))) as xi from d group by asset, lag having count(*) >= 30)"""
 
 
-def lagged(spark, d):
+def lagged(spark, d, lags=(0, 1, 2, 5)):
     rows = order_bars(spark, d)
     rows = rows.withColumn("ret", clean.simple_return(F.col("close"), by_time("asset"))).join(ship_feature(spark, d), "ts")
-    return stats.lagged_correlation(rows, "qty", "ret", (0, 1, 2, 5))
+    return stats.lagged_correlation(rows, "qty", "ret", lags)
 
 
 @query(f"with {{OB}}, {{SHIP}}, {PAIRS} select asset, lag, n, round(pearson, 6) as pearson, round(spearman, 6) as spearman, round(xi, 6) as xi from c")
@@ -186,7 +186,7 @@ def matrix_clusters(spark, d):
     return rounded(matrix.clusters(cells(spark, d).select("fast", "slow", "mean"), ["fast", "slow"]), "mean")
 
 
-# Walk-forward analysis on the event bars: 30 sessions
+# Walk-forward analysis on the event bars; the SQL has the windows of 30 sessions, as many as the test tables have
 
 PLAN = wfa.windows(30, 12, 6, 6)
 WFA = f"""pl as (select * from (values {", ".join(f"({w}, '{p}', {a}, {z})" for w, a0, a1, b0, b1 in PLAN for p, a, z in (("train", a0, a1), ("test", b0, b1)))}) t(window_id, part, a, z)),
@@ -205,7 +205,8 @@ sc as (select window_id, part, combo_id, fast, slow, count(*) as n, count(*) fil
 
 def scores(spark, d):
     rows, _ = matrix.combos({"fast": {"type": "set", "values": [2, 3]}, "slow": {"type": "set", "values": [4, 5]}})
-    slices = wfa.sliced(spark, event_bars(spark, d).select("asset", "ts", "close"), PLAN)
+    panel = event_bars(spark, d).select("asset", "ts", "close")
+    slices = wfa.sliced(spark, panel, wfa.windows(panel.select("ts").distinct().count(), 12, 6, 6))
     return wfa.evaluate(slices, matrix.combo_frame(spark, rows), [2, 3, 4, 5])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import align, calendar, clean, factors, indicators, matrix, metrics, portfolio, registry, signals, simulate, stats, wfa
 from barloom.operators.conditions import with_mask
-from barloom.plans import strategy
+from barloom.plans import research, strategy
 from barloom.sources import readers, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -271,3 +271,14 @@ def test_paged_source(spark):
     spark.dataSource.register(readers.PagedBars)
     df = spark.read.format("paged_bars").options(symbols="A,B", start=0, end=86400 * 7, page=3, fetch="paged_fixture:fetch").load()
     assert df.groupBy("asset").count().collect()[0]["count"] == 8 and not math.isnan(df.first()["open"])
+
+
+def test_walk_forward_queries_cover_all_sessions(spark, monkeypatch):
+    closes = [100 + 5 * math.sin(i / 3) + i / 10 for i in range(44)]
+    bars = panel(spark, closes).unionByName(panel(spark, closes[::-1], "b")).localCheckpoint()
+    monkeypatch.setattr(research, "event_bars", lambda s, d: bars)
+    got = {(r["window_id"], r["part"]) for r in research.wfa_scores(spark, "").select("window_id", "part").distinct().collect()}
+    assert got == {(k, p) for k in range(5) for p in ("train", "test")}
+    assert {r["window_id"] for r in research.wfa_timeline(spark, "").collect()} == set(range(5))
+    monkeypatch.setattr(research, "event_bars", lambda s, d: bars.where("ts < '2024-01-10'"))
+    assert research.wfa_scores(spark, "").collect() == []
