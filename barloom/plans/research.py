@@ -243,9 +243,20 @@ def wfa_timeline(spark, d):
     return rounded(wfa.timeline(chosen(spark, d)), "is_sharpe", "oos_sharpe", "oos_total_return")
 
 
+@query()
+def stats_lagged_correlation_all(spark, d):
+    """stats_lagged_correlation over all of the operator's lags."""
+    return rounded(lagged(spark, d, stats.LAGS), "pearson", "spearman", "xi")
+
+
+@query()
+def stats_best_lag_all(spark, d):
+    return stats.best_lag(lagged(spark, d, stats.LAGS))
+
+
 @query()
 def stats_correlation_p_values(spark, d):
     """Two-sided p-values of both correlations by lag."""
     p = F.pandas_udf(lambda r, n: __import__("pandas").Series([stats.correlation_p(float(a), int(b)) for a, b in zip(r, n)]), "double")
-    out = lagged(spark, d)
+    out = lagged(spark, d, stats.LAGS)
     return rounded(out.select("asset", "lag", p("pearson", "n").alias("pearson_p"), p("spearman", "n").alias("spearman_p")), "pearson_p", "spearman_p")

@@ -282,3 +282,13 @@ def test_walk_forward_queries_cover_all_sessions(spark, monkeypatch):
     assert {r["window_id"] for r in research.wfa_timeline(spark, "").collect()} == set(range(5))
     monkeypatch.setattr(research, "event_bars", lambda s, d: bars.where("ts < '2024-01-10'"))
     assert research.wfa_scores(spark, "").collect() == []
+
+
+def test_lag_queries_cover_all_lags(spark, monkeypatch):
+    y = [math.sin(i * i) for i in range(140)]
+    bars = panel(spark, [100 * math.exp(sum(y[: i + 1]) / 50) for i in range(140)]).localCheckpoint()
+    qty = spark.createDataFrame([(DAY + dt.timedelta(days=i), y[i + 17]) for i in range(123)], "ts date, qty double")
+    monkeypatch.setattr(research, "order_bars", lambda s, d: bars)
+    monkeypatch.setattr(research, "ship_feature", lambda s, d: qty)
+    assert sorted(r["lag"] for r in research.stats_correlation_p_values(spark, "").collect()) == sorted(stats.LAGS)
+    assert [tuple(r) for r in research.stats_best_lag_all(spark, "").collect()] == [("a", 17, 17)]
