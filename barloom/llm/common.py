@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Runs of anything but space and \t \n \v \f \r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: This process's folder of intermediate tables, under the shared folder.
+RUN = uuid.uuid4().hex
+_folders: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +30,13 @@ def ascii_lower(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where none is configured (tests on one machine) a temporary folder becomes it.
+    Only on one machine (a local master, as in tests) a temporary folder stands in for it if none is
+    configured; on a cluster that is an error.
     """
     sc, given = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="barloom-"))
     return given or sc.getCheckpointDir()
 
@@ -41,17 +49,31 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") ->
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df once as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table lives as long as the driver's process, or until clear_work().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/barloom/{RUN}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except (Py4JError, OSError):  # the JVM has ended before Python
+        pass
+
+
 def clear_work(spark: SparkSession) -> None:
-    """Delete the tables that stored() has left in the shared folder; call it when no result is still to be read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/barloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables that this process has left in the shared folder; call it when no result is still to be read."""
+    _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), f"{shared_dir(spark)}/barloom/{RUN}")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from .ngram_jaccard import _U, _hashes
 TOKEN = re.compile(r"\w+")
 #: Base of the rolling hash.
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -34,43 +34,72 @@ def rolling(tok: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def diagonals(at_doc: np.ndarray, at_item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, place in document, place in item) from window hits of n tokens."""
-    order = np.lexsort((at_item, at_doc - at_item))
-    d, j = (at_doc - at_item)[order], at_item[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (j[1:] != j[:-1] + 1)
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(d))) + n - 1
-    return [(int(s), int(d[k] + j[k]), int(j[k])) for s, k in zip(size, start)]
-
-
-def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: again and again the longest match whose tokens are all unmarked on both sides
-    (ties: first in the document, then in the item); what marks leave of a match goes back if it is
-    still ``least`` long."""
-    heap = [(-s, i, j) for s, i, j in matches]
-    heapq.heapify(heap)
-    doc: set[int] = set()
-    item: set[int] = set()
-    out = []
-    while heap:
-        s, i, j = heapq.heappop(heap)
-        s = -s
-        free = [i + k not in doc and j + k not in item for k in range(s)]
-        if all(free):
-            out.append((s, i, j))
-            doc.update(range(i, i + s))
-            item.update(range(j, j + s))
-            continue
-        k = 0
-        while k < s:
-            e = k
-            while e < s and free[e]:
-                e += 1
-            if e - k >= least:
-                heapq.heappush(heap, (-(e - k), i + k, j + k))
-            k = e + 1
+class Side:
+    """One side of a tiling: its tokens, and how many unmarked ones in a row begin at each place."""
+
+    def __init__(self, tok: np.ndarray, places: np.ndarray):
+        """places: the place of each token in its text; tokens that are no neighbours there make no match together."""
+        n = len(tok)
+        power, self.down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+        power[1:], self.down[1:] = BASE, INVERSE
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(self.down, out=self.down)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(tok * power[:-1], out=self.sums[1:])
+        cut = np.append(np.flatnonzero(np.diff(places) != 1) + 1, n)
+        self.places, self.free = places, cut[np.searchsorted(cut, np.arange(n), "right")] - np.arange(n)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(Karp-Rabin hashes, starts) of the windows of unmarked tokens; each hash in one step from the running sums."""
+        at = np.flatnonzero(self.free >= size)
+        return (self.sums[at + size] - self.sums[at]) * self.down[at], at
+
+    def mark(self, at: int, size: int) -> None:
+        self.free[at : at + size] = 0
+        self.free[:at] = np.minimum(self.free[:at], at - np.arange(at))
+
+
+def tiles(doc: Side, item: Side, least: int, same) -> list[tuple[int, int, int]]:
+    """Greedy tiling: again and again the longest match of unmarked tokens (ties: first in the document, then in
+    the item), until none is ``least`` long. As (size, start, start in the item).
+
+    The length of the next match never grows. It is found by halving, as a shared window of some
+    length has shared shorter ones in it, and all matches of that length are marked before the
+    next search, so memory stays in proportion to both sides, however often their words repeat.
+    ``same(i, j, size)`` compares the words themselves.
+    """
+    out: list[tuple[int, int, int]] = []
+    top = int(min(doc.free.max(initial=0), item.free.max(initial=0)))
+    while top >= least:
+        low = least - 1
+        while low < top:
+            size = (low + top + 1) // 2
+            low, top = (size, top) if np.isin(item.windows(size)[0], doc.windows(size)[0]).any() else (low, size - 1)
+        if top < least:
+            break
+        key, at = item.windows(top)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        hashes, starts = doc.windows(top)
+        first, stop = np.searchsorted(key, hashes, "left"), np.searchsorted(key, hashes, "right")
+        passed: dict[int, int] = {}
+        for h in np.flatnonzero(stop > first):
+            i, f = int(starts[h]), int(first[h])
+            if doc.free[i] < top:
+                continue
+            k = passed.get(f, f)
+            while k < stop[h] and item.free[at[k]] < top:  # marked for good
+                k += 1
+            passed[f] = k
+            for j in map(int, at[k : stop[h]]):
+                if item.free[j] >= top and same(int(doc.places[i]), j, top):
+                    out.append((top, int(doc.places[i]), j))
+                    doc.mark(i, top)
+                    item.mark(j, top)
+                    break
+            if item.free.max() < top:
+                break
+        top -= 1
     return out
 
 
@@ -79,36 +108,59 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], least: int):
         self.least = least
-        self.ids = [r[0] for r in rows]
-        tok = [tokens(r[1]) for r in rows]
-        self.size = np.array([len(t) for t in tok], np.int64)
-        windows = [rolling(t, least) for t in tok]
+        self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
+        windows, size = [], []
+        for text in self.texts:
+            tok = tokens(text)
+            size.append(len(tok))
+            windows.append(rolling(tok, least))
+        self.size = np.array(size, np.int64)
         key = np.concatenate([*windows, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(rows)), [len(w) for w in windows])
-        place = np.concatenate([*(np.arange(len(w)) for w in windows), np.zeros(0, np.int64)])
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in windows])
+        place = np.concatenate([*(np.arange(len(w), dtype=np.int32) for w in windows), np.zeros(0, np.int32)])
         order = np.argsort(key, kind="stable")
         self.key, self.owner, self.place = key[order], owner[order], place[order]
 
+    def candidates(self, seeds: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
+        """(item, its shared seeds) of the items that all shared seeds together cover to the threshold."""
+        a, b = np.searchsorted(self.key, seeds, "left"), np.searchsorted(self.key, seeds, "right")
+        seed = np.flatnonzero(b > a)
+        if not len(seed):
+            return []
+        n = (b - a)[seed]
+        at = np.repeat(a[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # at most all windows of the benchmark
+        at = at[np.lexsort((self.place[at], self.owner[at]))]
+        owner, place = self.owner[at], self.place[at]
+        first = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+        step = np.full(len(at), self.least)
+        inside = owner[1:] == owner[:-1]
+        step[:-1][inside] = np.minimum(np.diff(place)[inside], self.least)
+        reach = np.add.reduceat(step, first[:-1])
+        return [(int(owner[s]), np.unique(self.key[at[s:e]])) for s, e, r in zip(first, first[1:], reach) if r >= threshold * self.size[owner[s]]]
+
     def hits(self, text: str | None, threshold: float) -> list[dict]:
         """Items that the text covers to the threshold at least: coverage, tiles and longest tile in tokens."""
-        win = rolling(tokens(text), self.least)
-        a, b = np.searchsorted(self.key, win, "left"), np.searchsorted(self.key, win, "right")
-        at = np.flatnonzero(b > a)
-        if not len(at):
-            return []
-        n = (b - a)[at]
-        seed = np.repeat(a[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, owner, place = np.repeat(at, n), self.owner[seed], self.place[seed]
-        out = []
-        for k in np.unique(owner):
-            mine = owner == k
-            reach = np.unique((place[mine][:, None] + np.arange(self.least)[None, :]).ravel())
-            if len(reach) < threshold * self.size[k]:  # all seeds together do not cover enough
-                continue
-            found = tiles(diagonals(doc[mine], place[mine], self.least), self.least)
-            matched = sum(t[0] for t in found)
-            if matched >= threshold * self.size[k]:
-                out.append({"item_id": self.ids[k], "coverage": matched / int(self.size[k]), "n_tiles": len(found), "longest": max(t[0] for t in found)})
+        tok = tokens(text)
+        win = rolling(tok, self.least)
+        out: list[dict] = []
+        found = self.candidates(np.unique(win), threshold)
+        if not found:
+            return out
+        order = np.argsort(win, kind="stable")
+        win, words = win[order], TOKEN.findall(text.lower())
+        for k, seeds in found:
+            ranges = zip(np.searchsorted(win, seeds, "left"), np.searchsorted(win, seeds, "right"))
+            near = np.zeros(len(tok) + 1, np.int32)
+            for a, b in ranges:
+                near[order[a:b]] += 1
+                near[order[a:b] + self.least] -= 1
+            near = np.flatnonzero(np.cumsum(near[:-1]))  # tokens in a shared seed
+            item = TOKEN.findall(self.texts[k].lower())
+            same = lambda i, j, n: words[i : i + n] == item[j : j + n]  # noqa: B023, E731
+            tiling = tiles(Side(tok[near], near), Side(tokens(self.texts[k]), np.arange(len(item))), self.least, same)
+            matched = sum(t[0] for t in tiling)
+            if tiling and matched >= threshold * self.size[k]:
+                out.append({"item_id": self.ids[k], "coverage": matched / int(self.size[k]), "n_tiles": len(tiling), "longest": tiling[0][0]})
         return sorted(out, key=lambda h: tuple(h.values()))
 
 
@@ -161,14 +213,16 @@ def with_hits(
     Seeds are windows of ``least`` tokens that document and item share. Per candidate pair the
     longest unmarked matches are marked one after another, none overlapping on either side, until
     none of ``least`` tokens is left; marked tokens over the item's tokens is the coverage, so
-    passages in another order count fully. Items with coverage >= threshold are hits.
+    passages in another order count fully. Windows are found by their hashes and compared word by
+    word before they are marked. Items with coverage >= threshold are hits.
 
     A benchmark of at most max_shared_chars characters goes to every task whole; a larger one is
     joined by window hash (documents' windows shuffled, pairs made distinct, then both texts), each
     text under a 128-bit hash of itself, so that results do not depend on the size or on ids.
     Null or empty texts, and items of fewer than ``least`` tokens, match nothing. Repeated items
     each count under their item_id; items with a null id are left out. Repeated rows of docs are
-    judged alike. A column of docs called hits is replaced.
+    judged alike. A very long text costs time and memory in proportion to its length, a text that
+    repeats a few words too. A column of docs called hits is replaced.
     """
     spark = docs.sparkSession
     items = renamed(benchmark, item_id=item_id_col, item=item_text_col).where("item_id is not null and item is not null")

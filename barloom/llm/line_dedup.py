@@ -116,8 +116,8 @@ def _suspects(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b2 = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids, rows, found = [], [], []
+            for doc_id, text, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 keys = keys_of(text.as_py(), min_chars)
                 if not keys:
                     continue
@@ -125,9 +125,10 @@ def _suspects(shared, bits: int, min_chars: int):
                 hit = ((b2[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
                 for i in np.flatnonzero(hit):
                     ids.append(doc_id)
+                    rows.append(row)
                     found.append(hashlib.sha256(keys[i]).digest()[:16])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64())], names=["key", "doc_id", "text_hash"])
 
     return run
 
@@ -174,26 +175,29 @@ def dedup_lines(
 
     Null or empty text is one empty line, never dropped. Rows with a null doc_id count as no
     document and keep no line that others keep. Repeated rows with one doc_id count once and are
-    treated alike. A document whose lines all go keeps the empty text.
+    treated alike. A document whose lines all go keeps the empty text. Very long texts and lines are
+    taken whole; a task holds the keys of one text at a time.
     """
     base = renamed(docs, doc_id=id_col, text=text_col)
     n = base.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n")).first()["n"] or 0
     bits = filter_bits(int(n), max_filter_bits)
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen(base, bits, min_chars).tobytes())
-    suspects = stored(base.mapInArrow(_suspects(shared, bits, min_chars), "key binary, doc_id long"), "suspect-lines")
+    hashed = base.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    suspects = stored(hashed.mapInArrow(_suspects(shared, bits, min_chars), "key binary, doc_id long, text_hash long"), "suspect-lines")
     drops = stored(  # a table of its own, so that the join below can split a hot line's rows
         suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs),
         "repeated-lines",
     )
-    lost = (
+    lost = (  # by id and text, so that a set holds the lines of one text, even where many rows have no id
         suspects.join(drops, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))  # at most the lines of one document
-        .withColumnRenamed("doc_id", "_lost_id")
+        .groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("_drop"))
+        .withColumnsRenamed({"doc_id": "_lost_id", "text_hash": "_lost_hash"})
     )
     extra = [F.col(f"`{c}`") for c in carry]
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *extra, F.col(f"`{text_col}`").alias("_text"))
-    joined = rows.join(lost, rows["doc_id"].eqNullSafe(lost["_lost_id"]), "left").drop("_lost_id")
+    same = rows["doc_id"].eqNullSafe(lost["_lost_id"]) & (F.xxhash64(rows["_text"]) == lost["_lost_hash"])
+    joined = rows.join(lost, same, "left").drop("_lost_id", "_lost_hash")
     fields = [f for f in joined.schema.fields if f.name not in ("_text", "_drop")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "kept string", "n_lines long", "n_dropped long"])
     return joined.mapInArrow(_keep(min_chars), schema)

@@ -85,22 +85,21 @@ def _sign(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list[int]] = {}
         for batch in sliced(batches, "text"):
-            ids, size, fp1, fp2, sigs = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            size, fp1, fp2, sigs = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 grams = shingles(text, n)
                 fp = xxhash.xxh3_128_digest(grams.tobytes())
                 if fp not in known:
                     if len(known) > 20_000:
                         known.clear()
                     known[fp] = band_hashes(grams, bands, rows).astype(np.int64).tolist() if len(grams) else []
-                ids.append(doc_id)
                 size.append(len(grams))
                 fp1.append(int.from_bytes(fp[:8], "big", signed=True))
                 fp2.append(int.from_bytes(fp[8:], "big", signed=True))
                 sigs.append(known[fp])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["doc_id", "n_grams", "fp1", "fp2", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in (size, fp1, fp2)), pa.array(sigs, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_grams", "fp1", "fp2", "bands"],
             )
 
     return run
@@ -130,13 +129,13 @@ def _verify(n: int, similarity: float):
         ids_out, cnt_out, root_out = [], [], []
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids_out, cnt_out, root_out)], names=["rep", "cnt", "root"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids_out, cnt_out, root_out)], names=["node", "cnt", "root"])
             for x in (ids_out, cnt_out, root_out):
                 x.clear()
             return out
 
         for group in runs(batches, ["bucket", "bi", "bj"]):
-            ids, first = np.unique(group.column("rep").to_numpy(), return_index=True)  # repeated rows of a document
+            ids, first = np.unique(group.column("node").to_numpy(), return_index=True)  # repeated rows of a document
             if len(ids) < 2:
                 continue
             group = group.take(pa.array(first))
@@ -183,7 +182,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, recall: float = 0.99995,
     block_rows: int = 512, block_grams: int = 400_000,
 ) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, text_id, kept.
+    """One row per input row: doc_id, class_id, n_links, text_id, kept, text_hash (Spark's xxhash64 of the text).
 
     Words are runs of non-space; n-grams of words make a text's set. Texts with equal sets enter
     once (text_id: their smallest doc_id). Banding, chosen for ``recall`` at the given similarity,
@@ -191,26 +190,29 @@ def near_duplicates(
     sets by exact Jaccard >= similarity. Buckets with the same members are verified once; large
     ones are cut into pairs of blocks, and only sums and star edges leave a task, never all pairs.
     n_links counts the other rows whose text is linked directly (copies included), class_id is the
-    smallest doc_id reachable by links, kept marks that document.
+    smallest doc_id reachable by links, kept marks that document. Links are between texts, so rows
+    with one doc_id and different texts each have their own.
 
     A text shorter than n words is one gram of all its words. Texts without a word (null, empty)
     link with nothing: class and text are their own doc_id. Rows with a null doc_id take no part:
-    null class and text, no links, kept. Repeated rows count as copies.
+    null class and text, no links, kept. Repeated rows count as copies. A very long text is one set
+    of all its grams; large sets are met in smaller blocks.
     """
     bands, rows = banding(similarity, recall)
-    base = renamed(docs, doc_id=id_col, text=text_col)
+    base = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     signed = stored(
-        base.mapInArrow(_sign(n, bands, rows), "doc_id long, n_grams long, fp1 long, fp2 long, bands array<long>"), "signatures"
+        base.mapInArrow(_sign(n, bands, rows), "doc_id long, text_hash long, n_grams long, fp1 long, fp2 long, bands array<long>"), "signatures"
     )
-    live = signed.where("doc_id is not null and n_grams > 0")
-    classes = stored(
+    alive = F.col("doc_id").isNotNull() & (F.col("n_grams") > 0)
+    live = signed.where(alive)
+    classes = stored(  # node: a number of the class, fixed as the table is written
         live.groupBy("fp1", "fp2").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
-        ),
+            F.min(F.struct("doc_id", "text_hash")).alias("r"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
+        ).select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "copies", "n_grams", "bands"),
         "classes",
     )
-    banded = classes.select("rep", "n_grams", F.posexplode("bands").alias("band", "bucket"))
-    token = F.xxhash64("rep")
+    banded = classes.select("node", "n_grams", F.posexplode("bands").alias("band", "bucket"))
+    token = F.xxhash64("node")
     same = (
         banded.groupBy("bucket").agg(
             F.count("*").alias("members"), F.sum("n_grams").alias("grams"), F.min("band").alias("band"),
@@ -226,31 +228,30 @@ def near_duplicates(
         ),
         "buckets",
     )
-    of_rep = (
-        banded.select("rep", "bucket").join(buckets, "bucket")
-        .groupBy("rep").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("b"))  # at most one bucket a band
-        .join(classes.select("rep", "copies", "bands"), "rep")
+    of_node = (
+        banded.select("node", "bucket").join(buckets, "bucket")
+        .groupBy("node").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("b"))  # at most one bucket a band
+        .join(classes.select("node", "rep", "rep_hash", "copies", "bands"), "node")
     )
-    meet = base.join(of_rep, F.col("doc_id") == F.col("rep")).select(
-        "rep", "copies", "bands", "text", F.explode("b").alias("b")
-    ).select("rep", "copies", "bands", "text", "b.bucket", "b.band", "b.blocks")
+    meet = base.join(of_node, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select(
+        "node", "copies", "bands", "text", F.explode("b").alias("b")
+    ).select("node", "copies", "bands", "text", "b.bucket", "b.band", "b.blocks")
     links = stored(
-        blocked(meet, ["bucket"], "blocks", "rep").mapInArrow(_verify(n, similarity), "rep long, cnt long, root long"), "links"
+        blocked(meet, ["bucket"], "blocks", "node").mapInArrow(_verify(n, similarity), "node long, cnt long, root long"), "links"
     )
-    reach = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    reach = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    smallest = reach.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
     about = stored(
-        classes.select("fp1", "fp2", "rep", "copies")
-        .join(links.groupBy("rep").agg(F.sum("cnt").alias("cnt")), "rep", "left")
-        .join(reach.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("fp1", "fp2", "rep", (F.col("copies") - 1 + F.coalesce("cnt", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")),
+        classes.select("node", "fp1", "fp2", "rep", "copies")
+        .join(links.groupBy("node").agg(F.sum("cnt").alias("cnt")), "node", "left")
+        .join(reach.join(smallest, "component").select("node", "class_id"), "node", "left")
+        .select("fp1", "fp2", "rep", (F.col("copies") - 1 + F.coalesce("cnt", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id")),
         "class-links",
     )
-    out = signed.select("doc_id", "n_grams", "fp1", "fp2").join(about, ["fp1", "fp2"], "left")
-    alive = F.col("doc_id").isNotNull() & (F.col("n_grams") > 0)
-    return out.select(
-        "doc_id",
-        F.when(alive, F.col("component")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(alive, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(alive, F.col("rep")).otherwise(F.col("doc_id")).alias("text_id"),
-        (~alive | (F.col("doc_id") == F.col("component"))).alias("kept"),
+    out = live.select("doc_id", "text_hash", "fp1", "fp2").join(about, ["fp1", "fp2"]).select(
+        "doc_id", "class_id", "n_links", F.col("rep").alias("text_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_hash"
+    )
+    alone = signed.where(~alive).select(  # apart from the join, where all rows without a word would meet under one key
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("text_id"), F.lit(True).alias("kept"), "text_hash"
     )
+    return out.unionByName(alone)

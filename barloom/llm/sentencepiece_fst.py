@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding as a shortest path through a weighted transducer.
 
-The model file compiles into one machine: the normaliser (space to the word mark, the mark in
-front), an arc for every piece, and for characters without a piece the arcs of their bytes. A text
-composes with it into a lattice whose states are positions; the tropical shortest path is the
-encoding. Unigram models weigh an arc with minus the piece's score. For merge (BPE) models the
-machine also remembers the last piece: the arc of piece b after piece a has weight 0 if merging
-a+b alone leaves a and b, else infinity. A text has exactly one such path, the merge result.
+The model file compiles into three machines: the normaliser (states with arcs for the space and for
+any other character), the pieces (a trie whose paths from the root spell the pieces) and the byte
+fallback (a character without a piece becomes its bytes). A text goes through the normaliser and
+composes with the pieces and the fallback into a lattice, made state by state as the search reaches
+it; the shortest path in the (min, +) semiring is the encoding. A lattice state is a position and
+what the machine remembers of the last piece. Unigram models remember nothing and weigh an arc with
+minus the piece's score. Merge (BPE) models remember the last piece: the arc of piece b after piece a
+has weight 0 if merging a+b alone leaves a and b, else infinity, so a text has exactly one finite
+path, the merge result.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -27,6 +31,14 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+INFINITY = float("inf")
+#: What the machine remembers before the first piece. Labels of arcs are piece ids, or -2 - code point
+#: for a character without a piece.
+START = -1
+#: Positions after which the search puts out the part of the path that can no longer change.
+BLOCK = 4096
+#: Parts up to this length are remembered with their ids.
+SHORT = 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -71,8 +83,62 @@ class Memo(dict):
         return value
 
 
+class Row(dict):
+    """Weights of the arcs after one remembered piece, by label."""
+
+    __slots__ = ("rows", "memory")
+
+    def __init__(self, rows: "Rows", memory: int):
+        super().__init__()
+        self.rows, self.memory = rows, memory
+
+    def __missing__(self, label: int) -> float:
+        w = self[label] = self.rows.machine.weight(self.memory, label)
+        self.rows.held += 1
+        return w
+
+
+class Rows(dict):
+    """The arc weights found so far, by remembered piece; begun anew when there are ``most``."""
+
+    def __init__(self, machine: "Transducer", most: int = 150_000):
+        super().__init__()
+        self.machine, self.most, self.held = machine, most, 0
+
+    def __missing__(self, memory: int) -> Row:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        row = self[memory] = Row(self, memory)
+        return row
+
+
+class Normaliser:
+    """A machine over characters: in each state an arc for the space and one for all other characters.
+
+    An arc is (next state, output); the arc of another character puts out that character after it.
+    States: 0 at the start, 1 inside, 2 behind spaces that are put out as one if a character follows.
+    """
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        lead = MARK if prefix else ""
+        self.space = {0: (0, ""), 1: (2, ""), 2: (2, "")} if squeeze else {0: (1, lead + MARK), 1: (1, MARK)}
+        self.other = {0: (1, lead), 1: (1, ""), 2: (1, MARK)}
+        self.loops = {k for k, (to, _) in self.space.items() if to == k == self.other[k][0]}
+
+    def __call__(self, text: str) -> str:
+        out, state = [], 0
+        for at, c in enumerate(text):
+            if state in self.loops:  # never left again: all its arcs at once
+                out.append(text[at:].replace(" ", self.space[state][1]))
+                break
+            state, put = self.space[state] if c == " " else self.other[state]
+            out.append(put if c == " " else put + c)
+        return "".join(out)
+
+
 class Transducer:
-    """The compiled machine of one model file's bytes."""
+    """The compiled machines of one model file's bytes."""
 
     def __init__(self, data: bytes, cache: int = 80_000):
         self.pieces: list[str] = []
@@ -81,7 +147,7 @@ class Transducer:
         self.byte_id: dict[int, int] = {}
         self.kinds: list[int] = []
         self.kind, self.fallback, self.unknown = UNIGRAM, False, 0
-        self.prefix, self.squeeze = True, True
+        self.prefix, squeeze = True, True
         for number, value in _fields(data):
             if number == 1:
                 f = dict(_fields(value))
@@ -91,19 +157,26 @@ class Transducer:
                 self.kind, self.fallback, self.unknown = f.get(3, UNIGRAM), bool(f.get(35, 0)), f.get(40, 0)
             elif number == 3:
                 f = dict(_fields(value))
-                self.prefix, self.squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+                self.prefix, squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
                 if f.get(2) or not f.get(5, 1):
                     raise ValueError("only identity normalisers that escape spaces are supported")
         if self.kind not in (UNIGRAM, BPE) or USER in self.kinds:
             raise ValueError("only unigram and merge models without user-defined pieces are supported")
+        if self.kind == UNIGRAM and max(self.score.values(), default=0.0) > 0:
+            raise ValueError("scores of a unigram model must not be above 0")
         self.longest = max(map(len, self.ids), default=1)
         self.least = min(self.score.values(), default=0.0)
+        self.normal = Normaliser(self.prefix, squeeze)
         self.cut = self._cuts()
-        self.pairs: dict[int, bool] = {}
+        self.rows = Rows(self)
         self.known = Memo(self._ids, cache)
         self.plain = {i for i, k in enumerate(self.kinds) if k == NORMAL}
-        if self.kind == BPE:
+        self.remembers = self.kind == BPE
+        if self.remembers:
             self._compile_merges()
+        self.trie = self._compile_pieces(self.stands if self.remembers else self.ids)
+        #: Characters that only longer pieces hold.
+        self.odd = {c for p in self.ids for c in p} - {p for p in self.ids if len(p) == 1}
 
     def _piece(self, piece: str, score: float, kind: int) -> None:
         at = len(self.pieces)
@@ -115,16 +188,16 @@ class Transducer:
             self.byte_id[int(piece[3:5], 16)] = at
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pairs": {}, "known": self.known.most}
+        return self.__dict__ | {"rows": None, "known": self.known.most}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.known = Memo(self._ids, state["known"])
+        self.rows, self.known = Rows(self), Memo(self._ids, state["known"])
 
     def _cuts(self) -> re.Pattern:
         """Parts into which every lattice falls: a part ends in front of a mark, and behind a letter, digit
         or _ in front of another sign, except where a piece has such a pair inside."""
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+        if any(MARK in p.lstrip(MARK) for p in self.ids) or not self.fallback:  # unknown pieces in a row are one, over parts too
             return re.compile("(?s).+")
         sign = rf"[^\w{MARK}]"
         pair = re.compile(rf"(?=(\w){sign})")
@@ -132,11 +205,6 @@ class Transducer:
         more = rf"(?:(?<=[{bound}]){sign}+\w*)*" if bound else ""
         return re.compile(rf"(?:{MARK}+{sign}*\w*|{sign}+\w*|\w+){more}")
 
-    def normal(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
-
     def _compile_merges(self) -> None:
         """Each piece's last merge, as (left, right), and its rank among the merges.
 
@@ -151,19 +219,18 @@ class Transducer:
                 self.stands.add(piece)
                 if len(piece) > 1:
                     self.split[piece] = (parts[0], parts[1])
-        #: The trie of pieces: a node maps a character to (node, id of the longest piece on the way here or -1).
-        self.trie: dict = {}
-        #: The longest other piece that begins each piece, or -1.
-        self.shorter = [-1] * len(self.pieces)
-        self.length = [len(p) for p in self.pieces]
-        for piece in sorted(self.stands, key=len):  # shorter ones first, so that the way there is complete
-            node, longest = self.trie, -1
+
+    def _compile_pieces(self, pieces) -> dict:
+        """The pieces as a machine: a node maps a character to (node, arcs), the arcs being (length, id) of
+        every piece on the way here. The first arc is always the character's own: its piece or its fallback."""
+        root: dict = {}
+        for piece in sorted(pieces, key=len):  # shorter ones first, so that the way there is complete
+            node, found = root, ((1, -2 - ord(piece[0])),)
             for c in piece[:-1]:
-                node, longest = node.setdefault(c, ({}, longest))
-            self.shorter[self.ids[piece]] = longest
-            node[piece[-1]] = (node.get(piece[-1], ({}, -1))[0], self.ids[piece])
-        #: Characters that only longer pieces hold; parts with them need the search over strings.
-        self.odd = {c for p in self.ids for c in p} - {p for p in self.ids if len(p) == 1}
+                node, found = node.setdefault(c, ({}, found))
+            arc = (len(piece), self.ids[piece])
+            node[piece[-1]] = (node.get(piece[-1], ({},))[0], (arc,) if len(piece) == 1 else (*found, arc))
+        return root
 
     def _merged(self, s: str, keep: int = 1) -> list[str]:
         """The merges of a short string, best score first, leftmost in a tie, down to ``keep`` parts."""
@@ -205,103 +272,112 @@ class Transducer:
             else:  # a merge on the left goes first in a tie, so one of the same rank still breaks the pair
                 limit, b = rb + 1, split[b][0]
 
-    def _only_path(self, s: str) -> list[int]:
-        """Depth first, longest piece first, over the arcs of weight 0; ids, or -2 - code point for a character without a piece.
-
-        All finite paths to a position are one, so a position that leads nowhere is left for good.
+    def weight(self, memory: int, label: int) -> float:
+        """The weight of an arc after what the machine remembers."""
+        if not self.remembers:
+            return -self.score[self.pieces[label]] if label >= 0 else UNKNOWN_PENALTY - self.least
+        if memory == START:
+            return 0.0
+        a, b = (self.pieces[x] if x >= 0 else chr(-2 - x) for x in (memory, label))
+        alone = memory < 0 and a not in self.odd or label < 0 and b not in self.odd  # in no piece, so never merged
+        return 0.0 if alone or self._follows(a, b) else INFINITY
+
+    def arcs(self, s: str, at: int) -> tuple[tuple[int, int], ...]:
+        """The lattice's arcs that leave a position: (length, label) of the pieces that begin here, shortest first."""
+        node, found = self.trie, None
+        for c in s[at : at + self.longest]:
+            step = node.get(c)
+            if step is None:
+                break
+            node, found = step
+        return found or ((1, -2 - ord(s[at])),)
+
+    def shortest_path(self, s: str) -> list[int]:
+        """The labels of the shortest path over a normalised string; ties: the longer piece at the last difference.
+
+        States are taken by least cost, among equals the farthest first, until the end is reached
+        (weights are never negative). All finite ways to a position remember the same piece, so each
+        position holds one state: [cost, position before, label]. Long strings are swept instead.
         """
-        trie, pairs, shorter, length, n = self.trie, self.pairs, self.shorter, self.length, len(s)
-        out: list[int] = []
-        dead: set[int] = set()
-        at, limit, before = 0, n, -1
+        n = len(s)
+        if n > BLOCK:
+            return self._swept(s)
+        rows, arcs, remembers = self.rows, self.arcs, self.remembers
+        ways: list = [None] * (n + 1)
+        queue: list[tuple[float, int]] = []
+        cost, at, memory = 0.0, 0, START
         while at < n:
-            node, piece = trie, -1
-            for c in s[at:limit]:
-                step = node.get(c)
-                if step is None:
+            row = rows[memory]
+            for size, label in arcs(s, at):
+                w = row[label]
+                if w != INFINITY:
+                    end, total = at + size, cost + w
+                    have = ways[end]
+                    if have is None or total < have[0]:
+                        ways[end] = (total, at, label)
+                        heappush(queue, (total, -end))
+                    elif total == have[0] and at < have[1]:
+                        ways[end] = (total, at, label)
+            while True:
+                cost, at = heappop(queue)
+                way = ways[-at]
+                if cost == way[0]:
                     break
-                node, piece = step
-            if piece < 0 and at < limit:
-                piece = -2 - ord(s[at])
-            while piece != -1:
-                end = at + (length[piece] if piece >= 0 else 1)
-                if piece < 0 or not (dead and end in dead):
-                    if before < 0 or piece < 0:
-                        break
-                    ok = pairs.get(before << 20 | piece)
-                    if ok is None:
-                        ok = self._follows(self.pieces[before], self.pieces[piece])
-                        if len(pairs) > 150_000:
-                            pairs.clear()
-                        pairs[before << 20 | piece] = ok
-                    if ok:
-                        break
-                piece = shorter[piece]
-            if piece != -1:
-                out.append(piece)
-                at, before, limit = end, piece, n
-            else:
-                dead.add(at)
-                limit = at - 1
-                at -= length[before] if before >= 0 else 1
-                out.pop()
-                before = out[-1] if out else -1
-        return out
-
-    def _slow_path(self, s: str) -> list[str]:
-        """The same over strings, for characters that are in pieces without being one."""
-        n = len(s)
-        last: list[str] = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = s[start:end]
-                if (piece in self.stands or start == end - 1) and (not start or last[start]):
-                    if not start or self._follows(last[start], piece):
-                        last[end] = piece
-                        break
-        return self._back(last)
-
-    @staticmethod
-    def _back(last: list[str]) -> list[str]:
-        out, at = [], len(last) - 1
+            at = -at
+            if remembers:
+                memory = way[2]
+        out = []
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            _, at, label = ways[at]
+            out.append(label)
         return out[::-1]
 
-    def _best_path(self, s: str) -> list[str]:
-        n, ids, longest = len(s), self.ids, self.longest
-        last: list[str] = [""] * (n + 1)
-        cost = [0.0] + [float("inf")] * n
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = s[start:end]
-                if piece in ids:
-                    c = cost[start] - self.score[piece]
-                elif start == end - 1:
-                    c = cost[start] - (self.least - UNKNOWN_PENALTY)
-                else:
-                    continue
-                if c < cost[end]:
-                    cost[end], last[end] = c, piece
-        return self._back(last)
+    def _swept(self, s: str) -> list[int]:
+        """The same by position: after every block all open ways are traced back to where they meet, and what
+        lies before is put out, so that memory stays small."""
+        out: list[int] = []
+        ahead: dict[int, list] = {0: [0.0, None, START, 0]}
+        for at in range(len(s)):
+            way = ahead.pop(at, None)
+            if way is not None:
+                row = self.rows[way[2] if self.remembers else START]
+                for size, label in self.arcs(s, at):
+                    total, have = way[0] + row[label], ahead.get(at + size)
+                    if total < (INFINITY if have is None else have[0]):
+                        ahead[at + size] = [total, way, label, at + size]
+            if at % BLOCK == BLOCK - 1 or at == len(s) - 1:
+                open_ = {w[3]: w for w in ahead.values()}
+                while len(open_) > 1:
+                    before = open_.pop(max(open_))[1]
+                    open_[before[3]] = before
+                (end,) = open_.values()
+                found, way = [], end
+                while way[1] is not None:
+                    found.append(way[2])
+                    way = way[1]
+                end[1] = None
+                out += found[::-1]
+        return out
 
-    def _spelled(self, c: str) -> list[int]:
-        return [self.byte_id[b] for b in c.encode("utf-8", "replace")] if self.fallback else [self.unknown]
+    def _spelled(self, label: int) -> list[int]:
+        """The output of an arc: a piece, the bytes of a character, or the unknown piece."""
+        if label >= 0:
+            return [label]
+        return [self.byte_id[b] for b in chr(-2 - label).encode("utf-8", "replace")] if self.fallback else [self.unknown]
 
     def _ids(self, part: str) -> bytes:
-        """The ids of the shortest path over one part of a text, as 32-bit numbers."""
-        if self.kind == BPE and not (self.odd and self.odd.intersection(part)):
-            path = self._only_path(part)
-            if min(path, default=0) < 0:
-                path = list(chain.from_iterable([i] if i >= 0 else self._spelled(chr(-2 - i)) for i in path))
-        else:
-            pieces = self._slow_path(part) if self.kind == BPE else self._best_path(part)
-            path = list(chain.from_iterable([self.ids[p]] if p in self.ids else self._spelled(p) for p in pieces))
+        """The ids of the shortest path over one part of a text, as 32-bit numbers; unknown pieces in a row are one."""
+        path = self.shortest_path(part)
+        if min(path, default=0) < 0:
+            if not self.fallback:
+                path = [x for x, before in zip(path, [0, *path]) if x >= 0 or before >= 0]
+            path = list(chain.from_iterable(map(self._spelled, path)))
         return struct.pack(f"={len(path)}i", *path)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut.findall(self.normal(text)))), np.int32)
+        parts = self.cut.findall(self.normal(text))
+        known = self.known
+        return np.frombuffer(b"".join([known[p] if len(p) <= SHORT else self._ids(p) for p in parts]), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         ids = ids if isinstance(ids, list) else list(map(int, ids))
@@ -370,7 +446,8 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL
 
     Null or empty text has no ids and decodes to the empty text. Columns of docs stay; ids,
     n_byte_pieces and decoded are replaced if docs has them. Rows are encoded one by one, so
-    repeated rows get equal ids.
+    repeated rows get equal ids. A very long text, with or without breaks, takes time in proportion
+    to its length, and memory for its own ids and pieces.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Transducer(read_model(model)))

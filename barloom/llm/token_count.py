@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("majority", "first", "last")
+#: White space as the pattern means it. A longer run than LONG_RUN goes round the pattern, which would
+#: run out of stack: all of it but the last character is one part, or the whole run at the end of a text.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 2000
+_long_run = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
 
 _encoders: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
@@ -37,6 +43,18 @@ def encoder(ranks: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     return _encoders[key]
 
 
+def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of the whole text, however long a run of white space it has."""
+    out: list[int] = []
+    at = 0
+    for m in _long_run.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def record_sections(values: tuple[str, ...]) -> list[tuple[int, str]]:
     """The default sections of a record: (field number, part) whose parts join up to the encoded text.
 
@@ -65,10 +83,13 @@ def sections_of(values: tuple[str, ...], enc: tiktoken.Encoding, size: np.ndarra
     fields, parts = zip(*split(values))
     text = "".join(parts)
     chars = np.cumsum([len(p) for p in parts])
-    bounds = chars if text.isascii() else np.cumsum([len(p.encode("utf-8", "replace")) for p in parts])
-    ends = np.cumsum(size[enc.encode_ordinary(text)])
+    ends = np.cumsum(size[encode(enc, text)])
     starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
-    owner, crossing = attribute(starts, ends, bounds, rule)
+    if not text.isascii():  # from bytes to the characters that they are in
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        char = np.cumsum((data & 0xC0) != 0x80) - 1
+        starts, ends = char[starts], char[ends - 1] + 1
+    owner, crossing = attribute(starts, ends, chars, rule)
     n = len(parts)
     return [np.array(fields), chars - [len(p) for p in parts], chars, np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n)]
 
@@ -100,11 +121,12 @@ def count_tokens(
     """One row per document and section: doc_id, section (from 0), field, start, end (code points), n_tokens, n_crossing.
 
     The fields of a row make one record, the last one being the text; it is encoded once, whole, and
-    token spans are joined to section spans. ``split`` cuts a record into sections (see
-    record_sections). A token over a boundary belongs to the section that has most of its bytes,
-    the earlier one in a tie (rule majority), or to that of its first or last byte; n_crossing
-    counts those. So n_tokens sums to the tokens of the record. Null fields count as empty; an
-    empty text is one empty section. Rows are taken one by one: repeated rows give repeated sections.
+    token spans, in characters, are joined to section spans. ``split`` cuts a record into sections
+    (see record_sections). A token that holds a part of a character spans that character; a token
+    over a boundary belongs to the section that has most of its characters, the earlier one in a tie
+    (rule majority), or to that of its first or last character; n_crossing counts those. So n_tokens sums to the tokens of the record. Null fields count as empty; an
+    empty text is one empty section. Very long texts, long runs of one character too, take time in
+    proportion to their length. Rows are taken one by one: repeated rows give repeated sections.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -120,7 +120,7 @@ def fit(x: Sparse, y: np.ndarray, penalty: float, steps: int = 300) -> np.ndarra
 
 @dataclass
 class Chain:
-    """Per category: word weights, weights of the earlier categories' log odds, constant, decision threshold."""
+    """Per category: word weights, weights of the earlier categories' probabilities, constant, decision threshold."""
 
     names: list[str]
     words: list[dict[str, float]]
@@ -129,20 +129,76 @@ class Chain:
     threshold: list[float]
 
     def probabilities(self, text: str | None) -> list[float]:
-        have, odds, out = features(text), [], []
+        have, out = features(text), []
         for words, earlier, constant in zip(self.words, self.earlier, self.constant):
-            s = constant + sum(words[w] for w in sorted(have & words.keys())) + float(np.dot(earlier, odds) if odds else 0.0)
-            odds.append(float(np.clip(s, -8, 8)))
+            s = constant + sum(words[w] for w in sorted(have & words.keys())) + float(np.dot(earlier, out) if out else 0.0)
             out.append(float(_sigmoid(s)))
         return out
 
 
+@dataclass
+class Training:
+    """The training rows: vocabulary, their features as (row, column) pairs, fold of each row, labels, and how to fit."""
+
+    vocabulary: list[str]
+    row: np.ndarray
+    col: np.ndarray
+    fold: np.ndarray
+    labels: np.ndarray
+    max_words: int
+    penalty: float
+
+    def fit(self, k: int, earlier: np.ndarray, without: int) -> np.ndarray:
+        """Weights of category k from all rows but those of one fold (-1: from all rows)."""
+        x = Sparse(self.row, self.col, len(self.vocabulary), np.hstack([earlier, np.ones((len(self.fold), 1))]))
+        y, keep = self.labels[:, k].astype(float), self.fold != without
+        return fit_screened(x.rows(keep), y[keep], self.penalty, self.max_words)
+
+
+def fit_here(data: Training, jobs: list[tuple[int, np.ndarray, int]]) -> list[np.ndarray]:
+    return [data.fit(*j) for j in jobs]
+
+
+def fit_in_tasks(spark):
+    """The fits of one category as one task each; the training rows, which have a bound, are broadcast once."""
+    shared: list = []
+
+    def run(data: Training, jobs: list[tuple[int, np.ndarray, int]]) -> list[np.ndarray]:
+        if not shared:
+            shared.append(spark.sparkContext.broadcast(data))
+        rows, (k, earlier, _) = shared[0], jobs[0]
+        before = spark.sparkContext.broadcast(earlier)
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for without in batch.column("without").to_pylist():
+                    w = rows.value.fit(k, before.value, without)
+                    used = np.flatnonzero(w)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([without], pa.int32()), pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([w[used].tolist()], pa.list_(pa.float64()))], names=["without", "at", "w"]
+                    )
+
+        n = len(jobs)
+        job = F.col("id").cast("int")
+        dealt = spark.range(0, n, 1, n).select(F.element_at(F.array(*[F.lit(j[2]) for j in jobs]), job + 1).alias("without"))
+        found = {r["without"]: r for r in dealt.mapInArrow(one, "without int, at array<long>, w array<double>").collect()}
+        out = []
+        for _, _, without in jobs:
+            w = np.zeros(len(data.vocabulary) + earlier.shape[1] + 1)
+            w[found[without]["at"]] = found[without]["w"]
+            out.append(w)
+        return out
+
+    return run
+
+
 def train(
-    texts: list[str], labels: np.ndarray, names: list[str], folds: int = 5, min_docs: int = 4, max_words: int = 2000, penalty: float = 3e-4
+    texts: list[str], labels: np.ndarray, names: list[str], folds: int = 5, min_docs: int = 4, max_words: int = 2000, penalty: float = 3e-4,
+    fits=fit_here,
 ) -> Chain:
-    """Fit the chain: each category sees, besides the words, out-of-fold log odds of the categories before it.
+    """Fit the chain: each category sees, besides the words, out-of-fold probabilities of the categories before it.
 
-    Folds are dealt in the order of the texts; equal texts share a fold. The max_words most telling
+    ``fits`` does the fits of a category, which do not depend on each other. Folds are dealt in the order of the texts; equal texts share a fold. The max_words most telling
     features are chosen within each fit. Thresholds give the best F1 of the out-of-fold
     probabilities (0.5 where a category has no positive or no negative).
     """
@@ -157,23 +213,21 @@ def train(
     first: dict[str, int] = {}
     fold = np.array([first.setdefault(t, i % folds) for i, t in enumerate(texts)])
     chain = Chain(list(names), [], [], [], [])
-    odds = np.zeros((len(texts), 0))
+    data = Training(vocabulary, row, col, fold, labels, max_words, penalty)
+    earlier = np.zeros((len(texts), 0))
+    apart = [f for f in range(folds) if (fold == f).any() and not (fold == f).all()]
     for k in range(len(names)):
-        y = labels[:, k].astype(float)
-        x = Sparse(row, col, len(vocabulary), np.hstack([odds, np.ones((len(texts), 1))]))
-        w = fit_screened(x, y, penalty, max_words)
-        out = np.zeros(len(texts))
-        for f in range(folds):
-            test = fold == f
-            if test.any() and not test.all():
-                out[test] = x.rows(test).dot(fit_screened(x.rows(~test), y[~test], penalty, max_words))
-        out = np.clip(out, -8, 8)
+        w, *held = fits(data, [(k, earlier, f) for f in (-1, *apart)])
+        x = Sparse(row, col, len(vocabulary), np.hstack([earlier, np.ones((len(texts), 1))]))
+        out = np.full(len(texts), 0.5)
+        for f, v in zip(apart, held):
+            out[fold == f] = _sigmoid(x.rows(fold == f).dot(v))
         used = np.flatnonzero(w[: len(vocabulary)])
         chain.words.append({vocabulary[i]: float(w[i]) for i in used})
         chain.earlier.append(w[len(vocabulary) : -1].copy())
         chain.constant.append(float(w[-1]))
-        chain.threshold.append(best_threshold(_sigmoid(out), y))
-        odds = np.hstack([odds, out[:, None]])
+        chain.threshold.append(best_threshold(out, labels[:, k].astype(float)))
+        earlier = np.hstack([earlier, out[:, None]])
     return chain
 
 
@@ -190,7 +244,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, max_bytes: int) -> list:
-    """Labelled documents in the order of a hash: at most max_rows of them, and whole texts until max_bytes are passed.
+    """Labelled documents in the order of a hash: at most max_rows of them, and whole texts until max_bytes are
+    passed. A text above a twentieth of max_bytes is no training text; of several texts of a doc_id one counts.
 
     Labels without a null are thinned by hash first, so the sort and the broadcast are over a bounded number of ids.
     """
@@ -200,11 +255,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], max_ro
     )
     n = known.count()
     chosen = known.where(F.col("u") < 4.0 * max_rows / max(1, n))
-    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id")  # about 4 max_rows ids at most
+    sized = docs.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h")).where(F.col("size") <= max_bytes // 20)
+    sizes = (
+        sized.join(F.broadcast(chosen), "doc_id")  # about 4 max_rows ids at most
+        .groupBy("doc_id", "u", *columns).agg(F.min(F.struct("h", "size")).alias("t")).select("doc_id", "u", *columns, "t.*")
+    )
     order = Window.orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     picked = sizes.withColumn("ahead", F.coalesce(F.sum("size").over(order), F.lit(0))).where(F.col("ahead") < max_bytes)
-    ids = picked.groupBy("doc_id", "u", *columns).agg(F.lit(1).alias("_")).drop("_").orderBy("u", "doc_id").limit(max_rows)
-    rows = docs.join(F.broadcast(ids), "doc_id")
+    ids = picked.drop("size", "ahead").orderBy("u", "doc_id").limit(max_rows)
+    rows = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id"])
     return sorted(rows.select("u", "text", *columns).collect(), key=lambda r: (r["u"], r["text"]))
 
 
@@ -229,7 +288,8 @@ def classify(
     """Per input row: doc_id, p_<category> and <category> (boolean) for each category of the chain.
 
     The models are fitted on a bounded sample of labelled rows (max_train_rows documents,
-    max_train_bytes bytes of whole texts); every whole text is classified. Null or empty text has no
+    max_train_bytes bytes of whole texts), the folds in tasks of their own; every whole text is
+    classified, however long it is. Null or empty text has no
     words: its probabilities come from the constants alone. Without any labelled row all
     probabilities are practically 0 (below 1e-200) and all categories false. Labels with a null are ignored; of several labels
     of a document the least counts. Rows are judged one by one, so repeated rows get equal results.
@@ -239,7 +299,7 @@ def classify(
     names = [c for c, _, _ in chain]
     if rows:
         y = np.array([[r[column] == yes for _, column, yes in chain] for r in rows])
-        model = train([r["text"] for r in rows], y, names, **how)
+        model = train([r["text"] for r in rows], y, names, **{"fits": fit_in_tasks(docs.sparkSession), **how})
     else:
         k = len(names)
         model = Chain(names, [{}] * k, [np.zeros(i) for i in range(k)], [float("-inf")] * k, [0.5] * k)

@@ -25,13 +25,16 @@ HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 class Spread:
     """damping: share that follows links. ratio: a host is blocked if its share of distrust exceeds ratio
     times its share of trust. tolerance: largest L1 change of a kind's ranks over three steps at which the
-    walk ends. most_steps: steps after which it is an error. iterations: steps written out in the SQL."""
+    walk ends. most_steps: steps after which it is an error. iterations: steps written out in the SQL. most_broadcast: up to so many blocked hosts are broadcast.
+    salts: rows of one host are dealt over so many tasks when there are more."""
 
     damping: float = 0.85
     iterations: int = 10
     ratio: float = 1.0
     tolerance: float = 1e-6
     most_steps: int = 1000
+    most_broadcast: int = 200_000
+    salts: int = 32
 
 
 def split_url(url):
@@ -114,7 +117,7 @@ def filter_urls(
     trust, pages they block seed distrust (on reversed links), each page with equal mass, and a host
     is blocked if its distrust exceeds ``ratio`` times its trust. Hosts that neither reaches are
     allowed, as are pages with an empty host. Null or empty html has no links; repeated rows are
-    judged alike and each kept; columns other than the three named are ignored.
+    judged alike and each kept; a very long url or html is read whole; columns other than the three named are ignored.
     """
     rows = renamed(pages, page_id=id_col, url=url_col, html=html_col)
     host, path = split_url(F.col("url"))
@@ -135,7 +138,13 @@ def filter_urls(
         .where(F.col("distrust") > F.col("trust") * p.ratio)
         .select("host", F.lit("block").alias("spread"))
     )
-    return rows.join(blocked, "host", "left").select(
+    blocked = checkpointed(blocked)
+    if blocked.count() <= p.most_broadcast:  # a name and a word each
+        judged = rows.join(F.broadcast(blocked), "host", "left")
+    else:
+        salted = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+        judged = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(p.salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    return judged.select(
         "page_id", "host", "path", "rule",
         F.coalesce("rule_verdict", "spread", F.lit("allow")).alias("verdict"),
         F.coalesce("spread", F.lit("allow")).alias("host_verdict"),

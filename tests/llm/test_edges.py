@@ -27,6 +27,9 @@ def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (6, 0, 1), (7, 0, None), (8, 1, 0), (8, 1, 1), (10, 1, 1)], "doc_id long, quality int, toxic int")
 
 
+#: Degenerate texts: a run of spaces, a word without a break, one word again and again, one long line of signs.
+HUGE = {"spaces": " " * 2_000_000, "unbroken": "x7Qfé" * 400_000, "repeated": "la " * 200_000, "signs": "#" * 1_000_000}
+
 OPERATORS = {
     "tokens": lambda s, d: token_count.count_tokens(d), "lm": lambda s, d: lm_score.score_documents(d), "pieces": lambda s, d: sentencepiece_fst.encode_documents(d, decoded=True),
     "toxicity": lambda s, d: toxicity.classify(d, labels(s)), "jaccard": lambda s, d: ngram_jaccard.near_duplicates(d), "tiling": lambda s, d: decontaminate.with_hits(d, benchmark(s)),
@@ -41,6 +44,26 @@ def test_operator(spark, name):
     assert OPERATORS[name](spark, docs(spark, empty=True)).collect() == []
 
 
+@pytest.mark.parametrize("kind", HUGE)
+@pytest.mark.parametrize("name", OPERATORS)
+def test_huge_text(spark, name, kind):
+    d = spark.createDataFrame([(1, HUGE[kind], "en", "s"), (2, "A short text of some words.", "en", "s")], "doc_id long, text string, lang string, source string")
+    rows = OPERATORS[name](spark, d).collect()
+    if name == "pieces":
+        assert {r["doc_id"]: r["decoded"] for r in rows}[1] == HUGE[kind]
+    if name == "tokens":
+        assert max(r["end"] for r in rows if r["doc_id"] == 1) == len(HUGE[kind]) + 5
+    assert {r["doc_id"] for r in rows} == {1, 2}
+
+
+def test_repeated_words_against_a_benchmark_of_them(spark):
+    d = spark.createDataFrame([(1, HUGE["repeated"])], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "la " * 400), (8, "la la la lo " * 100)], "item_id long, text string")
+    for most in (32_000_000, 0):
+        (r,) = decontaminate.with_hits(d, b, max_shared_chars=most).collect()
+        assert [(h["item_id"], h["coverage"], h["n_tiles"]) for h in r["hits"]] == [(7, 1.0, 1)]
+
+
 def test_defined_results(spark):
     d = docs(spark)
     lang = {r["doc_id"]: r for r in language_id.identify(d).collect()}

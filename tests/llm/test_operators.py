@@ -101,6 +101,13 @@ def test_distrust_reaches_far_hosts(spark):
         url_filter.filter_urls(pages, p=url_filter.Spread(most_steps=6))
 
 
+def test_many_blocked_hosts_are_joined_by_salt(spark):
+    rows = [(k, f"http://{'bad.com/de' if k % 3 else f'h{k}.net'}/{k}", "<a href='http://bad.com/'>" if k % 2 else None) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    small, large = (plain(url_filter.filter_urls(pages, p=url_filter.Spread(most_broadcast=n, tolerance=0.1))) for n in (1000, 0))
+    assert small == large and len(large) == 60
+
+
 # 2
 
 
@@ -115,17 +122,47 @@ def test_tokens_of_sections(docs, texts):
         parts.sort(key=lambda r: r["section"])
         assert sum(r["n_tokens"] for r in parts) == len(enc.encode_ordinary(full[i])) and parts[-1]["end"] == len(full[i])
         assert [r["field"] for r in parts[:2]] == ["source", "lang"] and len(parts) == 3 + texts[i].count("\n")
-    one = next(iter(by))
-    want, at = Counter(), 0
-    bounds = [r["end"] for r in by[one]]
-    data = full[one].encode()
-    edges = [len(full[one][:b].encode()) for b in bounds]
-    for t in enc.encode_ordinary(full[one]):
-        end = at + size[t]
-        share = [max(0, min(end, b) - max(at, a)) for a, b in zip([0, *edges[:-1]], edges)]
-        want[share.index(max(share))] += 1
-        at = end
-    assert at == len(data) and [want[k] for k in range(len(bounds))] == [r["n_tokens"] for r in by[one]]
+    for i, parts in by.items():
+        tokens_by_character(enc, size, full[i], parts)
+
+
+def tokens_by_character(enc, size, text, parts):
+    """Every token takes the characters that it has a byte of; it goes to the section with most of them."""
+    char = [k for k, c in enumerate(text) for _ in c.encode()]
+    edges, want, cross, at = [0, *(r["end"] for r in parts)], Counter(), Counter(), 0
+    where = [k for k, (a, b) in enumerate(zip(edges, edges[1:])) for _ in range(a, b)]
+    for t in enc.encode_ordinary(text):
+        own = Counter(where[c] for c in sorted({*char[at : at + size[t]]}))
+        best = min(k for k, n in own.items() if n == max(own.values()))
+        want[best] += 1
+        cross[best] += len(own) > 1
+        at += size[t]
+    assert at == len(char) and [(want[k], cross[k]) for k in range(len(parts))] == [(r["n_tokens"], r["n_crossing"]) for r in parts]
+
+
+def test_multi_byte_tokens_over_edges(spark):
+    enc, size = token_count.encoder(token_count.read_ranks(token_count.VOCABULARY))
+    rows = [(1, "ñ日", "😀é", "日本語\n語ñ\n\n\n  \n😀😀\n…"), (2, "é", "", "\u3000\u3000\n\u2003é\r\n\r\n\t\t\tende\n\n")]
+    split = lambda values: [(k, v[a : a + 1]) for k, v in enumerate(values) for a in range(len(v))] or [(0, "")]
+    for how in ({}, {"split": split}):
+        by = defaultdict(list)
+        for r in token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string"), **how).collect():
+            by[r["doc_id"]].append(r)
+        for i, *values in rows:
+            text = "".join(values) if how else " ".join(values)
+            tokens_by_character(enc, size, text, sorted(by[i], key=lambda r: r["section"]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\t", "\u2003", " " * 9, "\n" * 8, "a", "日", "1", "!"]), max_size=30))
+def test_long_runs_of_space_give_the_same_tokens(parts):
+    enc, _ = token_count.encoder(token_count.read_ranks(token_count.VOCABULARY))
+    text, kept = "".join(parts), token_count._long_run
+    try:
+        token_count._long_run = re.compile(f"[{token_count.SPACES}]{{3,}}")
+        assert token_count.encode(enc, text) == enc.encode_ordinary(text)
+    finally:
+        token_count._long_run = kept
 
 
 @pytest.mark.parametrize("rule,owner", [("first", [0, 0, 1]), ("last", [0, 1, 1]), ("majority", [0, 0, 1])])
@@ -219,8 +256,52 @@ def test_unigram_model_equals_the_library():
     model = pieces + _message((2, _message((3, 1), (4, len(words)), (40, 0))), (3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
     lib = sentencepiece.SentencePieceProcessor(model_proto=model)
     m = sentencepiece_fst.Transducer(model)
-    for s in ("abcd", "a bcdabc ab", "dcba", "  abcabcd", "abxd"):
+    for s in ("abcd", "a bcdabc ab", "dcba", "  abcabcd", "abxd", "abxyzd x y", "xx"):
         assert m.encode(s).tolist() == lib.encode(s)
+    block, text = sentencepiece_fst.BLOCK, "abcdcabbcda bcd" * 40
+    try:
+        sentencepiece_fst.BLOCK = 16
+        assert m.encode(text).tolist() == lib.encode(text)
+    finally:
+        sentencepiece_fst.BLOCK = block
+
+
+def test_squeezing_normaliser():
+    for s in ("", " ", "   ", "a", " a", "a ", "  a  b c   ", "a▁ b"):
+        short = re.sub(" +", " ", s.strip(" "))
+        for prefix in (True, False):
+            assert sentencepiece_fst.Normaliser(prefix, True)(s) == ("▁" if prefix and short else "") + short.replace(" ", "▁")
+            assert sentencepiece_fst.Normaliser(prefix, False)(s) == ("▁" if prefix and s else "") + s.replace(" ", "▁")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from(list("aeinst▁.é日")), min_size=1, max_size=12))
+def test_path_is_the_least_of_all(machine, s):
+    """All paths of the lattice, weighed one by one."""
+    m, _ = machine
+
+    def paths(at, memory, cost, labels):
+        if at == len(s):
+            yield cost, labels
+        for size, label in m.arcs(s, at) if at < len(s) else ():
+            w = m.weight(memory, label)
+            if w < math.inf:
+                yield from paths(at + size, label, cost + w, [*labels, label])
+
+    found = list(paths(0, sentencepiece_fst.START, 0.0, []))
+    assert len(found) == 1 and m.shortest_path(s) == m._swept(s) == found[0][1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from(list("aehintos.é日")), min_size=30, max_size=200))
+def test_sweep_in_blocks(machine, s):
+    m, lib = machine
+    block = sentencepiece_fst.BLOCK
+    try:
+        sentencepiece_fst.BLOCK = 8
+        assert np.frombuffer(m._ids("▁" + s), np.int32).tolist() == lib.encode(s)
+    finally:
+        sentencepiece_fst.BLOCK = block
 
 
 # 5
@@ -245,6 +326,78 @@ def test_chain_uses_earlier_category():
     assert ((p[:, 0] > 0.5) == a).mean() > 0.99 and ((p[:, 1] > 0.5) == a).mean() > 0.99
 
 
+def plain_fit(x, y, penalty, steps=6000):
+    """Proximal gradient on a dense matrix whose last column is constant."""
+    w = np.zeros(x.shape[1])
+    rate = 4 * len(y) / np.linalg.norm(x, 2) ** 2
+    for _ in range(steps):
+        w = w - rate * x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * penalty, 0)
+    return w
+
+
+def test_chain_against_dense_models(spark):
+    """The same chain from dense matrices: folds, out-of-fold probabilities, thresholds, all through the query's path."""
+    rng = np.random.default_rng(5)
+    a, b = rng.random(160) < 0.4, rng.random(160) < 0.5
+    texts_ = [" ".join([*(["bad"] if x and rng.random() < 0.8 else ["good"]), *(["vile"] if x and y else []), *(f"w{k}" for k in rng.integers(0, 12, 6))]) for x, y in zip(a, b)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(not x), int(x and y)) for i, (x, y) in enumerate(zip(a, b))], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels, ["quality", "toxic"], 5000, 12_000_000)
+    assert len(rows) == 160
+    order = [r["text"] for r in rows]
+    words = sorted(w for w, n in Counter(w for t in order for w in toxicity.features(t)).items() if n >= 4)
+    x = np.array([[w in toxicity.features(t) for w in words] for t in order], float)
+    y = np.array([[r["quality"] == 0, r["toxic"] == 1] for r in rows], float)
+    first: dict = {}
+    fold_of = np.array([first.setdefault(t, i % 5) for i, t in enumerate(order)])
+    prob = lambda m, w: 1 / (1 + np.exp(-m @ w))
+    before, models, cuts = np.zeros((160, 0)), [], []
+    for k in range(2):
+        m = np.hstack([x, before, np.ones((160, 1))])
+        models.append(plain_fit(m, y[:, k], 3e-3))
+        out = np.zeros(160)
+        for f in range(5):
+            test = fold_of == f
+            out[test] = prob(m[test], plain_fit(m[~test], y[~test, k], 3e-3))
+        before = np.hstack([before, out[:, None]])
+        f1 = {t: 2 * y[out >= t, k].sum() / ((out >= t).sum() + y[:, k].sum()) for t in out}
+        cuts.append(max(f1.values()))
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels, penalty=3e-3).collect()}
+    chain = toxicity.train(order, y > 0, ["low_quality", "toxic"], penalty=3e-3)
+    for i, t in enumerate(texts_):
+        m = np.array([[w in toxicity.features(t) for w in words]], float)
+        p1 = prob(np.hstack([m, [[1.0]]]), models[0])[0]
+        p2 = prob(np.hstack([m, [[p1]], [[1.0]]]), models[1])[0]
+        assert (got[i]["p_low_quality"], got[i]["p_toxic"]) == (pytest.approx(p1, abs=0.03), pytest.approx(p2, abs=0.03))
+        assert [got[i]["p_low_quality"], got[i]["p_toxic"]] == pytest.approx(chain.probabilities(t), abs=1e-9)
+        assert got[i]["toxic"] == (got[i]["p_toxic"] >= chain.threshold[1])
+    for k in range(2):
+        yes = before[:, k] >= chain.threshold[k]
+        assert 2 * y[yes, k].sum() / (yes.sum() + y[:, k].sum()) > cuts[k] - 0.03
+
+
+def test_fit_is_the_optimum():
+    """At the optimum of an L1 model no gradient exceeds the penalty, and it equals it where a weight is not 0."""
+    rng = np.random.default_rng(9)
+    x = rng.random((300, 20)) < 0.3
+    y = (x[:, 0] | (rng.random(300) < 0.3)).astype(float)
+    row, col = np.nonzero(x)
+    s = toxicity.Sparse(row, col, 20, np.ones((300, 1)))
+    w = toxicity.fit(s, y, 5e-3, steps=3000)
+    grad = s.dot_t(toxicity._sigmoid(s.dot(w)) - y) / 300
+    assert abs(grad[-1]) < 1e-4 and (np.abs(grad[:-1]) < 5e-3 + 1e-4).all()
+    assert np.allclose(grad[:-1][w[:-1] != 0], -5e-3 * np.sign(w[:-1][w[:-1] != 0]), atol=1e-4)
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(1, "long " * 1000), (2, "a b"), (2, "c d"), (2, "c d"), (3, "e f"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 4, 5)], "doc_id long, quality int, toxic int")
+    got = [r["text"] for r in toxicity.training_rows(docs.where("text is not null"), labels, ["quality", "toxic"], 10, 4000)]
+    assert len(got) == 2 and "e f" in got
+
+
 # 6
 
 
@@ -294,6 +447,20 @@ def test_near_duplicates(spark, texts):
         assert r["n_links"] == len(links[i]) and r["class_id"] == comp[i] and r["kept"] == (comp[i] == i)
 
 
+def test_rows_with_one_id_and_different_texts(spark):
+    words = [[f"{c}{k}" for k in range(60)] for c in "ab"]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(words[0])), (1, " ".join(words[1])), (2, near(words[0])), (3, near(words[1])), (4, "a text of its own, apart from all"), (1, " ".join(words[0]))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = sorted((r["doc_id"], r["n_links"], r["class_id"], r["kept"]) for r in ngram_jaccard.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert kept == sorted({rows[0], rows[1], rows[4]})
+    more = spark.createDataFrame([(0, near(words[0]), "en"), *[(i, t, "en") for i, t in rows]], docs.schema)
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, more, "").collect())
+    assert kept == sorted([(0, near(words[0])), rows[1], rows[4]])  # one of the two texts of id 1 goes
+
+
 def test_banding_reaches_the_recall():
     b, r = ngram_jaccard.banding(0.8, 0.99995)
     assert 1 - (1 - 0.8**r) ** b >= 0.99995 and b * r <= 200
@@ -343,6 +510,20 @@ def test_tiling(seed):
     assert (round(got[0]["coverage"] * len(item)) if got else 0) == tiling_brute(doc, item, 3)
 
 
+def test_repeated_words_are_tiled_too():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        item, doc = (list(rng.choice(["la", "li"], n, p=[0.8, 0.2])) for n in (24, 60))
+        got = decontaminate.Items([(7, " ".join(item)), (8, "la " * 24)], 3).hits(" ".join(doc), 0.0)
+        assert {h["item_id"]: round(h["coverage"] * 24) for h in got}.get(7, 0) == tiling_brute(doc, item, 3)
+
+
+def test_equal_hashes_are_not_equal_words():
+    tok = np.array([5, 6, 7, 8, 9, 10], np.uint64)
+    side = lambda: decontaminate.Side(tok, np.arange(6))
+    assert decontaminate.tiles(side(), side(), 3, lambda i, j, n: True) == [(6, 0, 0)] and decontaminate.tiles(side(), side(), 3, lambda i, j, n: False) == []
+
+
 def test_reordered_passage_and_both_ways(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     text = bench.first()["text"].split()
@@ -384,6 +565,19 @@ def test_small_filters_change_nothing(spark, docs):
         assert r["kept"] == "\n".join(keep) and r["n_dropped"] == len(rows[r["doc_id"]]) - len(keep)
 
 
+def test_lines_of_rows_without_an_id(spark):
+    line = [f"line number {k} that is long enough to be a key of its own" for k in range(4)]
+    rows = [(i, line[0]) for i in range(6)] + [(None, f"{line[0]}\n{line[k % 4]}\nrest {k}") for k in range(9)] + [(i, line[1]) for i in range(6)] + [(5, f"{line[0]}\nmore")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_dropped"], r["kept"]) for r in out.collect())
+    drop = {line[0]: 5, line[1]: 5}
+    want = []
+    for i, t in rows:
+        keep = [x for x in t.split("\n") if drop.get(x, i) == i]
+        want.append((i is None, i or 0, t.count("\n") + 1 - len(keep), "\n".join(keep)))
+    assert got == sorted(want)
+
+
 # 9
 
 
@@ -462,8 +656,31 @@ def test_vectors_over_blocks(spark):
     v = {i: (np.array(x) / np.linalg.norm(x), lab) for i, x, lab in rows}
     links = {i: {j for j in v if j != i and v[j][1] == v[i][1] and v[i][0] @ v[j][0] >= 0.93} for i in v}
     comp = reach(links)
-    for r in embedding_dedup.near_vectors(df, width=8, block_rows=40).collect():
-        assert r["n_links"] == len(links[r["vec_id"]]) and r["component_id"] == comp[r["vec_id"]]
+    for how in ({"width": 8, "block_rows": 40}, {"width": 8, "block_rows": 200, "small": 0}, {}):
+        for r in embedding_dedup.near_vectors(df, **how).collect():
+            assert r["n_links"] == len(links[r["vec_id"]]) and r["component_id"] == comp[r["vec_id"]]
+
+
+def test_sizes_of_vectors_and_repeated_ids(spark):
+    a, b = np.array([3.0, 4.0, 0.5]), np.array([-1.0, 2.0, 7.0])
+    rows = [(1, a, 1), (2, a * 1e200, 1), (3, a * 1e-200, 1), (4, a * 1e-320, 1), (5, b * 1e300, 1), (6, b, 1), (1, b * 2, 1), (7, -a, 1)]
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, v, c in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [(1, 2, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 2, 1, False), (6, 2, 1, False), (7, 0, 7, True)]
+
+
+def test_boxes_lose_no_pair_and_rule_out_others():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 16)).repeat(50, axis=0) + rng.normal(0, 0.1, (2000, 16))
+    near = lambda p, q: ((p[:, None] - q[None]) ** 2).sum(-1) <= 0.5
+    for left, right in ((np.arange(2000), None), (np.arange(1200), np.arange(1200, 2000))):
+        found, tested = 0, 0
+        for i, j in embedding_dedup.meetings(x, left, right, 0.5, leaf=32):
+            hit = near(x[i], x[j])
+            found += int(hit.sum() if i is not j else (hit.sum() - len(i)) // 2)
+            tested += len(i) * len(j)
+        full = near(x[left], x[left if right is None else right])
+        assert found == (full.sum() if right is not None else (full.sum() - 2000) // 2) and tested < 0.15 * full.size
 
 
 # Pipeline
