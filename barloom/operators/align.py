@@ -34,13 +34,33 @@ def resolve_instrument(base_columns: list[str], source_columns: list[str], instr
     return []
 
 
-def median_gap(base: DataFrame, ts: str = "ts") -> DataFrame:
-    """One row: the median positive gap in days between the frame's distinct times."""
-    days = base.select(F.col(ts).cast("date").alias("d")).distinct().withColumn("y", F.year("d"))
-    # gaps inside years by window, gaps between years from the years' ends: no single-partition sort of all dates
-    inside = days.select(F.datediff("d", F.lag("d").over(Window.partitionBy("y").orderBy("d"))).alias("g"))
-    ends = days.groupBy("y").agg(F.min("d").alias("a"), F.max("d").alias("b"))
-    between = ends.select(F.datediff("a", F.lag("b").over(Window.orderBy("y"))).alias("g"))
+def seconds(c, kind: str):
+    """A date or time column as seconds."""
+    return (F.unix_date(c) * 86400).cast("double") if kind == "date" else F.unix_micros(c.cast("timestamp")) / 1e6
+
+
+def span(frames: list[DataFrame], ts: str = "ts", rows: int = 1_000_000) -> float:
+    """Seconds of a slice of time that holds about so many rows of the frames together; a day at least."""
+    n, low, high = 0, [], []
+    for df in frames:
+        at = seconds(F.col(ts), df.schema[ts].dataType.simpleString())
+        r = df.agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("z")).first()
+        n += r["n"]
+        if r["a"] is not None:
+            low.append(r["a"])
+            high.append(r["z"])
+    return max(86400.0, (max(high) - min(low)) / max(1, -(-n // rows))) if low else 86400.0
+
+
+def median_gap(base: DataFrame, ts: str = "ts", width: float | None = None) -> DataFrame:
+    """One row: the median positive gap in seconds between the frame's distinct times."""
+    width = width or span([base], ts)
+    at = seconds(F.col(ts), base.schema[ts].dataType.simpleString())
+    times = base.select(at.alias("s")).where("s is not null").distinct().withColumn("y", F.floor(F.col("s") / width))
+    # gaps inside slices by window, gaps between slices from their ends: no single-partition sort of all times
+    inside = times.select((F.col("s") - F.lag("s").over(Window.partitionBy("y").orderBy("s"))).alias("g"))
+    ends = times.groupBy("y").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    between = ends.select((F.col("a") - F.lag("b").over(Window.orderBy("y"))).alias("g"))  # one row a slice
     return inside.unionByName(between).where("g > 0").agg(F.percentile("g", F.lit(0.5)).alias("gap"))
 
 
@@ -48,29 +68,32 @@ def as_of(base: DataFrame, source: DataFrame, columns: list[str], by: list[str]
     """Add each column's latest source value at or before the base time, and source_ts.
 
     Both sides are merged in time order and values carried forward. Without ``by`` keys the carry is
-    cut into years (the newest value of earlier years comes from a table of one row a year), so no
-    partition holds all rows. With ``bars``, values older than that many median base gaps are NULL.
+    cut into slices of time of about a million rows (the newest value of earlier slices comes from a
+    table of one row a slice), so no partition holds all rows. With ``bars``, values older than that
+    many median base gaps, measured in seconds, are NULL.
     """
     by = by or []
+    kind = base.schema[ts].dataType
+    source = source.withColumn(ts, F.col(ts).cast(kind))
+    width = span([base, source], ts) if not by else None
+    at = lambda c: seconds(c, kind.simpleString())
+    slice_ = (lambda c: F.floor(at(c) / width)) if width else (lambda c: F.lit(0))
     left = base.withColumn("_side", F.lit(1))
-    right = source.select(
-        *by, F.col(ts).cast(base.schema[ts].dataType).alias(ts), F.struct(F.col(ts).alias("source_ts"), *[F.col(c) for c in columns]).alias("_v")
-    ).withColumn("_side", F.lit(0))
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_y", F.year(ts) if not by else F.lit(0))
+    right = source.select(*by, ts, F.struct(F.col(ts).alias("source_ts"), *[F.col(c) for c in columns]).alias("_v")).withColumn("_side", F.lit(0))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_y", slice_(F.col(ts)))
     w = Window.partitionBy(*by, "_y").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_l", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    if not by:
-        yearly = right.groupBy(F.year(ts).alias("_y")).agg(F.max_by("_v", ts).alias("_m"))
-        years = base.select(F.year(ts).alias("_y")).distinct().join(yearly, "_y", "full")
+    if width:
+        newest = right.groupBy(slice_(F.col(ts)).alias("_y")).agg(F.max_by("_v", ts).alias("_m"))
+        slices = base.select(slice_(F.col(ts)).alias("_y")).distinct().join(newest, "_y", "full")
         wy = Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
-        carry = years.select("_y", F.last("_m", ignorenulls=True).over(wy).alias("_c"))  # one row a year
+        carry = slices.select("_y", F.last("_m", ignorenulls=True).over(wy).alias("_c"))  # one row a slice
         out = out.join(carry, "_y", "left").withColumn("_l", F.coalesce("_l", "_c")).drop("_c")
     if bars is not None:
-        out = out.crossJoin(F.broadcast(median_gap(base, ts)))  # one row
-        fresh = F.datediff(F.col(ts), F.col("_l.source_ts")) <= F.col("gap") * bars
+        out = out.crossJoin(F.broadcast(median_gap(base, ts, width)))  # one row
+        fresh = at(F.col(ts)) - at(F.col("_l.source_ts")) <= F.col("gap") * bars
         out = out.withColumn("_l", F.when(fresh, F.col("_l"))).drop("gap")
-    keep = [c for c in base.columns]
-    return out.select(*keep, F.col("_l.source_ts").alias("source_ts"), *[F.col(f"_l.`{c}`").alias(c) for c in columns])
+    return out.select(*base.columns, F.col("_l.source_ts").alias("source_ts"), *[F.col(f"_l.`{c}`").alias(c) for c in columns])
 
 
 def fill_stale(x, limit: int, how: str = "ffill", keys: tuple[str, ...] = ("asset",), label: bool = False):
@@ -99,6 +122,18 @@ def with_age(df: DataFrame, keys: tuple[str, ...] = ("asset",), ts: str = "ts",
     return rows.withColumn("age_bars", F.when(F.col(source_ts).isNotNull(), (F.col("_i") - first).cast("double"))).drop("_i")
 
 
+def audit(rows: DataFrame, feature: str = "feature", stale_after: int = 1, stale_ratio: float = 0.2, fill_ratio: float = 0.2, max_age: int = 5) -> DataFrame:
+    """Quality of joined features, one row each, from rows with age_bars: rows, stale_rows (older than
+    stale_after bars), filled_rows (carried from an earlier bar), max_age_bars, both ratios, and the
+    warnings: a ratio at its threshold or above it, an age at the limit or above it."""
+    age = F.col("age_bars")
+    out = rows.groupBy(feature).agg(
+        F.count("*").alias("rows"), F.count_if(age > stale_after).alias("stale_rows"), F.count_if(age > 0).alias("filled_rows"), F.coalesce(F.max(age), F.lit(0.0)).alias("max_age_bars")
+    ).withColumns({"stale_ratio": F.col("stale_rows") / F.col("rows"), "fill_ratio": F.col("filled_rows") / F.col("rows")})
+    warn = {"stale_ratio": F.col("stale_ratio") >= stale_ratio, "fill_ratio": F.col("fill_ratio") >= fill_ratio, "max_age": F.col("max_age_bars") >= max_age}
+    return out.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in warn.items()])))
+
+
 def as_of_members(members: DataFrame, dates: DataFrame) -> DataFrame:
     """Constituents valid on each date: start <= date <= end (open ends allowed). Members are a dimension table."""
     return dates.join(members, (F.col("start") <= F.col("ts")) & (F.col("end").isNull() | (F.col("ts") <= F.col("end")))).select("ts", "asset")

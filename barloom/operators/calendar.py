@@ -31,11 +31,48 @@ def _months(c: Column, months) -> Column:
     return F.lit(True) if months is None else (F.month(c).isin([int(m) for m in months]) if months else F.lit(False))
 
 
-def boundary(unit: str, side: str, months=None, ts: str = "ts") -> Column:
-    """Is ts the first (start) or last (end) available date of its month, quarter or year?"""
+def edge_name(unit: str, side: str) -> str:
+    return f"_{unit}_{side}"
+
+
+def with_edges(df: DataFrame, *nodes, ts: str = "ts") -> DataFrame:
+    """Add, for each period boundary in the condition trees, the first or last available date of the row's period.
+
+    The dates come from an aggregate of one row a period, joined by broadcast: a window over the rows
+    of a period would put a whole year of all assets into one task. mask() uses the columns if they are there.
+    """
+    wanted = set()
+
+    def find(x):
+        if isinstance(x, list):
+            for y in x:
+                find(y)
+        elif isinstance(x, dict):
+            unit, _, side = str(x.get("op", "")).removeprefix("calendar.").rpartition("_")
+            if unit in ("month", "quarter", "year") and side in ("start", "end"):
+                wanted.add((unit, side))
+            find([v for v in x.values() if isinstance(v, (list, dict))])
+
+    find(list(nodes))
+    for unit in sorted({u for u, _ in wanted}):
+        period = F.date_trunc(unit, F.col(ts))
+        edges = df.groupBy(period.alias("_period")).agg(*[(F.min(ts) if s == "start" else F.max(ts)).alias(edge_name(unit, s)) for u, s in sorted(wanted) if u == unit])
+        df = df.withColumn("_period", period).join(F.broadcast(edges), "_period", "left").drop("_period")  # a row a period
+    return df
+
+
+def without_edges(df: DataFrame) -> DataFrame:
+    return df.drop(*[edge_name(u, s) for u in ("month", "quarter", "year") for s in ("start", "end")])
+
+
+def boundary(unit: str, side: str, months=None, ts: str = "ts", columns=()) -> Column:
+    """Is ts the first (start) or last (end) available date of its month, quarter or year? From the column that
+    with_edges() adds, if it is among the columns, else by a window over the period's rows (for tables of dates)."""
     t = F.col(ts)
-    w = Window.partitionBy(F.date_trunc(unit, t))
-    edge = (F.min(t) if side == "start" else F.max(t)).over(w)
+    if edge_name(unit, side) in columns:
+        edge = F.col(edge_name(unit, side))
+    else:
+        edge = (F.min(t) if side == "start" else F.max(t)).over(Window.partitionBy(F.date_trunc(unit, t)))
     return F.coalesce((t == edge) & _months(t, months), F.lit(False))
 
 
@@ -52,7 +89,7 @@ def nth_weekday(c: Column, weekday: int, ordinal: int) -> Column:
     return F.when(F.month(out) == F.month(first), out)
 
 
-def mask(node: dict, ts: str = "ts") -> Column:
+def mask(node: dict, ts: str = "ts", columns=()) -> Column:
     op = node["op"].removeprefix("calendar.")
     t, months = F.col(ts), node.get("months")
     if op == "every_session":
@@ -63,7 +100,7 @@ def mask(node: dict, ts: str = "ts") -> Column:
         return F.coalesce(F.weekday(t) == weekday_number(node["weekday"]), F.lit(False))
     unit, _, side = op.rpartition("_")
     if unit in ("month", "quarter", "year") and side in ("start", "end"):
-        return boundary(unit, side, months, ts)
+        return boundary(unit, side, months, ts, columns)
     if op == "last_weekday_of_month":
         return F.coalesce((nth_weekday(t, weekday_number(node["weekday"]), -1) == t) & _months(t, months), F.lit(False))
     if op == "nth_weekday_of_month":

@@ -59,10 +59,10 @@ def inferred_dates(df: DataFrame, column: str, to: str = "ts") -> DataFrame:
 
 
 def fill(x: Column, how: str = "ffill", value: float = 0.0, keys: tuple[str, ...] = ("asset",)) -> Column:
-    """Fill missing values by the mean of the last five rows, a constant, or the last value; what is left becomes 0."""
+    """Fill missing values by the mean of five rows (itself and the four before), a constant, or the last value; what is left becomes 0."""
     w = by_time(*keys)
     by = {
-        "mean5": F.avg(x).over(w.rowsBetween(-5, -1)), "constant": F.lit(value),
+        "mean5": F.avg(x).over(w.rowsBetween(-4, 0)), "constant": F.lit(value),
         "ffill": F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
     }
     return F.coalesce(x, by[how], F.lit(0.0))

@@ -90,9 +90,10 @@ def compile_node(node, ctx: Context) -> Column:
     if op == "session.same_session_close":
         return F.lit(False)
     if op.startswith("calendar.") or op == "every_session":
-        return calendar.mask(node)
+        return calendar.mask(node, columns=ctx.columns)
     raise ValueError(f"unknown op {node['op']!r}; known: {', '.join(sorted(registry.OPS))}")
 
 
 def with_mask(df: DataFrame, node, name: str = "mask", **ctx) -> DataFrame:
-    return df.withColumn(name, compile_node(node, Context(columns=df.columns, **ctx)))
+    rows = calendar.with_edges(df, node)
+    return rows.withColumn(name, compile_node(node, Context(columns=rows.columns, **ctx))).select(*[c for c in df.columns if c != name], name)

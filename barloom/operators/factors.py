@@ -11,8 +11,8 @@ from ..functions.safe import by_time, div
 from .indicators import full, trailing
 
 
-def _date():
-    return Window.partitionBy("ts")
+def _date(keys=()):
+    return Window.partitionBy(*keys, "ts")
 
 
 def price_momentum(x: Column, lookback: int = 126, skip: int = 0) -> Column:
@@ -31,33 +31,33 @@ def ratio(a: Column, b: Column) -> Column:
     return div(a, F.nullif(b, F.lit(0.0)))
 
 
-def fill_missing(x: Column, how: str = "cross_section_median", value: float = 0.0) -> Column:
+def fill_missing(x: Column, how: str = "cross_section_median", value: float = 0.0, keys: tuple[str, ...] = ()) -> Column:
     by = {
-        "cross_section_median": lambda: F.percentile(x, F.lit(0.5)).over(_date()), "zero": lambda: F.lit(0.0), "constant": lambda: F.lit(value),
+        "cross_section_median": lambda: F.percentile(x, F.lit(0.5)).over(_date(keys)), "zero": lambda: F.lit(0.0), "constant": lambda: F.lit(value),
         "ffill": lambda: F.last(x, ignorenulls=True).over(by_time("asset").rowsBetween(Window.unboundedPreceding, 0)),
     }
     return F.coalesce(x, by[how]())
 
 
-def winsorize(x: Column, low: float = 0.01, high: float = 0.99) -> Column:
-    q = lambda p: F.percentile(x, F.lit(p)).over(_date())
+def winsorize(x: Column, low: float = 0.01, high: float = 0.99, keys: tuple[str, ...] = ()) -> Column:
+    q = lambda p: F.percentile(x, F.lit(p)).over(_date(keys))
     return F.when(x.isNotNull(), F.greatest(F.least(x, q(high)), q(low)))
 
 
-def standardize(x: Column) -> Column:
-    return div(x - F.avg(x).over(_date()), F.nullif(F.stddev_samp(x).over(_date()), F.lit(0.0)))
+def standardize(x: Column, keys: tuple[str, ...] = ()) -> Column:
+    return div(x - F.avg(x).over(_date(keys)), F.nullif(F.stddev_samp(x).over(_date(keys)), F.lit(0.0)))
 
 
-def neutralize(x: Column, group: Column | None) -> Column:
+def neutralize(x: Column, group: Column | None, keys: tuple[str, ...] = ()) -> Column:
     """Minus the date's group mean; rows without a group stay, as does everything without groups."""
-    return x if group is None else F.when(group.isNull(), x).otherwise(x - F.avg(x).over(Window.partitionBy("ts", group)))
+    return x if group is None else F.when(group.isNull(), x).otherwise(x - F.avg(x).over(Window.partitionBy(*keys, "ts", group)))
 
 
-def percentile_rank(x: Column) -> Column:
+def percentile_rank(x: Column, keys: tuple[str, ...] = ()) -> Column:
     """Average rank over count, per date."""
-    w = Window.partitionBy("ts", x.isNull())
+    w = Window.partitionBy(*keys, "ts", x.isNull())
     low = F.rank().over(w.orderBy(x))
-    ties = F.count("*").over(Window.partitionBy("ts", x))
+    ties = F.count("*").over(Window.partitionBy(*keys, "ts", x))
     return F.when(x.isNotNull(), (low + (ties - 1) / 2) / F.count("*").over(w))
 
 

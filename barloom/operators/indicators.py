@@ -155,6 +155,11 @@ def price_cross(x: Column, line: Column, prev_x: Column, prev_line: Column, star
     return F.when(started & (over if way == "up" else under), 1 if sign == "long" else -1).otherwise(0)
 
 
+def combined(*signals: Column) -> Column:
+    """Legacy signals on one bar, added up; a missing one counts 0."""
+    return sum((F.coalesce(s, F.lit(0)) for s in signals), F.lit(0))
+
+
 def run_of(cond: Column, m: int) -> Column:
     """Whether the last m rows all satisfy cond (False until m rows are there); cond must be a materialised column."""
     w = trailing(m, KEY)

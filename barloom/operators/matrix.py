@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import div
 from .indicators import full, trailing
+from .simulate import compounded
 
 
 def expand(domain: dict) -> list[float]:
@@ -76,7 +77,7 @@ def sweep_average_cross(panel: DataFrame, combos_: DataFrame, periods: list[int]
     held = F.coalesce(F.lag((F.col("fa") > F.col("sa")).cast("double")).over(w), F.lit(0.0))
     r = F.coalesce(div(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))
     rows = grid.withColumn("r", held * r)
-    return rows.groupBy("combo_id", "fast", "slow", "asset").agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("total_return"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"))
+    return rows.groupBy("combo_id", "fast", "slow", "asset").agg((compounded(1 + F.col("r")) - 1).alias("total_return"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"))
 
 
 def cell_aggregate(rows: DataFrame, x: str, y: str, value: str) -> DataFrame:
@@ -178,19 +179,25 @@ def shortlist(rows: DataFrame, ties: list[str]) -> DataFrame:
     return out
 
 
-def clusters(rows: DataFrame, params: list[str], most: int = 5, seed: int = 42) -> DataFrame:
-    """k-means clusters of standardised parameters, k by sqrt(n) up to ``most``; the row nearest its cluster's mean is the representative."""
+def cluster_count(n: int, most: int = 5) -> int:
+    """1 up to three rows, 2 up to eight, then the root of n, at most ``most``."""
+    return 1 if n <= 3 else 2 if n <= 8 else min(most, max(2, round(n**0.5)))
+
+
+def clusters(rows: DataFrame, params: list[str], score: str | None = None, most: int = 5, seed: int = 42) -> DataFrame:
+    """k-means clusters of standardised parameters (k: cluster_count). The representative is the row nearest
+    its cluster's medians by the sum of distances; ties by the higher score, then by the parameters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     n = rows.count()
-    k = max(1, min(most, round(n**0.5)))
+    k = cluster_count(n, most)
     v = VectorAssembler(inputCols=params, outputCol="_raw").transform(rows)
     v = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(v).transform(v)
     model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(v) if k > 1 else None
     out = model.transform(v) if model else v.withColumn("cluster", F.lit(0))
     whole = Window.partitionBy("cluster")
-    far = sum(((F.col(p) - F.avg(p).over(whole)) * (F.col(p) - F.avg(p).over(whole)) for p in params), F.lit(0.0))
+    far = sum((F.abs(F.col(p) - F.percentile(p, F.lit(0.5)).over(whole)) for p in params), F.lit(0.0))
     out = out.withColumn("_far", far)
-    pick = F.row_number().over(whole.orderBy("_far", *params)) == 1
+    pick = F.row_number().over(whole.orderBy("_far", *([F.desc_nulls_last(score)] if score else []), *params)) == 1
     return out.withColumn("representative", pick).drop("_raw", "_x", "_far")

@@ -84,6 +84,23 @@ def tail_risk(path: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
+def page_metrics(path: DataFrame, keys=KEYS) -> DataFrame:
+    """Per key: average drawdown over all bars, win rate among bars with a return, gross profit and loss, profit
+    factor, gain-loss ratio, and best, worst and share of positive months. path has ts, equity, ret, drawdown, i."""
+    r, later = F.col("ret"), F.col("i") > 1
+    up, down = F.when(later & (r > 0), r), F.when(later & (r < 0), r)
+    bars = path.groupBy(*keys).agg(
+        F.avg("drawdown").alias("average_drawdown"), F.avg(F.when(later & (r != 0), (r > 0).cast("double"))).alias("win_rate"),
+        F.coalesce(F.sum(up), F.lit(0.0)).alias("gross_profit"), F.coalesce(F.sum(down), F.lit(0.0)).alias("gross_loss"), F.abs(div(F.avg(up), F.avg(down))).alias("gain_loss_ratio"),
+    )
+    lost = F.abs("gross_loss")
+    bars = bars.withColumn("profit_factor", F.when(lost > 0, F.col("gross_profit") / lost).when(F.col("gross_profit") == 0, 0.0))
+    months = period_returns(path, "month", keys).groupBy(*keys).agg(
+        F.max("ret").alias("best_month"), F.min("ret").alias("worst_month"), F.avg((F.col("ret") > 0).cast("double")).alias("positive_month_ratio")
+    )
+    return bars.join(months, list(keys), "left")
+
+
 def islands(path: DataFrame, cond, keys=KEYS) -> DataFrame:
     """Number runs of rows on which cond has one value: adds flag and island (same for all rows of a run)."""
     rows = path.withColumn("flag", cond)

@@ -19,26 +19,49 @@ from .simulate import compounded
 ID = "backtest_id"
 
 
-def every_bar(df: DataFrame, cost: float, keys: tuple[str, ...] = (ID,)) -> DataFrame:
-    """Closed form for targets set on every bar: one row per (keys, ts) with ret, turnover, trade_cost, gross, selected, equity.
+def drifted(weight, r, total):
+    """Weights after a bar's returns; they stay where the account as a whole is lost (1 + total <= 0)."""
+    return F.when(1 + total > 0, weight * (1 + r) / (1 + total)).otherwise(weight)
 
-    The weight before a trade is the last target drifted by one bar's return.
-    """
+
+def before_trades(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of an every-bar target frame with _p, the account's return over the bar, and before, the weight
+    just before the bar's trade: the last target drifted by one bar's return."""
     w = by_time(*keys, "asset")
     rows = df.withColumns({"_w": F.coalesce(F.lag("target").over(w), F.lit(0.0)), "_r": F.coalesce(div(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))})
-    total = F.sum(F.col("_w") * F.col("_r")).over(Window.partitionBy(*keys, "ts"))
-    rows = rows.withColumn("_p", total).withColumn("_d", div(F.col("_w") * (1 + F.col("_r")), 1 + F.col("_p")))
+    rows = rows.withColumn("_p", F.sum(F.col("_w") * F.col("_r")).over(Window.partitionBy(*keys, "ts")))
+    return rows.withColumn("before", drifted(F.col("_w"), F.col("_r"), F.col("_p"))).drop("_w", "_r")
+
+
+def _curve(rows: DataFrame, cost, keys: tuple[str, ...]) -> DataFrame:
     bars = rows.groupBy(*keys, "ts").agg(
-        F.first("_p").alias("ret"), F.sum(F.abs(F.col("target") - F.coalesce("_d", F.lit(0.0)))).alias("turnover"),
+        F.first("_p").alias("ret"), F.sum(F.abs(F.col("target") - F.col("before"))).alias("turnover"),
         F.sum("target").alias("gross"), F.count_if(F.abs("target") > 1e-12).alias("selected"),
     )
-    kept = F.greatest(1 - F.col("turnover") * cost, F.lit(0.0))
-    up = upto(*keys)
-    bars = bars.withColumn("equity", 100 * compounded((1 + F.col("ret")) * kept, up))
-    return bars.withColumn("trade_cost", div(F.col("equity"), kept) * F.col("turnover") * cost)
+    rate = cost_column(cost)
+    kept = F.greatest(1 - F.col("turnover") * rate, F.lit(0.0))
+    bars = bars.withColumn("equity", 100 * compounded((1 + F.col("ret")) * kept, upto(*keys)))
+    last = F.coalesce(F.lag("equity").over(by_time(*keys)), F.lit(100.0))
+    return bars.withColumn("trade_cost", last * (1 + F.col("ret")) * F.col("turnover") * rate)
 
 
-def next_open(df: DataFrame, cost: float, keys: tuple[str, ...] = (ID,)) -> DataFrame:
+def cost_column(cost):
+    """A rate, or rates by backtest_id (by what stands in front of the first |)."""
+    rates = set(cost.values()) if isinstance(cost, dict) else {cost}
+    if len(rates) == 1:
+        return F.lit(float(rates.pop()))
+    return F.create_map(*[F.lit(x) for k, v in cost.items() for x in (k, float(v))])[F.substring_index(ID, "|", 1)]
+
+
+def every_bar(df: DataFrame, cost, keys: tuple[str, ...] = (ID,)) -> DataFrame:
+    """Closed form for targets set on every bar: one row per (keys, ts) with ret, turnover, trade_cost, gross, selected, equity.
+
+    cost is a rate, or a dict of rates by backtest_id.
+    """
+    return _curve(before_trades(df, keys), cost, keys)
+
+
+def next_open(df: DataFrame, cost, keys: tuple[str, ...] = (ID,)) -> DataFrame:
     """Targets of a bar are traded at the next open: the night at the old weights, the day at the new ones.
 
     One row per (keys, ts): night, day, turnover, equity. Weights are those of the last two targets.
@@ -51,27 +74,27 @@ def next_open(df: DataFrame, cost: float, keys: tuple[str, ...] = (ID,)) -> Data
     })
     whole = Window.partitionBy(*keys, "ts")
     rows = rows.withColumn("_pd", F.sum(F.col("_old") * F.col("_pc")).over(whole))
-    rows = rows.withColumn("_held", F.coalesce(div(F.col("_old") * (1 + F.col("_pc")), 1 + F.col("_pd")), F.lit(0.0)))  # yesterday's weights at its close
+    rows = rows.withColumn("_held", drifted(F.col("_old"), F.col("_pc"), F.col("_pd")))  # yesterday's weights at its close
     rows = rows.withColumn("_night", F.sum(F.col("_held") * F.col("_n")).over(whole))
-    rows = rows.withColumn("_at_open", F.coalesce(div(F.col("_held") * (1 + F.col("_n")), 1 + F.col("_night")), F.lit(0.0)))
+    rows = rows.withColumn("_at_open", drifted(F.col("_held"), F.col("_n"), F.col("_night")))
     bars = rows.groupBy(*keys, "ts").agg(
         F.first("_night").alias("night"), F.sum(F.col("_new") * F.col("_c")).alias("day"), F.sum(F.abs(F.col("_new") - F.col("_at_open"))).alias("turnover")
     )
-    factor = (1 + F.col("night")) * F.greatest(1 - F.col("turnover") * cost, F.lit(0.0)) * (1 + F.col("day"))
+    factor = (1 + F.col("night")) * F.greatest(1 - F.col("turnover") * cost_column(cost), F.lit(0.0)) * (1 + F.col("day"))
     return bars.withColumn("equity", 100 * compounded(factor, upto(*keys)))
 
 
-def session_portfolio(df: DataFrame, cost: float, slippage: float, keys: tuple[str, ...] = (ID,)) -> DataFrame:
+def session_portfolio(df: DataFrame, cost, slippage, keys: tuple[str, ...] = (ID,)) -> DataFrame:
     """Weighted same-session round trips: in at the open, out at the close. One row per (keys, ts): gross, ret, equity."""
     bars = df.groupBy(*keys, "ts").agg(
         F.sum(F.abs("target")).alias("gross"), F.sum(F.col("target") * F.coalesce(div(F.col("close"), F.col("open")) - 1, F.lit(0.0))).alias("trade")
     )
-    fee = (1 - F.col("gross") * slippage) * (1 - F.col("gross") * cost)
+    fee = F.greatest(1 - F.col("gross") * cost_column(slippage), F.lit(0.0)) * F.greatest(1 - F.col("gross") * cost_column(cost), F.lit(0.0))
     bars = bars.withColumn("ret", (1 + F.col("trade")) * fee * fee - 1).drop("trade")
     return bars.withColumn("equity", 100 * compounded(1 + F.col("ret"), upto(*keys)))
 
 
-def event_overlay(df: DataFrame, cost: float, keys: tuple[str, ...] = (ID,)) -> DataFrame:
+def event_overlay(df: DataFrame, cost, keys: tuple[str, ...] = (ID,)) -> DataFrame:
     """Baseline weights (base) earn open to open; on event sessions (event) they are flat and overlay
     weights (overlay) earn open to close; the baseline returns at the next open. One row per (keys, ts): ret, turnover, equity.
     """
@@ -83,10 +106,30 @@ def event_overlay(df: DataFrame, cost: float, keys: tuple[str, ...] = (ID,)) ->
         F.sum(F.when(F.col("event"), F.col("overlay") * F.col("_day")).otherwise(F.col("base") * F.col("_next"))).alias("ret"),
         F.sum(F.abs(F.col("_held") - F.col("_before")) + F.when(F.col("event"), 2 * F.abs("overlay")).otherwise(0.0)).alias("turnover"),
     )
-    factor = (1 + F.col("ret")) * F.greatest(1 - F.col("turnover") * cost, F.lit(0.0))
+    factor = F.greatest(1 + F.col("ret"), F.lit(0.0)) * F.greatest(1 - F.col("turnover") * cost_column(cost), F.lit(0.0))
     return bars.withColumn("equity", 100 * compounded(factor, upto(*keys)))
 
 
+def offset_portfolio(df: DataFrame, enter: int, leave_: int, cost, enter_at: str = "open", leave_at: str = "close", keys: tuple[str, ...] = (ID,)) -> DataFrame:
+    """Weighted round trips from session t+enter to session t+leave_ of every session with a target and a flag
+    ``rebalance``; costs at both ends. One row per (keys, ts): enter_ts, leave_ts, gross, ret, equity.
+    Signals past the data are dropped; a trip that begins before the last one ends is an error.
+    """
+    w, bars = by_time(*keys, "asset"), by_time(*keys)
+    rows = df.withColumns({
+        "_a": F.lead("ts", enter).over(w), "_z": F.lead("ts", leave_).over(w),
+        "_g": F.coalesce(div(F.lead(leave_at, leave_).over(w), F.nullif(F.lead(enter_at, enter).over(w), F.lit(0.0))) - 1, F.lit(0.0)),
+    })
+    trips = rows.where(F.col("rebalance") & (F.abs("target") > 1e-12)).groupBy(*keys, "ts").agg(
+        F.min("_a").alias("enter_ts"), F.min("_z").alias("leave_ts"), F.sum(F.abs("target")).alias("gross"), F.sum(F.col("target") * F.col("_g")).alias("_r")
+    ).where("leave_ts is not null")
+    late = F.lag("leave_ts").over(bars) >= F.col("enter_ts") if leave_ > enter else F.lit(False)
+    trips = trips.withColumn("_ok", F.when(late, F.raise_error(F.lit("overlapping trades"))).otherwise(F.lit(True))).where("_ok").drop("_ok")
+    fee = F.greatest(1 - F.col("gross") * cost_column(cost), F.lit(0.0))
+    trips = trips.withColumn("ret", (1 + F.col("_r")) * fee * fee - 1).drop("_r")
+    return trips.withColumn("equity", 100 * compounded(1 + F.col("ret"), upto(*keys)))
+
+
 @dataclass(frozen=True)
 class Gates:
     """Limits checked in this order at each rebalance; action is flatten, pause_trading, reduce_exposure or block_new_orders."""
@@ -132,60 +175,126 @@ class Gates:
         return out, events
 
 
-CURVE = f"{ID} string, ts date, equity double, ret double, turnover double, trade_cost double, selected int, gross double, cash double, weights map<string,double>, contributions map<string,double>, gates array<string>"
+CURVE = (
+    f"{ID} string, ts date, equity double, ret double, turnover double, trade_cost double, selected int, gross double, cash double, "
+    "weights map<string,double>, before map<string,double>, contributions map<string,double>, gates array<string>, "
+    "gate_events array<struct<gate:string,limit:double,observed:double>>"
+)
 
 
-def account(df: DataFrame, cost: float, gates: Gates | None = None) -> DataFrame:
-    """Drift accounting with sparse rebalances: one fold per backtest over (ts, asset, close, target, rebalance).
+def account(df: DataFrame, cost, gates=None, at: str = "close") -> DataFrame:
+    """Drift accounting with sparse rebalances: one fold per backtest over (ts, asset, open, close, target, rebalance).
 
     Between rebalances weights drift with returns; at one, turnover is the sum of absolute weight
-    changes and costs equity * turnover * cost. Returns the equity curve with weights and
-    contributions as maps and the gates that fired.
+    changes and costs equity * turnover * cost. With at = "next_open" a session's target is traded at
+    the next session's open: the night earns at the old weights, the day at the new ones. cost and
+    gates may be dicts by backtest_id. Returns the equity curve with the weights before and after the
+    trade and contributions as maps, and the gates that fired, with limit and observed value.
     """
+    if at not in ("close", "next_open"):
+        raise ValueError(at)
+    late = at == "next_open"
+
+    def returns(now: np.ndarray, then: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            r = now / np.where(then == 0, np.nan, then) - 1
+        return np.where(np.isfinite(r), r, 0.0)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        close = pdf.pivot(index="ts", columns="asset", values="close").sort_index()
-        target = pdf.pivot(index="ts", columns="asset", values="target").reindex_like(close).fillna(0.0).to_numpy()
+        name = pdf[ID].iloc[0]
+        own = name.split("|")[0]
+        rate = cost[own] if isinstance(cost, dict) else cost
+        gate = gates.get(own) if isinstance(gates, dict) else gates
+        wide = lambda c: pdf.pivot(index="ts", columns="asset", values=c).sort_index()
+        close = wide("close")
+        target = wide("target").reindex_like(close).fillna(0.0).to_numpy()
         trade = pdf.groupby("ts")["rebalance"].max().reindex(close.index).fillna(False).to_numpy(bool)
-        names = list(close.columns)
-        with np.errstate(all="ignore"):
-            p = close.to_numpy(float)
-            r = np.vstack([np.zeros(p.shape[1]), p[1:] / np.where(p[:-1] == 0, np.nan, p[:-1]) - 1])
-        r[~np.isfinite(r)] = 0.0
+        names, p = list(close.columns), close.to_numpy(float)
+        night = returns(wide("open").reindex_like(close).to_numpy(float)[1:], p[:-1]) if late else returns(p[1:], p[:-1])
+        night = np.vstack([np.zeros(len(names)), night])
+        day = returns(p, wide("open").reindex_like(close).to_numpy(float)) if late else None
+        if late:
+            target, trade = np.vstack([np.zeros(len(names)), target[:-1]]), np.append(False, trade[:-1])
         weight, equity, peak, rows = np.zeros(len(names)), 100.0, 100.0, []
+
+        def earn(r):
+            nonlocal weight, equity
+            gain = weight * r
+            total = float(gain.sum())
+            equity *= 1 + total
+            if 1 + total > 0:
+                weight = weight * (1 + r) / (1 + total)
+            return gain, total
+
         for t, ts in enumerate(close.index):
-            gain = weight * r[t]
-            ret = float(gain.sum())
-            equity *= 1 + ret
-            if 1 + ret > 0:
-                weight = weight * (1 + r[t]) / (1 + ret)
+            start = equity
+            gain, ret = earn(night[t])
             peak = max(peak, equity)
             turnover = paid = 0.0
-            fired: list[str] = []
+            fired: list[tuple[str, float, float]] = []
+            before = weight
             if trade[t]:
                 new = target[t]
-                if gates is not None:
-                    new, events = gates.apply(new, weight, equity, peak, ret)
-                    fired = [e[0] for e in events]
+                if gate is not None:
+                    new, fired = gate.apply(new, weight, equity, peak, ret)
                 turnover = float(np.abs(new - weight).sum())
-                paid = equity * turnover * cost
-                equity *= max(0.0, 1 - turnover * cost)
+                paid = equity * turnover * rate
+                equity *= max(0.0, 1 - turnover * rate)
                 weight = new
-            rows.append((pdf[ID].iloc[0], ts, equity, ret, turnover, paid, int((weight > 0).sum()), float(weight.sum()), max(0.0, 1 - float(weight.sum())), dict(zip(names, weight.tolist())), dict(zip(names, gain.tolist())), fired))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CURVE.split(", ")])
+            held = weight
+            if late:
+                more, of_day = earn(day[t])
+                gain, ret = gain + more, (1 + ret) * (1 + of_day) - 1
+                peak = max(peak, equity)
+            rows.append((
+                name, ts, equity, ret if start else 0.0, turnover, paid, int((np.abs(held) > 1e-12).sum()), float(held.sum()), max(0.0, 1 - float(held.sum())), dict(zip(names, held.tolist())),
+                dict(zip(names, before.tolist())), dict(zip(names, gain.tolist())), [e[0] for e in fired], [dict(zip(("gate", "limit", "observed"), e)) for e in fired],
+            ))
+        return pd.DataFrame(rows, columns=["backtest_id", "ts", "equity", "ret", "turnover", "trade_cost", "selected", "gross", "cash", "weights", "before", "contributions", "gates", "gate_events"])
+
+    if "open" not in df.columns:
+        df = df.withColumn("open", F.lit(None).cast("double"))
+    return df.select(F.col(ID).cast("string"), "ts", "asset", "open", "close", "target", "rebalance").groupBy(ID).applyInPandas(one, CURVE)
+
+
+def holdings(curve: DataFrame) -> DataFrame:
+    """(backtest_id, ts, asset, weight) after each session's trade, from an account's curve."""
+    return curve.select(ID, "ts", F.explode("weights").alias("asset", "weight")).where(F.abs("weight") > 1e-12)
+
+
+def gate_events(curve: DataFrame) -> DataFrame:
+    """(backtest_id, ts, gate, limit, observed), one row per gate that fired."""
+    return curve.select(ID, "ts", F.explode("gate_events").alias("e")).select(ID, "ts", "e.gate", "e.limit", "e.observed")
+
 
-    return df.select(F.col(ID).cast("string"), "ts", "asset", "close", "target", "rebalance").groupBy(ID).applyInPandas(one, CURVE)
+def rebalance_audit(curve: DataFrame) -> DataFrame:
+    """Sessions of an account on which weights were traded: turnover, trade_cost, equity, selected, gross."""
+    return curve.where("turnover > 1e-12").select(ID, "ts", "turnover", "trade_cost", "equity", "selected", "gross")
 
 
-def rebalance_trades(df: DataFrame, cost: float, keys: tuple[str, ...] = (ID,)) -> DataFrame:
-    """Trades of an every-bar target frame: before, target, delta, action and the cost's share by size of each asset."""
+def _trades(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Trades with share and cost from rows with before, target, turnover and trade_cost of their session."""
     from .signals import action_label
 
-    w = by_time(*keys, "asset")
-    rows = df.withColumn("before", F.coalesce(F.lag("target").over(w), F.lit(0.0))).withColumn("delta", F.col("target") - F.col("before"))
-    whole = F.sum(F.abs("delta")).over(Window.partitionBy(*keys, "ts"))
-    rows = rows.withColumns({"turnover": whole, "action": action_label(F.col("before"), F.col("target"))})
-    return rows.where(F.abs("delta") > 1e-12).withColumns({"share": div(F.abs("delta"), F.col("turnover")), "cost": F.abs("delta") * cost})
+    rows = rows.withColumn("delta", F.col("target") - F.col("before")).withColumn("action", action_label(F.col("before"), F.col("target")))
+    share = div(F.abs("delta"), F.col("turnover"))
+    return rows.where(F.abs("delta") > 1e-12).withColumns({"share": share, "cost": share * F.col("trade_cost")})
+
+
+def account_trades(curve: DataFrame) -> DataFrame:
+    """(backtest_id, ts, asset, before, target, delta, action, share, cost): the trades of an account's curve,
+    against the drifted weights; the session's cost is dealt out by size."""
+    moved = curve.where("turnover > 1e-12").select(ID, "ts", "turnover", "trade_cost", "before", F.explode("weights").alias("asset", "target"))
+    rows = moved.withColumn("before", F.coalesce(F.col("before")[F.col("asset")], F.lit(0.0)))
+    return _trades(rows, (ID,)).select(ID, "ts", "asset", "before", "target", "delta", "action", "share", "cost")
+
+
+def rebalance_trades(df: DataFrame, cost, keys: tuple[str, ...] = (ID,)) -> DataFrame:
+    """Trades of an every-bar target frame, with before (the drifted weight), delta, action, share by size, and
+    the asset's part of the session's cost; with a column score in the frame also its rank on the day."""
+    rows = before_trades(df, keys)
+    bars = _curve(rows, cost, keys).select(*keys, "ts", "turnover", "trade_cost")
+    return _trades(rows.drop("_p").join(bars, [*keys, "ts"]), keys)
 
 
 def invariant_breaches(curve: DataFrame, long_only: bool = True, max_gross: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
@@ -201,6 +310,37 @@ def invariant_breaches(curve: DataFrame, long_only: bool = True, max_gross: floa
     return curve.select(ID, "ts", F.explode(checks).alias("c")).where("c.hit").select(ID, "ts", "c.code", "c.value")
 
 
+def position_breaches(curve: DataFrame, panel: DataFrame | None = None, trades: DataFrame | None = None, long_only: bool = True, tolerance: float = 1e-9) -> DataFrame:
+    """Rows (backtest_id, ts, asset, code, value) where an account's positions, prices (panel: ts, asset, close)
+    or trades (see account_trades) break a rule. Equity must be what the last equity, the return and the
+    cost make of it; trades added up must give the weights that are held, beside their drift.
+    """
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    found = lambda rows, hit, code, value, asset: rows.where(hit).select(ID, "ts", asset.cast("string").alias("asset"), F.lit(code).alias("code"), value.cast("double").alias("value"))
+    held = curve.select(ID, "ts", F.explode("weights").alias("asset", "weight"))
+    weight, asset = F.col("weight"), F.col("asset")
+    out = found(held, bad(weight), "non_finite_position_qty", weight, asset)
+    add = lambda more: out.unionByName(more)
+    if long_only:
+        out = add(found(held, weight < -tolerance, "long_only_negative_position", weight, asset))
+    last = F.coalesce(F.lag("equity").over(by_time(ID)), F.lit(100.0))
+    made = curve.withColumn("_gap", F.col("equity") - (last * (1 + F.col("ret")) - F.col("trade_cost")))
+    out = add(found(made, F.abs("_gap") > tolerance * F.greatest(F.abs("equity"), F.lit(1.0)), "equity_cash_market_value_mismatch", F.col("_gap"), F.lit(None)))
+    value = curve.withColumn("_gap", F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x) - F.col("gross"))
+    out = add(found(value, F.abs("_gap") > tolerance, "market_value_positions_prices_mismatch", F.col("_gap"), F.lit(None)))
+    if panel is not None:
+        prices = panel.select(F.lit(None).cast("string").alias(ID), "ts", "asset", "close")
+        out = add(found(prices, bad(F.col("close")), "non_finite_price", F.col("close"), asset))
+    if trades is not None:
+        cost, target = F.col("cost"), F.col("target")
+        out = add(found(trades, bad(cost) | (cost < -tolerance), "trade_record_negative_or_non_finite_fee", cost, asset))
+        if long_only:
+            out = add(found(trades, target < -tolerance, "trade_record_long_only_negative_position", target, asset))
+        both = trades.join(held, [ID, "ts", "asset"], "left").withColumn("_gap", F.col("before") + F.col("delta") - F.coalesce("weight", F.lit(0.0)))
+        out = add(found(both, F.abs("_gap") > tolerance, "trade_record_position_reconciliation_mismatch", F.col("_gap"), asset))
+    return out
+
+
 def cost_status(curve: DataFrame, cost: float) -> DataFrame:
     """Per backtest: not_configured, no_turnover, valid or invalid_cost_accounting."""
     return curve.groupBy(ID).agg(F.sum("turnover").alias("t"), F.sum("trade_cost").alias("c")).select(

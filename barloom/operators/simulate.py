@@ -42,12 +42,13 @@ def fold(entry: np.ndarray, exit_: np.ndarray, price: np.ndarray, r: Rules) -> d
 
     entry: 1 long, -1 short; exit_: -1 leaves long, 1 leaves short. Equity starts at 100. A position is
     marked every bar from its fill price; costs come off at both fills. ret is the equity's change,
-    open_ret the return since the entry (0 when flat).
+    costs included; held_ret the bar's return of a position held into it, before the costs of leaving
+    it (0 on the bar of an entry and when flat); open_ret the return since the entry (0 when flat).
     """
     n = len(price)
     entry, exit_ = (np.concatenate([np.zeros(min(r.delay, n)), x])[:n] for x in (entry, exit_))
     fee = (1 - r.slippage) * (1 - r.cost)
-    position, action, equity, open_ret = np.zeros(n), np.zeros(n, int), np.empty(n), np.zeros(n)
+    position, action, equity, open_ret, held_ret = np.zeros(n), np.zeros(n, int), np.empty(n), np.zeros(n), np.zeros(n)
     side, cash, fill, held = 0, 1.0, 0.0, 0
     for t in range(n):
         worth = cash
@@ -56,6 +57,7 @@ def fold(entry: np.ndarray, exit_: np.ndarray, price: np.ndarray, r: Rules) -> d
             if fill > 0:
                 open_ret[t] = side * (price[t] / fill - 1)
                 worth = cash * (1 + open_ret[t])
+                held_ret[t] = 100 * worth / equity[t - 1] - 1 if equity[t - 1] > 0 else 0.0
             bars = r.long_bars if side > 0 else r.short_bars
             if r.reset and entry[t] == side:
                 held = 0
@@ -69,14 +71,14 @@ def fold(entry: np.ndarray, exit_: np.ndarray, price: np.ndarray, r: Rules) -> d
             cash = worth
         position[t], equity[t] = side, 100 * worth
     before = np.concatenate([[np.nan], equity[:-1]])
-    return {"position": position, "action": action, "equity": equity, "ret": np.nan_to_num(equity / before - 1), "open_ret": open_ret}
+    return {"position": position, "action": action, "equity": equity, "ret": np.nan_to_num(equity / before - 1), "held_ret": held_ret, "open_ret": open_ret}
 
 
-COLUMNS = "position double, action int, equity double, ret double, open_ret double"
+COLUMNS = "position double, action int, equity double, ret double, held_ret double, open_ret double"
 
 
 def simulate(df: DataFrame, rules: Rules, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """Simulate each backtest of a frame with ts, open, close, entry, exit; adds position, action (1 open, 4 close), equity, ret, open_ret."""
+    """Simulate each backtest of a frame with ts, open, close, entry, exit; adds position, action (1 open, 4 close), equity, ret, held_ret, open_ret."""
     keep = list(df.columns)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,9 +110,12 @@ def ledger(sim: DataFrame, price: str = "close", keys: tuple[str, ...] = ("asset
     return out.withColumn("trade_return", F.when(closing, sign * (div(F.col(price), F.col("trade_open_price")) - 1))).drop("_seq", "_prev", "_on")
 
 
-def compounded(factor: Column, window) -> Column:
-    """Running product of positive factors."""
-    return F.exp(F.sum(F.ln(factor)).over(window))
+def compounded(factor: Column, window=None) -> Column:
+    """Product of the factors of any sign, running over a window or of a group: 0 from the first 0 on."""
+    over = (lambda c: c) if window is None else (lambda c: c.over(window))
+    size = F.exp(over(F.sum(F.ln(F.nullif(F.abs(factor), F.lit(0.0))))))
+    odd = over(F.sum((factor < 0).cast("int"))) % 2 == 1
+    return F.when(over(F.max((factor == 0).cast("int"))) == 1, 0.0).otherwise(F.coalesce(F.when(odd, -size).otherwise(size), F.lit(1.0)))
 
 
 def same_session(df: DataFrame, cost: float, slippage: float, side: int = 1, keys: tuple[str, ...] = ("asset",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, div
+from .simulate import compounded
 
 
 def windows(n: int, train: int, test: int, step: int | None = None, anchored: bool = False) -> list[tuple[int, int, int, int, int]]:
@@ -54,17 +55,22 @@ def evaluate(slices: DataFrame, combos: DataFrame, periods: list[int]) -> DataFr
     keys = ("window_id", "part", "combo_id")
     held = F.coalesce(F.lag("on").over(by_time(*keys, "asset")), F.lit(0.0))
     bars = grid.withColumn("p", held * F.col("r")).groupBy(*keys, "fast", "slow", "ts").agg(F.avg("p").alias("ret"))
+    return path_scores(bars, keys, ("fast", "slow"))
+
+
+def path_scores(bars: DataFrame, keys: tuple[str, ...], labels: tuple[str, ...] = ()) -> DataFrame:
+    """n, active_bars, total_return, max_drawdown, sharpe and calmar of the returns (ret by ts) of each key."""
     w = by_time(*keys)
-    path = bars.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    path = bars.withColumn("equity", compounded(1 + F.col("ret"), w.rowsBetween(Window.unboundedPreceding, 0)))
     path = path.withColumns({"dd": F.col("equity") / F.greatest(F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)) - 1, "i": F.row_number().over(w)})
     later = F.col("i") > 1
-    out = path.groupBy(*keys, "fast", "slow").agg(
+    out = path.groupBy(*keys, *labels).agg(
         F.count("*").alias("n"), F.max_by("equity", "ts").alias("_e"), F.min("dd").alias("max_drawdown"), F.avg(F.when(later, F.col("ret"))).alias("_m"),
         F.stddev_pop(F.when(later, F.col("ret"))).alias("_s"), F.count_if(F.abs("ret") > 1e-12).alias("active_bars"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(
-        *keys, "fast", "slow", "n", "active_bars", (F.col("_e") - 1).alias("total_return"), "max_drawdown",
+        *keys, *labels, "n", "active_bars", (F.col("_e") - 1).alias("total_return"), "max_drawdown",
         zero(div(F.col("_m"), F.nullif(F.col("_s"), F.lit(0.0))) * math.sqrt(252)).alias("sharpe"),
         zero(div(F.col("_e") - 1, F.nullif(F.abs("max_drawdown"), F.lit(0.0)))).alias("calmar"),
     )
@@ -77,7 +83,7 @@ def viable(scores: DataFrame, least_active: float) -> DataFrame:
     return scores.withColumns({"_ok": ok, "_some": some}).where("_ok = 1 or _some = 0").drop("_ok", "_some")
 
 
-def select(scores: DataFrame, objectives=("sharpe", "calmar", "total_return"), least_active: float = 0.0) -> DataFrame:
+def select(scores: DataFrame, objectives=("sharpe", "calmar", "total_return"), least_active: float = 0.0, labels: tuple[str, ...] = ("fast", "slow")) -> DataFrame:
     """Per window and objective: the best in-sample combo (first combo in a tie) with its out-of-sample numbers."""
     train = viable(scores.where("part = 'train'"), least_active)
     test = scores.where("part = 'test'").select("window_id", "combo_id", *[F.col(c).alias("oos_" + c) for c in ("sharpe", "calmar", "total_return", "max_drawdown")])
@@ -85,7 +91,7 @@ def select(scores: DataFrame, objectives=("sharpe", "calmar", "total_return"), l
     for o in objectives:
         w = Window.partitionBy("window_id").orderBy(F.col(o).desc(), "combo_id")
         best = train.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(
-            "window_id", F.lit(o).alias("objective"), "combo_id", "fast", "slow", *[F.col(c).alias("is_" + c) for c in ("sharpe", "calmar", "total_return", "max_drawdown")]
+            "window_id", F.lit(o).alias("objective"), "combo_id", *labels, *[F.col(c).alias("is_" + c) for c in ("sharpe", "calmar", "total_return", "max_drawdown")]
         )
         out = best if out is None else out.unionByName(best)
     return out.join(test, ["window_id", "combo_id"])
@@ -103,12 +109,15 @@ def accepted(chosen: DataFrame, min_sharpe: float = 0.0, min_calmar: float = 0.0
     return out.withColumn("accepted", F.size("reasons") == 0)
 
 
-def ranking_report(chosen: DataFrame, top: int = 20) -> DataFrame:
+def ranking_report(chosen: DataFrame, top: int = 20, labels: tuple[str, ...] = ("fast", "slow")) -> DataFrame:
     """Per combo: mean out-of-sample score, windows won, mean return; the best ``top``."""
-    agg = chosen.groupBy("combo_id", "fast", "slow").agg(F.avg("oos_sharpe").alias("mean_score"), F.count_distinct("window_id").alias("windows"), F.avg("oos_total_return").alias("mean_return"))
+    agg = chosen.groupBy("combo_id", *labels).agg(F.avg("oos_sharpe").alias("mean_score"), F.count_distinct("window_id").alias("windows"), F.avg("oos_total_return").alias("mean_return"))
     return agg.orderBy(F.desc("mean_score"), "combo_id").limit(top)
 
 
 def timeline(chosen: DataFrame) -> DataFrame:
-    """Per window: mean metrics over objectives."""
-    return chosen.groupBy("window_id").agg(*[F.avg(c).alias(c) for c in ("is_sharpe", "oos_sharpe", "oos_total_return")], F.count_if("accepted").alias("accepted"))
+    """Per window: mean metrics over objectives, how many are accepted, and the first objective's choice by name."""
+    first = lambda c: F.min_by(c, "objective").alias("first_" + c)
+    return chosen.groupBy("window_id").agg(
+        *[F.avg(c).alias(c) for c in ("is_sharpe", "oos_sharpe", "oos_total_return")], F.count_if("accepted").alias("accepted"), first("objective"), first("combo_id"), first("oos_sharpe")
+    )

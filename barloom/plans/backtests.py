@@ -46,24 +46,25 @@ def signal_state_position(spark, d):
 def sim_sql(price: str, entry: str, exit_: str, delay: int, close_rule: str, reset: str = "false") -> str:
     fee = (1 - COST) * (1 - SLIP)
     return f"""s as (select asset, ts, i, {price} as price, coalesce(lag({entry}, {delay}) over ({O}), 0) as en, coalesce(lag({exit_}, {delay}) over ({O}), 0) as ex from u),
-k as (select asset, ts, i, en::int as position, (en <> 0)::int as action, case when en <> 0 then {fee}::double else 1 end as cash, case when en <> 0 then {fee}::double else 1::double end as worth, case when en <> 0 then price else 0 end as fill, 0 as held, 0::double as open_ret from s where i = 1
+k as (select asset, ts, i, en::int as position, (en <> 0)::int as action, case when en <> 0 then {fee}::double else 1 end as cash, case when en <> 0 then {fee}::double else 1::double end as worth, case when en <> 0 then price else 0 end as fill, 0 as held, 0::double as open_ret, 0::double as held_ret from s where i = 1
  union all
  select asset, ts, i, case when opens then en::int when closes then 0 else position end, case when opens then 1 when closes then 4 else 0 end,
-  case when opens or closes then worth * {fee}::double else cash end, case when opens or closes then worth * {fee}::double else worth end, case when opens then price when closes then 0 else fill end, case when opens or closes then 0 else held end, open_ret
+  case when opens or closes then worth * {fee}::double else cash end, case when opens or closes then worth * {fee}::double else worth end, case when opens then price when closes then 0 else fill end, case when opens or closes then 0 else held end, open_ret, held_ret
  from (select *, position = 0 and en <> 0 as opens, position <> 0 and ({close_rule}) as closes from
   (select k.asset, s.ts, s.i, k.position, k.cash, k.fill, s.en, s.ex, s.price,
    case when k.position <> 0 then (case when {reset} and s.en = k.position then 0 else k.held + 1 end) else 0 end as held,
    case when k.position <> 0 then k.position * (s.price / k.fill - 1) else 0 end as open_ret,
+   case when k.position <> 0 and k.worth > 0 then k.cash * (1 + k.position * (s.price / k.fill - 1)) / k.worth - 1 else 0 end as held_ret,
    case when k.position <> 0 then k.cash * (1 + k.position * (s.price / k.fill - 1)) else k.cash end as worth
    from k join s on s.asset = k.asset and s.i = k.i + 1)))"""
 
 
-RES = f"select asset, ts, position::double as position, action, round(100 * worth, 6) as equity, round(coalesce(worth / lag(worth) over ({O}) - 1, 0), 6) as ret, round(open_ret, 6) as open_ret from k"
+RES = f"select asset, ts, position::double as position, action, round(100 * worth, 6) as equity, round(coalesce(worth / lag(worth) over ({O}) - 1, 0), 6) as ret, round(held_ret, 6) as held_ret, round(open_ret, 6) as open_ret from k"
 
 
 def _simulated(rows, rules):
     out = simulate.simulate(rows, rules)
-    return out.select("asset", "ts", "position", "action", *[rnd(F.col(c)).alias(c) for c in ("equity", "ret", "open_ret")])
+    return out.select("asset", "ts", "position", "action", *[rnd(F.col(c)).alias(c) for c in ("equity", "ret", "held_ret", "open_ret")])
 
 
 @query(f"with recursive {{EB}}, {UPDOWN}, {sim_sql('close', 'case when up then 1 else 0 end', 'case when down then -1 else 0 end', 1, 'ex = -position')} {RES}")
@@ -110,7 +111,7 @@ def trade_ledger(spark, d):
 FEE2 = ((1 - COST) * (1 - SLIP)) ** 2
 
 
-@query(f"with {{EB}}, {UPDOWN}, f as (select *, case when up then close / open * {FEE2}::double else 1 end as f from u) select asset, ts, up as traded, round(f - 1, 6) as ret, round(100 * exp(sum(ln(f)) {CARRY}), 6) as equity from f")
+@query(f"with {{EB}}, {UPDOWN}, f as (select *, case when up then close / open * {FEE2}::double else 1 end as f from u) select asset, ts, up as traded, round(f - 1, 6) as ret, round(100 * product(f) {CARRY}, 6) as equity from f")
 def simulate_same_session(spark, d):
     out = simulate.same_session(crossed(spark, d).withColumn("entry", F.col("up")), COST, SLIP)
     return out.select("asset", "ts", "traded", rnd(F.col("ret")).alias("ret"), rnd(F.col("equity")).alias("equity"))
@@ -152,11 +153,11 @@ def select_rank_reverse_ties(spark, d):
 
 
 DRIFT = f"""h as (select *, coalesce(lag(target) over ({O}), 0) as w, coalesce(close / nullif({lag('close')}, 0) - 1, 0) as r from t),
-p as (select *, sum(w * r) over (partition by ts) as p from h), b as (select ts, any_value(p) as ret, sum(abs(target - coalesce(w * (1 + r) / nullif(1 + p, 0), 0))) as turnover, sum(target) as gross, count(*) filter (abs(target) > 1e-12) as selected from p group by ts)"""
+p as (select *, sum(w * r) over (partition by ts) as p from h), b as (select ts, any_value(p) as ret, sum(abs(target - case when 1 + p > 0 then w * (1 + r) / (1 + p) else w end)) as turnover, sum(target) as gross, count(*) filter (abs(target) > 1e-12) as selected from p group by ts)"""
 
 
 @query(
-    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select *, 100 * exp(sum(ln((1 + ret) * greatest(1 - turnover * {COST}::double, 0))) over (order by ts)) as equity from b)
+    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select *, 100 * product((1 + ret) * greatest(1 - turnover * {COST}::double, 0)) over (order by ts) as equity from b)
 select 'top2' as backtest_id, ts, round(ret, 6) as ret, round(turnover, 6) as turnover, round(gross, 6) as gross, selected, round(equity, 6) as equity, round(equity / (1 - turnover * {COST}::double) * turnover * {COST}::double, 6) as trade_cost from e"""
 )
 def portfolio_every_bar(spark, d):
@@ -165,7 +166,7 @@ def portfolio_every_bar(spark, d):
 
 
 @query(
-    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select *, 100 * exp(sum(ln((1 + ret) * greatest(1 - turnover * {COST}::double, 0))) over (order by ts)) as equity from b)
+    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select *, 100 * product((1 + ret) * greatest(1 - turnover * {COST}::double, 0)) over (order by ts) as equity from b)
 select 'top2' as backtest_id, ts, round(equity, 6) as equity, round(turnover, 6) as turnover, round(1 - gross, 6) as cash from e"""
 )
 def portfolio_fold_parity(spark, d):
@@ -203,9 +204,9 @@ def portfolio_risk_gates(spark, d):
 
 @query(
     f"""with {{EB}}, {TARGET}, h as (select *, coalesce(lag(target) over ({O}), 0) as nw, coalesce(lag(target, 2) over ({O}), 0) as ow, coalesce(open / nullif({lag('close')}, 0) - 1, 0) as rn, coalesce(close / nullif(open, 0) - 1, 0) as rc, coalesce({lag('close')} / nullif({lag('open')}, 0) - 1, 0) as pc from t),
-a as (select *, sum(ow * pc) over (partition by ts) as pd from h), b as (select *, coalesce(ow * (1 + pc) / nullif(1 + pd, 0), 0) as held from a), c as (select *, sum(held * rn) over (partition by ts) as night from b),
-e as (select ts, any_value(night) as night, sum(nw * rc) as day, sum(abs(nw - coalesce(held * (1 + rn) / nullif(1 + night, 0), 0))) as turnover from c group by ts)
-select 'top2' as backtest_id, ts, round(night, 6) as night, round(day, 6) as day, round(turnover, 6) as turnover, round(100 * exp(sum(ln((1 + night) * greatest(1 - turnover * {COST}::double, 0) * (1 + day))) over (order by ts)), 6) as equity from e"""
+a as (select *, sum(ow * pc) over (partition by ts) as pd from h), b as (select *, case when 1 + pd > 0 then ow * (1 + pc) / (1 + pd) else ow end as held from a), c as (select *, sum(held * rn) over (partition by ts) as night from b),
+e as (select ts, any_value(night) as night, sum(nw * rc) as day, sum(abs(nw - case when 1 + night > 0 then held * (1 + rn) / (1 + night) else held end)) as turnover from c group by ts)
+select 'top2' as backtest_id, ts, round(night, 6) as night, round(day, 6) as day, round(turnover, 6) as turnover, round(100 * product((1 + night) * greatest(1 - turnover * {COST}::double, 0) * (1 + day)) over (order by ts), 6) as equity from e"""
 )
 def portfolio_next_open(spark, d):
     return portfolio.next_open(targeted(spark, d), COST).select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("night", "day", "turnover", "equity")])
@@ -214,7 +215,7 @@ def portfolio_next_open(spark, d):
 @query(
     f"""with {{EB}}, {TARGET}, b as (select ts, sum(abs(target)) as gross, sum(target * coalesce(close / nullif(open, 0) - 1, 0)) as trade from t group by ts),
 e as (select *, (1 + trade) * pow((1 - gross * {SLIP}::double) * (1 - gross * {COST}::double), 2) - 1 as ret from b)
-select 'top2' as backtest_id, ts, round(gross, 6) as gross, round(ret, 6) as ret, round(100 * exp(sum(ln(1 + ret)) over (order by ts)), 6) as equity from e"""
+select 'top2' as backtest_id, ts, round(gross, 6) as gross, round(ret, 6) as ret, round(100 * product(1 + ret) over (order by ts), 6) as equity from e"""
 )
 def portfolio_same_session(spark, d):
     return portfolio.session_portfolio(targeted(spark, d), COST, SLIP).select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("gross", "ret", "equity")])
@@ -224,7 +225,7 @@ def portfolio_same_session(spark, d):
     f"""with {{EB}}, a as (select *, 0.2::double as base, dayofweek(ts) = 5 as event, case when asset = 'click' then 0.5::double else 0::double end as overlay, coalesce(lead(open) over ({O}) / nullif(open, 0) - 1, 0) as nx, coalesce(close / nullif(open, 0) - 1, 0) as dy from bars),
 h as (select *, case when event then 0 else base end as held from a), g as (select *, coalesce(lag(held) over ({O}), 0) as bf from h),
 b as (select ts, sum(case when event then overlay * dy else base * nx end) as ret, sum(abs(held - bf) + case when event then 2 * abs(overlay) else 0 end) as turnover from g group by ts)
-select 'overlay' as backtest_id, ts, round(ret, 6) as ret, round(turnover, 6) as turnover, round(100 * exp(sum(ln((1 + ret) * greatest(1 - turnover * {COST}::double, 0))) over (order by ts)), 6) as equity from b"""
+select 'overlay' as backtest_id, ts, round(ret, 6) as ret, round(turnover, 6) as turnover, round(100 * product(greatest(1 + ret, 0) * greatest(1 - turnover * {COST}::double, 0)) over (order by ts), 6) as equity from b"""
 )
 def portfolio_event_overlay(spark, d):
     rows = event_bars(spark, d).withColumns({
@@ -234,9 +235,10 @@ def portfolio_event_overlay(spark, d):
 
 
 @query(
-    f"""with {{EB}}, {TARGET}, h as (select *, coalesce(lag(target) over ({O}), 0) as before from t), g as (select *, target - before as delta, sum(abs(target - before)) over (partition by ts) as turnover from h)
+    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select ts, turnover, 100 * product((1 + ret) * greatest(1 - turnover * {COST}::double, 0)) over (order by ts) as equity from b), f as (select ts, turnover, equity / (1 - turnover * {COST}::double) * turnover * {COST}::double as paid from e),
+hb as (select p.*, case when 1 + p.p > 0 then w * (1 + r) / (1 + p.p) else w end as before from p), g as (select hb.*, target - before as delta, turnover, paid from hb join f using (ts))
 select asset, ts, round(before, 6) as before, round(target, 6) as target, case when before > 1e-12 and abs(target) <= 1e-12 then 'exit' when target > before + 1e-12 then 'buy' when target < before - 1e-12 then 'sell' else 'hold' end as action,
-round(abs(delta) / turnover, 6) as share, round(abs(delta) * {COST}::double, 8) as cost from g where abs(delta) > 1e-12"""
+round(abs(delta) / turnover, 6) as share, round(abs(delta) / turnover * paid, 8) as cost from g where abs(delta) > 1e-12"""
 )
 def portfolio_rebalance_trades(spark, d):
     out = portfolio.rebalance_trades(targeted(spark, d), COST)
@@ -276,7 +278,7 @@ def account_cost_status(spark, d):
 
 
 @query(
-    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select *, 100 * exp(sum(ln((1 + ret) * greatest(1 - turnover * {COST}::double, 0))) over (order by ts)) as equity from b)
+    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select *, 100 * product((1 + ret) * greatest(1 - turnover * {COST}::double, 0)) over (order by ts) as equity from b)
 select 'rotation' as backtest_id, ts, round(equity, 6) as equity, round(turnover, 6) as turnover from e"""
 )
 def strategy_ranked_rotation(spark, d):
@@ -284,6 +286,142 @@ def strategy_ranked_rotation(spark, d):
     return strategy.run(event_bars(spark, d), doc, "rotation").select("backtest_id", "ts", rnd(F.col("equity")).alias("equity"), rnd(F.col("turnover")).alias("turnover"))
 
 
+NEXT_OPEN = f"""with {{EB}}, {TARGET}, h as (select *, coalesce(lag(target) over ({O}), 0) as nw, coalesce(lag(target, 2) over ({O}), 0) as ow, coalesce(open / nullif({lag('close')}, 0) - 1, 0) as rn, coalesce(close / nullif(open, 0) - 1, 0) as rc, coalesce({lag('close')} / nullif({lag('open')}, 0) - 1, 0) as pc from t),
+a as (select *, sum(ow * pc) over (partition by ts) as pd from h), b as (select *, case when 1 + pd > 0 then ow * (1 + pc) / (1 + pd) else ow end as held from a), c as (select *, sum(held * rn) over (partition by ts) as night from b),
+e as (select ts, any_value(night) as night, sum(nw * rc) as day, sum(abs(nw - case when 1 + night > 0 then held * (1 + rn) / (1 + night) else held end)) as turnover from c group by ts)
+select '{{ID}}' as backtest_id, ts, round(turnover, 6) as turnover, round(100 * product((1 + night) * greatest(1 - turnover * {COST}::double, 0) * (1 + day)) over (order by ts), 6) as equity from e"""
+ROTATION = {"cost": COST, "allocation": {"type": "equal_weight", "position_limit": 0.6}}
+
+
+@query(NEXT_OPEN.replace("{ID}", "open"))
+def strategy_next_open(spark, d):
+    """A document's targets traded at the next open, in closed form."""
+    out = strategy.run(event_bars(spark, d), strategy.template("ranked_rotation", execution="next_open", **ROTATION), "open")
+    return out.select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("turnover", "equity")])
+
+
+@query(NEXT_OPEN.replace("{ID}", "fold"))
+def strategy_next_open_fold(spark, d):
+    """The same through the fold, which gates and sparse rebalances need."""
+    doc = strategy.template("ranked_rotation", execution="next_open", risk_gates={"max_positions": 5}, **ROTATION)
+    return strategy.run(event_bars(spark, d), doc, "fold").select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("turnover", "equity")])
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, b as (select ts, sum(abs(target)) as gross, sum(target * coalesce(close / nullif(open, 0) - 1, 0)) as trade from t group by ts),
+e as (select *, (1 + trade) * pow((1 - gross * {SLIP}::double) * (1 - gross * {COST}::double), 2) - 1 as ret from b)
+select 'session' as backtest_id, ts, round(gross, 6) as gross, round(ret, 6) as ret, round(100 * product(1 + ret) over (order by ts), 6) as equity from e"""
+)
+def strategy_same_session(spark, d):
+    out = strategy.run(event_bars(spark, d), strategy.template("ranked_rotation", execution="same_session", slippage=SLIP, **ROTATION), "session")
+    return out.select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("gross", "ret", "equity")])
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, l as (select *, lead(ts, 1) over ({O}) as enter_ts, lead(ts, 3) over ({O}) as leave_ts, lead(close, 3) over ({O}) / nullif(lead(open, 1) over ({O}), 0) - 1 as r from t),
+b as (select ts, min(enter_ts) as enter_ts, min(leave_ts) as leave_ts, sum(target) as gross, sum(target * coalesce(r, 0)) as r from l where dayofweek(ts) = 1 and target > 0 group by ts having min(leave_ts) is not null),
+e as (select *, (1 + r) * pow(1 - gross * {COST}::double, 2) - 1 as ret from b)
+select 'offset' as backtest_id, ts, enter_ts, leave_ts, round(gross, 6) as gross, round(ret, 6) as ret, round(100 * product(1 + ret) over (order by ts), 6) as equity from e"""
+)
+def strategy_bar_offset(spark, d):
+    """Every Monday's choice is bought at the next open and sold at the close two sessions later."""
+    doc = strategy.template("ranked_rotation", execution="bar_offset", offset={"enter": 1, "leave": 3}, **ROTATION)
+    out = strategy.run(event_bars(spark, d), {**doc, "rebalance": {"op": "calendar.weekday_eq", "weekday": "monday"}}, "offset")
+    return out.select("backtest_id", "ts", "enter_ts", "leave_ts", *[rnd(F.col(c)).alias(c) for c in ("gross", "ret", "equity")])
+
+
+@query(
+    f"""with {{EB}}, a as (select *, 0.2::double as base, dayofweek(ts) = 5 as event, case when asset = 'click' then 0.5::double else 0::double end as overlay, coalesce(lead(open) over ({O}) / nullif(open, 0) - 1, 0) as nx, coalesce(close / nullif(open, 0) - 1, 0) as dy from bars),
+h as (select *, case when event then 0 else base end as held from a), g as (select *, coalesce(lag(held) over ({O}), 0) as bf from h),
+b as (select ts, sum(case when event then overlay * dy else base * nx end) as ret, sum(abs(held - bf) + case when event then 2 * abs(overlay) else 0 end) as turnover from g group by ts)
+select 'overlay' as backtest_id, ts, round(ret, 6) as ret, round(turnover, 6) as turnover, round(100 * product(greatest(1 + ret, 0) * greatest(1 - turnover * {COST}::double, 0)) over (order by ts), 6) as equity from b"""
+)
+def strategy_event_overlay(spark, d):
+    panel = event_bars(spark, d)
+    names = [r["asset"] for r in panel.select("asset").distinct().collect()]  # one row an asset of the document
+    doc = strategy.template("event_overlay", cost=COST, overlay={"event": {"op": "calendar.weekday_eq", "weekday": "friday"}, "weights": {"click": 0.5}})
+    doc["allocation"]["weights"] = {n: 0.2 for n in names}
+    return strategy.run(panel, doc, "overlay").select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("ret", "turnover", "equity")])
+
+
+@query(
+    f"""with {{EB}}, v as (select *, close / nullif({lag('close')}, 0) - 1 as ret, close / nullif({lag('close', 5)}, 0) - 1 as m from bars),
+q as (select *, case when count(ret) over ({O} rows between 4 preceding and current row) = 5 then stddev_samp(ret) over ({O} rows between 4 preceding and current row) * sqrt(252) end as c from v),
+f as (select asset, ts, coalesce(m, median(m) over (partition by ts)) as m, coalesce(c, median(c) over (partition by ts)) as c from q),
+g as (select asset, ts, greatest(least(m, quantile_cont(m, 0.99) over (partition by ts)), quantile_cont(m, 0.01) over (partition by ts)) as m, greatest(least(c, quantile_cont(c, 0.99) over (partition by ts)), quantile_cont(c, 0.01) over (partition by ts)) as c from f),
+z as (select asset, ts, (m - avg(m) over (partition by ts)) / nullif(stddev_samp(m) over (partition by ts), 0) as m, (c - avg(c) over (partition by ts)) / nullif(stddev_samp(c) over (partition by ts), 0) as c from g),
+s as (select asset, ts, case when m is not null or c is not null then coalesce(m, 0) / 2 - coalesce(c, 0) / 2 end as score from z),
+r as (select *, case when score is not null then row_number() over (partition by ts, score is not null order by score desc, asset) end as rank from s)
+select asset, ts, round(score, 6) as score, rank, case when rank <= 2 then round(1 / 2.0::double, 6) else 0::double end as target from r"""
+)
+def strategy_factor_rank(spark, d):
+    """The factor stage of a document: raw factors, cleaned by date, composite, rank and weights."""
+    out = strategy.targets(event_bars(spark, d), strategy.template("factor_rank"), "factors")
+    return out.select("asset", "ts", rnd(F.col("score")).alias("score"), "rank", rnd(F.col("target")).alias("target"))
+
+
+LOSS = f"""z as (select b.asset, b.ts, k.id as backtest_id, case when k.id = 'long' and asset = 'click' and ts >= date '2024-01-15' then 0 when k.id = 'short' and asset = 'view' and ts >= date '2024-01-10' then close * 30 else close end as px,
+ case when k.id = 'long' and asset = 'click' then 1::double when k.id = 'short' and asset = 'view' then -1::double else 0::double end as target from bars b, (values ('long'), ('short')) k(id)),
+h as (select *, coalesce(lag(target) over (partition by backtest_id, asset order by ts), 0) as w, coalesce(px / nullif(lag(px) over (partition by backtest_id, asset order by ts), 0) - 1, 0) as r from z),
+p as (select *, sum(w * r) over (partition by backtest_id, ts) as p from h), b as (select backtest_id, ts, any_value(p) as ret, sum(abs(target - case when 1 + p > 0 then w * (1 + r) / (1 + p) else w end)) as turnover from p group by backtest_id, ts)
+select backtest_id, ts, round(ret, 5) as ret, round(turnover, 5) as turnover, round(100 * product((1 + ret) * greatest(1 - turnover * {COST}::double, 0)) over (partition by backtest_id order by ts), 4) as equity from b"""
+
+
+def losing(spark, d):
+    """Two backtests: one holds an asset whose price falls to 0, one is short of an asset whose price jumps to 30 times."""
+    day, click, view = F.col("ts"), F.col("asset") == "click", F.col("asset") == "view"
+    rows = event_bars(spark, d).withColumn("backtest_id", F.explode(F.array(F.lit("long"), F.lit("short"))))
+    long = F.col("backtest_id") == "long"
+    gone, jump = long & click & (day >= F.lit("2024-01-15").cast("date")), ~long & view & (day >= F.lit("2024-01-10").cast("date"))
+    return rows.withColumns({
+        "close": F.when(gone, 0.0).when(jump, F.col("close") * 30).otherwise(F.col("close")), "target": F.when(long & click, 1.0).when(~long & view, -1.0).otherwise(0.0),
+    })
+
+
+def _lost(curve):
+    return curve.select("backtest_id", "ts", rnd(F.col("ret"), 5).alias("ret"), rnd(F.col("turnover"), 5).alias("turnover"), rnd(F.col("equity"), 4).alias("equity"))
+
+
+@query(f"with {{EB}}, {LOSS}")
+def portfolio_total_loss(spark, d):
+    return _lost(portfolio.every_bar(losing(spark, d), COST))
+
+
+@query(f"with {{EB}}, {LOSS}")
+def portfolio_total_loss_fold(spark, d):
+    return _lost(portfolio.account(losing(spark, d).withColumn("rebalance", F.lit(True)), COST))
+
+
+@query("with {EB} select 'short' as backtest_id, ts, 'view' as asset, 'long_only_negative_position' as code, -1::double as value from (select distinct ts from bars)")
+def account_position_breaches(spark, d):
+    curve = portfolio.account(losing(spark, d).withColumn("rebalance", F.lit(True)), COST)
+    return portfolio.position_breaches(curve, event_bars(spark, d)).withColumn("value", rnd(F.col("value")))
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, {DRIFT}, e as (select ts, turnover, 100 * product((1 + ret) * greatest(1 - turnover * {COST}::double, 0)) over (order by ts) as equity from b), f as (select ts, turnover, equity / (1 - turnover * {COST}::double) * turnover * {COST}::double as paid from e),
+hb as (select p.*, case when 1 + p.p > 0 then w * (1 + r) / (1 + p.p) else w end as before from p), g as (select hb.*, target - before as delta, turnover, paid from hb join f using (ts))
+select 'top2' as backtest_id, asset, ts, round(before, 6) as before, round(target, 6) as target, case when before > 1e-12 and abs(target) <= 1e-12 then 'exit' when target > before + 1e-12 then 'buy' when target < before - 1e-12 then 'sell' else 'hold' end as action,
+round(abs(delta) / turnover, 6) as share, round(abs(delta) / turnover * paid, 8) as cost from g where abs(delta) > 1e-12"""
+)
+def account_trades(spark, d):
+    """Trades of a folded account, with the drifted weights before them."""
+    out = portfolio.account_trades(portfolio.account(targeted(spark, d).withColumn("rebalance", F.lit(True)), COST))
+    return out.select("backtest_id", "asset", "ts", "action", *[rnd(F.col(c)).alias(c) for c in ("before", "target", "share")], rnd(F.col("cost"), 8).alias("cost"))
+
+
+@query(f"with {{EB}}, {TARGET} select 'top2' as backtest_id, asset, ts, round(target, 6) as weight from t where target > 0")
+def account_holdings(spark, d):
+    return portfolio.holdings(portfolio.account(targeted(spark, d).withColumn("rebalance", F.lit(True)), COST)).withColumn("weight", rnd(F.col("weight")))
+
+
+@query()
+def account_gate_events(spark, d):
+    rows = targeted(spark, d).withColumn("rebalance", F.lit(True))
+    out = portfolio.account(rows, COST, portfolio.Gates(max_daily_loss=0.3, max_drawdown=0.5, max_positions=1, max_order_size=0.4, action="reduce_exposure"))
+    return portfolio.gate_events(out).withColumns({c: rnd(F.col(c)) for c in ("limit", "observed")})
+
+
 @query()
 def strategy_matrix(spark, d):
     doc = {**strategy.template("single_signal"), "cost": COST}
@@ -318,7 +456,7 @@ def report_turnover(spark, d):
 
 
 @query(
-    f"""with {{EB}}, {TARGET}, h as (select *, target - coalesce(lag(target) over ({O}), 0) as delta from t), tr as (select asset, ts, row_number() over (partition by ts order by asset) as ordinal from h where abs(delta) > 1e-12), ev as (select ts, 1 as ordinal from h group by ts having max(abs(delta)) > 1e-12)
+    f"""with {{EB}}, {TARGET}, {DRIFT}, hd as (select *, target - case when 1 + p > 0 then w * (1 + r) / (1 + p) else w end as delta from p), tr as (select asset, ts, row_number() over (partition by ts order by asset) as ordinal from hd where abs(delta) > 1e-12), ev as (select ts, 1 as ordinal from hd group by ts having max(abs(delta)) > 1e-12)
 select ev.ts, ev.ordinal::int as ordinal, tr.asset from ev left join tr using (ts, ordinal)"""
 )
 def report_event_trades(spark, d):
@@ -345,6 +483,22 @@ def report_feature_audit(spark, d):
     )
 
 
+@query(
+    f"""with {{OB}}, f as (select asset, ts, close as x from bars where n > 1), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
+i as (select *, row_number() over ({O}) as i from j), g as (select *, case when source_ts is not null then i - min(i) over (partition by asset, source_ts) end as age from i),
+s as (select asset, count(*) as rows, count(*) filter (age > 1) as stale_rows, count(*) filter (age > 0) as filled_rows, coalesce(max(age), 0)::double as max_age_bars from g group by asset)
+select *, round(stale_rows / rows::double, 6) as stale_ratio, round(filled_rows / rows::double, 6) as fill_ratio,
+concat_ws(',', case when stale_rows / rows::double >= 0.2 then 'stale_ratio' end, case when filled_rows / rows::double >= 0.2 then 'fill_ratio' end, case when max_age_bars >= 5 then 'max_age' end) as warnings from s"""
+)
+def report_feature_quality(spark, d):
+    """Thresholds and warnings of the feature audit."""
+    from ..operators import align
+    from .market import align_age_bars
+
+    out = align.audit(align_age_bars(spark, d), "asset").withColumn("warnings", F.array_join("warnings", ","))
+    return out.withColumns({c: rnd(F.col(c)) for c in ("stale_ratio", "fill_ratio")})
+
+
 @query(
     f"""with recursive {{EB}}, {UPDOWN}, k as (select asset, ts, i, case when up then i end as since, false as fire from u where i = 1 union all
  select u.asset, u.ts, u.i, case when k.since is not null then (case when u.down or u.i - k.since >= 3 then null else k.since end) when u.up then u.i end, k.since is not null and (u.down or u.i - k.since >= 3) from k join u on u.asset = k.asset and u.i = k.i + 1)

@@ -319,6 +319,17 @@ def calendar_event_frame(spark, d):
     return calendar.event_frame(days, tree)
 
 
+@query(
+    f"""with {{EB}}, h as (select *, {lag('close')} as pc from bars) select asset, ts, (coalesce(case when close > pc then 1 when close < pc then -1 end, 0) + coalesce(case when close > 100 then 1 end, 0) + case when n > 60 then 1 else 0 end)::bigint as signal from h"""
+)
+def legacy_combined(spark, d):
+    """Three legacy signals added up bar by bar."""
+    rows, last = event_bars(spark, d), F.lag("close").over(by_time("asset"))
+    move = F.when(F.col("close") > last, 1).when(F.col("close") < last, -1)
+    both = ind.combined(move, F.when(F.col("close") > 100, 1), F.when(F.col("n") > 60, 1).otherwise(0))
+    return rows.select("asset", "ts", both.cast("long").alias("signal"))
+
+
 # Joins
 
 
@@ -333,6 +344,23 @@ def join_as_of(spark, d):
     return align.as_of(base, ship_feature(spark, d).where("qty > 150"), ["qty"], bars=5)
 
 
+def _event_times(spark, d, kind):
+    events = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type") == kind)
+    return events.groupBy(F.col("ts").cast("timestamp").alias("ts")).agg(F.max("value").alias("value"))
+
+
+@query(
+    """with b as (select distinct ts from events where event_type = 'click'), s as (select ts, max(value) as value from events where event_type = 'view' group by ts),
+g as (select epoch_us(ts) - lag(epoch_us(ts)) over (order by ts) as g from b), m as (select median(g) as gap from g where g > 0)
+select epoch_us(b.ts) as at_us, case when epoch_us(b.ts) - epoch_us(s.ts) <= 2 * gap then epoch_us(s.ts) end as source_us, case when epoch_us(b.ts) - epoch_us(s.ts) <= 2 * gap then s.value end as value
+from b asof left join s on b.ts >= s.ts cross join m"""
+)
+def join_as_of_intraday(spark, d):
+    """The tolerance is a length of time: two median gaps between the clicks' own times."""
+    out = align.as_of(_event_times(spark, d, "click").select("ts"), _event_times(spark, d, "view"), ["value"], bars=2)
+    return out.select(F.unix_micros("ts").alias("at_us"), F.unix_micros("source_ts").alias("source_us"), "value")
+
+
 @query(
     """with {OB}, f as (select asset, ts, close as x from bars where n > 1)
 select b.asset, b.ts, s.ts as source_ts, s.x from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts"""
@@ -417,7 +445,7 @@ def clean_returns(spark, d):
 
 
 @query(
-    f"""with {{OB}}, {GRID} select asset, ts, round(coalesce(close, avg(close) over ({O} rows between 5 preceding and 1 preceding), 0), 6) as mean5,
+    f"""with {{OB}}, {GRID} select asset, ts, round(coalesce(close, avg(close) over ({O} rows between 4 preceding and current row), 0), 6) as mean5,
 coalesce(close, -1) as constant, coalesce(close, last_value(close ignore nulls) over ({O} rows between unbounded preceding and current row), 0) as ffill from p"""
 )
 def clean_missing_fill(spark, d):

@@ -125,6 +125,18 @@ def metrics_monthly_returns(spark, d):
     return metrics.period_returns(metrics.buy_and_hold(order_bars(spark, d)), "month").withColumn("ret", rnd(F.col("ret")))
 
 
+@query(
+    f"""with {{EB}}, {CURVE}, s as (select asset, avg(drawdown) as ad, avg((ret > 0)::int) filter (i > 1 and ret <> 0) as wr, coalesce(sum(ret) filter (i > 1 and ret > 0), 0) as gp, coalesce(sum(ret) filter (i > 1 and ret < 0), 0) as gl,
+ abs(avg(ret) filter (i > 1 and ret > 0) / avg(ret) filter (i > 1 and ret < 0)) as glr, arg_max(equity, ts) / arg_min(equity, ts) - 1 as m from d group by asset)
+select asset, round(ad, 6) as average_drawdown, round(wr, 6) as win_rate, round(gp, 6) as gross_profit, round(gl, 6) as gross_loss, round(glr, 6) as gain_loss_ratio, round(gp / abs(gl), 6) as profit_factor,
+round(m, 6) as best_month, round(m, 6) as worst_month, (m > 0)::int::double as positive_month_ratio from s"""
+)
+def metrics_page(spark, d):
+    """The events span one month, so its return is best and worst at once."""
+    out = metrics.page_metrics(path(spark, d))
+    return out.withColumns({c: rnd(F.col(c)) for c in out.columns if c != "asset"})
+
+
 @query(_period_sql("year"))
 def metrics_yearly_returns(spark, d):
     return metrics.period_returns(metrics.buy_and_hold(order_bars(spark, d)), "year").withColumn("ret", rnd(F.col("ret")))

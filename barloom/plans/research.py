@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, rnd
 from ..operators import clean, matrix, metrics, stats, wfa
 from ..sources.bars import event_bars, order_bars, ship_feature
+from . import strategy
 from .base import query
 from .market import O, lag
 from .reports import ACF, CURVE, path
@@ -98,7 +100,7 @@ SWEEP = f"""n as (select *, row_number() over ({O}) as i from bars), f as (selec
 a as (select n.asset, n.ts, n.i, n.close, p.period, case when count(*) = p.period then avg(m.close) end as av from n join (select fast as period from f union all select slow from s) p on true join n m on m.asset = n.asset and m.i between n.i - p.period + 1 and n.i group by n.asset, n.ts, n.i, n.close, p.period),
 g as (select co.combo_id, co.fast, co.slow, x.asset, x.ts, x.close, x.av > y.av as o from co join a x on x.period = co.fast join a y on y.period = co.slow and y.asset = x.asset and y.ts = x.ts),
 r as (select *, coalesce(lag(o::int) over (partition by combo_id, asset order by ts), 0) * coalesce(close / lag(close) over (partition by combo_id, asset order by ts) - 1, 0) as r from g),
-sw as (select combo_id, fast, slow, asset, exp(sum(ln(1 + r))) - 1 as total_return, avg(r) as mean, stddev_samp(r) as std from r group by all)"""
+sw as (select combo_id, fast, slow, asset, product(1 + r) - 1 as total_return, avg(r) as mean, stddev_samp(r) as std from r group by all)"""
 
 
 def sweep(spark, d):
@@ -183,7 +185,7 @@ def matrix_shortlist(spark, d):
 
 @query()
 def matrix_clusters(spark, d):
-    return rounded(matrix.clusters(cells(spark, d).select("fast", "slow", "mean"), ["fast", "slow"]), "mean")
+    return rounded(matrix.clusters(cells(spark, d).select("fast", "slow", "mean"), ["fast", "slow"], "mean"), "mean")
 
 
 # Walk-forward analysis on the event bars; the SQL has the windows of 30 sessions, as many as the test tables have
@@ -197,7 +199,7 @@ m as (select *, {", ".join(f"case when count(*) over (w rows between {p - 1} pre
 g as (select m.*, co.*, coalesce((case fast when 2 then m2 else m3 end > case slow when 4 then m4 else m5 end)::int, 0) as o from m, co),
 h as (select *, coalesce(lag(o) over (partition by window_id, part, combo_id, asset order by ts), 0) * r as p from g),
 ba as (select window_id, part, combo_id, fast, slow, ts, avg(p) as ret from h group by all),
-pa as (select *, exp(sum(ln(1 + ret)) over w) as equity, row_number() over w as i from ba window w as (partition by window_id, part, combo_id order by ts)),
+pa as (select *, product(1 + ret) over w as equity, row_number() over w as i from ba window w as (partition by window_id, part, combo_id order by ts)),
 pd as (select *, equity / greatest(max(equity) over (partition by window_id, part, combo_id order by ts), 1) - 1 as dd from pa),
 sc as (select window_id, part, combo_id, fast, slow, count(*) as n, count(*) filter (abs(ret) > 1e-12) as active_bars, arg_max(equity, ts) - 1 as total_return, min(dd) as max_drawdown,
  coalesce(avg(ret) filter (i > 1) / nullif(stddev_pop(ret) filter (i > 1), 0) * sqrt(252), 0) as sharpe, coalesce((arg_max(equity, ts) - 1) / nullif(abs(min(dd)), 0), 0) as calmar from pd group by all)"""
@@ -216,6 +218,22 @@ def wfa_scores(spark, d):
     return rounded(out, "total_return", "max_drawdown", "sharpe").withColumn("calmar", rnd(F.col("calmar"), 5))
 
 
+@query(f"with {{EB}}, {WFA} select window_id, part, combo_id, n, active_bars, round(total_return, 6) as total_return, round(max_drawdown, 6) as max_drawdown, round(sharpe, 6) as sharpe, round(calmar, 5) as calmar from sc")
+def wfa_document_scores(spark, d):
+    """The same scores from a strategy document whose periods are bound to each combination."""
+    panel = event_bars(spark, d)
+    names = [r["asset"] for r in panel.select("asset").distinct().collect()]  # one row an asset of the document
+    average = lambda k: {"op": "indicator.sma", "period": {"param_ref": k}}
+    entry = {"op": "gt", "left": "fast", "right": "slow"}
+    doc = {
+        "features": {"fast": average("fast"), "slow": average("slow")}, "entry": entry, "exit": {"op": "not", "node": entry},
+        "allocation": {"type": "fixed_weight", "weights": {n: 1 / len(names) for n in names}}, "rebalance": {"op": "calendar.every_session"},
+    }
+    rows, _ = matrix.combos({"fast": {"type": "set", "values": [2, 3]}, "slow": {"type": "set", "values": [4, 5]}})
+    out = strategy.walk_forward(panel, doc, rows, wfa.windows(panel.select("ts").distinct().count(), 12, 6, 6))
+    return rounded(out, "total_return", "max_drawdown", "sharpe").withColumn("calmar", rnd(F.col("calmar"), 5))
+
+
 CHOSEN = f"""{WFA}, tr as (select *, max((active_bars >= n * 0.2::double)::int) over (partition by window_id) as any_ok from sc where part = 'train'), v as (select * from tr where active_bars >= n * 0.2::double or any_ok = 0),
 ob as (select unnest(['sharpe', 'calmar', 'total_return']) as objective), rk as (select v.*, objective, row_number() over (partition by window_id, objective order by case objective when 'sharpe' then sharpe when 'calmar' then calmar else total_return end desc, combo_id) as k from v, ob),
 ch as (select rk.window_id, rk.combo_id, objective, rk.fast, rk.slow, rk.sharpe as is_sharpe, t.sharpe as oos_sharpe, t.calmar as oos_calmar, t.total_return as oos_total_return, coalesce(t.sharpe / nullif(rk.sharpe, 0), 0) as ratio
@@ -238,9 +256,9 @@ def wfa_ranking_report(spark, d):
     return rounded(wfa.ranking_report(chosen(spark, d)), "mean_score", "mean_return")
 
 
-@query(f"with {{EB}}, {CHOSEN} select window_id, round(avg(is_sharpe), 6) as is_sharpe, round(avg(oos_sharpe), 6) as oos_sharpe, round(avg(oos_total_return), 6) as oos_total_return, count(*) filter ({OK}) as accepted from ch group by window_id")
+@query(f"with {{EB}}, {CHOSEN} select window_id, round(avg(is_sharpe), 6) as is_sharpe, round(avg(oos_sharpe), 6) as oos_sharpe, round(avg(oos_total_return), 6) as oos_total_return, count(*) filter ({OK}) as accepted, min(objective) as first_objective, arg_min(combo_id, objective) as first_combo_id, round(arg_min(oos_sharpe, objective), 6) as first_oos_sharpe from ch group by window_id")
 def wfa_timeline(spark, d):
-    return rounded(wfa.timeline(chosen(spark, d)), "is_sharpe", "oos_sharpe", "oos_total_return")
+    return rounded(wfa.timeline(chosen(spark, d)), "is_sharpe", "oos_sharpe", "oos_total_return", "first_oos_sharpe")
 
 
 @query()
@@ -257,6 +275,6 @@ def stats_best_lag_all(spark, d):
 @query()
 def stats_correlation_p_values(spark, d):
     """Two-sided p-values of both correlations by lag."""
-    p = F.pandas_udf(lambda r, n: __import__("pandas").Series([stats.correlation_p(float(a), int(b)) for a, b in zip(r, n)]), "double")
+    p = F.pandas_udf(lambda r, n: pd.Series(stats.correlation_p(r.to_numpy(float), n.to_numpy(float))), "double")
     out = lagged(spark, d, stats.LAGS)
     return rounded(out.select("asset", "lag", p("pearson", "n").alias("pearson_p"), p("spearman", "n").alias("spearman_p")), "pearson_p", "spearman_p")

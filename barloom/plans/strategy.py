@@ -6,21 +6,32 @@ import copy
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import calendar, indicators, portfolio, registry, signals
+from ..functions.safe import by_time, upto
+from ..operators import calendar, factors, indicators, portfolio, registry, signals, simulate, wfa
 from ..operators.conditions import Context, compile_node
 
 #: Stages of a run: all but the last are window or join plans, the last may be a fold.
 STAGES = ("load", "features", "factors", "conditions", "ranking", "weights", "rebalance", "accounting")
-DEFAULTS = {"features": {}, "allocation": {"type": "equal_weight", "position_limit": 1.0}, "rebalance": {"op": "calendar.month_start"}, "cost": 0.0, "execution": "close"}
+DEFAULTS = {"features": {}, "allocation": {"type": "equal_weight", "position_limit": 1.0}, "rebalance": {"op": "calendar.month_start"}, "cost": 0.0, "slippage": 0.0, "execution": "close"}
+EXECUTIONS = ("close", "next_open", "same_session", "bar_offset", "event_overlay")
+EVERY = ("calendar.every_session", "every_session")
 
 TEMPLATES = {
     "single_signal": {"features": {"fast": {"op": "indicator.sma", "period": 3}, "slow": {"op": "indicator.sma", "period": 5}}, "entry": {"op": "cross_up", "left": "fast", "right": "slow"}, "exit": {"op": "cross_down", "left": "fast", "right": "slow"}, "rebalance": {"op": "signal.change"}},
     "ranked_rotation": {"features": {"score": {"op": "indicator.momentum", "period": 3}}, "selector": {"score": "score", "top_n": 2}, "rebalance": {"op": "calendar.every_session"}},
     "calendar_rotation": {"features": {"score": {"op": "indicator.momentum", "period": 3}}, "selector": {"score": "score", "top_n": 1}, "rebalance": {"op": "calendar.month_start"}},
-    "factor_rank": {"features": {"score": {"op": "indicator.zscore", "period": 5}}, "selector": {"score": "score", "top_n": 2, "ascending": True}, "rebalance": {"op": "calendar.every_session"}},
+    "factor_rank": {
+        "factors": {
+            "raw": {"momentum": {"op": "momentum", "lookback": 5}, "calm": {"op": "volatility", "lookback": 5}},
+            "clean": [{"op": "fill", "how": "cross_section_median"}, {"op": "winsorize"}, {"op": "standardize"}],
+            "composite": {"name": "score", "method": "manual_weight", "weights": {"momentum": 1.0, "calm": -1.0}},
+        },
+        "selector": {"score": "score", "top_n": 2}, "rebalance": {"op": "calendar.every_session"},
+    },
+    "event_overlay": {"overlay": {"event": {"op": "calendar.month_start"}, "weights": {}}, "allocation": {"type": "fixed_weight", "weights": {}}, "execution": "event_overlay"},
 }
 
 
@@ -29,6 +40,14 @@ def normalized(doc: dict) -> dict:
     out = {**copy.deepcopy(DEFAULTS), **copy.deepcopy(doc)}
     bad = [p for k in ("entry", "exit") for p in registry.problems(out.get(k), f"$.{k}")]
     bad += [f"$.features.{n}: unknown op {f.get('op')!r}" for n, f in out["features"].items() if f.get("op") not in registry.OPS]
+    if out["execution"] not in EXECUTIONS:
+        bad.append(f"$.execution: unknown {out['execution']!r}")
+    if out["execution"] == "bar_offset" and not {"enter", "leave"} <= set(out.get("offset", {})):
+        bad.append("$.offset: bar_offset execution needs enter and leave")
+    if out["execution"] == "event_overlay" and not {"event", "weights"} <= set(out.get("overlay", {})):
+        bad.append("$.overlay: event_overlay execution needs event and weights")
+    if out.get("risk_gates") and out["execution"] not in ("close", "next_open"):
+        bad.append(f"$.risk_gates: not with {out['execution']} execution")
     bad += signals.lookahead_problems(out["execution"], fields(out.get("entry")), set(out["features"]))
     if bad:
         raise ValueError("; ".join(bad))
@@ -62,7 +81,7 @@ def plan_hash(doc: dict) -> str:
 def plan(doc: dict) -> dict:
     """Stages, whether accounting has a closed form, and features that share a definition (computed once)."""
     doc = normalized(doc)
-    closed = not doc.get("risk_gates") and doc["rebalance"].get("op") in ("calendar.every_session", "every_session")
+    closed = not doc.get("risk_gates") and (doc["rebalance"].get("op") in EVERY or doc["execution"] not in ("close", "next_open"))
     by_spec: dict[str, list[str]] = {}
     for name, spec in doc["features"].items():
         by_spec.setdefault(plan_hash(spec), []).append(name)
@@ -96,47 +115,180 @@ def with_features(panel: DataFrame, specs: dict[str, dict]) -> DataFrame:
     return rows.withColumns({n: F.col(first[plan_hash(s)]) for n, s in specs.items() if first[plan_hash(s)] != n})
 
 
-def targets(panel: DataFrame, doc: dict) -> DataFrame:
-    """Panel with target weight and rebalance flag."""
-    rows = with_features(panel, doc["features"])
-    alloc, limit = doc["allocation"], doc["allocation"].get("position_limit", 1.0)
-    if "selector" in doc:
-        s = doc["selector"]
-        rows = signals.ranked(rows, s["score"], ascending=s.get("ascending", False), n=s.get("top_n", 1))
-    elif "entry" in doc:
-        ctx = Context(columns=rows.columns)
-        rows = rows.withColumns({"_in": compile_node(doc["entry"], ctx), "_out": compile_node(doc.get("exit", {"op": "not", "node": {"op": "every_session"}}), ctx)})
-        rows = rows.withColumn("selected", signals.state_position(F.col("_in"), F.col("_out"), doc.get("conflict", "exit_then_entry"), next_open=doc["execution"] == "next_open") == 1)
-    else:
-        rows = rows.withColumn("selected", F.lit(True))
-    if alloc["type"] == "equal_weight":
-        rows = rows.withColumn("target", signals.equal_weight(F.col("selected"), limit))
-    elif alloc["type"] == "fixed_weight":
-        rows = rows.withColumn("target", F.when(F.col("selected"), signals.fixed_weight(alloc["weights"])).otherwise(0.0))
-    else:
-        raise ValueError(f"unknown allocation {alloc['type']!r}")
-    if doc["rebalance"]["op"] == "signal.change":
-        return signals.with_change(rows)
-    return rows.withColumn("rebalance", calendar.mask(doc["rebalance"]))
+def with_factors(rows: DataFrame, stage: dict, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The factor stage as one column: raw factors, each cleaned step by step over its date, then the composite.
+
+    raw: name -> {op: momentum | volatility | ratio | column, ...}; clean: a list of steps fill, winsorize,
+    standardize, neutralize, rank; composite: {method: equal_weight | manual_weight, weights}.
+    """
+    build = {
+        "momentum": lambda s: factors.price_momentum(F.col(s.get("source", "close")), s.get("lookback", 126), s.get("skip", 0)),
+        "volatility": lambda s: factors.realized_volatility(F.col("ret"), s.get("lookback", 126)),
+        "ratio": lambda s: factors.ratio(F.col(s["left"]), F.col(s["right"])), "column": lambda s: F.col(s["source"]),
+    }
+    clean = {
+        "fill": lambda c, s: factors.fill_missing(c, s.get("how", "cross_section_median"), s.get("value", 0.0), keys), "standardize": lambda c, s: factors.standardize(c, keys),
+        "winsorize": lambda c, s: factors.winsorize(c, s.get("low", 0.01), s.get("high", 0.99), keys), "rank": lambda c, s: factors.percentile_rank(c, keys),
+        "neutralize": lambda c, s: factors.neutralize(c, F.col(s["group"]) if s.get("group") in rows.columns else None, keys),
+    }
+    names = {n: f"{out}_{n}" for n in stage["raw"]}
+    rows = rows.withColumns({names[n]: build[s["op"]](s) for n, s in stage["raw"].items()})
+    for step in stage.get("clean", []):
+        rows = rows.withColumns({c: clean[step["op"]](F.col(c), step) for c in names.values()})
+    c = stage.get("composite", {})
+    weights = {names[n]: w for n, w in c.get("weights", {}).items()}
+    return rows.withColumn(out, factors.combine(c.get("method", "equal_weight"), list(names.values()), weights)).drop(*names.values())
+
+
+def targets_long(panel: DataFrame, docs: dict[str, dict]) -> DataFrame:
+    """Target weights and rebalance flags of many documents in one long frame, keyed by backtest_id.
+
+    Features, factor scores and condition masks are computed once for each distinct definition, in
+    windows over the panel; then every row is repeated for each document, and what follows (ranks,
+    held positions, weights, changes) is windows keyed by backtest_id. If the panel has a column
+    slice, each slice is a history of its own and ids are ``id|slice``.
+    """
+    docs = {k: normalized(d) for k, d in docs.items()}
+    if any("|" in k for k in docs):
+        raise ValueError("ids must not contain |")
+    cut = ("slice",) if "slice" in panel.columns else ()
+    rows = panel.withColumn("_name", F.col("asset"))
+    if cut:
+        rows = rows.withColumn("asset", F.concat_ws("|", "slice", "asset"))
+    tag = lambda x: plan_hash(x)[:16]
+    rows = with_features(rows, {f"_f{tag(s)}": s for d in docs.values() for s in d["features"].values()})
+    stages = {tag(d["factors"]): d["factors"] for d in docs.values() if d.get("factors")}
+    for key, stage in stages.items():
+        rows = with_factors(rows, stage, f"_s{key}", cut)
+    rows = calendar.with_edges(rows, *[d.get(k) for d in docs.values() for k in ("entry", "exit", "rebalance", "overlay", "selector")])
+    context, masks = {}, {}
+    for k, d in docs.items():
+        names = {n: f"_f{tag(s)}" for n, s in d["features"].items()}
+        if d.get("factors"):
+            names[d["factors"].get("composite", {}).get("name", "score")] = f"_s{tag(d['factors'])}"
+        context[k] = Context(columns=rows.columns, features=names)
+
+    def masked(k: str, node) -> str:
+        name = f"_m{tag([node, sorted(context[k].features.items())])}"
+        masks[name] = compile_node(node, context[k])
+        return name
+
+    never = {"op": "not", "node": {"op": "every_session"}}
+    used = {k: {"entry": masked(k, d["entry"]), "exit": masked(k, d.get("exit", never))} for k, d in docs.items() if "entry" in d}
+    eligible = {k: masked(k, d["selector"]["eligible"]) for k, d in docs.items() if "selector" in d and d["selector"].get("eligible")}
+    rows = rows.withColumns(masks)
+    for k, u in used.items():
+        if timer := docs[k].get("timer"):  # replaces the exit mask, by one fold over each asset
+            new = f"_m{tag([u, timer])}"
+            if new not in rows.columns:
+                rows = simulate.timer_exit(rows.withColumns({"entry": F.col(u["entry"]), "exit": F.col(u["exit"])}), timer["bars"], timer.get("combine", "or"), timer.get("reset", False))
+                rows = rows.drop("entry").withColumnRenamed("exit", new)
+            u["exit"] = new
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def variant(k: str, d: dict):
+        alloc, s = d["allocation"], d.get("selector")
+        score = context[k].resolve(s["score"]).cast("double") if s else none("double")
+        ok = score.isNotNull() & F.col(eligible[k]) if k in eligible else score.isNotNull()
+        event = signals.state_event(F.col(used[k]["entry"]), F.col(used[k]["exit"]), d.get("conflict", "exit_then_entry")) if k in used and not s else none("int")
+        if alloc["type"] not in ("equal_weight", "fixed_weight", "target_weight_frame"):
+            raise ValueError(f"unknown allocation {alloc['type']!r}")
+        fixed = none("double")
+        if alloc["type"] == "fixed_weight":
+            fixed = signals.fixed_weight(alloc.get("weights", {}), alloc.get("weight_profiles"), alloc.get("profile_id"), alloc.get("normalize_if_overweight", True), "_name")
+        frame = F.coalesce(F.col(alloc["frame"]).cast("double"), F.lit(0.0)) if alloc["type"] == "target_weight_frame" else none("double")
+        calm = none("boolean") if d["rebalance"]["op"] == "signal.change" else calendar.mask(d["rebalance"], columns=rows.columns)
+        over = d.get("overlay", {})
+        return F.struct(
+            F.lit(k).alias("id"), F.lit("rank" if s else "state" if k in used else "all").alias("mode"), score.alias("score"), ok.alias("ok"),
+            (score if s and s.get("ascending") else -score).alias("order"), F.lit(s.get("top_n", 1) if s else 0).alias("top_n"), event.alias("event"),
+            F.lit(float(alloc.get("position_limit", 1.0))).alias("limit"), fixed.alias("fixed"), frame.alias("frame"), F.lit(bool(alloc.get("allow_short", False))).alias("short"),
+            F.lit(float(alloc.get("max_gross", 1.0))).alias("gross"), calm.alias("calm"),
+            (calendar.mask(over["event"], columns=rows.columns) if over else none("boolean")).alias("overlaid"),
+            (signals.fixed_weight(over["weights"], asset="_name", signed=True) if over else none("double")).alias("overlay"),
+        )
+
+    rows = rows.select("asset", "_name", "ts", "open", "close", *cut, F.explode(F.array(*[variant(k, d) for k, d in docs.items()])).alias("v"))
+    rows = rows.select("_name", "asset", "ts", "open", "close", "v.*", (F.concat_ws("|", "v.id", *cut) if cut else F.col("v.id")).alias("backtest_id"))
+    key = ("backtest_id",)
+    w = Window.partitionBy(*key, "ts", "ok").orderBy("order", "asset")
+    rows = rows.withColumns({"rank": F.when(F.col("ok"), F.row_number().over(w)), "_held": F.coalesce(F.last("event", ignorenulls=True).over(upto(*key, "asset")), F.lit(0))})
+    chosen = F.when(F.col("mode") == "rank", F.coalesce(F.col("rank") <= F.col("top_n"), F.lit(False))).when(F.col("mode") == "state", F.col("_held") == 1).otherwise(True)
+    rows = rows.withColumn("selected", chosen)
+    given = F.when(F.col("short"), F.col("frame")).otherwise(F.greatest("frame", F.lit(0.0)))
+    rows = rows.withColumns({"_given": given, "_equal": signals.equal_weight(F.col("selected"), F.col("limit"), key)})
+    total = F.sum(F.abs("_given")).over(Window.partitionBy(*key, "ts"))
+    framed = F.when(total > F.col("gross"), F.col("_given") * F.col("gross") / total).otherwise(F.col("_given"))
+    rows = rows.withColumn("target", F.when(F.col("frame").isNotNull(), framed).when(F.col("fixed").isNotNull(), F.when(F.col("selected"), F.col("fixed")).otherwise(0.0)).otherwise(F.col("_equal")))
+    rows = signals.with_change(rows, name="_change", keys=key) if any(d["rebalance"]["op"] == "signal.change" for d in docs.values()) else rows.withColumn("_change", F.lit(False))
+    return rows.select(
+        *key, "ts", F.col("_name").alias("asset"), "open", "close", "score", "rank", "selected", "target", F.coalesce("calm", "_change").alias("rebalance"),
+        F.coalesce("overlaid", F.lit(False)).alias("event"), F.coalesce("overlay", F.lit(0.0)).alias("overlay"),
+    )
+
+
+def targets(panel: DataFrame, doc: dict, backtest_id: str | None = None) -> DataFrame:
+    """Target weights and rebalance flags of one document."""
+    return targets_long(panel, {backtest_id or plan_hash(normalized(doc))[:12]: doc})
+
+
+def accounts(rows: DataFrame, docs: dict[str, dict]) -> DataFrame:
+    """Equity curves of targets_long's rows, by the documents' execution, which must be one and the same.
+
+    close and next_open have a closed form if every session is traded without gates, else one fold a
+    backtest; same_session, bar_offset and event_overlay are windows.
+    """
+    docs = {k: normalized(d) for k, d in docs.items()}
+    kinds = {(d["execution"], plan(d)["accounting"]) for d in docs.values()}
+    if len({e for e, _ in kinds}) > 1:
+        raise ValueError("documents of one run must share their execution")
+    (execution, _), closed = next(iter(kinds)), all(a == "closed_form" for _, a in kinds)
+    cost, one = {k: d["cost"] for k, d in docs.items()}, next(iter(docs.values()))
+    if execution == "same_session":
+        return portfolio.session_portfolio(rows, cost, {k: d["slippage"] for k, d in docs.items()})
+    if execution == "bar_offset":
+        o = one["offset"]
+        if any(d["offset"] != o for d in docs.values()):
+            raise ValueError("documents of one run must share their offset")
+        return portfolio.offset_portfolio(rows, o["enter"], o["leave"], cost, o.get("enter_at", "open"), o.get("leave_at", "close"))
+    if execution == "event_overlay":
+        return portfolio.event_overlay(rows.withColumn("base", F.col("target")), cost)
+    if closed:
+        return portfolio.every_bar(rows, cost) if execution == "close" else portfolio.next_open(rows, cost)
+    gates = {k: portfolio.Gates(**d["risk_gates"]) for k, d in docs.items() if d.get("risk_gates")}
+    return portfolio.account(rows, cost, gates, at=execution)
 
 
 def run(panel: DataFrame, doc: dict, backtest_id: str | None = None) -> DataFrame:
-    """Equity curve of one document over a panel (asset, ts, open, high, low, close, volume)."""
-    doc = normalized(doc)
-    rows = targets(panel, doc).withColumn("backtest_id", F.lit(backtest_id or plan_hash(doc)[:12]))
-    if plan(doc)["accounting"] == "closed_form":
-        return portfolio.every_bar(rows, doc["cost"])
-    gates = portfolio.Gates(**doc["risk_gates"]) if doc.get("risk_gates") else None
-    return portfolio.account(rows, doc["cost"], gates)
+    """Equity curve of one document over a panel (asset, ts, open, high, low, close, volume).
+
+    A curve of portfolio.account also answers portfolio.holdings, rebalance_audit, account_trades and gate_events.
+    """
+    docs = {backtest_id or plan_hash(normalized(doc))[:12]: doc}
+    return accounts(targets_long(panel, docs), docs)
+
+
+def variants(doc: dict, combos: list[dict]) -> dict[str, dict]:
+    return {f"v{i}": bound(doc, p) for i, p in enumerate(combos)}
 
 
 def run_matrix(panel: DataFrame, doc: dict, combos: list[dict]) -> DataFrame:
-    """All bindings of a document's parameters in one plan: variants are a union, accounts one grouped pass."""
-    out = None
-    for i, params in enumerate(combos):
-        one = targets(panel, normalized(bound(doc, params))).select("asset", "ts", "close", "target", "rebalance", F.lit(f"v{i}").alias("backtest_id"))
-        out = one if out is None else out.unionByName(one)
-    return portfolio.account(out, doc.get("cost", 0.0))
+    """All bindings of a document's parameters, costs and gates included, in one long frame and one account."""
+    docs = variants(doc, combos)
+    return accounts(targets_long(panel, docs), docs)
+
+
+def walk_forward(panel: DataFrame, doc: dict, combos: list[dict], plan_: list[tuple]) -> DataFrame:
+    """Scores of every (window, part, binding) of any document, as wfa.select wants them: each slice of the
+    panel is a history of its own, all slices and bindings are one frame."""
+    docs = variants(doc, combos)
+    slices = wfa.sliced(panel.sparkSession, panel, plan_).withColumn("slice", F.concat_ws("|", "window_id", "part")).drop("window_id", "part")
+    curves = accounts(targets_long(slices, docs), docs)
+    at = F.split("backtest_id", r"\|")
+    rows = curves.withColumns({"combo_id": F.substring(at[0], 2, 20).cast("long"), "window_id": at[1].cast("int"), "part": at[2]})
+    keys = ("window_id", "part", "combo_id")
+    last = F.coalesce(F.lag("equity").over(by_time(*keys)), F.lit(100.0))
+    return wfa.path_scores(rows.withColumn("ret", F.coalesce(F.try_divide(F.col("equity"), last) - 1, F.lit(0.0))), keys)
 
 
 def template(name: str, **changes) -> dict:

@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import align, calendar, clean, factors, indicators, matrix, metrics, portfolio, registry, signals, simulate, stats, wfa
@@ -134,6 +135,40 @@ def test_as_of_tolerance_across_years_and_duplicates(spark):
         align.resolve_instrument(["ts"], ["ts", "asset"], 2)
 
 
+def test_as_of_tolerance_is_a_length_of_time(spark):
+    at = lambda m, s=0: dt.datetime(2025, 9, 24, 9, m, s)
+    base = spark.createDataFrame([(at(5 * k),) for k in range(6)], "ts timestamp")
+    source = spark.createDataFrame([(at(0), 1.0), (at(9, 30), 2.0)], "ts timestamp, x double")
+    assert column(align.as_of(base, source, ["x"]), "x") == [1, 1, 2, 2, 2, 2]
+    assert column(align.as_of(base, source, ["x"], bars=1), "x") == [1, 1, 2, None, None, None]
+    assert align.median_gap(base).first()["gap"] == 300
+    keyed = align.as_of(base.withColumn("k", F.lit("a")), source.withColumn("k", F.lit("a")), ["x"], by=["k"], bars=2)
+    assert column(keyed, "x") == [1, 1, 2, 2, None, None]
+    assert align.as_of(base.limit(0), source, ["x"], bars=1).collect() == [] and column(align.as_of(base, source.limit(0), ["x"], bars=1), "x") == [None] * 6
+
+
+def test_mean_of_five_counts_the_missing_row(spark):
+    df = panel(spark, [10, 20, 30, 40, 50, 60]).withColumn("close", F.when(F.col("close") != 60, F.col("close")))
+    assert column(df.withColumn("f", clean.fill(F.col("close"), "mean5")), "f") == [10, 20, 30, 40, 50, 35]
+
+
+def test_calendar_edges_equal_windows(spark):
+    days = [DAY + dt.timedelta(days=11 * k) for k in range(40)]
+    df = spark.createDataFrame([(a, d) for a in "ab" for d in days], "asset string, ts date")
+    for unit in ("month", "quarter", "year"):
+        for side in ("start", "end"):
+            node = {"op": f"calendar.{unit}_{side}"}
+            rows = calendar.with_edges(df, {"op": "all", "nodes": [node]})
+            both = rows.select("ts", calendar.mask(node, columns=rows.columns).alias("x"), calendar.mask(node).alias("y"))
+            assert both.where("x <> y").count() == 0 and both.where("x").count() > 1
+            assert with_mask(df, node).columns == ["asset", "ts", "mask"]
+
+
+def test_held_return_leaves_out_entry_and_exit_costs():
+    r = simulate.fold(np.array([1, 0, 0, 0]), np.array([0, 0, -1, 0]), np.array([100.0, 110.0, 121.0, 130.0]), simulate.Rules(cost=0.01))
+    assert r["held_ret"] == pytest.approx([0, 0.1, 0.1, 0]) and r["ret"][2] == pytest.approx(1.1 * 0.99 - 1)
+
+
 def test_recursive_indicators_with_gaps(spark):
     df = panel(spark, [1, 2, 3, 4, 5]).withColumn("close", F.when(F.col("close") != 3, F.col("close")))
     out = indicators.recursive(df, {"e": {"op": "ema", "period": 3}})
@@ -163,6 +198,52 @@ def test_closed_form_equals_fold_with_costs(spark):
     assert column(a, "equity") == pytest.approx(column(b, "equity"), abs=1e-9)
 
 
+def test_closed_forms_equal_folds_through_losses(spark):
+    """Prices that fall to 0 or jump, short targets: window forms and folds agree, with and without fills at the open."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for b in range(4):
+        for a in "xyz":
+            px = 100 * np.exp(np.cumsum(rng.normal(0, 0.05, 30)))
+            if b % 2 and a == "x":
+                px[12:] = 0.0
+            if b > 1 and a == "y":
+                px[20:] *= 40
+            opens = px * rng.uniform(0.97, 1.03, 30)
+            rows += [(f"b{b}", DAY + dt.timedelta(days=t), a, float(o), float(c), float(w)) for t, (o, c, w) in enumerate(zip(opens, px, rng.uniform(-1.2, 1.2, 30)))]
+    df = spark.createDataFrame(rows, "backtest_id string, ts date, asset string, open double, close double, target double")
+    every = df.withColumn("rebalance", F.lit(True))
+    for a, b in ((portfolio.every_bar(df, 0.002), portfolio.account(every, 0.002)), (portfolio.next_open(df, 0.002), portfolio.account(every, 0.002, at="next_open"))):
+        for name in ("equity", "turnover"):
+            assert column(a, name, ["backtest_id", "ts"]) == pytest.approx(column(b, name, ["backtest_id", "ts"]), rel=1e-9, abs=1e-9)
+    bad = portfolio.every_bar(df, 0.002).where("equity <= 0").count()
+    assert bad >= 10
+    one = spark.createDataFrame([("a", DAY, 10.0, 10.0, True), ("a", DAY + dt.timedelta(days=1), 10.0, 25.0, True), ("a", DAY + dt.timedelta(days=2), 10.0, 10.0, True)], "asset string, ts date, open double, close double, entry boolean")
+    assert column(simulate.same_session(one, 0.0, 0.0, side=-1), "equity") == pytest.approx([100, -50, -50])
+    gone = one.withColumn("close", F.when(F.col("close") == 25, 1e-300).otherwise(F.col("close")))
+    assert column(simulate.same_session(gone, 0.0, 0.0), "equity") == pytest.approx([100, 0, 0], abs=1e-9)
+
+
+def test_account_frames(spark):
+    rows = [("b", DAY + dt.timedelta(days=t), a, 10.0 + t * k, w, t in (0, 2)) for t in range(4) for a, k, w in (("x", 1.0, 0.5), ("y", -1.0, 0.5))]
+    df = spark.createDataFrame(rows, "backtest_id string, ts date, asset string, close double, target double, rebalance boolean")
+    curve = portfolio.account(df, 0.01, portfolio.Gates(max_drawdown=0.005, action="reduce_exposure"))
+    assert portfolio.rebalance_audit(curve).count() == 2
+    trades = {(r["ts"], r["asset"]): r for r in portfolio.account_trades(curve).collect()}
+    late = DAY + dt.timedelta(days=2)
+    # two days of +1 and -1 on prices of 10 leave the account as it was and weights at 0.6 and 0.4; a drawdown of the entry cost halves the target
+    events = [(r["ts"], r["gate"], r["limit"], round(r["observed"], 6)) for r in portfolio.gate_events(curve).collect()]
+    assert events == [(late, "max_drawdown", -0.005, -0.01)]
+    assert trades[late, "x"]["before"] == pytest.approx(0.6) and trades[late, "y"]["before"] == pytest.approx(0.4) and trades[late, "x"]["target"] == 0.25
+    paid = {r["ts"]: r["trade_cost"] for r in curve.collect()}
+    assert sum(t["cost"] for k, t in trades.items() if k[0] == late) == pytest.approx(paid[late]) and trades[late, "x"]["cost"] == pytest.approx(paid[late] * 0.35 / 0.5)
+    assert {(r["asset"], r["weight"]) for r in portfolio.holdings(curve).where(F.col("ts") == late).collect()} == {("x", 0.25), ("y", 0.25)}
+    assert portfolio.position_breaches(curve, df, portfolio.account_trades(curve)).collect() == []
+    worse = curve.withColumn("equity", F.col("equity") + 1).withColumn("weights", F.create_map(F.lit("x"), F.lit(-0.5)))
+    bad = {r["code"] for r in portfolio.position_breaches(worse, df.withColumn("close", F.lit(float("nan"))), portfolio.account_trades(curve).withColumn("cost", F.lit(-1.0))).collect()}
+    assert bad == {"equity_cash_market_value_mismatch", "long_only_negative_position", "market_value_positions_prices_mismatch", "non_finite_price", "trade_record_negative_or_non_finite_fee", "trade_record_position_reconciliation_mismatch"}
+
+
 def test_gates():
     g = portfolio.Gates(max_daily_loss=0.02, max_drawdown=0.1, max_positions=1, max_order_size=0.3, action="flatten")
     t, b = np.array([0.5, 0.4]), np.array([0.1, 0.0])
@@ -184,6 +265,22 @@ def test_factor_neutral_and_reserved(spark):
         factors.combine("ic_weight", ["x"])
 
 
+def test_clusters(spark):
+    assert [matrix.cluster_count(n) for n in (1, 3, 4, 8, 9, 16, 100)] == [1, 1, 2, 2, 3, 4, 5]
+    df = spark.createDataFrame([(1.0, 10.0, 0.1), (2.0, 10.0, 0.2), (9.0, 10.0, 0.9)], "a double, b double, s double")
+    assert [r["a"] for r in matrix.clusters(df, ["a", "b"], "s").where("representative").collect()] == [2.0]
+    tie = spark.createDataFrame([(1.0, 0.1), (3.0, 0.9), (2.5, 0.3), (1.5, 0.4)], "a double, s double").where("a in (1, 3)")
+    assert [r["a"] for r in matrix.clusters(tie, ["a"], "s").where("representative").collect()] == [3.0]
+
+
+def test_page_metrics_over_months(spark):
+    days = [dt.date(2024, 1, 30), dt.date(2024, 1, 31), dt.date(2024, 2, 5), dt.date(2024, 2, 20), dt.date(2024, 3, 1)]
+    path = metrics.with_path(spark.createDataFrame([("a", d, e) for d, e in zip(days, (100.0, 110.0, 99.0, 99.0, 198.0))], "asset string, ts date, equity double"))
+    r = metrics.page_metrics(path).first()
+    assert (r["best_month"], r["worst_month"], r["positive_month_ratio"]) == pytest.approx((1.0, -0.1, 2 / 3))
+    assert (r["win_rate"], r["gain_loss_ratio"], r["profit_factor"], r["average_drawdown"]) == pytest.approx((2 / 3, 0.55 / 0.1, 11.0, -0.04))
+
+
 def test_matrix_domains():
     assert matrix.expand({"type": "range", "start": 0.1, "stop": 0.3, "step": 0.1}) == pytest.approx([0.1, 0.2, 0.3])
     rows, warn = matrix.combos({"a": {"type": "set", "values": [1, 2]}, "b": {"type": "fixed", "value": 3}}, warn_cap=1)
@@ -239,6 +336,69 @@ def test_strategy_documents(spark):
     assert strategy.bound({"x": {"param_ref": "p"}}, {"p": 4}) == {"x": 4}
 
 
+def two(spark):
+    up = [5, 4, 3, 4, 5, 6, 7, 8, 7, 6, 5, 4, 6, 8, 7, 9]
+    return panel(spark, up).unionByName(panel(spark, [9, 8, 9, 7, 6, 8, 9, 5, 4, 5, 6, 8, 9, 7, 5, 6], "b"))
+
+
+def test_matrix_is_its_single_runs(spark):
+    doc = strategy.template("single_signal", risk_gates={"max_drawdown": {"param_ref": "down"}})
+    doc["features"]["slow"]["period"], doc["cost"] = {"param_ref": "slow"}, {"param_ref": "cost"}
+    combos = [{"slow": 4, "cost": 0.0, "down": 0.9}, {"slow": 5, "cost": 0.01, "down": 0.9}, {"slow": 5, "cost": 0.05, "down": 0.05}]
+    rows = strategy.run_matrix(two(spark), doc, combos).collect()
+    seen = set()
+    for i, c in enumerate(combos):
+        alone = column(strategy.run(two(spark), strategy.bound(doc, c)), "equity")
+        assert [r["equity"] for r in sorted(rows, key=lambda r: r["ts"]) if r["backtest_id"] == f"v{i}"] == pytest.approx(alone)
+        seen.add(tuple(alone))
+    assert len(seen) == 3 and any(r["gates"] for r in rows if r["backtest_id"] == "v2")
+    swept = strategy.run_matrix(two(spark), strategy.template("ranked_rotation", cost={"param_ref": "cost"}), [{"cost": 0.0}, {"cost": 0.02}])
+    end = {r["backtest_id"]: r["equity"] for r in swept.orderBy("ts").collect()}
+    assert end["v0"] > end["v1"]
+    with pytest.raises(ValueError, match="share"):
+        strategy.accounts(None, {"a": strategy.template("ranked_rotation"), "b": strategy.template("ranked_rotation", execution="next_open")})
+
+
+def test_document_options(spark):
+    base = strategy.template("single_signal", rebalance={"op": "calendar.every_session"})
+    plain_, timed = (column(strategy.targets(panel(spark, [5, 4, 3, 4, 5, 6, 7, 8, 9, 10]), d), "target") for d in (base, {**base, "timer": {"bars": 2}}))
+    first = plain_.index(1.0)
+    assert plain_[first:] == [1.0] * (10 - first) and timed[first : first + 3] == [1.0, 1.0, 0.0]
+    profiles = {"type": "fixed_weight", "weight_profiles": {"p": {"a": 0.9, "b": 0.6}, "q": {"a": -1, "b": 0.2}}, "profile_id": {"param_ref": "id"}}
+    doc = {"allocation": profiles, "rebalance": {"op": "calendar.every_session"}}
+    got = {(r["backtest_id"], r["asset"]): round(r["target"], 6) for r in strategy.targets_long(two(spark), strategy.variants(doc, [{"id": "p"}, {"id": "q"}])).collect()}
+    assert got == {("v0", "a"): 0.6, ("v0", "b"): 0.4, ("v1", "a"): 0.0, ("v1", "b"): 0.2}
+    with pytest.raises(ValueError, match="profile"):
+        strategy.targets(two(spark), strategy.bound(doc, {"id": "z"}))
+    framed = two(spark).withColumn("w", F.when(F.col("asset") == "a", 0.9).otherwise(-0.6))
+    for short, want in ((False, {"a": 0.9, "b": 0.0}), (True, {"a": 0.6, "b": -0.4})):
+        doc = {"allocation": {"type": "target_weight_frame", "frame": "w", "allow_short": short}, "rebalance": {"op": "calendar.every_session"}}
+        assert {r["asset"]: round(r["target"], 6) for r in strategy.targets(framed, doc).collect()} == want
+    some = strategy.template("ranked_rotation")
+    some["selector"] = {**some["selector"], "top_n": 1, "eligible": {"op": "calendar.weekday_eq", "weekday": "monday"}}
+    assert all(r["ts"].weekday() == 0 for r in strategy.targets(two(spark), some).where("selected").collect())
+    for bad, what in (({"execution": "zap"}, "unknown 'zap'"), ({"execution": "bar_offset"}, "needs enter"), ({"execution": "event_overlay"}, "needs event"), ({"execution": "same_session", "risk_gates": {"max_positions": 1}}, "not with")):
+        with pytest.raises(ValueError, match=what):
+            strategy.normalized(bad)
+
+
+def test_walk_forward_over_documents(spark):
+    entry = {"op": "gt", "left": "fast", "right": "slow"}
+    average = lambda k: {"op": "indicator.sma", "period": {"param_ref": k}}
+    doc = {"features": {"fast": average("fast"), "slow": average("slow")}, "entry": entry, "exit": {"op": "not", "node": entry}, "rebalance": {"op": "signal.change"}, "cost": 0.01}
+    combos = [{"fast": 2, "slow": 3}, {"fast": 2, "slow": 4}]
+    plan = wfa.windows(16, 6, 4, 3)
+    scores = strategy.walk_forward(two(spark), doc, combos, plan)
+    rows = {(r["window_id"], r["part"], r["combo_id"]): r for r in scores.collect()}
+    assert set(rows) == {(w[0], p, c) for w in plan for p in ("train", "test") for c in (0, 1)}
+    w = plan[1]
+    days = [DAY + dt.timedelta(days=k) for k in range(16)]
+    alone = strategy.run(two(spark).where(F.col("ts").between(days[w[1]], days[w[2] - 1])), strategy.bound(doc, combos[1]))
+    assert rows[1, "train", 1]["total_return"] == pytest.approx(column(alone, "equity")[-1] / 100 - 1) and rows[1, "train", 1]["n"] == 6
+    chosen = wfa.accepted(wfa.select(scores, labels=()))
+    assert {r["window_id"] for r in chosen.collect()} == {w[0] for w in plan} and wfa.ranking_report(chosen, labels=()).count() >= 1
+
+
 
 def test_sources_and_sinks(spark, tmp_path):
     wide = spark.createDataFrame([("2024-01-01", 1.0, float("nan")), ("2024-01-02", 2.0, 3.0)], "Date string, A double, B double")
@@ -266,6 +426,66 @@ def test_sources_and_sinks(spark, tmp_path):
     assert dict(spark.read.parquet(str(tmp_path / "m/metrics")).dtypes)["equity"] == "float"
 
 
+def test_other_readers(spark, tmp_path):
+    t = lambda n: str(tmp_path / n)
+    spark.createDataFrame([("2024-01-01", "1", "x", 3.0)], "date string, o string, h string, close double").write.option("header", True).csv(t("p.csv"))
+    one = readers.single_asset(spark, t("p.csv")).first()
+    assert (one["Open"], one["High"], one["Low"], one["Close"]) == (1.0, None, None, 3.0)
+    spark.createDataFrame([("A", "2024-01-01", None), ("B", "2024-01-01", "2024-02-01")], "Symbol string, start_date string, end_date string").write.parquet(t("u.parquet"))
+    assert [tuple(r) for r in readers.universe(spark, t("u.parquet")).orderBy("asset").collect()] == [("A", DAY, None), ("B", DAY, dt.date(2024, 2, 1))]
+    spark.createDataFrame([("2024-01-01",), ("2024-01-01",), ("none",)], "date string").write.json(t("e.json"))
+    with_bad = readers.scan(spark, t("e.json")).where("date <> 'none'")
+    with_bad.write.json(t("f.jsonl"))
+    assert [r["event"] for r in readers.event_dates(spark, t("f.jsonl")).collect()] == [DAY]
+    price, outside = panel(spark, [1, 2]), spark.createDataFrame([(DAY, 7.0)], "ts date, x double")
+    assert readers.joined_predictor(price, outside).count() == 1
+    with pytest.raises(Exception, match="no common time"):
+        readers.joined_predictor(price, outside.withColumn("ts", F.lit(dt.date(2020, 1, 1)))).collect()
+    a, b = (spark.createDataFrame([(DAY, s, v)], "ts date, asset string, close double") for s, v in (("A", 1.0), ("B", 2.0)))
+    assert column(readers.with_retried(a, b.unionAll(a.withColumn("close", F.lit(9.0)))), "close", "asset") == [1.0, 2.0]
+    a.write.parquet(t("runs/1.parquet"))
+    b.write.parquet(t("runs/2.parquet"))
+    assert {r["source_file"].split("/")[-2] for r in readers.runs(spark, t("runs/*.parquet")).collect()} == {"1.parquet", "2.parquet"}
+
+
+def test_other_sinks(spark, tmp_path):
+    t = lambda n: str(tmp_path / n)
+    df = spark.createDataFrame([("b", 1.0)], "backtest_id string, x double")
+    sinks.trade_records(df, t("r"), ("parquet", "csv", "json", "orc"), audit=df)
+    assert spark.read.orc(t("r/orc")).count() == spark.read.json(t("r/audit_jsonl")).count() == 1
+    with pytest.raises(ValueError):
+        sinks.trade_records(df, t("r"), ("xlsx",))
+    sinks.factors({"raw": df}, t("f"))
+    sinks.walk_forward(df, df, t("w"))
+    sinks.report(df, t("p"))
+    assert spark.read.parquet(t("f/raw")).count() == spark.read.parquet(t("w/selected_optimum")).count() == spark.read.json(t("p/json")).count() == 1
+    assert spark.read.option("header", True).csv(t("w/ranking")).columns == ["backtest_id", "x"]
+
+
+def test_whole_account_is_written(spark, tmp_path):
+    doc = strategy.template("single_signal", cost=0.01, risk_gates={"max_positions": 1})
+    curve = strategy.run(two(spark), doc, "one")
+    frames = {"equity_curve": curve, "holdings": portfolio.holdings(curve), "rebalance_audit": portfolio.rebalance_audit(curve), "rebalance_trades": portfolio.account_trades(curve), "risk_gate_events": portfolio.gate_events(curve)}
+    sinks.portfolio(frames, str(tmp_path / "out"), doc, {"ok": True}, csv=True)
+    assert spark.read.parquet(str(tmp_path / "out/rebalance_trades")).count() == frames["rebalance_trades"].count() > 0
+    assert spark.read.parquet(str(tmp_path / "out/equity_curve")).count() == 16
+
+
+def test_registered_indicator_in_a_document(spark):
+    registry.register_indicator("last_two_sum", lambda c, period=2: c + F.lag(c).over(Window.partitionBy("asset").orderBy("ts")))
+    with pytest.raises(ValueError):
+        registry.register_indicator("sma", None)
+    doc = {"features": {"s": {"op": "indicator.last_two_sum"}}, "selector": {"score": "s", "top_n": 1}, "rebalance": {"op": "calendar.every_session"}}
+    rows = strategy.targets(two(spark), doc)
+    assert column(rows.where("asset = 'a'"), "score")[:3] == [None, 9.0, 7.0]
+
+
+def test_event_frame_of_event_dates(spark):
+    days = spark.createDataFrame([(DAY + dt.timedelta(days=k),) for k in (0, 1, 4)], "ts date")
+    node = {"op": "calendar.weekday_eq", "weekday": "tuesday"}
+    assert [r["ts"] for r in calendar.trigger_sessions(days, node).collect()] == [DAY + dt.timedelta(days=1)]
+
+
 def test_paged_source(spark):
     spark.sparkContext.addPyFile(str(Path(__file__).with_name("paged_fixture.py")))
     spark.dataSource.register(readers.PagedBars)
@@ -275,7 +495,7 @@ def test_paged_source(spark):
 
 def test_walk_forward_queries_cover_all_sessions(spark, monkeypatch):
     closes = [100 + 5 * math.sin(i / 3) + i / 10 for i in range(44)]
-    bars = panel(spark, closes).unionByName(panel(spark, closes[::-1], "b")).localCheckpoint()
+    bars = panel(spark, closes).unionByName(panel(spark, closes[::-1], "b"))
     monkeypatch.setattr(research, "event_bars", lambda s, d: bars)
     got = {(r["window_id"], r["part"]) for r in research.wfa_scores(spark, "").select("window_id", "part").distinct().collect()}
     assert got == {(k, p) for k in range(5) for p in ("train", "test")}
@@ -286,7 +506,7 @@ def test_walk_forward_queries_cover_all_sessions(spark, monkeypatch):
 
 def test_lag_queries_cover_all_lags(spark, monkeypatch):
     y = [math.sin(i * i) for i in range(140)]
-    bars = panel(spark, [100 * math.exp(sum(y[: i + 1]) / 50) for i in range(140)]).localCheckpoint()
+    bars = panel(spark, [100 * math.exp(sum(y[: i + 1]) / 50) for i in range(140)])
     qty = spark.createDataFrame([(DAY + dt.timedelta(days=i), y[i + 17]) for i in range(123)], "ts date, qty double")
     monkeypatch.setattr(research, "order_bars", lambda s, d: bars)
     monkeypatch.setattr(research, "ship_feature", lambda s, d: qty)
