@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from itertools import product
 
@@ -51,6 +52,57 @@ def sampled(rows: list[dict], budget: int, seed: int = 42) -> list[dict]:
     return [rows[i] for i in sorted(random.Random(seed).sample(range(len(rows)), budget))]
 
 
+def suggested(domains: dict[str, dict], scores: list[tuple[dict, float]], batch: int, seed: int = 42, best: float = 0.25, tries: int = 24) -> list[dict]:
+    """New combinations by a tree-structured Parzen estimate over the axes' own values.
+
+    The scores so far are split into the best share and the rest. Each axis has a density for both,
+    smoothed over neighbouring values and never 0; of ``tries`` combinations drawn from the best ones'
+    densities, the one with the largest ratio of both is taken, ``batch`` times without repeats. With
+    fewer than four scores, or none left to draw, combinations are drawn evenly.
+    """
+    axes, rng = {k: expand(d) for k, d in domains.items()}, random.Random(seed + len(scores))
+    seen = {tuple(p[k] for k in axes) for p, _ in scores}
+    size = 1
+    for v in axes.values():
+        size *= len(v)
+    ranked_ = sorted(scores, key=lambda s: -s[1])
+    cut = max(1, round(best * len(ranked_)))
+
+    def density(rows: list[tuple[dict, float]], k: str) -> list[float]:
+        values = axes[k]
+        at = [values.index(p[k]) for p, _ in rows]
+        width = max(1.0, len(values) / 6)
+        raw = [1.0 / len(values) + sum(math.exp(-(((i - j) / width) ** 2) / 2) for j in at) for i in range(len(values))]
+        return [r / sum(raw) for r in raw]
+
+    good, bad = ({k: density(rows, k) for k in axes} for rows in (ranked_[:cut], ranked_[cut:]))
+    out: list[dict] = []
+    while len(out) < batch and len(seen) < size:
+        even = len(scores) < 4
+        drawn = [{k: rng.choices(v, None if even else good[k])[0] for k, v in axes.items()} for _ in range(tries)]
+        fresh = [c for c in drawn if tuple(c.values()) not in seen]
+        if not fresh:  # what is left is rare under the densities: take it in order
+            fresh = [dict(zip(axes, next(v for v in product(*axes.values()) if v not in seen)))]
+        ratio = lambda c: sum(math.log(good[k][axes[k].index(c[k])] / bad[k][axes[k].index(c[k])]) for k in axes)
+        pick = fresh[0] if even else max(fresh, key=ratio)
+        seen.add(tuple(pick.values()))
+        out.append(pick)
+    return out
+
+
+def search(evaluate, domains: dict[str, dict], budget: int, batch: int = 8, seed: int = 42) -> list[tuple[dict, float]]:
+    """Sequential search: ``evaluate`` scores a batch of combinations, in one Spark plan, and gives one number
+    each (None or NaN counts as the worst); the scores so far, best first. Only parameters and scores are on the driver."""
+    scores: list[tuple[dict, float]] = []
+    while len(scores) < budget:
+        rows = suggested(domains, scores, min(batch, budget - len(scores)), seed)
+        if not rows:
+            break
+        found = [float("-inf") if v is None or v != v else float(v) for v in evaluate(rows)]
+        scores += list(zip(rows, found))
+    return sorted(scores, key=lambda s: -s[1])
+
+
 def combo_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """combo_id and one column per axis; a control-plane table bounded by the cap."""
     return spark.createDataFrame([(i, *r.values()) for i, r in enumerate(rows)], ["combo_id", *rows[0]])

@@ -149,9 +149,38 @@ def partial_autocorrelation(acf: DataFrame, keys=KEYS) -> DataFrame:
     return acf.groupBy(*names).applyInPandas(one, f"{kinds}, lag int, pacf double")
 
 
-#: Asymptotic critical points of the tests with a constant, 1, 5 and 10 %.
+def default_lags(rows: DataFrame, keys=KEYS, most: int = 60) -> int:
+    """min(most, half of the longest series)."""
+    longest = rows.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    return max(1, min(most, longest // 2))
+
+
+#: Asymptotic critical points of the tests with a constant, 1, 5 and 10 % (KPSS also 2.5 %).
 ADF_POINTS = (-3.43, -2.86, -2.57)
 KPSS_POINTS = (0.739, 0.463, 0.347)
+KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+#: MacKinnon's response surface of the unit-root test with a constant (1994): the normal quantile
+#: of the p-value as a polynomial of the statistic, up to and above the turn, and the ends of its range.
+ADF_TURN, ADF_LEAST, ADF_MOST = -1.61, -18.83, 2.74
+ADF_LOW = (2.1659, 1.4412, 0.038269)
+ADF_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def adf_p(statistic: float) -> float:
+    if np.isnan(statistic):
+        return float("nan")
+    if statistic > ADF_MOST:
+        return 1.0
+    if statistic < ADF_LEAST:
+        return 0.0
+    quantile = sum(c * statistic**k for k, c in enumerate(ADF_LOW if statistic <= ADF_TURN else ADF_HIGH))
+    return float(normal_cdf(np.array([quantile]))[0])
+
+
+def kpss_p(statistic: float) -> float:
+    """Between the tabulated points by straight lines, not beyond them: 0.01 to 0.1."""
+    points, p = zip(*KPSS_TABLE)
+    return float("nan") if np.isnan(statistic) else float(np.interp(statistic, points, p))
 
 
 def adf(x: np.ndarray) -> float:
@@ -184,16 +213,18 @@ def kpss(x: np.ndarray) -> float:
 
 
 def stationarity(rows: DataFrame, x: str, keys=KEYS) -> DataFrame:
-    """ADF and KPSS statistics with verdicts at 5 % from tabulated points."""
+    """ADF and KPSS statistics, p-values, and verdicts at 5 % from tabulated points."""
     names = list(keys)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("ts")[x].dropna().to_numpy(float)
         a, k = (adf(v), kpss(v)) if len(v) >= 10 else (float("nan"), float("nan"))
-        return pd.DataFrame([[*pdf[names].iloc[0], a, k, a < ADF_POINTS[1], k < KPSS_POINTS[1]]], columns=[*names, "adf", "kpss", "adf_stationary", "kpss_stationary"])
+        return pd.DataFrame(
+            [[*pdf[names].iloc[0], a, k, adf_p(a), kpss_p(k), a < ADF_POINTS[1], k < KPSS_POINTS[1]]], columns=[*names, "adf", "kpss", "adf_p", "kpss_p", "adf_stationary", "kpss_stationary"]
+        )
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
-    return rows.select(*names, "ts", x).groupBy(*names).applyInPandas(one, f"{kinds}, adf double, kpss double, adf_stationary boolean, kpss_stationary boolean")
+    return rows.select(*names, "ts", x).groupBy(*names).applyInPandas(one, f"{kinds}, adf double, kpss double, adf_p double, kpss_p double, adf_stationary boolean, kpss_stationary boolean")
 
 
 def seasonality(rows: DataFrame, x: str, period: int, keys=KEYS) -> DataFrame:

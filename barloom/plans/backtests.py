@@ -195,7 +195,40 @@ def portfolio_drift_account(spark, d):
     return portfolio.account(rows, COST).select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("equity", "ret", "turnover")])
 
 
-@query()
+def fold_sql(target: str = "t") -> str:
+    """A drifting account in SQL, session by session, as a table k (backtest_id, ts, eq, tu, w, gates), from rows w0
+    (backtest_id, asset, ts, close, target, reb) on a full grid; ``target`` is what becomes of the list t of a
+    session's targets, given wb (the drifted weights), ret, eq1 and pk, as a list of lists of [weights, gates]."""
+    each = lambda x, f: f"list_transform({x}, lambda z: {f})"
+    return f"""h0 as (select *, coalesce(close / nullif(lag(close) over (partition by backtest_id, asset order by ts), 0) - 1, 0) as r from w0),
+j0 as (select *, dense_rank() over (partition by backtest_id order by ts) as i, dense_rank() over (partition by backtest_id order by asset) as n from h0),
+g0 as (select backtest_id, i, any_value(ts) as ts, bool_or(reb) as reb, list(r order by n) as r, list(target order by n) as t from j0 group by backtest_id, i),
+k as (select backtest_id, 0::bigint as i, ts, 100::double as eq, 100::double as pk, 0::double as tu, {each('t', '0::double')} as w, '' as gates from g0 where i = 1
+ union all
+ select backtest_id, i, ts, case when reb then eq1 * greatest(0, 1 - tu0 * {COST}::double) else eq1 end, pk, case when reb then tu0 else 0 end, case when reb then nw else wb end, case when reb then fired else '' end from
+  (select *, list_sum({each('list_zip(nw, wb)', 'abs(z[1] - z[2])')}) as tu0 from
+   (select *, {target} as nw, {GATE_NAMES if target != 't' else "''"} as fired from
+    (select *, greatest(kpk, eq1) as pk from
+     (select g0.backtest_id, g0.i, g0.ts, g0.reb, g0.t, k.pk as kpk, k.eq * (1 + p.ret) as eq1, p.ret, {each('list_zip(k.w, g0.r)', 'case when 1 + p.ret > 0 then z[1] * (1 + z[2]) / (1 + p.ret) else z[1] end')} as wb
+      from k join g0 on g0.backtest_id = k.backtest_id and g0.i = k.i + 1, lateral (select list_sum({each('list_zip(k.w, g0.r)', 'z[1] * z[2]')}) as ret) p)))))"""
+
+
+HALVED = "list_transform(t, lambda x: x * (case when ret <= -0.3 then 0.5 else 1 end) * (case when eq1 / pk - 1 <= -0.5 then 0.5 else 1 end))"
+LARGEST = f"list_max(list_transform({HALVED}, lambda x: abs(x)))"
+#: The place of the largest target, the last one in a tie.
+PLACE = f"list_max(list_transform(range(1, len(t) + 1), lambda i: case when abs(list_extract({HALVED}, i)) = {LARGEST} then i else 0 end))"
+SINGLE = f"list_transform(range(1, len(t) + 1), lambda i: case when i = {PLACE} then list_extract({HALVED}, i) else 0::double end)"
+CLIPPED = f"list_transform(list_zip(wb, {SINGLE}), lambda z: z[1] + greatest(-0.4::double, least(0.4::double, z[2] - z[1])))"
+GATE_NAMES = (
+    "concat_ws(',', case when ret <= -0.3 then 'max_daily_loss' end, case when eq1 / pk - 1 <= -0.5 then 'max_drawdown' end, case when len(list_filter(t, lambda x: abs(x) > 1e-12)) > 1 then 'max_positions' end, "
+    f"case when list_max(list_transform(list_zip(wb, {SINGLE}), lambda z: abs(z[2] - z[1]))) > 0.4::double + 1e-12 then 'max_order_size' end)"
+)
+
+
+@query(
+    f"""with recursive {{EB}}, {TARGET}, w0 as (select 'top2' as backtest_id, asset, ts, close, target, true as reb from t), {fold_sql(CLIPPED)}
+select backtest_id, ts, round(eq, 6) as equity, round(list_sum(w), 6) as gross, gates from k where i > 0"""
+)
 def portfolio_risk_gates(spark, d):
     rows = targeted(spark, d).withColumn("rebalance", F.lit(True))
     out = portfolio.account(rows, COST, portfolio.Gates(max_daily_loss=0.3, max_drawdown=0.5, max_positions=1, max_order_size=0.4, action="reduce_exposure"))
@@ -422,7 +455,18 @@ def account_gate_events(spark, d):
     return portfolio.gate_events(out).withColumns({c: rnd(F.col(c)) for c in ("limit", "observed")})
 
 
-@query()
+@query(
+    f"""with recursive {{EB}}, v0 as (select *, unnest([4, 5, 6]) as slow from bars),
+a0 as (select *, case when count(*) over (w rows between 2 preceding and current row) = 3 then avg(close) over (w rows between 2 preceding and current row) end as fa,
+ case slow {" ".join(f"when {n} then case when count(*) over (w rows between {n - 1} preceding and current row) = {n} then avg(close) over (w rows between {n - 1} preceding and current row) end" for n in (4, 5, 6))} end as sa
+ from v0 window w as (partition by slow, asset order by ts)),
+x0 as (select *, lag(fa) over w as pf, lag(sa) over w as ps from a0 window w as (partition by slow, asset order by ts)),
+e0 as (select *, last_value(case when fa > sa and pf <= ps then 1 when fa < sa and pf >= ps then 0 end ignore nulls) over (partition by slow, asset order by ts rows between unbounded preceding and current row) = 1 as held from x0),
+y0 as (select *, case when held then 1.0::double / sum(held::int) over (partition by slow, ts) else 0::double end as target from e0),
+c0 as (select *, max((abs(target - coalesce(lt, 0)) > 1e-12)::int) over (partition by slow, ts) = 1 as reb from (select *, lag(target) over (partition by slow, asset order by ts) as lt from y0)),
+w0 as (select 'v' || (slow - 4)::varchar as backtest_id, asset, ts, close, target, reb from c0), {fold_sql()}
+select backtest_id, ts, round(eq, 6) as equity, round(tu, 6) as turnover from k where i > 0"""
+)
 def strategy_matrix(spark, d):
     doc = {**strategy.template("single_signal"), "cost": COST}
     doc["features"]["slow"]["period"] = {"param_ref": "slow"}

@@ -142,14 +142,14 @@ def metrics_yearly_returns(spark, d):
     return metrics.period_returns(metrics.buy_and_hold(order_bars(spark, d)), "year").withColumn("ret", rnd(F.col("ret")))
 
 
-ACF = f"""v as (select *, ret - avg(ret) over (partition by asset) as dv from d), k as (select unnest(range(1, 6)) as lag),
+ACF = f"""v as (select *, ret - avg(ret) over (partition by asset) as dv from d), k as (select unnest(range(1, 11)) as lag),
 x as (select a.asset, k.lag, sum(a.dv * b.dv) as s from v a join k on true join v b on b.asset = a.asset and b.i = a.i - k.lag group by all), t as (select asset, sum(dv * dv) as v, count(*) as n from v group by asset)
 select x.asset, x.lag::int as lag, round(s / v, 6) as acf, abs(s / v) > 1.96 / sqrt(n) as significant from x join t using (asset)"""
 
 
 @query(f"with {{EB}}, {CURVE}, {ACF}")
 def stats_autocorrelation(spark, d):
-    return metrics.autocorrelation(path(spark, d), "ret", 5).withColumn("acf", rnd(F.col("acf")))
+    return metrics.autocorrelation(path(spark, d), "ret", 10).withColumn("acf", rnd(F.col("acf")))
 
 
 SIM = f"{UPDOWN}, {sim_sql('close', *LS, 0, 'ex = -position')}, {LEDGER.partition('select asset, ts, (case')[0]}"

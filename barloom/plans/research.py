@@ -18,9 +18,9 @@ def rounded(df, *names):
     return df.withColumns({n: rnd(F.col(n)) for n in names})
 
 
-def named_acf(end: int = 6) -> str:
+def named_acf(end: str = "11") -> str:
     """The autocorrelations as a table y, unrounded."""
-    head, tail = ACF.replace("range(1, 6)", f"range(1, {end})").replace("round(s / v, 6) as acf", "s / v as acf").split("\nselect x.asset")
+    head, tail = ACF.replace("range(1, 11)", f"range(1, {end})").replace("round(s / v, 6) as acf", "s / v as acf").split("\nselect x.asset")
     return f"{head}, y as (select x.asset{tail})"
 
 
@@ -55,7 +55,18 @@ def stats_distribution(spark, d):
     return rounded(stats.distribution(path(spark, d), "ret").drop("ks", "anderson"), "skew", "excess_kurtosis")
 
 
-@query()
+def normal_sql(z: str) -> str:
+    """The standard normal distribution function in SQL: its power series, with the odd factorials by lgamma."""
+    size = f"abs({z})"
+    series = f"list_sum(list_transform(range(0, 260), lambda k: exp((2 * k + 1) * ln({size}) - ((k + 1) * ln(2) + lgamma(k + 1.5::double) - 0.5 * ln(pi())) - {size} * {size} / 2)))"
+    return f"case when {z} = 0 then 0.5::double when {size} > 12 then ({z} > 0)::int::double else 0.5::double + sign({z}) * {series} / sqrt(2 * pi()) end"
+
+
+@query(
+    f"""with {{EB}}, {CURVE}, g as (select asset, ret as x, row_number() over (partition by asset order by ret) as i, count(*) over (partition by asset) as n, (ret - avg(ret) over (partition by asset)) / stddev_samp(ret) over (partition by asset) as z from d),
+nc as (select asset, i, n, {normal_sql('x')} as p, {normal_sql('z')} as q, {normal_sql('(-z)')} as u from g)
+select asset, round(max(greatest(i / n::double - p, p - (i - 1) / n::double)), 6) as ks, round(-any_value(n) - sum(((2 * i - 1) * ln(q) + (2 * (n - i) + 1) * ln(u)) / n::double), 6) as anderson from nc group by asset"""
+)
 def stats_normality(spark, d):
     return rounded(stats.distribution(path(spark, d), "ret").select("asset", "ks", "anderson"), "ks", "anderson")
 
@@ -70,9 +81,24 @@ def stats_partial_autocorrelation(spark, d):
     return rounded(out.groupBy("asset").pivot("lag", [1, 2]).agg(F.first("pacf")).select("asset", F.col("1").alias("pacf1"), F.col("2").alias("pacf2")), "pacf1", "pacf2")
 
 
+@query(
+    f"""with {{EB}}, {CURVE}, {named_acf("(select least(60, max(k) // 2) + 1 from (select count(*) as k from d group by asset))")} select asset, lag, round(acf, 6) as acf from y"""
+)
+def stats_autocorrelation_all(spark, d):
+    """Autocorrelations at all default lags: up to 60, and to half of the longest series."""
+    rows = path(spark, d)
+    return rounded(metrics.autocorrelation(rows, "ret", stats.default_lags(rows)).select("asset", "lag", "acf"), "acf")
+
+
+@query()
+def stats_partial_autocorrelation_all(spark, d):
+    rows = path(spark, d)
+    return rounded(stats.partial_autocorrelation(metrics.autocorrelation(rows, "ret", stats.default_lags(rows))), "pacf")
+
+
 @query()
 def stats_stationarity(spark, d):
-    return rounded(stats.stationarity(path(spark, d), "ret"), "adf", "kpss")
+    return rounded(stats.stationarity(path(spark, d), "ret"), "adf", "kpss", "adf_p", "kpss_p")
 
 
 @query(
@@ -85,7 +111,7 @@ def stats_seasonality(spark, d):
 
 
 @query(
-    f"""with {{EB}}, {CURVE}, {named_acf(11)},
+    f"""with {{EB}}, {CURVE}, {named_acf()},
 w as (select *, lag(acf) over (partition by asset order by lag) as pv, lead(acf) over (partition by asset order by lag) as nx from y) select asset, arg_max(lag, row(acf, -lag)) as period from w where acf > pv and acf > nx group by asset"""
 )
 def stats_dominant_period(spark, d):

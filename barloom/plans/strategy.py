@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, upto
-from ..operators import calendar, factors, indicators, portfolio, registry, signals, simulate, wfa
+from ..operators import calendar, factors, indicators, matrix, portfolio, registry, signals, simulate, wfa
 from ..operators.conditions import Context, compile_node
 
 #: Stages of a run: all but the last are window or join plans, the last may be a fold.
@@ -291,5 +291,17 @@ def walk_forward(panel: DataFrame, doc: dict, combos: list[dict], plan_: list[tu
     return wfa.path_scores(rows.withColumn("ret", F.coalesce(F.try_divide(F.col("equity"), last) - 1, F.lit(0.0))), keys)
 
 
+def optimum(panel: DataFrame, doc: dict, domains: dict[str, dict], budget: int, objective: str = "total_return", batch: int = 8, seed: int = 42) -> list[tuple[dict, float]]:
+    """Parameters of a document by sequential search (matrix.search), each batch one run_matrix; scores as in wfa.path_scores."""
+    def evaluate(rows: list[dict]) -> list[float]:
+        curves = run_matrix(panel, doc, rows)
+        last = F.coalesce(F.lag("equity").over(by_time("backtest_id")), F.lit(100.0))
+        found = wfa.path_scores(curves.withColumn("ret", F.coalesce(F.try_divide(F.col("equity"), last) - 1, F.lit(0.0))), ("backtest_id",))
+        by = {r["backtest_id"]: r[objective] for r in found.select("backtest_id", objective).collect()}  # one number a combination
+        return [by.get(f"v{i}") for i in range(len(rows))]
+
+    return matrix.search(evaluate, domains, budget, batch, seed)
+
+
 def template(name: str, **changes) -> dict:
     return {**copy.deepcopy(TEMPLATES[name]), **changes}

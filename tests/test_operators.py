@@ -290,6 +290,33 @@ def test_matrix_domains():
     assert len(matrix.sampled([{"a": i} for i in range(10)], 4)) == 4
 
 
+def test_sequential_search(spark):
+    domains = {"a": {"type": "range", "start": 0, "stop": 30}, "b": {"type": "set", "values": list(range(20))}}
+    calls = []
+
+    def evaluate(rows):
+        calls.append(len(rows))
+        return [None if r["a"] == 0 else -((r["a"] - 21) ** 2) - (r["b"] - 5) ** 2 for r in rows]
+
+    found = matrix.search(evaluate, domains, 80, batch=10)
+    even = max(-((r["a"] - 21) ** 2) - (r["b"] - 5) ** 2 for r in matrix.sampled(matrix.combos(domains)[0], 80))
+    assert len(found) == 80 and calls == [10] * 8 and len({tuple(p.values()) for p, _ in found}) == 80 and found[0][1] >= max(even, -8)
+    assert found == matrix.search(evaluate, domains, 80, batch=10)
+    small = matrix.search(lambda rows: [1.0] * len(rows), {"a": {"type": "set", "values": [1, 2, 3]}}, 10)
+    assert sorted(p["a"] for p, _ in small) == [1, 2, 3]
+    doc = {**strategy.template("single_signal"), "cost": 0.01}
+    doc["features"]["slow"]["period"] = {"param_ref": "slow"}
+    best = strategy.optimum(two(spark), doc, {"slow": {"type": "set", "values": [4, 5, 6]}}, 3)
+    alone = {k: column(strategy.run(two(spark), strategy.bound(doc, {"slow": k})), "equity")[-1] / 100 - 1 for k in (4, 5, 6)}
+    assert best[0][1] == pytest.approx(max(alone.values())) and {p["slow"] for p, _ in best} == {4, 5, 6}
+
+
+def test_p_values_of_stationarity():
+    assert [round(stats.adf_p(v), 2) for v in (-3.43, -2.86, -2.57)] == [0.01, 0.05, 0.1] and stats.adf_p(3.0) == 1.0 and stats.adf_p(-20.0) == 0.0
+    assert abs(stats.adf_p(-1.61) - stats.adf_p(-1.6099)) < 2e-3
+    assert [stats.kpss_p(v) for v in (0.1, 0.347, 0.463, 0.739, 5.0)] == pytest.approx([0.1, 0.1, 0.05, 0.01, 0.01])
+
+
 def test_windows():
     assert wfa.windows(10, 4, 2) == [(0, 0, 4, 4, 6), (1, 2, 6, 6, 8), (2, 4, 8, 8, 10)]
     assert wfa.windows(10, 4, 2, anchored=True)[-1] == (2, 0, 8, 8, 10)
