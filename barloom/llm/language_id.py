@@ -183,6 +183,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return lang, score, rate
 
 
+#: More languages than this are an error: the model that is broadcast holds a bounded sample of each.
+MOST_LANGUAGES = 500
+
+
 def _draw(docs: DataFrame, max_bytes: int) -> DataFrame:
     """Per lang: cap, the bytes that one text may give; share, the u below which rows are drawn; least, its smallest u.
 
@@ -195,6 +199,8 @@ def _draw(docs: DataFrame, max_bytes: int) -> DataFrame:
     per: dict[str, list] = {}
     for r in sizes.collect():  # a few dozen rows a language
         per.setdefault(r["lang"], []).append(r)
+    if len(per) > MOST_LANGUAGES:
+        raise ValueError(f"{len(per)} languages; at most {MOST_LANGUAGES} can be learned at once")
     rows = []
     for lang, found in per.items():
         k = (max_bytes // 16).bit_length()
@@ -280,7 +286,8 @@ def identify(
     (ties: the first by name), score its posterior under equal priors, bits_per_byte its rate.
     ``und`` with score 0 and null rate if the text is null, has no letter, or no language was
     learned. A null doc_id counts as the empty text in the fold rule. Rows are judged one by one,
-    so repeated rows get equal results.
+    so repeated rows get equal results; a very long text is coded whole, in pieces that overlap by the
+    context. More than MOST_LANGUAGES languages are an error.
 
     With ``times``, a column fits is added: whether bits_per_byte is at most so many times the median
     rate of the language's held-out texts (of a bounded sample), with 64 bits a text to spare.

@@ -289,7 +289,8 @@ def score_documents(
     start being the first context; base_score adds up log10((c + 1) / (N + V + 1)), n_known the tokens with c > 0.
 
     Null or empty text is the end token alone. A null doc_id counts as the empty text in the fold
-    rule. Repeated rows count as often as they occur. Without training rows every estimate is
+    rule. Repeated rows count as often as they occur. A very long text is one
+    document of a chunk of its own size. Without training rows every estimate is
     uniform, so both scores are 0.
     """
     spark = docs.sparkSession

@@ -633,6 +633,13 @@ def test_training_sample_of_few_long_texts(spark):
     assert language_id.training_sample(few.limit(0), 3000) == {}
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="3 languages"):
+        language_id.training_sample(rows, 3000)
+
+
 def test_language_stage_drops_unlearned_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(600)
     other = [
