@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -203,3 +203,22 @@ def blocked(rows: DataFrame, keys: list[str], blocks: str, node: str) -> DataFra
     rows = rows.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_o", blocks)
     by = [*keys, "bi", "bj"]
     return rows.repartition(*by).sortWithinPartitions(*by)
+
+
+def ranked(rows: DataFrame, order: list, name: str, group: str | None = None) -> DataFrame:
+    """rows with ``place`` (1, 2, 3...) in the given order within each group, and the group's ``total``, without a
+    window over a whole group.
+
+    Rows are dealt to ranges of (group, order) and stored; a range's first place is the sum of the
+    sizes of the group's ranges before it (one row a range and group). Equal rows may part over
+    ranges, by their number. A group of rows is a non-null column.
+    """
+    by = [group] if group else []
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    dealt = stored(numbered.repartitionByRange(*by, *order, "_row").withColumn("_range", F.spark_partition_id()), name)
+    sizes = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by)
+    before = sizes.select("_range", *by, (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("total"))
+    own = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order, "_row"))
+    placed = dealt.withColumn("_own", own).join(before if by else F.broadcast(before), ["_range", *by])  # without groups one row a partition
+    return placed.withColumn("place", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range", "_row")

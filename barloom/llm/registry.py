@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, ngram_jaccard, sentencepiece_fst, token_count, toxicity, url_filter
+from . import (
+    decontaminate, embedding_dedup, importance, language_id, line_dedup, lm_score, merkle, ngram_jaccard, pii, sentencepiece_fst, token_count, toxicity, url_filter,
+)
 from .common import table
 
 
@@ -56,15 +58,30 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_token_counts, op3_lm_score, op4_sentencepiece, op5_toxicity, op6_ngram_jaccard,
         op7_decontamination, op8_line_dedup, op9_language_id, op10_embedding_dedup,
+        op11_importance_resampling, op12_merkle_manifest, op13_pii,
     )
 }
 ORACLES = {
     "op1_url_filter": url_filter.oracle(),
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
