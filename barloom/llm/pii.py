@@ -160,6 +160,9 @@ def disguises(kind: int, s: str) -> Iterator[str]:
     else:
         yield s[1:]
         yield "00" + s[1:]
+        yield "00" + _digits(s)
+        if "(" in s:
+            yield s[s.index("(") :]
         yield s[1:].replace(" ", "/").replace("-", "/")
         yield s[1:].replace(" ", ".").replace("-", ".")
 
@@ -179,7 +182,7 @@ def examples(text: str, spans: list[Span], most: int = 16) -> Iterator[tuple[int
 
     Found values in other forms are the positives, in the place where they were found and, if they are numbers,
     also next to another number. Negatives are candidates that touch no found value, that cut a disguised one
-    short or go beyond it, and spoiled values.
+    short, go beyond it or take it for another kind, and spoiled values.
     """
     made = [[0, 0] for _ in KINDS]
 
@@ -196,8 +199,8 @@ def examples(text: str, spans: list[Span], most: int = 16) -> Iterator[tuple[int
             new, at = left + ahead + s + right, len(left) + len(ahead)
             yield from take(kind, yes, new, (at, kind, at + len(s)))
             for c in candidates(new) if yes else ():
-                if c[1] == kind and c[0] < at + len(s) and at < c[2] and (c[0], c[2]) != (at, at + len(s)):
-                    yield from take(kind, False, new, c)
+                if c[0] < at + len(s) and at < c[2] and c != (at, kind, at + len(s)):
+                    yield from take(c[1], False, new, c)
     for c in candidates(text):
         if not any(a < c[2] and c[0] < b for a, _, b in spans):
             yield from take(c[1], False, text, c)
@@ -330,7 +333,7 @@ def train(docs: DataFrame, max_docs: int, max_bytes: int, max_examples: int) ->
 
 
 def chosen(models: dict[int, Trees], text: str, base: list[Span], least: float) -> list[tuple[Span, float]]:
-    """Candidates of at least that probability which touch no base span, most probable first, none touching a better one."""
+    """Candidates of at least that probability which touch no base span; the longest first, then the most probable, none touching one before it."""
     if not models:
         return []
     taken = np.array([(a, b) for a, _, b in base], np.int64).reshape(-1, 2)
@@ -355,7 +358,7 @@ def chosen(models: dict[int, Trees], text: str, base: list[Span], least: float)
     judge()
     out: list[tuple[Span, float]] = []
     used = _Taken()
-    for c, p in sorted(good, key=lambda x: (-x[1], -(x[0][2] - x[0][0]), x[0])):
+    for c, p in sorted(good, key=lambda x: (x[0][0] - x[0][2], -x[1], x[0])):
         if used.add(c[0], c[2]):
             out.append((c, p))
     return sorted(out)
@@ -417,7 +420,7 @@ def find(
 
     base are the rules' spans of the whole text, of any length. The trees are fitted on a bounded sample
     (see ``train``); a candidate that touches no base span is added if its calibrated probability is ``least`` or
-    more and no better candidate overlaps it. A null or empty text has no span. Rows are judged one by
+    more and no longer one overlaps it. A null or empty text has no span. Rows are judged one by
     one, so repeated rows get equal results. In a corpus without enough found values nothing is added.
     """
     base = renamed(docs, doc_id=id_col, text=text_col)
