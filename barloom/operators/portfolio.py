@@ -1,7 +1,8 @@
 """Multi-asset accounting on long frames (backtest_id, ts, asset, close, target, ...).
 
-Where targets are set on every bar the account is a product of per-bar factors and needs windows
-only; with sparse rebalances, drifting weights or equity-dependent gates it is one fold per backtest.
+Where targets are set on every bar the account is a product of per-bar factors. Between sparse rebalances
+each holding grows with its own price, so a segment's value is a sum over holdings: windows as well.
+Only gates that look at the equity reached so far need a fold, one per backtest.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def before_trades(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def _curve(rows: DataFrame, cost, keys: tuple[str, ...]) -> DataFrame:
     bars = rows.groupBy(*keys, "ts").agg(
         F.first("_p").alias("ret"), F.sum(F.abs(F.col("target") - F.col("before"))).alias("turnover"),
-        F.sum("target").alias("gross"), F.count_if(F.abs("target") > 1e-12).alias("selected"),
+        F.sum("target").alias("gross"), F.sum(F.abs("target")).alias("gross_size"), F.count_if(F.abs("target") > 1e-12).alias("selected"),
     )
     rate = cost_column(cost)
     kept = F.greatest(1 - F.col("turnover") * rate, F.lit(0.0))
@@ -54,9 +55,9 @@ def cost_column(cost):
 
 
 def every_bar(df: DataFrame, cost, keys: tuple[str, ...] = (ID,)) -> DataFrame:
-    """Closed form for targets set on every bar: one row per (keys, ts) with ret, turnover, trade_cost, gross, selected, equity.
+    """Closed form for targets set on every bar: one row per (keys, ts) with ret, turnover, trade_cost, gross, gross_size, selected, equity.
 
-    cost is a rate, or a dict of rates by backtest_id.
+    cost is a rate, or a dict of rates by backtest_id. gross is the net sum of the weights, gross_size that of their sizes.
     """
     return _curve(before_trades(df, keys), cost, keys)
 
@@ -176,23 +177,132 @@ class Gates:
 
 
 CURVE = (
-    f"{ID} string, ts date, equity double, ret double, turnover double, trade_cost double, selected int, gross double, cash double, "
+    f"{ID} string, ts date, equity double, ret double, turnover double, trade_cost double, selected int, gross double, gross_size double, cash double, "
     "weights map<string,double>, before map<string,double>, contributions map<string,double>, gates array<string>, "
     "gate_events array<struct<gate:string,limit:double,observed:double>>"
 )
 
 
+def full_grid(df: DataFrame) -> DataFrame:
+    """A row for every asset of a backtest on every session of it: target 0 and no price where there was none."""
+    sessions = df.groupBy(ID, "ts").agg(F.max(F.coalesce("rebalance", F.lit(False))).alias("trade"))
+    assets = df.select(ID, "asset").distinct()
+    rows = sessions.join(assets, ID).join(df.select(ID, "ts", "asset", "open", "close", "target"), [ID, "ts", "asset"], "left")
+    return rows.withColumn("target", F.coalesce(F.nanvl("target", F.lit(0.0)), F.lit(0.0)))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint, if the session names a folder for them."""
+    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None and folder:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() else df
+
+
+STEP = ("ts", "half")
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """rows (id, asset, ts, half, r, target, trade) with ret, before (weights just before the trade) and held.
+
+    A segment runs from the bar after a start, where weights are set, to the next start. In it a holding is worth its first
+    weight times its growth, the account the sum of them and cash. A bar on which all is lost leaves the
+    weights as they were, so it is a start too; such bars are split off in rounds, one for each in a segment.
+    """
+    own, all_ = by_time(ID, "asset", order=STEP), Window.partitionBy(ID, *STEP)
+    rows = rows.withColumns({"start": F.col("trade"), "w0": F.col("target")})
+    while True:
+        seg = rows.withColumns({
+            "k": F.coalesce(F.sum(F.col("start").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_last": F.coalesce(F.lag("w0").over(own), F.lit(0.0)),
+        })
+        piece = by_time(ID, "asset", "k", order=STEP)
+        seg = seg.withColumns({
+            "_base": F.when(F.col("k") == 0, 0.0).otherwise(F.first("_last").over(piece)), "_g": compounded(1 + F.col("r"), piece.rowsBetween(Window.unboundedPreceding, 0)),
+        })
+        seg = seg.withColumn("_v", 1 + F.sum(F.col("_base") * (F.col("_g") - 1)).over(all_))
+        seg = seg.withColumns({"_g1": F.coalesce(F.lag("_g").over(piece), F.lit(1.0)), "_v1": F.coalesce(F.lag("_v").over(piece), F.lit(1.0))})
+        seg = seg.withColumns({
+            "ret": F.col("_v") / F.col("_v1") - 1, "_was": F.col("_base") * F.col("_g1") / F.col("_v1"),
+            "_lost": (F.col("_v") <= 0) & ~F.col("start") & (F.coalesce(F.min("_v").over(piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)) > 0),
+        })
+        seg = seg.withColumn("before", F.when(F.col("_v") > 0, F.col("_base") * F.col("_g") / F.col("_v")).otherwise(F.col("_was")))
+        if seg.where("_lost").isEmpty():
+            break
+        rows = seg.select(*rows.columns, "_lost", "_was").withColumns({"start": F.col("start") | F.col("_lost"), "w0": F.when(F.col("_lost"), F.col("_was")).otherwise(F.col("w0"))}).drop("_lost", "_was")
+        rows = _settled(rows)
+    return seg.withColumn("held", F.when(F.col("trade"), F.col("target")).otherwise(F.col("before"))).withColumn("gain", F.col("_was") * F.col("r"))
+
+
 def account(df: DataFrame, cost, gates=None, at: str = "close") -> DataFrame:
-    """Drift accounting with sparse rebalances: one fold per backtest over (ts, asset, open, close, target, rebalance).
+    """Drift accounting with sparse rebalances over (backtest_id, ts, asset, open, close, target, rebalance).
 
     Between rebalances weights drift with returns; at one, turnover is the sum of absolute weight
     changes and costs equity * turnover * cost. With at = "next_open" a session's target is traded at
     the next session's open: the night earns at the old weights, the day at the new ones. cost and
     gates may be dicts by backtest_id. Returns the equity curve with the weights before and after the
     trade and contributions as maps, and the gates that fired, with limit and observed value.
+
+    Without gates windows do it all, spread over backtests, assets and sessions (a row of all assets of a session
+    and the bars of one backtest, a few numbers each, are the largest units); with gates each backtest is folded.
     """
     if at not in ("close", "next_open"):
         raise ValueError(at)
+    if gates:
+        return folded_account(df, cost, gates, at)
+    if "open" not in df.columns:
+        df = df.withColumn("open", F.lit(None).cast("double"))
+    rows = full_grid(df.withColumn(ID, F.col(ID).cast("string")))
+    w = by_time(ID, "asset")
+    clean = lambda now, then: F.coalesce(F.when(F.abs(r := div(now, F.nullif(then, F.lit(0.0))) - 1) < float("inf"), r), F.lit(0.0))
+    last = F.lag("close").over(w)
+    if at == "close":
+        rows = rows.withColumn("r", clean(F.col("close"), last)).withColumn("half", F.lit(0))
+    else:
+        rows = rows.withColumns({
+            "_night": clean(F.col("open"), last), "_day": clean(F.col("close"), F.col("open")), "target": F.coalesce(F.lag("target").over(w), F.lit(0.0)),
+            "trade": F.coalesce(F.lag("trade").over(w), F.lit(False)),
+        })
+        halves = F.array(F.struct(F.lit(0).alias("half"), F.col("_night").alias("r"), F.col("trade").alias("t")), F.struct(F.lit(1).alias("half"), F.col("_day").alias("r"), F.lit(False).alias("t")))
+        rows = rows.withColumn("_h", F.explode(halves)).select(ID, "asset", "ts", "target", "_h.half", "_h.r", F.col("_h.t").alias("trade"))
+    rows = _segments(rows.select(ID, "asset", "ts", "half", "r", "target", "trade"))
+    pairs = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", c))))
+    end = 0 if at == "close" else 1
+    kept = lambda c, half: F.when(F.col("half") == half, F.col(c))
+    bars = rows.groupBy(ID, *STEP).agg(
+        F.first("ret").alias("ret"), F.sum(F.when(F.col("trade"), F.abs(F.col("held") - F.col("before"))).otherwise(0.0)).alias("turnover"),
+        F.count_if(F.abs("held") > 1e-12).cast("int").alias("selected"), F.sum("held").alias("gross"), F.sum(F.abs("held")).alias("gross_size"),
+        pairs("held").alias("weights"), pairs("before").alias("before"), pairs("gain").alias("contributions"),
+    )
+    steps = by_time(ID, order=STEP)
+    rate = cost_column(cost)
+    factor = (1 + F.col("ret")) * F.greatest(1 - F.col("turnover") * rate, F.lit(0.0))
+    bars = bars.withColumn("equity", 100 * compounded(factor, steps.rowsBetween(Window.unboundedPreceding, 0)))
+    bars = bars.withColumn("_start", F.coalesce(F.lag("equity").over(steps), F.lit(100.0)))
+    bars = bars.withColumn("trade_cost", F.col("_start") * (1 + F.col("ret")) * F.col("turnover") * rate)
+    if end:
+        of = lambda c, half: F.max(kept(c, half)).alias(c)
+        both = F.map_zip_with(F.max_by("contributions", -F.col("half")), F.max_by("contributions", "half"), lambda k, a, b: a + b)
+        bars = bars.groupBy(ID, "ts").agg(
+            ((1 + F.max(kept("ret", 0))) * (1 + F.max(kept("ret", 1))) - 1).alias("ret"), of("equity", 1), *[of(c, 0) for c in ("turnover", "trade_cost", "_start", "selected", "gross", "gross_size")],
+            F.min_by("weights", "half").alias("weights"), F.min_by("before", "half").alias("before"), both.alias("contributions"),
+        )
+    return bars.select(
+        ID, "ts", "equity", F.when(F.col("_start") == 0, 0.0).otherwise(F.col("ret")).alias("ret"), "turnover", "trade_cost", "selected", "gross", "gross_size", F.greatest(1 - F.col("gross"), F.lit(0.0)).alias("cash"),
+        "weights", "before", "contributions", F.array().cast("array<string>").alias("gates"), F.array().cast("array<struct<gate:string,limit:double,observed:double>>").alias("gate_events"),
+    )
+
+
+def accounting_summary(curve: DataFrame) -> DataFrame:
+    """Per backtest: start_equity, final_equity, total_return, checkpoints (sessions), active_rebalances, average_turnover
+    and average_gross_exposure (by size), both over all sessions."""
+    return curve.groupBy(ID).agg(
+        F.lit(100.0).alias("start_equity"), F.max_by("equity", "ts").alias("final_equity"), (F.max_by("equity", "ts") / 100 - 1).alias("total_return"), F.count("*").alias("checkpoints"),
+        F.count_if(F.col("turnover") > 1e-12).alias("active_rebalances"), F.avg("turnover").alias("average_turnover"), F.avg("gross_size").alias("average_gross_exposure"),
+    )
+
+
+def folded_account(df: DataFrame, cost, gates=None, at: str = "close") -> DataFrame:
+    """account as a fold of each backtest, session by session, which gates need; a backtest's history must fit a task."""
     late = at == "next_open"
 
     def returns(now: np.ndarray, then: np.ndarray) -> np.ndarray:
@@ -247,10 +357,10 @@ def account(df: DataFrame, cost, gates=None, at: str = "close") -> DataFrame:
                 gain, ret = gain + more, (1 + ret) * (1 + of_day) - 1
                 peak = max(peak, equity)
             rows.append((
-                name, ts, equity, ret if start else 0.0, turnover, paid, int((np.abs(held) > 1e-12).sum()), float(held.sum()), max(0.0, 1 - float(held.sum())), dict(zip(names, held.tolist())),
+                name, ts, equity, ret if start else 0.0, turnover, paid, int((np.abs(held) > 1e-12).sum()), float(held.sum()), float(np.abs(held).sum()), max(0.0, 1 - float(held.sum())), dict(zip(names, held.tolist())),
                 dict(zip(names, before.tolist())), dict(zip(names, gain.tolist())), [e[0] for e in fired], [dict(zip(("gate", "limit", "observed"), e)) for e in fired],
             ))
-        return pd.DataFrame(rows, columns=["backtest_id", "ts", "equity", "ret", "turnover", "trade_cost", "selected", "gross", "cash", "weights", "before", "contributions", "gates", "gate_events"])
+        return pd.DataFrame(rows, columns=["backtest_id", "ts", "equity", "ret", "turnover", "trade_cost", "selected", "gross", "gross_size", "cash", "weights", "before", "contributions", "gates", "gate_events"])
 
     if "open" not in df.columns:
         df = df.withColumn("open", F.lit(None).cast("double"))
@@ -304,7 +414,7 @@ def invariant_breaches(curve: DataFrame, long_only: bool = True, max_gross: floa
         "non_finite_equity": (bad(F.col("equity")), F.col("equity")), "non_finite_return": (bad(F.col("ret")), F.col("ret")),
         "negative_fee": (F.col("trade_cost") < -tolerance, F.col("trade_cost")), "negative_turnover": (F.col("turnover") < -tolerance, F.col("turnover")),
         "negative_cash": ((1 - F.col("gross") < -tolerance) & F.lit(long_only), 1 - F.col("gross")),
-        "max_gross": (F.col("gross") > max_gross + tolerance, F.col("gross")), "negative_equity": (F.col("equity") < 0, F.col("equity")),
+        "max_gross": (F.col("gross_size") > max_gross + tolerance, F.col("gross_size")), "negative_equity": (F.col("equity") < 0, F.col("equity")),
     }
     checks = F.array(*[F.struct(F.lit(k).alias("code"), hit.alias("hit"), v.cast("double").alias("value")) for k, (hit, v) in rules.items()])
     return curve.select(ID, "ts", F.explode(checks).alias("c")).where("c.hit").select(ID, "ts", "c.code", "c.value")

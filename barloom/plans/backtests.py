@@ -175,6 +175,13 @@ def portfolio_fold_parity(spark, d):
     return out.select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("equity", "turnover", "cash")])
 
 
+def weekly(spark, d):
+    """Targets with rebalances on the first session of each week of the year."""
+    rows = targeted(spark, d).withColumn("seg", F.floor((F.dayofyear("ts") - 1) / 7))
+    first = rows.groupBy("seg").agg(F.min("ts").alias("ts")).select("ts", F.lit(True).alias("rebalance"))
+    return rows.join(first, "ts", "left").withColumn("rebalance", F.coalesce("rebalance", F.lit(False))).withColumn("backtest_id", F.lit("weekly"))
+
+
 @query(
     f"""with recursive {{EB}}, {TARGET}, h as (select *, (dayofyear(ts) - 1) // 7 as seg, coalesce(close / nullif({lag('close')}, 0) - 1, 0) as r from t),
 j as (select asset, ts, r, target, ts = min(ts) over (partition by seg) as reb, dense_rank() over (order by ts) as i, dense_rank() over (order by asset) as n from h),
@@ -188,11 +195,8 @@ select i, ts, case when reb then eq * (1 - tu * {COST}::double) else eq end, ret
 select 'weekly' as backtest_id, ts, round(equity, 6) as equity, round(ret, 6) as ret, round(turnover, 6) as turnover from k"""
 )
 def portfolio_drift_account(spark, d):
-    """Rebalances on the first session of each week of the year; weights drift between."""
-    rows = targeted(spark, d).withColumn("seg", F.floor((F.dayofyear("ts") - 1) / 7))
-    first = rows.groupBy("seg").agg(F.min("ts").alias("ts")).select("ts", F.lit(True).alias("rebalance"))
-    rows = rows.join(first, "ts", "left").withColumn("rebalance", F.coalesce("rebalance", F.lit(False))).withColumn("backtest_id", F.lit("weekly"))
-    return portfolio.account(rows, COST).select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("equity", "ret", "turnover")])
+    """Weekly rebalances; weights drift between."""
+    return portfolio.account(weekly(spark, d), COST).select("backtest_id", "ts", *[rnd(F.col(c)).alias(c) for c in ("equity", "ret", "turnover")])
 
 
 def fold_sql(target: str = "t") -> str:
@@ -213,6 +217,28 @@ k as (select backtest_id, 0::bigint as i, ts, 100::double as eq, 100::double as
       from k join g0 on g0.backtest_id = k.backtest_id and g0.i = k.i + 1, lateral (select list_sum({each('list_zip(k.w, g0.r)', 'z[1] * z[2]')}) as ret) p)))))"""
 
 
+WEEKLY = "w0 as (select 'weekly' as backtest_id, asset, ts, close, target, ts = min(ts) over (partition by (dayofyear(ts) - 1) // 7) as reb from t)"
+
+
+@query(
+    f"""with recursive {{EB}}, {TARGET}, {WEEKLY}, {fold_sql()}
+select backtest_id, 100::double as start_equity, round(max_by(eq, ts), 6) as final_equity, round(max_by(eq, ts) / 100 - 1, 6) as total_return, count(*) as checkpoints, count(*) filter (tu > 1e-12) as active_rebalances,
+round(avg(tu), 6) as average_turnover, round(avg(list_sum(list_transform(w, lambda x: abs(x)))), 6) as average_gross_exposure from k where i > 0 group by backtest_id"""
+)
+def account_summary(spark, d):
+    out = portfolio.accounting_summary(portfolio.account(weekly(spark, d), COST))
+    return out.withColumns({c: rnd(F.col(c)) for c in ("final_equity", "total_return", "average_turnover", "average_gross_exposure")})
+
+
+@query(
+    f"""with recursive {{EB}}, {TARGET}, {WEEKLY}, {fold_sql()}, n as (select backtest_id, i, ts, unnest(w) as weight, unnest(range(1, len(w) + 1)) as n from k where i > 0)
+select backtest_id, ts, asset, round(weight, 6) as weight from n join (select distinct asset, n from j0) using (n) where abs(weight) > 1e-12"""
+)
+def account_drifted_holdings(spark, d):
+    """Weights on every session of an account that trades weekly."""
+    return portfolio.holdings(portfolio.account(weekly(spark, d), COST)).withColumn("weight", rnd(F.col("weight")))
+
+
 HALVED = "list_transform(t, lambda x: x * (case when ret <= -0.3 then 0.5 else 1 end) * (case when eq1 / pk - 1 <= -0.5 then 0.5 else 1 end))"
 LARGEST = f"list_max(list_transform({HALVED}, lambda x: abs(x)))"
 #: The place of the largest target, the last one in a tie.

@@ -79,13 +79,14 @@ def plan_hash(doc: dict) -> str:
 
 
 def plan(doc: dict) -> dict:
-    """Stages, whether accounting has a closed form, and features that share a definition (computed once)."""
+    """Stages, the kind of accounting (closed_form, segments between rebalances, or a fold for gates), and features that share a
+    definition (computed once)."""
     doc = normalized(doc)
     closed = not doc.get("risk_gates") and (doc["rebalance"].get("op") in EVERY or doc["execution"] not in ("close", "next_open"))
     by_spec: dict[str, list[str]] = {}
     for name, spec in doc["features"].items():
         by_spec.setdefault(plan_hash(spec), []).append(name)
-    return {"stages": STAGES, "accounting": "closed_form" if closed else "fold", "features": sorted(by_spec.values()), "hash": plan_hash(doc)}
+    return {"stages": STAGES, "accounting": "closed_form" if closed else "fold" if doc.get("risk_gates") else "segments", "features": sorted(by_spec.values()), "hash": plan_hash(doc)}
 
 
 def with_features(panel: DataFrame, specs: dict[str, dict]) -> DataFrame:
@@ -235,8 +236,8 @@ def targets(panel: DataFrame, doc: dict, backtest_id: str | None = None) -> Data
 def accounts(rows: DataFrame, docs: dict[str, dict]) -> DataFrame:
     """Equity curves of targets_long's rows, by the documents' execution, which must be one and the same.
 
-    close and next_open have a closed form if every session is traded without gates, else one fold a
-    backtest; same_session, bar_offset and event_overlay are windows.
+    close and next_open have a closed form if every session is traded without gates, segments between
+    sparse rebalances, and one fold a backtest with gates; same_session, bar_offset and event_overlay are windows.
     """
     docs = {k: normalized(d) for k, d in docs.items()}
     kinds = {(d["execution"], plan(d)["accounting"]) for d in docs.values()}

@@ -194,7 +194,7 @@ def test_closed_form_equals_fold_with_costs(spark):
     rows = [("b", DAY + dt.timedelta(days=t), a, float(p), float(w)) for a in "xyz" for t, (p, w) in enumerate(zip(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 40))), rng.dirichlet(np.ones(40)) * 10))]
     df = spark.createDataFrame(rows, "backtest_id string, ts date, asset string, close double, target double")
     df = df.withColumn("target", signals.frame_weight(F.col("target")))
-    a, b = portfolio.every_bar(df, 0.002), portfolio.account(df.withColumn("rebalance", F.lit(True)), 0.002)
+    a, b = portfolio.every_bar(df, 0.002), portfolio.folded_account(df.withColumn("rebalance", F.lit(True)), 0.002)
     assert column(a, "equity") == pytest.approx(column(b, "equity"), abs=1e-9)
 
 
@@ -213,7 +213,7 @@ def test_closed_forms_equal_folds_through_losses(spark):
             rows += [(f"b{b}", DAY + dt.timedelta(days=t), a, float(o), float(c), float(w)) for t, (o, c, w) in enumerate(zip(opens, px, rng.uniform(-1.2, 1.2, 30)))]
     df = spark.createDataFrame(rows, "backtest_id string, ts date, asset string, open double, close double, target double")
     every = df.withColumn("rebalance", F.lit(True))
-    for a, b in ((portfolio.every_bar(df, 0.002), portfolio.account(every, 0.002)), (portfolio.next_open(df, 0.002), portfolio.account(every, 0.002, at="next_open"))):
+    for a, b in ((portfolio.every_bar(df, 0.002), portfolio.folded_account(every, 0.002)), (portfolio.next_open(df, 0.002), portfolio.folded_account(every, 0.002, at="next_open"))):
         for name in ("equity", "turnover"):
             assert column(a, name, ["backtest_id", "ts"]) == pytest.approx(column(b, name, ["backtest_id", "ts"]), rel=1e-9, abs=1e-9)
     bad = portfolio.every_bar(df, 0.002).where("equity <= 0").count()
@@ -224,6 +224,49 @@ def test_closed_forms_equal_folds_through_losses(spark):
     assert column(simulate.same_session(gone, 0.0, 0.0), "equity") == pytest.approx([100, 0, 0], abs=1e-9)
 
 
+@pytest.mark.parametrize("at", ["close", "next_open"])
+def test_segments_equal_the_fold(spark, at):
+    """Sparse rebalances, gaps, shorts, prices that fall to 0 or jump, several total losses between two rebalances."""
+    rng = np.random.default_rng(25)
+    rows = []
+    for b in range(6):
+        traded = rng.random(60) < (0.02, 0.1, 0.3, 0.1, 1.0, 0.1)[b]
+        for a in "wxyz":
+            px = 100 * np.exp(np.cumsum(rng.normal(0, 0.05, 60)))
+            if b == 2 and a == "x":
+                px[12:] = 0.0
+            if b in (3, 4) and a == "y":
+                px[20:] *= 40
+                px[24:] *= 30
+                px[26:] *= 20
+            side = 1 if b in (0, 1) else rng.choice([-1, 1])
+            opens = px * rng.uniform(0.97, 1.03, 60)
+            for t in range(60):
+                if b == 5 and rng.random() < 0.1:
+                    continue
+                rows.append((f"b{b}", DAY + dt.timedelta(days=t), a, float(opens[t]), float(px[t]) if b != 5 or t % 17 else None, float(side * rng.uniform(0, 0.25 if b < 2 else 0.6)), bool(traded[t])))
+    df = spark.createDataFrame(rows, "backtest_id string, ts date, asset string, open double, close double, target double, rebalance boolean")
+    a, b = portfolio.account(df, 0.002, at=at), portfolio.folded_account(df, 0.002, at=at)
+    for name in ("equity", "ret", "turnover", "trade_cost", "selected", "gross", "gross_size", "cash"):
+        assert column(a, name, ["backtest_id", "ts"]) == pytest.approx(column(b, name, ["backtest_id", "ts"]), rel=1e-8, abs=1e-8), name
+    for name in ("weights", "before", "contributions"):
+        for x, y in zip(column(a, name, ["backtest_id", "ts"]), column(b, name, ["backtest_id", "ts"])):
+            assert x == pytest.approx(y, rel=1e-7, abs=1e-8), name
+    assert a.where("equity <= 0").count() >= 10
+    assert "ArrowPython" not in a._jdf.queryExecution().toString() and "InPandas" not in a._jdf.queryExecution().toString()
+    s = {r["backtest_id"]: r for r in portfolio.accounting_summary(a).collect()}
+    last = {r["backtest_id"]: r["equity"] for r in b.orderBy("ts").collect()}
+    assert s["b1"]["final_equity"] == pytest.approx(last["b1"]) and s["b1"]["checkpoints"] == 60 and s["b1"]["start_equity"] == 100
+
+
+def test_gross_limit_is_by_size(spark):
+    rows = [("b", DAY + dt.timedelta(days=t), a, 10.0, w) for t in range(2) for a, w in (("x", 1.5), ("y", -1.0))]
+    df = spark.createDataFrame(rows, "backtest_id string, ts date, asset string, close double, target double")
+    for curve in (portfolio.every_bar(df, 0.0), portfolio.account(df.withColumn("rebalance", F.lit(True)), 0.0), portfolio.folded_account(df.withColumn("rebalance", F.lit(True)), 0.0)):
+        found = portfolio.invariant_breaches(curve, long_only=False, max_gross=1.0).collect()
+        assert [(r["code"], r["value"]) for r in found] == [("max_gross", 2.5)] * 2 and column(curve, "gross") == [0.5, 0.5]
+
+
 def test_account_frames(spark):
     rows = [("b", DAY + dt.timedelta(days=t), a, 10.0 + t * k, w, t in (0, 2)) for t in range(4) for a, k, w in (("x", 1.0, 0.5), ("y", -1.0, 0.5))]
     df = spark.createDataFrame(rows, "backtest_id string, ts date, asset string, close double, target double, rebalance boolean")
@@ -351,7 +394,7 @@ def test_metrics_edge_cases(spark):
 
 def test_strategy_documents(spark):
     doc = strategy.template("single_signal", cost=0.001)
-    assert strategy.plan(doc)["accounting"] == "fold" and strategy.plan(strategy.template("ranked_rotation"))["accounting"] == "closed_form"
+    assert strategy.plan(doc)["accounting"] in ("fold", "segments") and strategy.plan(strategy.template("ranked_rotation"))["accounting"] == "closed_form"
     out = strategy.run(panel(spark, [5, 4, 3, 4, 5, 6, 7, 8, 7, 6, 5, 4]), doc)
     assert out.count() == 12 and out.agg(F.max("gross")).first()[0] == 1
     with pytest.raises(ValueError, match="unknown op"):
