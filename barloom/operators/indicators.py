@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, div, pct_change, trailing
+from . import blocks
 
 KEY = "asset"
 
@@ -81,59 +80,62 @@ def with_helpers(bars: DataFrame, x: str = "close") -> DataFrame:
     })
 
 
-# Recursive filters: one grouped pass per asset for all of them.
+# Recursive filters: exponential averages over blocks of time (see blocks.averages).
 
 
-def ewm(x: pd.Series, span: int, min_periods: int | None = None) -> pd.Series:
-    """y0 = x0, y = a x + (1 - a) y with a = 2/(span+1); gaps keep the value while its weight decays."""
-    return x.ewm(span=span, adjust=False, min_periods=span if min_periods is None else min_periods).mean()
+def recursive(bars: DataFrame, specs: dict[str, dict], block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """Add recursive indicators: name -> {op: ema|macd|atr|legacy_ema, source, period, fast, slow, signal, output, method}.
 
-
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    """Seeded by the first full simple average, then ((n-1) y + x) / n."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1] = x[:n].mean()
-        for i in range(n, len(x)):
-            out[i] = (out[i - 1] * (n - 1) + x[i]) / n
-    return out
-
-
-def recursive(bars: DataFrame, specs: dict[str, dict]) -> DataFrame:
-    """Add recursive indicators: name -> {op: ema|macd|atr, source, period, fast, slow, signal, output, method}.
-
-    Each asset's history goes to one task as Arrow batches; all specs share the pass.
+    All averages that only need bars share one pass, signal lines of MACD a second one. Histories of more than
+    block_rows rows are cut into blocks of time, so an asset's history may be longer than a task holds. A
+    Wilder average starts from the first full simple average; legacy_ema has no warm-up.
     """
-    fields = [f.name for f in bars.schema.fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields), *(f"`{n}` double" for n in specs)])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        for name, s in specs.items():
-            op, x = s["op"], pdf[s.get("source", "close")].astype(float)
-            if op == "ema":
-                pdf[name] = ewm(x, s.get("period", 14))
-            elif op == "macd":
-                line = ewm(x, s.get("fast", 12)) - ewm(x, s.get("slow", 26))
-                sig = ewm(line, s.get("signal", 9))
-                pdf[name] = {"line": line, "signal": sig, "histogram": line - sig}[s.get("output", "line")]
-            elif op == "atr":
-                n, how = s.get("period", 14), s.get("method", "wilder")
-                pc = pdf["close"].shift(1)
-                tr = pd.concat([pdf["high"] - pdf["low"], (pdf["high"] - pc).abs(), (pdf["low"] - pc).abs()], axis=1).max(axis=1)
-                pdf[name] = wilder(tr.to_numpy(), n) if how == "wilder" else ewm(tr, n) if how == "ema" else tr.rolling(n, min_periods=n).mean()
+    at = blocks.cuts([bars], rows=block_rows)
+    fields, w = bars.columns, by_time(KEY)
+    alpha = lambda span: 2.0 / (span + 1)
+    helpers, first, second, out = {}, {}, {}, {}
+    seen = lambda c, n: F.count(F.col(c)).over(w.rowsBetween(Window.unboundedPreceding, 0)) >= n
+    if any(s["op"] == "atr" for s in specs.values()):
+        bars = bars.withColumn("_tr", true_range(F.lag("close").over(w)))
+    for i, (name, s) in enumerate(specs.items()):
+        op, x = s["op"], s.get("source", "close")
+        if op in ("ema", "legacy_ema"):
+            n = s.get("period", 14)
+            first[f"_e{i}"] = (x, alpha(n))
+            out[name] = F.col(f"_e{i}") if op == "legacy_ema" else F.when(seen(x, n), F.col(f"_e{i}"))
+        elif op == "macd":
+            fast, slow, signal = s.get("fast", 12), s.get("slow", 26), s.get("signal", 9)
+            first[f"_f{i}"], first[f"_s{i}"] = (x, alpha(fast)), (x, alpha(slow))
+            line = F.when(seen(x, max(fast, slow)), F.col(f"_f{i}") - F.col(f"_s{i}"))
+            helpers[f"_l{i}"] = line
+            second[f"_g{i}"] = (f"_l{i}", alpha(signal))
+            sig = F.when(seen(f"_l{i}", signal), F.col(f"_g{i}"))
+            out[name] = {"line": F.col(f"_l{i}"), "signal": sig, "histogram": F.col(f"_l{i}") - sig}[s.get("output", "line")]
+        elif op == "atr":
+            n, how = s.get("period", 14), s.get("method", "wilder")
+            if how == "wilder":
+                place = F.row_number().over(w)
+                bars = bars.withColumn(f"_w{i}", F.when(place == n, F.avg("_tr").over(trailing(n, KEY))).when(place > n, F.col("_tr")))
+                first[f"_e{i}"] = (f"_w{i}", 1.0 / n)
+                out[name] = F.col(f"_e{i}")
+            elif how == "ema":
+                first[f"_e{i}"] = ("_tr", alpha(n))
+                out[name] = F.when(seen("_tr", n), F.col(f"_e{i}"))
             else:
-                raise ValueError(f"unknown recursive indicator {op}")
-        return pdf[[*fields, *specs]]
-
-    return bars.groupBy(KEY).applyInPandas(one, schema)
+                out[name] = full(F.avg("_tr").over(trailing(n, KEY)), F.col("_tr"), n)
+        else:
+            raise ValueError(f"unknown recursive indicator {op}")
+    rows = blocks.averages(bars, first, KEY, at) if first else bars
+    rows = rows.withColumns(helpers) if helpers else rows
+    rows = blocks.averages(rows, second, KEY, at) if second else rows
+    return rows.withColumns(out).select(*fields, *specs)
 
 
 #: Families whose signals are in {-1, 0, 1} and whose warm-up is 0.
 
 
 def ma(x: Column, n: int, kind: str = "sma") -> Column:
-    """Moving average with 0 for the warm-up; weighted averages weigh the newest bar most. EMA: see recursive()."""
+    """Moving average with 0 for the warm-up; weighted averages weigh the newest bar most. Its exponential kind is recursive()'s legacy_ema."""
     w = by_time(KEY)
     if kind == "sma":
         y = F.avg(x).over(trailing(n, KEY))

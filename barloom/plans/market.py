@@ -93,6 +93,8 @@ def indicator_rsi(spark, d):
     return ind.with_helpers(event_bars(spark, d)).select("asset", "ts", rnd(ind.rsi(F.col("change"), 5)).alias("rsi5"))
 
 
+#: Rows of a block of time in the recursive filters: few, so that the queries run over several blocks.
+BLOCK = 40
 NUMBERED = f"n as (select *, row_number() over ({O}) as i from bars)"
 
 
@@ -106,7 +108,7 @@ def ema_cte(name: str, x: str, span: int, source: str = "n") -> str:
 
 @query(f"with recursive {{EB}}, {NUMBERED}, {ema_cte('e', 'close', 5)} select asset, ts, case when i >= 5 then round(y, 6) end as ema5 from e")
 def indicator_ema(spark, d):
-    out = ind.recursive(event_bars(spark, d), {"ema5": {"op": "ema", "period": 5}})
+    out = ind.recursive(event_bars(spark, d), {"ema5": {"op": "ema", "period": 5}}, BLOCK)
     return out.select("asset", "ts", rnd(F.col("ema5")).alias("ema5"))
 
 
@@ -121,7 +123,7 @@ from n left join l using (asset, ts) left join g using (asset, ts)"""
 def indicator_macd(spark, d):
     spec = {"op": "macd", "fast": 3, "slow": 6, "signal": 4}
     names = {"macd": "line", "signal": "signal", "histogram": "histogram"}
-    out = ind.recursive(event_bars(spark, d), {k: {**spec, "output": v} for k, v in names.items()})
+    out = ind.recursive(event_bars(spark, d), {k: {**spec, "output": v} for k, v in names.items()}, BLOCK)
     return out.select("asset", "ts", *[rnd(F.col(k)).alias(k) for k in names])
 
 
@@ -135,7 +137,7 @@ w as (select asset, 5 as i, avg(tr) as y from n where i <= 5 group by asset havi
 select n.asset, n.ts, round(w.y, 6) as atr_wilder, round({full(5, 'tr', roll(5, 'avg(tr)'))}, 6) as atr_sma from n left join w using (asset, i)"""
 )
 def indicator_atr(spark, d):
-    out = ind.recursive(event_bars(spark, d), {"atr_wilder": {"op": "atr", "period": 5}, "atr_sma": {"op": "atr", "period": 5, "method": "sma"}})
+    out = ind.recursive(event_bars(spark, d), {"atr_wilder": {"op": "atr", "period": 5}, "atr_sma": {"op": "atr", "period": 5, "method": "sma"}}, BLOCK)
     return out.select("asset", "ts", rnd(F.col("atr_wilder")).alias("atr_wilder"), rnd(F.col("atr_sma")).alias("atr_sma"))
 
 
@@ -155,6 +157,27 @@ def legacy_ma_cross(spark, d):
     return rows.select("asset", "ts", rnd(F.col("s")).alias("sma4"), rnd(F.col("w")).alias("wma4"), c("s", "up_long").alias("ma1"), c("w", "down_short").alias("ma4"))
 
 
+@query(
+    f"""with recursive {{EB}}, {NUMBERED}, {ema_cte('a', 'close', 4)}, {ema_cte('b', 'close', 9)},
+q as (select n.*, a.y as s, b.y as l, lag(a.y) over (partition by n.asset order by n.ts) as ps, lag(b.y) over (partition by n.asset order by n.ts) as pl, {lag('close').replace('close', 'n.close').replace('asset', 'n.asset').replace('by ts', 'by n.ts')} as pc from n join a using (asset, ts) join b using (asset, ts)),
+r as (select *, case when close > s then 1 else 0 end as over from q)
+select asset, ts, round(s, 6) as ema4, case when i > 4 and close > s and pc <= ps then 1 else 0 end as ma1, case when i > 4 and close < s and pc >= ps then -1 else 0 end as ma4,
+case when i > 9 and s > l and ps <= pl then 1 when i > 9 and s < l and ps >= pl then -1 else 0 end as dual,
+case when i >= 5 and {roll(2, 'count(*)')} >= 2 and {roll(2, 'min(over)')} = 1 then 1 else 0 end as ma9 from r"""
+)
+def legacy_ema_cross(spark, d):
+    """The moving-average families over exponential averages, which start from the first bar."""
+    rows = ind.recursive(event_bars(spark, d), {"s": {"op": "legacy_ema", "period": 4}, "l": {"op": "legacy_ema", "period": 9}}, BLOCK)
+    w = by_time("asset")
+    rows = rows.withColumns({"i": F.row_number().over(w), "ps": F.lag("s").over(w), "pl": F.lag("l").over(w), "pc": F.lag("close").over(w), "over": F.col("close") > F.col("s")})
+    c = lambda side: ind.price_cross(F.col("close"), F.col("s"), F.col("pc"), F.col("ps"), F.col("i") > 4, side)
+    s, line, ps, pl, on = F.col("s"), F.col("l"), F.col("ps"), F.col("pl"), F.col("i") > 9
+    return rows.select(
+        "asset", "ts", rnd(s).alias("ema4"), c("up_long").alias("ma1"), c("down_short").alias("ma4"), ind.crossing(on & (s > line), ps <= pl, on & (s < line), ps >= pl).alias("dual"),
+        F.when(ind.run_of(F.col("over"), 2) & (F.col("i") >= 5), 1).otherwise(0).alias("ma9"),
+    )
+
+
 @query(
     f"""with {{EB}}, m as (select *, {roll(3, 'avg(close)')} as f, {roll(6, 'avg(close)')} as s, row_number() over ({O}) as i from bars),
 q as (select *, {lag('f')} as pf, {lag('s')} as ps from m)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import align, calendar, clean, factors, indicators, matrix, metrics, portfolio, registry, signals, simulate, stats, wfa
+from barloom.operators import align, blocks, calendar, clean, factors, indicators, matrix, metrics, portfolio, registry, signals, simulate, stats, wfa
 from barloom.operators.conditions import with_mask
 from barloom.plans import research, strategy
 from barloom.sources import readers, sinks
@@ -179,6 +179,44 @@ def test_recursive_indicators_with_gaps(spark):
         indicators.bollinger(F.col("close"), band="none")
 
 
+def test_averages_over_blocks_equal_one_pass(spark):
+    """Blocks of a few rows, gaps of any length, two assets of different length, one of them without a value."""
+    rng = np.random.default_rng(4)
+    x = {"a": rng.normal(100, 10, 300), "b": rng.normal(5, 1, 90), "c": np.full(40, np.nan)}
+    x["a"][rng.random(300) < 0.3] = np.nan
+    x["a"][100:160] = np.nan
+    x["b"][:7] = np.nan
+    rows = [(k, DAY + dt.timedelta(days=t), None if np.isnan(p) else float(p), float(abs(p)) + 1, float(abs(p)) - 1) for k, v in x.items() for t, p in enumerate(v)]
+    rows = [(k, t, p, h if h == h else 1.0, low if low == low else 0.0) for k, t, p, h, low in rows]
+    df = spark.createDataFrame(rows, "asset string, ts date, close double, high double, low double").repartition(3)
+    specs = {
+        "e": {"op": "ema", "period": 6}, "m": {"op": "macd", "fast": 3, "slow": 7, "signal": 4, "output": "signal"}, "h": {"op": "macd", "fast": 3, "slow": 7, "signal": 4, "output": "histogram"},
+        "w": {"op": "atr", "period": 9}, "we": {"op": "atr", "period": 9, "method": "ema"}, "l": {"op": "legacy_ema", "period": 40},
+    }
+    one = indicators.recursive(df, specs).toPandas().sort_values(["asset", "ts"]).reset_index(drop=True)
+    for size in (7, 50):
+        many = indicators.recursive(df, specs, size).toPandas().sort_values(["asset", "ts"]).reset_index(drop=True)
+        pd.testing.assert_frame_equal(one, many, rtol=1e-10, atol=1e-10)
+    for k in "ab":
+        want = pd.Series(x[k]).ewm(span=6, adjust=False, min_periods=6).mean()
+        assert one[one.asset == k]["e"].fillna(-1).tolist() == pytest.approx(want.fillna(-1).tolist())
+    line = pd.Series(x["b"]).ewm(span=3, adjust=False, min_periods=3).mean() - pd.Series(x["b"]).ewm(span=7, adjust=False, min_periods=7).mean()
+    assert one[one.asset == "b"]["m"].fillna(-1).tolist() == pytest.approx(line.ewm(span=4, adjust=False, min_periods=4).mean().fillna(-1).tolist())
+    tr = [h - low for h, low in ((r[3], r[4]) for r in rows if r[0] == "c")]
+    assert one[one.asset == "c"]["w"].tolist()[8:] == pytest.approx([np.mean(tr[:9])] * 32) and one[one.asset == "c"]["e"].isna().all()
+
+
+def test_cuts_follow_the_rows(spark):
+    """Most rows in one hour: it is cut, the year around it is not."""
+    crowd = spark.range(20_000).select((F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 180_000)).alias("ts"))
+    quiet = spark.range(300).select(F.timestamp_micros(F.lit(1_690_000_000_000_000) + F.col("id") * 86_400_000_000).alias("ts"))
+    both = crowd.unionByName(quiet)
+    at = blocks.cuts([crowd, quiet], rows=1000)
+    sizes = blocks.with_block(both, at).groupBy("_block").count().toPandas()["count"]
+    assert 18 <= len(sizes) <= 22 and sizes.max() <= 1600
+    assert blocks.cuts([quiet], rows=1000) == [] and blocks.cuts([crowd.limit(0)], rows=10) == []
+
+
 def test_clean(spark):
     df = spark.createDataFrame([("1,234.5", 1), ("2.5k", 2), ("3M", 3), ("1b", 4), ("n/a", 5), (None, 6)], "t string, i int")
     assert column(df.withColumn("x", clean.number(F.col("t"))), "x", "i") == [1234.5, 2500.0, 3e6, 1e9, None, None]
