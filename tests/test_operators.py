@@ -141,7 +141,7 @@ def test_as_of_tolerance_is_a_length_of_time(spark):
     source = spark.createDataFrame([(at(0), 1.0), (at(9, 30), 2.0)], "ts timestamp, x double")
     assert column(align.as_of(base, source, ["x"]), "x") == [1, 1, 2, 2, 2, 2]
     assert column(align.as_of(base, source, ["x"], bars=1), "x") == [1, 1, 2, None, None, None]
-    assert align.median_gap(base).first()["gap"] == 300
+    assert align.median_gap(base) == 300
     keyed = align.as_of(base.withColumn("k", F.lit("a")), source.withColumn("k", F.lit("a")), ["x"], by=["k"], bars=2)
     assert column(keyed, "x") == [1, 1, 2, 2, None, None]
     assert align.as_of(base.limit(0), source, ["x"], bars=1).collect() == [] and column(align.as_of(base, source.limit(0), ["x"], bars=1), "x") == [None] * 6
@@ -179,6 +179,45 @@ def test_recursive_indicators_with_gaps(spark):
         indicators.bollinger(F.col("close"), band="none")
 
 
+def test_as_of_over_a_crowded_day(spark):
+    """Most base rows fall on one day, which is cut into many blocks; values come over blocks without a source row."""
+    rng = np.random.default_rng(8)
+    t0 = dt.datetime(2024, 3, 1)
+    base = [(k, t0 + dt.timedelta(seconds=int(s))) for k in "ab" for s in [*sorted(rng.integers(0, 80_000, 900)), -90_000, 400_000, 500_000]]
+    source = [(k, t0 + dt.timedelta(seconds=int(s)), float(i)) for k in "ab" for i, s in enumerate(sorted(rng.choice(100_000, 40, replace=False) - 10_000))]
+    left, right = spark.createDataFrame(base, "k string, ts timestamp").repartition(4), spark.createDataFrame(source, "k string, ts timestamp, x double")
+    at = blocks.cuts([left, right], rows=60)
+    assert blocks.with_block(left.where(F.to_date("ts") == "2024-03-01"), at).select("_block").distinct().count() > 20
+    frame = lambda rows, cols: pd.DataFrame(rows, columns=cols).assign(ts=lambda f: f.ts.astype("datetime64[us]")).sort_values("ts")
+    want = pd.merge_asof(frame(base, ["k", "ts"]), frame(source, ["k", "ts", "x"]), on="ts", by="k")
+    got = align.as_of(left, right, ["x"], by=["k"], block_rows=60)
+    key = lambda rows: sorted((r.k, str(r.ts), -1.0 if pd.isna(r.x) else r.x) for r in rows)
+    assert key(got.toPandas().itertuples()) == key(want.itertuples())
+    whole = align.as_of(left.where("k = 'a'").drop("k"), right.where("k = 'a'").drop("k"), ["x"], bars=3, block_rows=60)
+    one = align.as_of(left.where("k = 'a'").drop("k"), right.where("k = 'a'").drop("k"), ["x"], bars=3)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, one.collect()))
+
+
+def test_quantiles_are_selected_exactly(spark):
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=3000), np.r_[np.zeros(2000), rng.normal(size=1000)], np.ones(50), rng.integers(0, 4, 1001).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in x], "v double")
+        for share in (0.0, 0.5, 0.93, 1.0):
+            assert align.quantile(df, "v", share, most=40) == pytest.approx(np.quantile(x, share), abs=1e-12)
+    assert align.quantile(df.limit(0), "v", 0.5) is None
+
+
+def test_members_meet_dates_by_buckets(spark):
+    rng = np.random.default_rng(6)
+    day = dt.date(2000, 1, 1)
+    spans = [(f"m{i}", day + dt.timedelta(days=int(a)), None if i % 5 == 0 else day + dt.timedelta(days=int(a + n))) for i, (a, n) in enumerate(zip(rng.integers(-9000, 9000, 120), rng.integers(-3, 4000, 120)))]
+    dates = [day + dt.timedelta(days=int(t)) for t in rng.integers(-9500, 13_000, 80)] + [day]
+    got = align.as_of_members(spark.createDataFrame(spans, "asset string, start date, end date"), spark.createDataFrame([(t,) for t in dates], "ts date"))
+    want = sorted((t, a) for t in dates for a, s, e in spans if s <= t and (e is None or t <= e))
+    assert sorted((r["ts"], r["asset"]) for r in got.collect()) == want
+    assert not any(k in got._jdf.queryExecution().toString() for k in ("NestedLoop", "Cartesian"))
+
+
 def test_averages_over_blocks_equal_one_pass(spark):
     """Blocks of a few rows, gaps of any length, two assets of different length, one of them without a value."""
     rng = np.random.default_rng(4)
