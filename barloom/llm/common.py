@@ -93,8 +93,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star contraction (every node hooks its larger, then its
     smaller neighbours to the smallest one it sees), so rounds grow with the logarithm of the
-    diameter. Each round is a min aggregate with map-side combine and one join, whose hot keys
-    adaptive execution splits; no neighbour list is ever collected.
+    diameter. Each round is two min aggregates with map-side combine, each stored and then joined, so that adaptive
+    execution can split the join's hot keys; no neighbour list is ever collected.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -113,10 +113,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 break
         state = (new["n"], new["s"])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # apart from the join, which can then split a hub
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpointed(large)
+        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         )
@@ -222,3 +223,25 @@ def ranked(rows: DataFrame, order: list, name: str, group: str | None = None) ->
     own = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order, "_row"))
     placed = dealt.withColumn("_own", own).join(before if by else F.broadcast(before), ["_range", *by])  # without groups one row a partition
     return placed.withColumn("place", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range", "_row")
+
+
+def once_a_task(df: DataFrame, *keys: str, most: int = 2_000_000) -> DataFrame:
+    """df without the repeats of long keys that one task can see, so that a row repeated many times is shuffled
+    once a task; what is left may still repeat over tasks (or after ``most`` keys in one)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        seen: set = set()
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            keep = np.zeros(len(rows), bool)
+            for i, row in enumerate(rows):
+                if row not in seen:
+                    if len(seen) >= most:
+                        seen.clear()
+                    seen.add(row)
+                    keep[i] = True
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)

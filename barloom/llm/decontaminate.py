@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, sliced, stored, typed
+from .common import once_a_task, renamed, sliced, stored, typed
 from .ngram_jaccard import _U, _hashes
 
 TOKEN = re.compile(r"\w+")
@@ -164,6 +164,8 @@ class Items:
         return sorted(out, key=lambda h: tuple(h.values()))
 
 
+#: Parts of the documents that hold a window, in the join by window.
+SALTS = 8
 HITS = "array<struct<item_id:bigint,coverage:double,n_tiles:bigint,longest:bigint>>"
 _TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest", pa.int64())]))
 
@@ -191,6 +193,22 @@ def _windows(least: int):
     return run
 
 
+def _places(least: int):
+    """(window hash, id, place, size) of every window of an item of size tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            tok = [tokens(t) for t in batch.column("text").to_pylist()]
+            found = [rolling(t, least) for t in tok]
+            n = [len(f) for f in found]
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), n)))
+            keys = np.concatenate([*found, np.zeros(0, np.uint64)])
+            place = np.concatenate([*(np.arange(k, dtype=np.int32) for k in n), np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids, pa.array(place), pa.array(np.repeat([len(t) for t in tok], n).astype(np.int32))], names=["key", "id", "place", "size"])
+
+    return run
+
+
 def _pairwise(least: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -217,8 +235,8 @@ def with_hits(
     word before they are marked. Items with coverage >= threshold are hits.
 
     A benchmark of at most max_shared_chars characters goes to every task whole; a larger one is
-    joined by window hash (documents' windows shuffled, pairs made distinct, then both texts), each
-    text under a 128-bit hash of itself, so that results do not depend on the size or on ids.
+    joined by window hash (documents' windows shuffled, the item's covered places counted for each pair, both texts
+    sent only for pairs that can reach the threshold), each text under a 128-bit hash of itself, so that results do not depend on the size or on ids.
     Null or empty texts, and items of fewer than ``least`` tokens, match nothing. Repeated items
     each count under their item_id; items with a null id are left out. Repeated rows of docs are
     judged alike. A very long text costs time and memory in proportion to its length, a text that
@@ -234,18 +252,19 @@ def with_hits(
         return docs.mapInArrow(_against_all(shared, text_col, threshold), ", ".join([*typed(docs), f"hits {HITS}"]))
     text_key = F.substring(F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)), 1, 16)
     base = renamed(docs.select(text_key.alias("id"), F.col(f"`{text_col}`").alias("text")), id="id", text="text").where("text is not null")
-    seeds = base.mapInArrow(_windows(least), "key long, id binary")
-    marks = stored(items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(least), "key long, id long"), "item-windows")
-    pairs = stored(
-        seeds.join(marks.withColumnRenamed("id", "item_id"), "key").groupBy("id", "item_id").agg(F.lit(1).alias("_")).drop("_"), "pairs"
-    )
-    once = base.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    # a pair goes on only if the item's places that all shared windows together cover reach the threshold; texts follow then
+    once = once_a_task(base, "id")
+    seeds = once.mapInArrow(_windows(least), "key long, id binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    marks = stored(items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_places(least), "key long, id long, place int, size int"), "item-windows")
+    marks = marks.withColumnRenamed("id", "item_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a common window's documents are dealt over tasks
+    step = lambda places, i: F.when(i + 1 < F.size(places), F.least(F.get(places, i + 1) - F.get(places, i), F.lit(least))).otherwise(F.lit(least))
+    shared_ = seeds.join(marks, ["key", "salt"]).groupBy("id", "item_id", "size").agg(F.array_sort(F.collect_set("place")).alias("p"))
+    reach = F.aggregate(F.transform("p", lambda _, i: step(F.col("p"), i)), F.lit(0), lambda a, x: a + x)
+    pairs = stored(shared_.where(reach >= threshold * F.col("size")).select("id", "item_id").distinct(), "pairs")
+    once = once.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     whole = pairs.join(items, "item_id").join(once, "id").select("id", "text", "item_id", "item")
-    hits = (
-        whole.mapInArrow(_pairwise(least, threshold), f"id binary, hit {HITS[6:-1]}")
-        .groupBy("id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-        .withColumnRenamed("id", "_text_key")
-    )
+    hits = whole.mapInArrow(_pairwise(least, threshold), f"id binary, hit {HITS[6:-1]}").groupBy("id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    hits = stored(hits.withColumnRenamed("id", "_text_key"), "hits")
     out = docs.withColumn("_text_key", text_key).join(hits, "_text_key", "left").drop("_text_key")
     return out.withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import renamed, sliced
+from .common import once_a_task, renamed, sliced, stored, typed
 
 UNDETERMINED = "und"
 
@@ -183,72 +185,91 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return lang, score, rate
 
 
-#: More languages than this are an error: the model that is broadcast holds a bounded sample of each.
-MOST_LANGUAGES = 500
+#: Training bytes of the languages of one model: a language counts for a sixteenth of it at least, so a model
+#: has 16 languages at most and its tables, one column a language, stay bounded.
+MODEL_BYTES = 4_000_000
 
 
-def _draw(docs: DataFrame, max_bytes: int) -> DataFrame:
-    """Per lang: cap, the bytes that one text may give; share, the u below which rows are drawn; least, its smallest u.
+def _draw(max_bytes: int):
+    """Per lang: cap, the bytes that one text may give; share, the u below which rows are drawn; least, its smallest u;
+    bytes, what the sample holds at most.
 
     The cap is the smallest power of two, from about a twelfth of max_bytes up, by which the texts
     fill max_bytes. The draw is by capped bytes: either all rows are drawn or 32 at least are expected.
     """
-    sizes = docs.groupBy("lang", F.length(F.bin("bytes")).alias("width")).agg(
-        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("u").alias("least")
-    )
-    per: dict[str, list] = {}
-    for r in sizes.collect():  # a few dozen rows a language
-        per.setdefault(r["lang"], []).append(r)
-    if len(per) > MOST_LANGUAGES:
-        raise ValueError(f"{len(per)} languages; at most {MOST_LANGUAGES} can be learned at once")
-    rows = []
-    for lang, found in per.items():
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:  # a few dozen rows
         k = (max_bytes // 16).bit_length()
-        held = lambda k: sum(r["bytes"] if r["width"] <= k else r["n"] << k for r in found)
-        while held(k) < max_bytes and any(r["width"] > k for r in found):
+        held = lambda k: int(np.where(found["width"] <= k, found["bytes"], found["n"] * (1 << k)).sum())
+        while held(k) < max_bytes and (found["width"] > k).any():
             k += 1
-        rows.append((lang, 1 << k, 4.0 * max_bytes / held(k), min(r["least"] for r in found)))
-    return docs.sparkSession.createDataFrame(rows, "lang string, cap long, share double, least double")
+        return pd.DataFrame([{"lang": found["lang"].iloc[0], "cap": 1 << k, "share": 4.0 * max_bytes / held(k), "least": found["least"].min(), "bytes": min(max_bytes, held(k))}])
+
+    return run
+
 
+def learned(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """(lang, grp, cap, share, least) of every language of (doc_id, text, lang): what is drawn of it and the model, 0, 1..., that learns it."""
+    sizes = _usable(docs).groupBy("lang", F.length(F.bin("bytes")).cast("int").alias("width")).agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("u").alias("least")
+    )
+    drawn = sizes.groupBy("lang").applyInPandas(_draw(max_bytes), "lang string, cap long, share double, least double, bytes long")
+    weight = F.greatest("bytes", F.lit(MODEL_BYTES // 16))
+    before = F.sum(weight).over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, 0)) - weight  # one row a language
+    return stored(drawn.withColumn("grp", F.floor(before / MODEL_BYTES).cast("int")).drop("bytes"), "languages")
 
-def training_sample(docs: DataFrame, max_bytes: int) -> dict[str, list[str]]:
-    """Texts per language, in the order of a hash of the id, until max_bytes are passed.
+
+def _usable(docs: DataFrame) -> DataFrame:
+    docs = docs.where("lang is not null and text is not null and text <> ''")
+    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.substring(F.md5("text"), 1, 8)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return docs.withColumn("u", u).withColumn("bytes", F.octet_length("text").cast("long"))
+
+
+def training_sample(docs: DataFrame, max_bytes: int, languages: DataFrame) -> DataFrame:
+    """(grp, lang, u, text): texts per language, in the order of a hash of the id, until max_bytes are passed.
 
     docs has (doc_id, text, lang). A share of rows is taken first so that the sort that follows
     is over a bounded number of rows in each language, however many rows one language has; the first
     row is always among them. A long text gives its beginning only, if others fill the rest. Equal
     rows count once.
     """
-    docs = docs.where("lang is not null and text is not null and text <> ''")
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.substring(F.md5("text"), 1, 8)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    docs = docs.withColumn("u", u).withColumn("bytes", F.octet_length("text").cast("long"))
     ahead = F.sum(F.octet_length("text")).over(
         Window.partitionBy("lang").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     )
     # about cap bytes, in whole characters
     part = F.expr("substring(text, 1, cast(greatest(1, least(char_length(text), cap * char_length(text) div bytes)) as int))")
-    rows = (
-        docs.join(F.broadcast(_draw(docs, max_bytes)), "lang")  # one row per language
+    return (
+        _usable(docs).join(languages, "lang")
         .where((F.col("u") < F.col("share")) | (F.col("u") <= F.col("least")))
-        .select("lang", "u", "doc_id", part.alias("text")).distinct()
+        .select("grp", "lang", "u", "doc_id", part.alias("text")).distinct()
         .withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < max_bytes)
-        .select("lang", "text", "u").orderBy("lang", "u", F.md5("text"))
+        .select("grp", "lang", "u", "text")
     )
+
+
+def texts_of(sample: DataFrame, grp: int | None = None) -> dict[str, list[str]]:
+    """The sampled texts of one model's languages: at most max_bytes and one text's part for each."""
+    rows = sample if grp is None else sample.where(F.col("grp") == grp)
     out: dict[str, list[str]] = {}
-    for r in rows.collect():  # at most max_bytes and one text's part for each language
+    for r in rows.orderBy("lang", "u", F.md5("text")).collect():
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
 def rate_bounds(model: Model, texts: dict[str, list[str]], times: float) -> np.ndarray:
     """Bits a byte that a text in each language may need: times the median rate of its texts, which the
-    model has not seen. Without such texts a language has the others' loosest bound, or none."""
+    model has not seen; NaN without such texts."""
     out = np.full(len(model.languages), np.nan)
     for j, lang in enumerate(model.languages):
         if own := [t for t in texts.get(lang, []) if has_letter(t)]:
             size = np.array([len(t.encode("utf-8", "replace")) for t in own])
             out[j] = times * np.median(code_lengths(model, own)[:, j] / size)
-    return np.where(np.isnan(out), np.nanmax(out) if (out == out).any() else np.inf, out)
+    return out
+
+
+def loosest(bounds: np.ndarray) -> np.ndarray:
+    """Bounds where a language without one has the loosest of the others, or none."""
+    return np.where(np.isnan(bounds), np.nanmax(bounds) if (bounds == bounds).any() else np.inf, bounds)
 
 
 def fits(model: Model, bounds: np.ndarray, text: str | None, lang: str, rate: float, spare: float = 64.0) -> bool:
@@ -287,23 +308,81 @@ def identify(
     ``und`` with score 0 and null rate if the text is null, has no letter, or no language was
     learned. A null doc_id counts as the empty text in the fold rule. Rows are judged one by one,
     so repeated rows get equal results; a very long text is coded whole, in pieces that overlap by the
-    context. More than MOST_LANGUAGES languages are an error.
+    context. Languages beyond one model's room (MODEL_BYTES) are learned by further models, which code the texts one after
+    another; any number of languages is possible, and the work grows with it, as the method codes every text under every language.
 
     With ``times``, a column fits is added: whether bits_per_byte is at most so many times the median
     rate of the language's held-out texts (of a bounded sample), with 64 bits a text to spare.
     """
     base = renamed(docs, doc_id=id_col, text=text_col, lang=lang_col)
     fold = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == held, F.lit(False))
-    model = train(training_sample(base.where(~fold(F.col("doc_id"))), max_train_bytes), order)
-    bounds = None
-    if times is not None:
-        bounds = rate_bounds(model, training_sample(base.where(fold(F.col("doc_id"))), max_train_bytes), times)
-    shared = docs.sparkSession.sparkContext.broadcast((model, bounds))
+    taught, unseen = base.where(~fold(F.col("doc_id"))), base.where(fold(F.col("doc_id")))
+    languages = learned(taught, max_train_bytes)
+    models = (languages.agg(F.max("grp")).first()[0] or 0) + 1
+    sample = training_sample(taught, max_train_bytes, languages)
+    checks = training_sample(unseen, max_train_bytes, learned(unseen, max_train_bytes).drop("grp").join(languages.select("lang", "grp"), "lang")) if times is not None else None
+    spark = docs.sparkSession
     text = text_col if text_col in carry else "_text"  # a carried text goes to the tasks once
     own = [] if text in carry else [F.col(f"`{text_col}`").alias(text)]
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), fold(F.col(f"`{id_col}`")).alias("held_out"), *[F.col(f"`{c}`") for c in carry], *own
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), fold(F.col(f"`{id_col}`")).alias("held_out"), *[F.col(f"`{c}`") for c in carry], *own)
+    if models == 1:
+        model = train(texts_of(sample), order)
+        bounds = loosest(rate_bounds(model, texts_of(checks), times)) if times is not None else None
+        shared = spark.sparkContext.broadcast((model, bounds))
+        fields = [*typed(rows, "_text"), "lang_pred string", "score double", "bits_per_byte double", *(["fits boolean"] if bounds is not None else [])]
+        return rows.mapInArrow(_score(shared, text), ", ".join(fields))
+    return _by_models(rows, text, stored(sample, "language-sample"), stored(checks, "language-checks") if checks is not None else None, models, order, times)
+
+
+def _costs(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in sliced(batches, "text"):
+            cost = code_lengths(model, batch.column("text").to_pylist())
+            best = cost.argmin(axis=1)
+            least = cost[np.arange(len(cost)), best]
+            z = np.exp2(np.maximum(least[:, None] - cost, -1000.0)).sum(axis=1)
+            lang = pa.array([model.languages[b] for b in best], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), lang, pa.array(least), pa.array(z)], names=["h1", "h2", "lang", "bits", "z"])
+
+    return run
+
+
+def _by_models(rows: DataFrame, text: str, sample: DataFrame, checks: DataFrame | None, models: int, order: int, times: float | None) -> DataFrame:
+    """identify() for more languages than one model holds: one model after another codes all texts, each text once
+    however often it repeats, and the least code length of each text is a min aggregate over the models.
+
+    The driver and every worker hold one model at a time.
+    """
+    spark = rows.sparkSession
+    h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(1), F.reverse(text))
+    texts = stored(
+        rows.where(F.col(text).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text")).transform(lambda df: once_a_task(df, "h1", "h2")), "language-texts"
     )
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"]
-    fields += ["lang_pred string", "score double", "bits_per_byte double", *(["fits boolean"] if bounds is not None else [])]
-    return rows.mapInArrow(_score(shared, text), ", ".join(fields))
+    found, bounds = [], {}
+    for g in range(models):
+        model = train(texts_of(sample, g), order)
+        if not model.languages:
+            continue
+        if checks is not None:
+            bounds |= dict(zip(model.languages, rate_bounds(model, texts_of(checks, g), times).tolist()))
+        shared = spark.sparkContext.broadcast(model)
+        found.append(stored(texts.mapInArrow(_costs(shared), "h1 long, h2 long, lang string, bits double, z double").distinct(), "language-costs"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, found)
+    best = every.groupBy("h1", "h2").agg(F.min(F.struct("bits", "lang", "z")).alias("b"), F.collect_list(F.struct("bits", "z")).alias("all"))  # one entry a model
+    z = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["z"] * F.pow(F.lit(2.0), F.greatest(F.col("b.bits") - x["bits"], F.lit(-1000.0))))
+    best = stored(best.select("h1", "h2", F.col("b.lang").alias("_lang"), F.col("b.bits").alias("_bits"), (1 / z).alias("_score")), "language-best")
+    judged = rows.withColumn("_h1", h1).withColumn("_h2", h2).join(best, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left")
+    known = F.col("_lang").isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    rate = F.col("_bits") / F.greatest(F.octet_length(text), F.lit(1))
+    out = judged.withColumns({
+        "lang_pred": F.when(known, F.col("_lang")).otherwise(F.lit(UNDETERMINED)), "score": F.when(known, F.col("_score")).otherwise(0.0), "bits_per_byte": F.when(known, rate),
+    })
+    names = [c for c in rows.columns if c != "_text"] + ["lang_pred", "score", "bits_per_byte"]
+    if checks is not None:
+        limits = spark.createDataFrame([(k, float(v)) for k, v in zip(bounds, loosest(np.array(list(bounds.values()))))], "_of string, _limit double")
+        out = out.join(limits, F.col("lang_pred") == F.col("_of"), "left")  # one row a language
+        out = out.withColumn("fits", F.coalesce(known & (F.col("bits_per_byte") <= F.col("_limit") + 64.0 / F.greatest(F.octet_length(text), F.lit(1))), F.lit(False)))
+        names.append("fits")
+    return out.select(*names)

@@ -231,7 +231,8 @@ class Mixture:
 def expectation_maximisation(b, p2, p1, n, uniform: float, steps: int = 200) -> Mixture:
     """Weights that maximise the likelihood of n held-out events with bigram estimate p2 in context
     bucket b and unigram estimate p1. An unseen context (bucket 0) has weight 0; buckets without
-    events take the weight of the next lower one that has some."""
+    events take the weight of the next lower one that has some. One pseudo-event a bucket (and one in all), explained
+    by the lower order, keeps every weight below 1, so that no continuation ends with probability 0."""
     size = 64
     w, u = np.full(size, 0.5), 0.9
     w[0] = 0.0
@@ -240,11 +241,11 @@ def expectation_maximisation(b, p2, p1, n, uniform: float, steps: int = 200) ->
         low = u * p1 + (1 - u) * uniform
         p = w[b] * p2 + (1 - w[b]) * low
         high = n * w[b] * p2 / p
-        new = np.where(total > 0, np.bincount(b, weights=high, minlength=size) / np.maximum(total, 1e-300), w)
+        new = np.where(total > 0, np.bincount(b, weights=high, minlength=size) / (total + 1), w)
         new[0] = 0.0
         rest = n - high
         mass = rest.sum()
-        v = float((rest * u * p1 / low).sum() / mass) if mass > 0 else u
+        v = float((rest * u * p1 / low).sum() / (mass + 1)) if mass > 0 else u
         done = max(np.abs(new - w).max(), abs(v - u)) < 1e-7
         w, u = new, v
         if done:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, components, link_summary, renamed, runs, sliced, stored
+from .common import blocked, components, link_summary, once_a_task, renamed, runs, sliced, stored
 
 _U = np.uint64
 
@@ -233,9 +233,10 @@ def near_duplicates(
         .groupBy("node").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("b"))  # at most one bucket a band
         .join(classes.select("node", "rep", "rep_hash", "copies", "bands"), "node")
     )
-    meet = base.join(of_node, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select(
-        "node", "copies", "bands", "text", F.explode("b").alias("b")
-    ).select("node", "copies", "bands", "text", "b.bucket", "b.band", "b.blocks")
+    # one text of each representative: repeated rows go once a task to the join, and once on from there
+    texts = once_a_task(base.where("doc_id is not null"), "doc_id", "text_hash")
+    met = texts.join(of_node, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).dropDuplicates(["doc_id", "text_hash"])
+    meet = met.select("node", "copies", "bands", "text", F.explode("b").alias("b")).select("node", "copies", "bands", "text", "b.bucket", "b.band", "b.blocks")
     links = stored(
         blocked(meet, ["bucket"], "blocks", "node").mapInArrow(_verify(n, similarity), "node long, cnt long, root long"), "links"
     )

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -97,8 +98,13 @@ def test_distrust_reaches_far_hosts(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
     assert got == {k: "allow" if k == 16 else "block" for k in range(17)}
-    with pytest.raises(RuntimeError, match="settle"):
-        url_filter.filter_urls(pages, p=url_filter.Spread(most_steps=6))
+
+
+def test_a_chain_of_1500_hosts_gets_verdicts(spark):
+    """The walk ends with the mass that still moves, however long a path is."""
+    rows = [(k, f"http://h{k}.net/", f"<a href='http://{f'h{k + 1}.net' if k < 1499 else 'bad.com'}/'>") for k in range(1500)] + [(1500, "http://bad.com/de/x", "")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 1501 and all(got[k] == "block" for k in range(1430, 1501)) and got[0] == "allow"
 
 
 def test_many_blocked_hosts_are_joined_by_salt(spark):
@@ -620,24 +626,43 @@ def test_held_out_languages(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows]) > 0.98 and all(r["held_out"] == (fold(r["doc_id"], 4) == 2) for r in rows)
 
 
+def sample(rows, most):
+    return language_id.texts_of(language_id.training_sample(rows, most, language_id.learned(rows, most)))
+
+
 def test_training_sample_of_few_long_texts(spark):
     rows = [(i, f"lang a {i} " * 12_000, "a") for i in range(3)] + [(i, f"lang b {i} " * 400, "b") for i in range(40)]
     rows += [(1000 + i, f"lang c {i} " * (20_000 if i < 8 else 10), "c") for i in range(400)] + [(7, "lang d " * 10, "d")] * 3000
     rows += [(1, "é" * 50_000, "e"), (2, None, "a"), (3, "", "f"), (4, "no language", None)]
-    got = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3000)
+    got = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3000)
     size = {k: sum(len(t.encode()) for t in v) for k, v in got.items()}
     assert set(got) == set("abcde") and all(3000 <= size[k] <= 6000 for k in "abc") and 3000 <= size["e"] <= 4200
     assert len(got["a"]) >= 2 and len(got["b"]) >= 8 and len(got["c"]) >= 8 and got["d"] == ["lang d " * 10]
     few = spark.createDataFrame([(i, f"text {i} " * 100, "a") for i in range(5)], "doc_id long, text string, lang string")
-    assert sorted(language_id.training_sample(few, 1 << 20)["a"]) == [f"text {i} " * 100 for i in range(5)]
-    assert language_id.training_sample(few.limit(0), 3000) == {}
-
-
-def test_too_many_languages_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
-    rows = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="3 languages"):
-        language_id.training_sample(rows, 3000)
+    assert sorted(sample(few, 1 << 20)["a"]) == [f"text {i} " * 100 for i in range(5)]
+    assert sample(few.limit(0), 3000) == {}
+
+
+def test_several_models_judge_as_one(spark, monkeypatch):
+    """Languages dealt over many models: predictions, scores and rates of one model that holds them all."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    d = d.withColumn("lang", F.when(F.col("doc_id") % 9 == 0, F.concat("lang", F.lit("x"))).otherwise(F.col("lang")))
+    d = d.unionByName(d.limit(3)).unionByName(spark.createDataFrame([(None, "the text", "en", "s", 1), (5000, None, None, "s", 1), (5001, "123 !", None, "s", 1)], d.schema))
+    key = lambda df: sorted(((str(r["doc_id"]), r["held_out"], r["lang_pred"], round(r["score"], 9), r["bits_per_byte"] and round(r["bits_per_byte"], 9), r["fits"], r["source"]) for r in df.collect()), key=repr)
+    one = key(language_id.identify(d, times=3.0, carry=("source",), max_train_bytes=20_000))
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 40_000)
+    assert key(language_id.identify(d, times=3.0, carry=("source",), max_train_bytes=20_000)) == one
+    assert len({r[2] for r in one}) > 5
+    carried = language_id.identify(d, carry=("text", "source"), max_train_bytes=20_000)
+    assert carried.columns == ["doc_id", "held_out", "text", "source", "lang_pred", "score", "bits_per_byte"] and carried.count() == len(one)
+
+
+def test_six_hundred_languages(spark):
+    """A noisy lang column: a row for every document."""
+    words = {f"l{k:03d}": f"{chr(97 + k % 26)}{chr(97 + k // 26)}qz " for k in range(600)}
+    rows = [(4 * k + j, w * 6, lang) for k, (lang, w) in enumerate(words.items()) for j in range(3)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    assert len(got) == 1800 and np.mean([r["lang_pred"] == f"l{r['doc_id'] // 4:03d}" for r in got]) > 0.9
 
 
 def test_language_stage_drops_unlearned_languages(spark):

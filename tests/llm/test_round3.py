@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barloom.llm import importance, merkle, pii
+from barloom.llm import common, decontaminate, importance, lm_score, merkle, ngram_jaccard, pii
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,3 +260,45 @@ def test_personal_data_edges(spark):
     assert sorted(str(r["redacted"]) for r in found.collect()) == ["", "None", "[EMAIL]", "é😀 [EMAIL] [IP]", "é😀 [EMAIL] [IP]"]
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pii.redacted("abcdef", [(1, 3, 4), (2, 2, 5)]) == "a[PHONE]f"
+
+
+# Hot keys of the earlier operators
+
+
+def test_repeats_of_one_document_are_sent_once(spark, monkeypatch):
+    """A document repeated 20,000 times beside a near copy: one text a task reaches the join, one the bucket."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    docs = rows.unionByName(spark.createDataFrame([(9, text + " more"), (11, "other words of no interest here at all")], "doc_id long, text string"))
+    sent = []
+    real = ngram_jaccard.blocked
+    monkeypatch.setattr(ngram_jaccard, "blocked", lambda df, *a: sent.append(df.groupBy("bucket").count().agg(F.max("count")).first()[0]) or real(df, *a))
+    got = ngram_jaccard.near_duplicates(docs)
+    by = {r["doc_id"]: (r["class_id"], r["n_links"], r["n"]) for r in got.groupBy("doc_id", "class_id", "n_links").agg(F.count("*").alias("n")).collect()}
+    assert by == {7: (7, 20_000, 20_000), 9: (7, 20_000, 1), 11: (11, 0, 1)} and sent == [2]
+    assert common.once_a_task(docs, "doc_id").count() <= 4 + 2 + 4
+
+
+def test_a_phrase_of_all_documents_and_items_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join("w" + str(v) for v in rng.integers(0, 10**9, n))
+    phrase = "one two three four five"
+    items = [(k, f"{word(30)} {phrase} {word(30)}") for k in range(40)]
+    docs = [(i, f"{word(20)} {phrase} {word(20)}") for i in range(200)] + [(1000, word(9) + " " + items[3][1]), (1001, items[5][1]), (1001, items[5][1])]
+    stored, sizes = decontaminate.stored, {}
+
+    def spy(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "stored", spy)
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    large = decontaminate.contaminated(table, bench, max_shared_chars=0)
+    assert sorted((r["doc_id"], r["item_id"]) for r in large.collect()) == [(1000, 3), (1001, 5), (1001, 5)] and sizes["pairs"] == 2
+    assert sorted(map(str, large.collect())) == sorted(map(str, decontaminate.contaminated(table, bench).collect()))
+
+
+def test_mixture_weights_stay_below_one():
+    m = lm_score.expectation_maximisation(np.full(20, 3), np.ones(20), np.full(20, 1e-9), np.ones(20), 1e-4)
+    assert 0.9 < m.bigram[3] < 1 and m.unigram < 1
