@@ -102,7 +102,7 @@ def carried(base: DataFrame, sources: dict[str, tuple[DataFrame, list[str]]], by
         right = df.select(*by, ts, F.struct(F.col(ts).alias("source_ts"), *[F.col(f"`{c}`") for c in columns]).alias(f"_v{name}"), F.lit(0).alias("_side"))
         both = both.unionByName(right, allowMissingColumns=True)
     both = blocks.with_block(both, at, ts)
-    key = [*by, "_block"]
+    key = [*by, "_block"] if at else by
     w = Window.partitionBy(*key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     same = Window.partitionBy(*key, ts)
     out = both.withColumns({f"_l{n}": F.last(f"_v{n}", ignorenulls=True).over(w) for n in sources}).withColumns({f"_n{n}": F.count(f"_v{n}").over(same) for n in sources}).where("_side = 1")

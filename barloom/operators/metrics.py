@@ -155,8 +155,9 @@ def period_returns(curve: DataFrame, unit: str, keys=KEYS) -> DataFrame:
     return rows.withColumn("ret", div(F.col("last"), base) - 1).where("ret is not null").select(*keys, "period", "ret")
 
 
-def autocorrelation(rows: DataFrame, x: str, lags: int, keys=KEYS) -> DataFrame:
-    """(keys, lag, acf, significant): sum of lagged products of deviations over their squares; band 1.96/sqrt(n)."""
+def autocorrelation(rows: DataFrame, x: str, lags: int, keys=KEYS, adjusted: bool = False) -> DataFrame:
+    """(keys, lag, acf, significant): sum of lagged products of deviations over their squares; band 1.96/sqrt(n).
+    ``adjusted`` divides each sum by its own number of pairs, as partial autocorrelations want it."""
     w, whole = by_time(*keys), Window.partitionBy(*keys)
     d = rows.withColumn("_d", F.col(x) - F.avg(x).over(whole))
     pairs = d.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)})
@@ -165,6 +166,7 @@ def autocorrelation(rows: DataFrame, x: str, lags: int, keys=KEYS) -> DataFrame:
     )
     long = agg.select(*keys, "n", "_v", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_s{k}").alias("s")) for k in range(1, lags + 1)])).alias("e"))
     acf = div(F.col("e.s"), F.nullif(F.col("_v"), F.lit(0.0)))
+    acf = div(acf * F.col("n"), F.col("n") - F.col("e.lag")) if adjusted else acf
     return long.select(*keys, F.col("e.lag").alias("lag"), acf.alias("acf"), (F.abs(acf) > 1.96 / F.sqrt("n")).alias("significant"))
 
 

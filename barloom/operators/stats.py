@@ -138,7 +138,7 @@ def durbin(acf: np.ndarray) -> np.ndarray:
 
 
 def partial_autocorrelation(acf: DataFrame, keys=KEYS) -> DataFrame:
-    """(keys, lag, pacf) from (keys, lag, acf)."""
+    """(keys, lag, pacf) from (keys, lag, acf) with adjusted autocorrelations; a row a lag, not the series, goes to one task."""
     names = list(keys)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -183,48 +183,132 @@ def kpss_p(statistic: float) -> float:
     return float("nan") if np.isnan(statistic) else float(np.interp(statistic, points, p))
 
 
-def adf(x: np.ndarray) -> float:
-    """t statistic of the level in the augmented regression with a constant; lags by the information criterion."""
-    n = len(x)
-    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
-    dx, best = np.diff(x), None
-    for p in range(max(most, 0) + 1):
-        start = most
-        y = dx[start:]
-        cols = [x[start:-1], *(dx[start - k : len(dx) - k] for k in range(1, p + 1)), np.ones(len(y))]
-        a = np.stack(cols, axis=1)
-        if len(y) <= a.shape[1]:
-            continue
-        beta, *_ = np.linalg.lstsq(a, y, rcond=None)
-        e = y - a @ beta
-        aic = len(y) * np.log(max(e @ e, 1e-300) / len(y)) + 2 * a.shape[1]
-        if best is None or aic < best[0]:
-            s2 = e @ e / (len(y) - a.shape[1])
-            best = (aic, beta[0] / np.sqrt(max(s2 * np.linalg.pinv(a.T @ a)[0, 0], 1e-300)))
-    return float(best[1]) if best else float("nan")
-
-
-def kpss(x: np.ndarray) -> float:
-    """Level statistic with the usual automatic number of lags."""
-    n, e = len(x), x - x.mean()
-    lags = int(np.ceil(12 * (n / 100) ** 0.25))
-    s2 = e @ e / n + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) / n for k in range(1, min(lags, n - 1) + 1))
-    return float((np.cumsum(e) ** 2).sum() / (n * n * max(s2, 1e-300)))
-
-
-def stationarity(rows: DataFrame, x: str, keys=KEYS) -> DataFrame:
-    """ADF and KPSS statistics, p-values, and verdicts at 5 % from tabulated points."""
-    names = list(keys)
+def most_lags(n: int) -> int:
+    """Lags that the unit-root regression of n values may try."""
+    return max(0, min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("ts")[x].dropna().to_numpy(float)
-        a, k = (adf(v), kpss(v)) if len(v) >= 10 else (float("nan"), float("nan"))
-        return pd.DataFrame(
-            [[*pdf[names].iloc[0], a, k, adf_p(a), kpss_p(k), a < ADF_POINTS[1], k < KPSS_POINTS[1]]], columns=[*names, "adf", "kpss", "adf_p", "kpss_p", "adf_stationary", "kpss_stationary"]
-        )
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
-    return rows.select(*names, "ts", x).groupBy(*names).applyInPandas(one, f"{kinds}, adf double, kpss double, adf_p double, kpss_p double, adf_stationary boolean, kpss_stationary boolean")
+
+def _level_t(gram: np.ndarray, rows: float, lags: int) -> tuple[float, float]:
+    """(information criterion, t statistic of the level) from the moments of [1, level, lagged changes..., change]."""
+    use = [0, 1, *range(2, 2 + lags)]
+    a, y, yy = gram[np.ix_(use, use)], gram[use, -1], gram[-1, -1]
+    if rows <= len(use):
+        return float("inf"), float("nan")
+    scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+    inverse = np.linalg.pinv(a * np.outer(scale, scale), hermitian=True) * np.outer(scale, scale)
+    beta = inverse @ y
+    left = max(yy - beta @ y, 1e-300)
+    aic = rows * np.log(left / rows) + 2 * len(use)
+    return aic, float(beta[1] / np.sqrt(max(left / (rows - len(use)) * inverse[1, 1], 1e-300)))
+
+
+def _moments(rows: DataFrame, x: str, keys: tuple[str, ...], most: int | None):
+    """(rows with n, m, i and v = [1, level, changes m..1 bars ago, change], names of the columns, widest m).
+
+    m is the number of lags that a series may try, or ``most``; levels are centred. v is padded at the
+    left of the changes, so every row has the same width.
+    """
+    w, whole = by_time(*keys), Window.partitionBy(*keys)
+    r = rows.where(f"`{x}` is not null").select(*keys, "ts", F.col(x).cast("double").alias("_x"))
+    r = r.withColumns({"n": F.count("*").over(whole), "_x": F.col("_x") - F.avg("_x").over(whole), "i": F.row_number().over(w)})
+    m = F.lit(most) if most is not None else F.greatest(F.lit(0), F.least(F.ceil(12 * F.pow(F.col("n") / 100, 0.25)), F.floor(F.col("n") / 2) - 2)).cast("int")
+    r = r.withColumns({"m": m, "_l": F.lag("_x").over(w), "_d": F.col("_x") - F.lag("_x").over(w)})
+    wide = most if most is not None else (r.agg(F.max("m")).first()[0] or 0)
+    past = F.collect_list("_d").over(w.rowsBetween(-wide, 0))
+    r = r.withColumn("_p", past).where("i > 1")
+    pad = F.array_repeat(F.lit(0.0), F.lit(wide + 1) - F.size("_p"))
+    return r.select(*keys, "n", "m", "i", F.concat(F.array(F.lit(1.0), F.col("_l")), pad, "_p").alias("v")), wide
+
+
+def unit_root(rows: DataFrame, x: str, lags: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, n, adf): the augmented unit-root regression with a constant, at a fixed number of lags, or at the
+    one that the information criterion chooses, fitted again on all rows that it leaves.
+
+    The rows become one moment matrix a task and series, which are added up; only matrices and the first few rows of each
+    series, which the refit needs, are solved in one place.
+    """
+    names, (table, wide) = list(keys), _moments(rows, x, keys, lags)
+    size = wide + 3
+    kinds = ", ".join(f"`{k}` {table.schema[k].dataType.simpleString()}" for k in names)
+
+    def gram(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(names, dropna=False, sort=False):
+                v = np.array(part["v"].tolist())
+                yield pd.DataFrame({**{k: [u] for k, u in zip(names, key)}, "rows": [len(v)], "g": [(v.T @ v).ravel()]})
+
+    fitted = table.where(F.col("i") >= F.col("m") + 2).select(*names, "v")
+    sums = fitted.mapInPandas(gram, f"{kinds}, rows long, g array<double>").groupBy(*names).agg(
+        F.sum("rows").alias("rows"), F.array(*[F.sum(F.get("g", F.lit(k))) for k in range(size * size)]).alias("g") if size <= 6 else F.collect_list("g").alias("g")
+    )
+    if size > 6:  # one matrix a task
+        sums = sums.withColumn("g", F.aggregate("g", F.array_repeat(F.lit(0.0), size * size), lambda a, b: F.zip_with(a, b, lambda p, q: p + q)))
+    head = table.groupBy(*names).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.array_sort(F.collect_list(F.when(F.col("i") < F.col("m") + 2, F.struct("i", "v")))).alias("head"))
+    both = head.join(sums, names, "left")
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                t = float("nan")
+                if r["g"] is not None and not np.isscalar(r["g"]):
+                    g = np.array(r["g"]).reshape(size, size)
+                    # the changes stand oldest first: lags from the nearest on
+                    order = [0, 1, *range(size - 2, 1, -1), size - 1]
+                    g, count, m = g[np.ix_(order, order)], float(r["rows"]), int(r["m"])
+                    best = lags
+                    if lags is None:
+                        best = int(np.argmin([_level_t(g, count, p)[0] for p in range(m + 1)]))
+                        for h in r["head"]:
+                            if h["i"] >= best + 2:
+                                v = np.array(h["v"])[order]
+                                g, count = g + np.outer(v, v), count + 1
+                    t = _level_t(g, count, best)[1]
+                out.append([*(r[k] for k in names), int(r["n"]), t])
+            yield pd.DataFrame(out, columns=[*names, "n", "adf"])
+
+    return both.select(*names, "n", "m", "rows", "g", "head").mapInPandas(solve, f"{kinds}, n long, adf double")
+
+
+def level_stationarity(rows: DataFrame, x: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, n, lags, kpss): the level statistic with its data-dependent bandwidth, by windows and aggregates."""
+    w, whole = by_time(*keys), Window.partitionBy(*keys)
+    r = rows.where(f"`{x}` is not null").select(*keys, "ts", F.col(x).cast("double").alias("_x"))
+    r = r.withColumns({"_e": F.col("_x") - F.avg("_x").over(whole), "_n": F.count("*").over(whole)}).drop("_x")
+    few = F.floor(F.pow(F.col("_n").cast("double"), F.lit(2 / 9)))
+    most = int(r.agg(F.max(few)).first()[0] or 0)
+    lagged = r.withColumns({f"_l{k}": F.lag("_e", k).over(w) for k in range(1, most + 1)}).withColumn("_c", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pair = lambda k: F.when(few >= k, 2 * F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)) / F.col("_n"))
+    agg = lagged.groupBy(*keys, "_n").agg(
+        F.sum(F.col("_e") * F.col("_e")).alias("_v"), F.sum(F.col("_c") * F.col("_c")).alias("_cc"), *[F.coalesce(pair(k), F.lit(0.0)).alias(f"_p{k}") for k in range(1, most + 1)]
+    )
+    s0 = sum((F.col(f"_p{k}") for k in range(1, most + 1)), F.col("_v") / F.col("_n"))
+    s1 = sum((k * F.col(f"_p{k}") for k in range(1, most + 1)), F.lit(0.0))
+    auto = F.floor(1.1447 * F.pow(F.pow(div(s1, s0), 2), 1 / 3) * F.pow(F.col("_n").cast("double"), F.lit(1 / 3)))
+    agg = agg.withColumn("lags", F.coalesce(F.least(auto, F.col("_n") - 1), F.lit(0)).cast("long")).select(*keys, "_n", "_v", "_cc", "lags")
+    wide = int(agg.agg(F.max("lags")).first()[0] or 0)
+    if wide:
+        back = F.reverse(F.collect_list("_e").over(w.rowsBetween(-wide, -1)))
+        rows_ = r.join(agg.select(*keys, "lags"), list(keys)).withColumn("_b", back)
+        weigh = F.aggregate(F.transform("_b", lambda v, i: v * F.greatest(F.lit(0.0), 1 - (i + 1) / (F.col("lags") + 1))), F.lit(0.0), lambda a, v: a + v)
+        more = rows_.groupBy(*keys).agg(F.sum(F.col("_e") * weigh).alias("_w"))
+        agg = agg.join(more, list(keys))
+    else:
+        agg = agg.withColumn("_w", F.lit(0.0))
+    s2 = (F.col("_v") + 2 * F.col("_w")) / F.col("_n")
+    return agg.select(*keys, F.col("_n").alias("n"), "lags", div(F.col("_cc"), F.col("_n") * F.col("_n") * F.greatest(s2, F.lit(1e-300))).alias("kpss"))
+
+
+def stationarity(rows: DataFrame, x: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """ADF and KPSS statistics, p-values, and verdicts at 5 %; NULL for series of fewer than 10 values."""
+    p = lambda f: F.pandas_udf(lambda s: s.map(f).astype(float), "double")
+    both = unit_root(rows, x, None, keys).join(level_stationarity(rows, x, keys).drop("n", "lags"), list(keys))
+    long = F.col("n") >= 10
+    both = both.withColumns({c: F.when(long, F.col(c)) for c in ("adf", "kpss")}).withColumns({"adf_p": p(adf_p)("adf"), "kpss_p": p(kpss_p)("kpss")})
+    return both.select(
+        *keys, "adf", "kpss", *[F.when(long, F.col(c)).alias(c) for c in ("adf_p", "kpss_p")], F.coalesce(F.col("adf") < ADF_POINTS[1], F.lit(False)).alias("adf_stationary"),
+        F.coalesce(F.col("kpss") < KPSS_POINTS[1], F.lit(False)).alias("kpss_stationary"),
+    )
 
 
 def seasonality(rows: DataFrame, x: str, period: int, keys=KEYS) -> DataFrame:

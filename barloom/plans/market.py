@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, rnd, trailing
-from ..operators import align, calendar, clean
+from ..operators import align, calendar, clean, contract
 from ..operators import indicators as ind
 from ..operators.conditions import with_mask
 from ..sources.bars import event_bars, order_bars, ship_feature
@@ -524,3 +524,36 @@ def clean_downsample(spark, d):
 @query("with {OB} select asset, ts, close from bars where ts between date '1996-02-01' and date '1996-03-31'")
 def clean_date_slice(spark, d):
     return clean.date_slice(order_bars(spark, d).select("asset", "ts", "close"), "1996-02-01", "1996-03-31")
+
+
+CONTRACT = {
+    "primary_key": {"time_field": "ts", "instrument_field": "asset"}, "alignment_policy": {"join_mode": "asof"},
+    "features": [
+        {"field": "filled_mean", "source": {"source_id": "filled", "column": "x", "time_field": "day", "instrument_field": "asset"}, "staleness_max_bars": 2, "lag_bars": 1},
+        {"field": "open_count", "source": {"source_id": "open", "column": "x", "time_field": "day", "instrument_field": "asset"}, "join_mode": "left", "fill_policy": "zero"},
+        {"field": "partial_high", "source": {"source_id": "partial", "column": "x", "time_field": "day", "instrument_field": "asset"}, "join_mode": "left", "fill_policy": "ffill", "staleness_max_bars": 1},
+    ],
+}
+
+
+@query(
+    f"""with {{OB}}, s as (select o_orderpriority as asset, cast(o_orderdate as date) as day, o_orderstatus as st, avg(o_totalprice) as m, count(*)::double as n, max(o_totalprice) as h from orders group by all),
+b as (select asset, ts, row_number() over ({O}) as i from bars), g as (select median(g) as g from (select date_diff('day', lag(ts) over (order by ts), ts) as g from (select distinct ts from bars)) where g > 0),
+a as (select b.asset, b.ts, case when date_diff('day', f.day, b.ts) <= 2 * g.g then f.m end as m, case when date_diff('day', f.day, b.ts) <= 2 * g.g then f.day end as day from b asof left join (select * from s where st = 'F') f on b.asset = f.asset and b.ts >= f.day cross join g),
+c as (select b.asset, b.ts, b.i, a.m, a.day, o.n, p.h from b join a using (asset, ts) left join s o on o.st = 'O' and o.asset = b.asset and o.day = b.ts left join s p on p.st = 'P' and p.asset = b.asset and p.day = b.ts),
+f as (select *, lag(m) over ({O}) as lm, lag(day) over ({O}) as ld, last_value(h ignore nulls) over ({O} rows between 1 preceding and current row) as lh from c)
+select f.asset, f.ts, round(lm, 4) as filled_mean, coalesce(n, 0) as open_count, round(lh, 4) as partial_high, case when lm is null then 'missing' when lag(f.ts) over (partition by f.asset order by f.ts) = ld then 'exact' else 'asof' end as filled_origin,
+ case when n is null then 'zero_fill' else 'exact' end as open_origin, case when lh is null then 'missing' when h is null then 'ffill' else 'exact' end as partial_origin,
+ case when ld is not null then (i - (select max(i) from b where b.asset = f.asset and b.ts <= f.ld))::double end as filled_age from f"""
+)
+def feature_contract(spark, d):
+    """Three sources of orders by status, each with its own policy, joined in one pass."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("day", F.to_date("o_orderdate"))
+    per = orders.groupBy(F.col("o_orderpriority").alias("asset"), "day", "o_orderstatus").agg(F.avg("o_totalprice").alias("m"), F.count("*").cast("double").alias("n"), F.max("o_totalprice").alias("h"))
+    of = lambda status, c: per.where(F.col("o_orderstatus") == status).select("asset", "day", F.col(c).alias("x"))
+    out = contract.materialize(order_bars(spark, d).select("asset", "ts"), {"filled": of("F", "m"), "open": of("O", "n"), "partial": of("P", "h")}, CONTRACT)
+    origin = lambda f, name: F.col(contract.suffix(f, "value_origin")).alias(name)
+    return out.select(
+        "asset", "ts", rnd(F.col("filled_mean"), 4).alias("filled_mean"), "open_count", rnd(F.col("partial_high"), 4).alias("partial_high"), origin("filled_mean", "filled_origin"),
+        origin("open_count", "open_origin"), origin("partial_high", "partial_origin"), F.col(contract.suffix("filled_mean", "age_bars")).alias("filled_age"),
+    )

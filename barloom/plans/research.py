@@ -25,8 +25,8 @@ def named_acf(end: str = "11") -> str:
 
 
 RET = f"h as (select *, coalesce(close / nullif({lag('close')}, 0) - 1, 0) as ret from bars)"
-LAG5 = "k as (select unnest([0, 1, 2, 5]) as lag)"
-PAIRS = f"""{RET}, j as (select h.asset, h.ts, h.ret, s.qty, row_number() over (partition by h.asset order by h.ts) as i from h join ship s using (ts)), {LAG5},
+LAGGED = f"k as (select unnest({list(stats.LAGS)}) as lag)"
+PAIRS = f"""{RET}, j as (select h.asset, h.ts, h.ret, s.qty, row_number() over (partition by h.asset order by h.ts) as i from h join ship s using (ts)), {LAGGED},
 p as (select a.asset, a.ts, k.lag, a.qty as x, b.ret as y from j a join k on true join j b on b.asset = a.asset and b.i = a.i + k.lag),
 q as (select *, rank() over (partition by asset, lag order by x) + (count(*) over (partition by asset, lag, x) - 1) / 2.0::double as rx, rank() over (partition by asset, lag order by y) + (count(*) over (partition by asset, lag, y) - 1) / 2.0::double as ry, count(*) over (partition by asset, lag) as n,
  count(*) over (partition by asset, lag order by y) as r1, count(*) over (partition by asset, lag order by y desc) as l1, count(*) over (partition by asset, lag order by x) as r2, count(*) over (partition by asset, lag order by x desc) as l2 from p),
@@ -34,7 +34,7 @@ d as (select *, abs(lead(r1) over (partition by asset, lag order by x, ts) - r1)
 c as (select asset, lag::int as lag, count(*) as n, corr(x, y) as pearson, corr(rx, ry) as spearman, greatest(1 - max(n) * sum(d1) / (2.0::double * sum(l1 * (n - l1))), 1 - max(n) * sum(d2) / (2.0::double * sum(l2 * (n - l2)))) as xi from d group by asset, lag having count(*) >= 30)"""
 
 
-def lagged(spark, d, lags=(0, 1, 2, 5)):
+def lagged(spark, d, lags=stats.LAGS):
     rows = order_bars(spark, d)
     rows = rows.withColumn("ret", clean.simple_return(F.col("close"), by_time("asset"))).join(ship_feature(spark, d), "ts")
     return stats.lagged_correlation(rows, "qty", "ret", lags)
@@ -73,11 +73,12 @@ def stats_normality(spark, d):
 
 @query(
     f"""with {{EB}}, {CURVE}, {named_acf()},
-a as (select asset, max(acf) filter (lag = 1) as a1, max(acf) filter (lag = 2) as a2 from y group by asset)
+m as (select asset, count(*) as n from d group by asset),
+a as (select asset, max(acf) filter (lag = 1) * any_value(n) / (any_value(n) - 1) as a1, max(acf) filter (lag = 2) * any_value(n) / (any_value(n) - 2) as a2 from y join m using (asset) group by asset)
 select asset, round(a1, 6) as pacf1, round((a2 - a1 * a1) / (1 - a1 * a1), 6) as pacf2 from a"""
 )
 def stats_partial_autocorrelation(spark, d):
-    out = stats.partial_autocorrelation(metrics.autocorrelation(path(spark, d), "ret", 2))
+    out = stats.partial_autocorrelation(metrics.autocorrelation(path(spark, d), "ret", 2, adjusted=True))
     return rounded(out.groupBy("asset").pivot("lag", [1, 2]).agg(F.first("pacf")).select("asset", F.col("1").alias("pacf1"), F.col("2").alias("pacf2")), "pacf1", "pacf2")
 
 
@@ -90,10 +91,44 @@ def stats_autocorrelation_all(spark, d):
     return rounded(metrics.autocorrelation(rows, "ret", stats.default_lags(rows)).select("asset", "lag", "acf"), "acf")
 
 
-@query()
+ALL_LAGS = "(select least(60, max(k) // 2) + 1 from (select count(*) as k from d group by asset))"
+
+
+@query(
+    f"""with recursive {{EB}}, {CURVE}, {named_acf(ALL_LAGS)}, m as (select asset, count(*) as n from d group by asset),
+l as (select asset, list(acf * n / (n - lag) order by lag) as r from y join m using (asset) group by asset),
+rec as (select asset, 1 as k, [r[1]] as phi, r[1] as last, r from l union all
+ select asset, k + 1, list_concat(list_transform(list_zip(phi, list_reverse(phi)), lambda z: z[1] - a * z[2]), [a]), a, r from
+ (select *, (r[k + 1] - list_dot_product(phi, list_reverse(list_slice(r, 1, k)))) / (1 - list_dot_product(phi, list_slice(r, 1, k))) as a from rec where k < len(r)))
+select asset, k as lag, round(last, 6) as pacf from rec"""
+)
 def stats_partial_autocorrelation_all(spark, d):
     rows = path(spark, d)
-    return rounded(stats.partial_autocorrelation(metrics.autocorrelation(rows, "ret", stats.default_lags(rows))), "pacf")
+    return rounded(stats.partial_autocorrelation(metrics.autocorrelation(rows, "ret", stats.default_lags(rows), adjusted=True)), "pacf")
+
+
+@query(
+    f"""with {{EB}}, {CURVE}, x as (select asset, ts, ret as x, ret - lag(ret) over ({O}) as dx from d), z as (select asset, dx as y, lag(x) over ({O}) as x, lag(dx) over ({O}) as z from x),
+s as (select asset, count(*) as n, var_pop(x) as xx, var_pop(z) as zz, covar_pop(x, z) as xz, covar_pop(x, y) as xy, covar_pop(z, y) as zy, var_pop(y) as yy from z where x is not null and z is not null group by asset),
+b as (select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as b, (zy * xx - xy * xz) / (xx * zz - xz * xz) as c from s)
+select asset, round(b / sqrt(n * (yy - b * xy - c * zy) / (n - 3) * zz / (n * (xx * zz - xz * xz))), 6) as adf from b"""
+)
+def stats_unit_root(spark, d):
+    """The unit-root regression with one lag."""
+    return rounded(stats.unit_root(path(spark, d), "ret", 1).drop("n"), "adf")
+
+
+@query(
+    f"""with {{EB}}, {CURVE}, e0 as (select asset, ts, ret - avg(ret) over (partition by asset) as e from d),
+e as (select *, sum(e) over ({O} rows between unbounded preceding and current row) as c, row_number() over ({O}) as i from e0), m as (select asset, count(*) as n, sum(e * e) as v, sum(c * c) as cc from e group by asset),
+g as (select a.asset, b.i - a.i as k, sum(a.e * b.e) as g from e a join e b on a.asset = b.asset and b.i > a.i group by all),
+w as (select asset, n, v, cc, coalesce(sum(2 * g) filter (k <= floor(n ** (2 / 9.0::double))), 0) / n as s0, coalesce(sum(2 * k * g) filter (k <= floor(n ** (2 / 9.0::double))), 0) / n as s1 from m join g using (asset) group by asset, n, v, cc),
+l as (select *, least(n - 1, floor(1.1447::double * ((s1 / (v / n + s0)) ** 2) ** (1 / 3.0::double) * n ** (1 / 3.0::double)))::bigint as lags from w)
+select l.asset, lags, round(any_value(cc) / (any_value(n) * any_value(n) * (any_value(v) + 2 * coalesce(sum((1 - k / (lags + 1.0::double)) * g) filter (k <= lags), 0)) / any_value(n)), 6) as kpss from l join g using (asset) group by l.asset, lags"""
+)
+def stats_level_stationarity(spark, d):
+    """The level-stationarity statistic with its automatic bandwidth."""
+    return rounded(stats.level_stationarity(path(spark, d), "ret").select("asset", "lags", "kpss"), "kpss")
 
 
 @query()
@@ -240,7 +275,7 @@ def scores(spark, d):
 
 @query(f"with {{EB}}, {WFA} select window_id, part, combo_id, n, active_bars, round(total_return, 6) as total_return, round(max_drawdown, 6) as max_drawdown, round(sharpe, 6) as sharpe, round(calmar, 5) as calmar from sc")
 def wfa_scores(spark, d):
-    out = scores(spark, d).drop("fast", "slow")
+    out = scores(spark, d).drop("fast", "slow", "active_rebalances", "exposure_ratio")
     return rounded(out, "total_return", "max_drawdown", "sharpe").withColumn("calmar", rnd(F.col("calmar"), 5))
 
 
@@ -257,14 +292,14 @@ def wfa_document_scores(spark, d):
     }
     rows, _ = matrix.combos({"fast": {"type": "set", "values": [2, 3]}, "slow": {"type": "set", "values": [4, 5]}})
     out = strategy.walk_forward(panel, doc, rows, wfa.windows(panel.select("ts").distinct().count(), 12, 6, 6))
-    return rounded(out, "total_return", "max_drawdown", "sharpe").withColumn("calmar", rnd(F.col("calmar"), 5))
+    return rounded(out.drop("active_rebalances", "exposure_ratio"), "total_return", "max_drawdown", "sharpe").withColumn("calmar", rnd(F.col("calmar"), 5))
 
 
 CHOSEN = f"""{WFA}, tr as (select *, max((active_bars >= n * 0.2::double)::int) over (partition by window_id) as any_ok from sc where part = 'train'), v as (select * from tr where active_bars >= n * 0.2::double or any_ok = 0),
 ob as (select unnest(['sharpe', 'calmar', 'total_return']) as objective), rk as (select v.*, objective, row_number() over (partition by window_id, objective order by case objective when 'sharpe' then sharpe when 'calmar' then calmar else total_return end desc, combo_id) as k from v, ob),
-ch as (select rk.window_id, rk.combo_id, objective, rk.fast, rk.slow, rk.sharpe as is_sharpe, t.sharpe as oos_sharpe, t.calmar as oos_calmar, t.total_return as oos_total_return, coalesce(t.sharpe / nullif(rk.sharpe, 0), 0) as ratio
+ch as (select rk.window_id, rk.combo_id, objective, rk.fast, rk.slow, rk.sharpe as is_sharpe, t.sharpe as oos_sharpe, t.calmar as oos_calmar, t.total_return as oos_total_return, t.max_drawdown as oos_max_drawdown, case objective when 'sharpe' then rk.sharpe when 'calmar' then rk.calmar else rk.total_return end as im, case objective when 'sharpe' then t.sharpe when 'calmar' then t.calmar else t.total_return end as om, case when im > 0 and om > 0 then om / im end as ratio, rk.any_ok = 0 as fallback
  from rk join sc t on t.part = 'test' and t.window_id = rk.window_id and t.combo_id = rk.combo_id where k = 1)"""
-OK = "(oos_sharpe > 0 and oos_calmar > 0 and ratio >= 0.7 and oos_total_return > 0)"
+OK = "(om > 0 and coalesce(ratio >= 0.7, true) and not fallback)"
 
 
 def chosen(spark, d):
@@ -277,6 +312,43 @@ def wfa_selection(spark, d):
     return rounded(out, "is_sharpe", "oos_sharpe", "oos_total_return", "oos_is_ratio")
 
 
+@query(
+    f"""with {{EB}}, {CHOSEN} select window_id, combo_id, objective, {OK} as accepted, fallback,
+coalesce(nullif(concat_ws('; ', case when objective = 'sharpe' and om <= 0 then 'OOS Sharpe <= 0' end, case when objective = 'calmar' and om <= 0 then 'OOS Calmar <= 0' end, case when objective = 'total_return' and om <= 0 then 'OOS metric <= 0' end,
+ case when ratio < 0.7 then 'OOS/IS ratio < 0.7' end, case when fallback then 'selection_constraints_fallback requires explicit acceptance opt-in' end, case when not (im > 0 and om > 0) then 'OOS/IS ratio diagnostic only' end), ''), 'accepted') as reasons from ch"""
+)
+def wfa_accepted(spark, d):
+    return chosen(spark, d).select("window_id", "combo_id", "objective", "accepted", "fallback", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    f"""with {{EB}}, {WFA.replace("avg(p) as ret from h group by all", "avg(p) as ret, avg(hd) as gross, avg(abs(o - hd)) as tu from h group by all").replace("* r as p from g", "* r as p, coalesce(lag(o) over (partition by window_id, part, combo_id, asset order by ts), 0)::double as hd from g").replace("as active_bars, arg_max", "as active_bars, count(*) filter (tu > 1e-12) as ar, avg((gross > 1e-12)::int) as er, arg_max")},
+v as (select window_id, combo_id, ar, er, active_bars, slow as lb, concat_ws(',', case when ar < 2 then 'is_active_rebalances_below_2' end, case when er < 0.5 then 'is_exposure_ratio_below_0.5' end, case when active_bars < 4 then 'is_nonzero_return_days_below_4' end, case when slow / n::double > 0.35 then 'lookback_fraction_above_0.35' end) as why from sc where part = 'train')
+select window_id, combo_id, ar as active_rebalances, round(er, 6) as exposure_ratio, active_bars, why = '' as viable, coalesce(nullif(why, ''), 'meets_selection_constraints') as viability, max((why = '')::int) over (partition by window_id) = 0 as fallback,
+ case when max((why = '')::int) over (partition by window_id) = 0 then count(*) over (partition by window_id) else count(*) filter (why = '') over (partition by window_id) end as pool_count from v"""
+)
+def wfa_viability(spark, d):
+    rows = scores(spark, d).where("part = 'train'").withColumn("max_lookback", F.greatest("fast", "slow"))
+    out = wfa.viability(rows, wfa.Constraints(min_active_rebalances=2, min_exposure_ratio=0.5, min_nonzero_days=4, max_lookback_fraction=0.35))
+    out = out.select("window_id", "combo_id", "active_rebalances", "exposure_ratio", "active_bars", "viable", F.array_join("viability", ",").alias("viability"), "fallback", "pool_count")
+    return rounded(out, "exposure_ratio")
+
+
+@query(
+    f"""with {{EB}}, {CHOSEN}, mg as (select combo_id, avg(is_sharpe) as is_sharpe, avg(oos_sharpe) as oos_sharpe, stddev_pop(oos_sharpe) as oos_std, avg(oos_calmar) as oos_calmar, min(oos_max_drawdown) as mdd from ch group by combo_id),
+mr as (select *, case when is_sharpe > 0 and oos_sharpe > 0 then oos_sharpe / is_sharpe end as ratio from mg)
+select combo_id, round(oos_sharpe, 6) as oos_sharpe, round(ratio, 6) as oos_is_ratio, round(oos_sharpe + coalesce(ratio, 0) - 0.25 * oos_std - 0.25 * abs(least(mdd, 0)), 6) as robust_score,
+concat_ws(',', case when oos_sharpe <= 0 then 'oos_sharpe_not_positive' end, case when ratio < 0.7 then 'oos_is_ratio_below_threshold' end, case when oos_calmar <= 0 then 'oos_calmar_not_positive' end, case when mdd < -0.9 then 'max_drawdown_floor_breached' end) as reasons from mr"""
+)
+def wfa_gates(spark, d):
+    rows = wfa.select(scores(spark, d), least_active=0.2)
+    means = rows.groupBy("combo_id").agg(
+        F.avg("is_sharpe").alias("is_sharpe"), F.avg("oos_sharpe").alias("oos_sharpe"), F.stddev_pop("oos_sharpe").alias("oos_std"), F.avg("oos_calmar").alias("oos_calmar"), F.min("oos_max_drawdown").alias("max_drawdown")
+    )
+    out = wfa.gated(means, max_drawdown_floor=-0.9).withColumn("reasons", F.array_join("reasons", ","))
+    return rounded(out.select("combo_id", "oos_sharpe", "oos_is_ratio", "robust_score", "reasons"), "oos_sharpe", "oos_is_ratio", "robust_score")
+
+
 @query(f"with {{EB}}, {CHOSEN} select combo_id, fast::bigint as fast, slow::bigint as slow, round(avg(oos_sharpe), 6) as mean_score, count(distinct window_id) as windows, round(avg(oos_total_return), 6) as mean_return from ch group by all order by avg(oos_sharpe) desc, combo_id limit 20")
 def wfa_ranking_report(spark, d):
     return rounded(wfa.ranking_report(chosen(spark, d)), "mean_score", "mean_return")
@@ -287,20 +359,20 @@ def wfa_timeline(spark, d):
     return rounded(wfa.timeline(chosen(spark, d)), "is_sharpe", "oos_sharpe", "oos_total_return", "first_oos_sharpe")
 
 
-@query()
+@query(f"with {{OB}}, {{SHIP}}, {PAIRS} select asset, lag, n, round(pearson, 6) as pearson, round(spearman, 6) as spearman, round(xi, 6) as xi from c")
 def stats_lagged_correlation_all(spark, d):
-    """stats_lagged_correlation over all of the operator's lags."""
-    return rounded(lagged(spark, d, stats.LAGS), "pearson", "spearman", "xi")
+    """stats_lagged_correlation under its earlier name."""
+    return stats_lagged_correlation(spark, d)
 
 
-@query()
+@query(f"with {{OB}}, {{SHIP}}, {PAIRS} select asset, arg_max(lag, row(abs(spearman), -lag)) as spearman_lag, arg_max(lag, row(xi, -lag)) as xi_lag from c group by asset")
 def stats_best_lag_all(spark, d):
-    return stats.best_lag(lagged(spark, d, stats.LAGS))
+    return stats_best_lag(spark, d)
 
 
 @query()
 def stats_correlation_p_values(spark, d):
     """Two-sided p-values of both correlations by lag."""
     p = F.pandas_udf(lambda r, n: pd.Series(stats.correlation_p(r.to_numpy(float), n.to_numpy(float))), "double")
-    out = lagged(spark, d, stats.LAGS)
+    out = lagged(spark, d)
     return rounded(out.select("asset", "lag", p("pearson", "n").alias("pearson_p"), p("spearman", "n").alias("spearman_p")), "pearson_p", "spearman_p")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, upto
-from ..operators import calendar, factors, indicators, matrix, portfolio, registry, signals, simulate, wfa
+from ..operators import calendar, contract, factors, indicators, matrix, portfolio, registry, signals, simulate, wfa
 from ..operators.conditions import Context, compile_node
 
 #: Stages of a run: all but the last are window or join plans, the last may be a fold.
@@ -260,13 +260,57 @@ def accounts(rows: DataFrame, docs: dict[str, dict]) -> DataFrame:
     return portfolio.account(rows, cost, gates, at=execution)
 
 
-def run(panel: DataFrame, doc: dict, backtest_id: str | None = None) -> DataFrame:
-    """Equity curve of one document over a panel (asset, ts, open, high, low, close, volume).
+def with_contract(panel: DataFrame, doc: dict, sources: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The panel with the features of the document's contract, which its conditions and selectors then use by name."""
+    return contract.materialize(panel, sources or {}, doc["contract"], audit=False) if doc.get("contract") else panel
+
+
+def run(panel: DataFrame, doc: dict, backtest_id: str | None = None, sources: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Equity curve of one document over a panel (asset, ts, open, high, low, close, volume) and, if it has a contract, its sources.
 
     A curve of portfolio.account also answers portfolio.holdings, rebalance_audit, account_trades and gate_events.
     """
     docs = {backtest_id or plan_hash(normalized(doc))[:12]: doc}
-    return accounts(targets_long(panel, docs), docs)
+    return accounts(targets_long(with_contract(panel, doc, sources), docs), docs)
+
+
+#: Names of parameters and fields that are lengths of time in bars.
+LENGTHS = ("window", "period", "lookback", "span")
+
+
+def max_lookback(doc: dict, params: dict | None = None) -> int:
+    """The longest look-back, in bars, that a document asks for: the largest number under a name of a window, period, look-back
+    or span anywhere in its graph; a parameter counts by its value in ``params``, or by the largest of its domain."""
+    params, longest = params or {}, 0
+    domains = {k: matrix.expand({"stop": v.get("end"), **v}) if isinstance(v, dict) else list(v) for k, v in {**doc.get("domains", {}), **doc.get("parameter_domains", {})}.items()}
+    is_length = lambda name: any(x in str(name).lower() for x in LENGTHS)
+
+    def number(v):
+        return int(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else 0
+
+    def walk(x, name=""):
+        nonlocal longest
+        if isinstance(x, dict):
+            if set(x) == {"param_ref"}:
+                key = x["param_ref"]
+                values = [params[key]] if key in params else domains.get(key, [])
+                if is_length(name) or is_length(key):
+                    longest = max([longest, *map(number, values)])
+                return
+            for k, v in x.items():
+                if k not in ("domains", "parameter_domains"):
+                    walk(v, k)
+        elif isinstance(x, list):
+            for v in x:
+                walk(v, name)
+        elif is_length(name):
+            longest = max(longest, number(x))
+
+    walk(doc)
+    free = {k: v for k, v in domains.items() if k not in params and is_length(k)}
+    for k, values in [*free.items(), *((k, [v]) for k, v in params.items() if is_length(k))]:
+        longest = max([longest, *map(number, values)])
+    return longest
 
 
 def variants(doc: dict, combos: list[dict]) -> dict[str, dict]:

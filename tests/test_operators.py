@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import align, blocks, calendar, clean, factors, indicators, matrix, metrics, portfolio, registry, signals, simulate, stats, wfa
+from barloom.operators import align, blocks, calendar, clean, contract, factors, indicators, matrix, metrics, portfolio, registry, signals, simulate, stats, wfa
 from barloom.operators.conditions import with_mask
 from barloom.plans import research, strategy
 from barloom.sources import readers, sinks
@@ -198,6 +198,166 @@ def test_as_of_over_a_crowded_day(spark):
     assert sorted(map(str, whole.collect())) == sorted(map(str, one.collect()))
 
 
+def bars_of(spark, n, assets=("SPY",)):
+    rows = [(a, DAY + dt.timedelta(days=t), 100.0 + t) for a in assets for t in range(n)]
+    return spark.createDataFrame(rows, "asset string, ts date, close double")
+
+
+def test_contract_as_of_respects_tolerance(spark):
+    vix = spark.createDataFrame([(DAY, 10.0), (DAY + dt.timedelta(days=3), 40.0)], "time date, vix double")
+    doc = {
+        "primary_key": {"time_field": "ts"}, "alignment_policy": {"join_mode": "asof", "asof_tolerance_bars": 1},
+        "features": [{"field": "feature.vix", "source": {"source_id": "vix", "column": "vix", "time_field": "time"}, "staleness_max_bars": 1}, {"field": "price", "source": {"column": "close"}, "lag_bars": 1}],
+    }
+    for size in (200_000, 2):
+        out = contract.materialize(bars_of(spark, 5), {"vix": vix}, doc, block_rows=size)
+        get = lambda c: column(out.withColumnRenamed(c, "_c"), "_c")  # noqa: B023, E731
+        assert get("feature.vix") == [10, 10, None, 40, 40] and get("price") == [None, 100, 101, 102, 103]
+        assert get("__audit__feature_vix__value_origin") == ["exact", "asof", "missing", "exact", "asof"] and get("__audit__feature_vix__age_bars") == [0, 1, None, 0, 1]
+        assert get("__audit__price__value_origin") == ["missing", *["base_frame"] * 4] and get("__audit__price__age_bars") == [None, 1, 1, 1, 1]
+
+
+def test_contract_of_three_sources_in_one_pass(spark):
+    day = lambda t: DAY + dt.timedelta(days=t)
+    base = bars_of(spark, 4, ("SPY", "QQQ"))
+    score = spark.createDataFrame([("SPY", day(-1), 10.0), ("QQQ", day(-1), 90.0), ("SPY", day(1), 11.0), ("QQQ", day(1), 91.0)], "symbol string, seen date, score double")
+    event = spark.createDataFrame([("SPY", day(1), 1.0), ("SPY", day(3), 2.0)], "asset string, ts date, event double")
+    flag = spark.createDataFrame([("SPY", day(t), float(t)) for t in (0, 2, 3)] + [("QQQ", day(2), 7.0)], "asset string, ts date, flag double")
+    src = lambda i, c, t="ts", k="asset": {"source_id": i, "column": c, "time_field": t, "instrument_field": k}
+    doc = {
+        "primary_key": {"time_field": "ts", "instrument_field": "asset"},
+        "features": [
+            {"field": "score", "source": src("score", "score", "seen", "symbol"), "staleness_max_bars": 1, "lag_bars": 1}, {"field": "event", "source": src("event", "event"), "join_mode": "left", "fill_policy": "zero"},
+            {"field": "held", "source": src("event", "event"), "join_mode": "left", "fill_policy": "ffill", "staleness_max_bars": 1}, {"field": "flag", "source": src("flag", "flag"), "join_mode": "inner"},
+        ],
+    }
+    sources = {"score": score, "event": event, "flag": flag}
+    out = contract.materialize(base, sources, doc)
+    got = {(r["asset"], (r["ts"] - DAY).days): r for r in out.collect()}
+    assert sorted(got) == [("QQQ", 2), ("SPY", 0), ("SPY", 2), ("SPY", 3)]
+    spy = [got["SPY", t] for t in (0, 2, 3)]
+    assert [r["score"] for r in spy] == [None, 10, 11] and [r["event"] for r in spy] == [0, 0, 2] and [r["held"] for r in spy] == [None, None, 2] and [r["flag"] for r in spy] == [0, 2, 3]
+    assert [r["__audit__event__value_origin"] for r in spy] == ["zero_fill", "zero_fill", "exact"] and [r["__audit__score__stale_flag"] for r in spy] == [False, False, True]
+    plan = contract.materialize(base, sources, {**doc, "features": doc["features"][:3]})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    with pytest.raises(Exception, match="requires unique source keys"):
+        contract.materialize(base, {**sources, "event": event.union(event)}, doc).collect()
+    bad = {**doc, "features": [{"field": "a", "source": src("no", "x"), "fill_policy": "bfill"}, {"field": "a", "source": {"source_id": "flag", "column": "flag"}, "join_mode": "outer", "lag_bars": -1}]}
+    assert len(contract.problems(bad, sources)) == 6
+    with pytest.raises(ValueError, match="leak"):
+        contract.materialize(base, sources, bad)
+
+
+def choice(spark, **values):
+    base = {"window_id": 0, "combo_id": 1, "objective": "sharpe", "fallback": False, **{f"{s}_{m}": 1.0 for s in ("is", "oos") for m in ("sharpe", "calmar", "total_return", "max_drawdown")}}
+    return spark.createDataFrame([{**base, **values}])
+
+
+def test_acceptance_by_objective(spark):
+    got = lambda df, **k: wfa.accepted(df, **k).select("accepted", "oos_is_ratio", "reasons").first()
+    assert tuple(got(choice(spark, is_sharpe=-0.2, oos_sharpe=1.0))) == (True, None, ["OOS/IS ratio diagnostic only"])
+    assert tuple(got(choice(spark, is_sharpe=2.0, oos_sharpe=1.0, fallback=True), min_ratio=0.75)) == (False, 0.5, ["OOS/IS ratio < 0.75", "selection_constraints_fallback requires explicit acceptance opt-in"])
+    row = got(choice(spark, objective="calmar", oos_calmar=0.8, oos_sharpe=-5.0, fallback=True), min_calmar=0.5, min_ratio=0.5, allow_fallback=True)
+    assert row["accepted"] and row["oos_is_ratio"] == pytest.approx(0.8) and row["reasons"] == ["selection_constraints_fallback explicitly allowed"]
+    assert not got(choice(spark, objective="total_return", oos_total_return=0.0))["accepted"] and got(choice(spark, objective="total_return", oos_total_return=0.0), positive=False)["accepted"]
+    assert got(choice(spark))["reasons"] == ["accepted"]
+
+
+def test_gates_on_mean_metrics(spark):
+    def run(row, **k):
+        return wfa.gated(spark.createDataFrame([row]), **k).first()
+
+    bad = run({"is_sharpe": "not-a-number", "oos_sharpe": "also-bad", "oos_is_ratio": "bad"})
+    assert not bad["accepted"] and bad["robust_score"] is None and "oos_sharpe_not_positive" in bad["reasons"]
+    low = run({"is_sharpe": 2.0, "oos_sharpe": 1.0})
+    assert low["reasons"] == ["oos_is_ratio_below_threshold"] and low["oos_is_ratio"] == 0.5
+    free = run({"is_sharpe": -2.0, "oos_sharpe": 0.5, "oos_is_ratio": 0.1}, min_oos_sharpe=-1.0)
+    assert free["accepted"] and free["robust_score"] == 0.5
+    floors = {"min_oos_calmar": 0.5, "max_drawdown_floor": -0.2, "min_profit_factor": 1.2, "min_win_rate": 0.55, "min_trade_count": 20}
+    all_ = run({"is_sharpe": 1.0, "oos_sharpe": 0.8, "oos_calmar": 0.4, "max_drawdown": -0.35, "profit_factor": 1.1, "win_rate": 0.5, "trade_count": 10}, **floors)
+    assert len(all_["reasons"]) == 5 and "profit_factor_below_threshold" in all_["reasons"]
+    with pytest.raises(ValueError, match="unknown"):
+        run({"is_sharpe": 1.0, "oos_sharpe": 1.0}, min_luck=1)
+
+
+def test_viability_and_its_fallback(spark):
+    rows = [(0, "train", 0, 10, 5, 3, 0.9, 4), (0, "train", 1, 10, 1, 0, 0.0, 9), (1, "train", 0, 10, 0, 0, 0.0, 4)]
+    scores = spark.createDataFrame(rows, "window_id int, part string, combo_id int, n int, active_bars int, active_rebalances int, exposure_ratio double, max_lookback int")
+    rule = wfa.Constraints(min_active_rebalances=1, min_exposure_ratio=0.5, min_nonzero_days=2, max_lookback_fraction=0.5)
+    got = {(r["window_id"], r["combo_id"]): r for r in wfa.viability(scores, rule).collect()}
+    assert got[0, 0]["viability"] == ["meets_selection_constraints"] and got[0, 0]["pool_count"] == 1 and not got[0, 1]["fallback"] and got[1, 0]["fallback"] and got[1, 0]["pool_count"] == 1
+    assert got[0, 1]["viability"] == ["is_active_rebalances_below_1", "is_exposure_ratio_below_0.5", "is_nonzero_return_days_below_2", "lookback_fraction_above_0.5"]
+    with pytest.raises(ValueError, match="max_lookback"):
+        wfa.viability(scores.drop("max_lookback"), rule)
+    doc = {
+        "parameter_domains": {"fast_window": {"type": "range", "start": 5, "end": 15, "step": 5}, "slow_period": [20, 40]},
+        "computed_fields": [{"name": "fast_ma", "period": {"param_ref": "fast_window"}}, {"name": "slow_ma", "lookback": {"param_ref": "slow_period"}}, {"name": "literal_ma", "sma_period": 30}],
+    }
+    assert strategy.max_lookback(doc) == 40 and strategy.max_lookback(doc, {"slow_period": 25, "extra_window": 60}) == 60 and strategy.max_lookback({"top_n": 99}) == 0
+
+
+def test_window_sizes_from_a_target():
+    five = wfa.targeted(100, 0.5, 0.2, 5)
+    assert len(five) == 5 and five[0][1] == 0 and five[-1][4] <= 100 and all(b - a == 50 and d - c == 20 for _, a, b, c, d in five)
+    assert wfa.targeted(10, 0.9, 0.5, 3) == [] and len(wfa.targeted(12, 0.5, 0.4, 9)) == 3
+    plan, sizes = wfa.automatic(1300)
+    assert sizes == {"train": 300, "test": 100, "step": 100, "factor": pytest.approx(3.0), "least_train": 100, "windows": 10} and len(plan) == 10
+    assert wfa.automatic(1300, lookback=250)[1]["train"] == 500 and wfa.automatic(7, target=1, train_ratio=9, test_ratio=0.1)[1]["windows"] >= 1
+
+
+def plain_unit_root(x, lags=None):
+    """The regression by least squares: lags by the information criterion on one sample, then fitted on all rows left."""
+    dx, most = np.diff(x), stats.most_lags(len(x)) if lags is None else lags
+
+    def fit(p, start):
+        y = dx[start:]
+        a = np.column_stack([x[start:-1], *(dx[start - k : len(dx) - k] for k in range(1, p + 1)), np.ones(len(y))])
+        beta = np.linalg.lstsq(a, y, rcond=None)[0]
+        e = y - a @ beta
+        return len(y) * np.log(e @ e / len(y)) + 2 * a.shape[1], beta[0] / np.sqrt(e @ e / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)[0, 0])
+
+    best = lags if lags is not None else min(range(most + 1), key=lambda p: fit(p, most)[0])
+    return fit(best, best)[1]
+
+
+def plain_level(x):
+    n, e = len(x), x - x.mean()
+    g = [e[k:] @ e[: n - k] / (n / 2) for k in range(n)]
+    few = int(n ** (2 / 9))
+    s0, s1 = e @ e / n + sum(g[1 : few + 1]), sum(k * g[k] for k in range(1, few + 1))
+    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+    s2 = (e @ e + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[: n - k]) for k in range(1, lags + 1))) / n
+    return lags, (np.cumsum(e) ** 2).sum() / (n * n * s2)
+
+
+def test_stationarity_statistics(spark):
+    rng = np.random.default_rng(7)
+    ar = np.zeros(300)
+    for t in range(1, 300):
+        ar[t] = 0.8 * ar[t - 1] + rng.normal()
+    series = {"noise": rng.normal(size=150), "walk": 1000 + np.cumsum(rng.normal(size=230)), "ar": ar, "short": rng.normal(size=12), "tiny": rng.normal(size=5)}
+    rows = [(k, DAY + dt.timedelta(days=t), float(v)) for k, x in series.items() for t, v in enumerate(x)] + [("noise", DAY + dt.timedelta(days=999), None)]
+    df = spark.createDataFrame(rows, "asset string, ts date, x double").repartition(3)
+    got = {r["asset"]: r for r in stats.stationarity(df, "x").collect()}
+    level = {r["asset"]: r for r in stats.level_stationarity(df, "x").collect()}
+    one = {r["asset"]: r["adf"] for r in stats.unit_root(df, "x", 1).collect()}
+    for k in ("noise", "walk", "ar", "short"):
+        assert got[k]["adf"] == pytest.approx(plain_unit_root(series[k]), rel=1e-6) and one[k] == pytest.approx(plain_unit_root(series[k], 1), rel=1e-6)
+        assert (level[k]["lags"], level[k]["kpss"]) == (plain_level(series[k])[0], pytest.approx(plain_level(series[k])[1])) and got[k]["kpss"] == level[k]["kpss"]
+    assert got["noise"]["adf_stationary"] and not got["walk"]["adf_stationary"] and got["noise"]["kpss_stationary"] and not got["walk"]["kpss_stationary"] and level["ar"]["lags"] > 3
+    assert got["tiny"]["adf"] is None and got["tiny"]["adf_p"] is None and not got["tiny"]["adf_stationary"]
+
+
+def test_partial_autocorrelations_use_their_own_number_of_pairs(spark):
+    x = np.sin(np.arange(120) / 3) + np.random.default_rng(1).normal(size=120)
+    df = spark.createDataFrame([("a", DAY + dt.timedelta(days=t), float(v)) for t, v in enumerate(x)], "asset string, ts date, x double")
+    got = column(stats.partial_autocorrelation(metrics.autocorrelation(df, "x", 30, adjusted=True)).orderBy("lag"), "pacf", ["lag"])
+    e = x - x.mean()
+    r = np.array([e[k:] @ e[: 120 - k] / (120 - k) for k in range(31)])
+    want = [np.linalg.solve([[r[abs(i - j)] for j in range(k)] for i in range(k)], r[1 : k + 1])[-1] for k in range(1, 31)]
+    assert got == pytest.approx(want)
+
+
 def test_quantiles_are_selected_exactly(spark):
     rng = np.random.default_rng(2)
     for x in (rng.normal(size=3000), np.r_[np.zeros(2000), rng.normal(size=1000)], np.ones(50), rng.integers(0, 4, 1001).astype(float)):
@@ -447,7 +607,7 @@ def test_statistics():
     assert stats.correlation_p(0.5, 20) == pytest.approx(0.0247, abs=1e-3)
     rng = np.random.default_rng(1)
     noise, walk = rng.normal(size=400), np.cumsum(rng.normal(size=400))
-    assert stats.adf(noise) < -8 and stats.adf(walk) > stats.ADF_POINTS[1] and stats.kpss(noise) < 0.463 < stats.kpss(walk)
+    # see test_stationarity_statistics for the statistics themselves
     assert stats.durbin(np.array([0.5, 0.25, 0.125])) == pytest.approx([0.5, 0, 0], abs=1e-12)
 
 
