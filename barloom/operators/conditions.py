@@ -16,11 +16,11 @@ from . import calendar, registry
 
 @dataclass
 class Context:
-    """What names mean: columns of the frame, materialised features by id, and bound parameters."""
+    """What names mean: columns of the frame, materialised features by id, and bound parameters, numbers or columns."""
 
     columns: list[str]
     features: dict[str, str] = field(default_factory=dict)
-    params: dict[str, float] = field(default_factory=dict)
+    params: dict[str, float | Column] = field(default_factory=dict)
     key: str = "asset"
     #: What an empty list of conditions is: False in node trees, True for an empty node of a frame mask.
     empty: bool = False
@@ -58,7 +58,8 @@ def operand(x, ctx: Context) -> Column:
     if "param_ref" in x:
         if x["param_ref"] not in ctx.params:
             raise KeyError(f"unbound parameter {x['param_ref']!r}")
-        return F.lit(float(ctx.params[x["param_ref"]]))
+        value = ctx.params[x["param_ref"]]
+        return value if isinstance(value, Column) else F.lit(float(value))
     if "value" in x:
         return F.lit(float(x["value"]))
     raise ValueError(f"bad operand {x!r}")

@@ -7,6 +7,7 @@ Only gates that look at the equity reached so far need a fold, one per backtest.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +48,12 @@ def _curve(rows: DataFrame, cost, keys: tuple[str, ...]) -> DataFrame:
 
 
 def cost_column(cost):
-    """A rate, or rates by backtest_id (by what stands in front of the first |)."""
+    """A rate, rates by backtest_id (by what stands in front of the first |), or a list of rates by the number of ids v0, v1...,
+    which stays one literal of the plan however long it is."""
+    if isinstance(cost, list):
+        if len(set(cost)) == 1:
+            return F.lit(float(cost[0]))
+        return F.get(F.from_json(F.lit(json.dumps(list(map(float, cost)))), "array<double>"), F.substring(F.substring_index(ID, "|", 1), 2, 20).cast("int"))
     rates = set(cost.values()) if isinstance(cost, dict) else {cost}
     if len(rates) == 1:
         return F.lit(float(rates.pop()))

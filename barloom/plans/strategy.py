@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,6 +212,12 @@ def targets_long(panel: DataFrame, docs: dict[str, dict]) -> DataFrame:
 
     rows = rows.select("asset", "_name", "ts", "open", "close", *cut, F.explode(F.array(*[variant(k, d) for k, d in docs.items()])).alias("v"))
     rows = rows.select("_name", "asset", "ts", "open", "close", "v.*", (F.concat_ws("|", "v.id", *cut) if cut else F.col("v.id")).alias("backtest_id"))
+    return _weights(rows, any(d["rebalance"]["op"] == "signal.change" for d in docs.values()))
+
+
+def _weights(rows: DataFrame, change: bool) -> DataFrame:
+    """Target weights and rebalance flags from what a variant says of each row: mode, score, ok, order, top_n, event, limit,
+    fixed, frame, short, gross, calm, overlaid, overlay."""
     key = ("backtest_id",)
     w = Window.partitionBy(*key, "ts", "ok").orderBy("order", "asset")
     rows = rows.withColumns({"rank": F.when(F.col("ok"), F.row_number().over(w)), "_held": F.coalesce(F.last("event", ignorenulls=True).over(upto(*key, "asset")), F.lit(0))})
@@ -221,7 +228,7 @@ def targets_long(panel: DataFrame, docs: dict[str, dict]) -> DataFrame:
     total = F.sum(F.abs("_given")).over(Window.partitionBy(*key, "ts"))
     framed = F.when(total > F.col("gross"), F.col("_given") * F.col("gross") / total).otherwise(F.col("_given"))
     rows = rows.withColumn("target", F.when(F.col("frame").isNotNull(), framed).when(F.col("fixed").isNotNull(), F.when(F.col("selected"), F.col("fixed")).otherwise(0.0)).otherwise(F.col("_equal")))
-    rows = signals.with_change(rows, name="_change", keys=key) if any(d["rebalance"]["op"] == "signal.change" for d in docs.values()) else rows.withColumn("_change", F.lit(False))
+    rows = signals.with_change(rows, name="_change", keys=key) if change else rows.withColumn("_change", F.lit(False))
     return rows.select(
         *key, "ts", F.col("_name").alias("asset"), "open", "close", "score", "rank", "selected", "target", F.coalesce("calm", "_change").alias("rebalance"),
         F.coalesce("overlaid", F.lit(False)).alias("event"), F.coalesce("overlay", F.lit(0.0)).alias("overlay"),
@@ -317,8 +324,92 @@ def variants(doc: dict, combos: list[dict]) -> dict[str, dict]:
     return {f"v{i}": bound(doc, p) for i, p in enumerate(combos)}
 
 
+#: Where parameters may stand in a document whose bindings are rows of a table.
+GRID = re.compile(r"features\.[^.]+\.(?!op$|source$)[^.]+|(entry|exit|selector\.eligible)\..*|allocation\.position_limit|selector\.top_n|cost")
+
+
+def refs(doc, at: str = "") -> dict[str, str]:
+    """Path -> parameter of every reference in a document."""
+    if isinstance(doc, dict):
+        if set(doc) == {"param_ref"}:
+            return {at: doc["param_ref"]}
+        return {p: r for k, v in doc.items() for p, r in refs(v, f"{at}.{k}" if at else str(k)).items()}
+    return {p: r for i, v in enumerate(doc) for p, r in refs(v, f"{at}.{i}").items()} if isinstance(doc, list) else {}
+
+
+def gridable(doc: dict) -> bool:
+    """Whether a document's parameters can be a table (see targets_grid)."""
+    doc = normalized(doc)
+    plain = doc["execution"] in ("close", "next_open") and not any(doc.get(k) for k in ("risk_gates", "timer", "factors", "overlay"))
+    return plain and doc["allocation"]["type"] in ("equal_weight", "fixed_weight") and all(GRID.fullmatch(p) for p in refs(doc))
+
+
+def targets_grid(panel: DataFrame, doc: dict, combos: list[dict]) -> DataFrame:
+    """targets_long for all bindings v0, v1... of one document, with the parameters as data.
+
+    Each distinct definition of a feature is one column of the panel, whatever the number of combinations; a table of one row
+    a combination names the definitions it uses and holds its numbers. The panel in long form by the first such feature meets the table
+    by the definition's key, other features are looked up in the row. Conditions, ranks and weights are
+    compiled once, so the plan does not grow with the combinations. The table is control data (matrix.combos caps it).
+    """
+    doc = normalized(doc)
+    tag = lambda x: plan_hash(x)[:16]
+    cut = ("slice",) if "slice" in panel.columns else ()
+    base = panel.withColumn("_name", F.col("asset"))
+    if cut:
+        base = base.withColumn("asset", F.concat_ws("|", "slice", "asset"))
+    moving = [n for n, spec in doc["features"].items() if refs(spec)]
+    used = [{n: bound(doc["features"][n], c) for n in moving} for c in combos]
+    specs = {f"_f{tag(s)}": s for s in [*(doc["features"][n] for n in doc["features"] if n not in moving), *(s for u in used for s in u.values())]}
+    base = calendar.with_edges(with_features(base, specs), *[doc.get(k) for k in ("entry", "exit", "rebalance", "selector")])
+    names = sorted({r for p, r in refs(doc).items() if not p.startswith("features.")})
+    table = [(f"v{i}", *(f"_f{tag(u[n])}" for n in moving), *(float(c[r]) for r in names)) for i, (c, u) in enumerate(zip(combos, used))]
+    kinds = ", ".join(["_id string", *(f"_k{j} string" for j in range(len(moving))), *(f"_q{j} double" for j in range(len(names)))])
+    params = base.sparkSession.createDataFrame(table, kinds)
+    keys = sorted({f"_f{tag(s)}" for u in used for s in u.values()})
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys]) if keys else F.array(F.struct(F.lit("").alias("key"), F.lit(None).cast("double").alias("value")))
+    first = sorted({f"_f{tag(u[moving[0]])}" for u in used}) if moving else [""]
+    rows = base.withColumn("_cells", cells).withColumn("_k0" if moving else "_one", F.explode(F.array(*map(F.lit, first)))).drop(*keys)
+    rows = rows.join(F.broadcast(params), "_k0") if moving else rows.join(F.broadcast(params.withColumn("_one", F.lit(""))), "_one")  # one row a combination
+    find = lambda j: F.element_at(F.filter("_cells", lambda c: c["key"] == F.col(f"_k{j}")), 1)["value"]
+    rows = rows.withColumns({f"_x{j}": find(j) for j in range(len(moving))}).withColumn("_bk", F.concat_ws("|", "_id", "asset"))
+    features = {n: f"_x{moving.index(n)}" if n in moving else f"_f{tag(s)}" for n, s in doc["features"].items()}
+    number = {r: F.col(f"_q{j}") for j, r in enumerate(names)}
+    context = Context(columns=rows.columns, features=features, params=number, key="_bk")
+    value = lambda x: number[x["param_ref"]] if isinstance(x, dict) else F.lit(float(x))
+    alloc, s = doc["allocation"], doc.get("selector")
+    none = lambda kind: F.lit(None).cast(kind)
+    masks = {}
+    if "entry" in doc:
+        masks = {"_entry": compile_node(doc["entry"], context), "_exit": compile_node(doc.get("exit", {"op": "not", "node": {"op": "every_session"}}), context)}
+    if s and s.get("eligible"):
+        masks["_eligible"] = compile_node(s["eligible"], context)
+    rows = rows.withColumns(masks) if masks else rows
+    score = context.resolve(s["score"]).cast("double") if s else none("double")
+    ok = score.isNotNull() & F.col("_eligible") if "_eligible" in masks else score.isNotNull()
+    event = signals.state_event(F.col("_entry"), F.col("_exit"), doc.get("conflict", "exit_then_entry")) if "_entry" in masks and not s else none("int")
+    fixed = none("double")
+    if alloc["type"] == "fixed_weight":
+        fixed = signals.fixed_weight(alloc.get("weights", {}), alloc.get("weight_profiles"), alloc.get("profile_id"), alloc.get("normalize_if_overweight", True), "_name")
+    change = doc["rebalance"]["op"] == "signal.change"
+    rows = rows.select(
+        "_name", "asset", "ts", "open", "close", F.concat_ws("|", "_id", *cut).alias("backtest_id"), F.lit("rank" if s else "state" if "_entry" in masks else "all").alias("mode"), score.alias("score"), ok.alias("ok"),
+        (score if s and s.get("ascending") else -score).alias("order"), (value(s.get("top_n", 1)) if s else F.lit(0.0)).alias("top_n"), event.alias("event"), value(alloc.get("position_limit", 1.0)).alias("limit"),
+        fixed.alias("fixed"), none("double").alias("frame"), F.lit(False).alias("short"), F.lit(1.0).alias("gross"), (none("boolean") if change else calendar.mask(doc["rebalance"], columns=rows.columns)).alias("calm"),
+        none("boolean").alias("overlaid"), none("double").alias("overlay"),
+    )
+    return _weights(rows, change)
+
+
 def run_matrix(panel: DataFrame, doc: dict, combos: list[dict]) -> DataFrame:
-    """All bindings of a document's parameters, costs and gates included, in one long frame and one account."""
+    """All bindings of a document's parameters, costs and gates included, in one long frame and one account; the parameters are
+    rows of a table where the document allows it."""
+    if gridable(doc) and combos:
+        plain, cost = normalized(bound(doc, combos[0])), normalized(doc)["cost"]
+        rows, costs = targets_grid(panel, doc, combos), [float(bound({"cost": cost}, c)["cost"]) for c in combos]
+        if plan(plain)["accounting"] == "closed_form":
+            return portfolio.every_bar(rows, costs) if plain["execution"] == "close" else portfolio.next_open(rows, costs)
+        return portfolio.account(rows, costs, at=plain["execution"])
     docs = variants(doc, combos)
     return accounts(targets_long(panel, docs), docs)
 
@@ -326,9 +417,8 @@ def run_matrix(panel: DataFrame, doc: dict, combos: list[dict]) -> DataFrame:
 def walk_forward(panel: DataFrame, doc: dict, combos: list[dict], plan_: list[tuple]) -> DataFrame:
     """Scores of every (window, part, binding) of any document, as wfa.select wants them: each slice of the
     panel is a history of its own, all slices and bindings are one frame."""
-    docs = variants(doc, combos)
     slices = wfa.sliced(panel.sparkSession, panel, plan_).withColumn("slice", F.concat_ws("|", "window_id", "part")).drop("window_id", "part")
-    curves = accounts(targets_long(slices, docs), docs)
+    curves = run_matrix(slices, doc, combos)
     at = F.split("backtest_id", r"\|")
     rows = curves.withColumns({"combo_id": F.substring(at[0], 2, 20).cast("long"), "window_id": at[1].cast("int"), "part": at[2]})
     keys = ("window_id", "part", "combo_id")

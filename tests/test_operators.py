@@ -358,6 +358,45 @@ def test_partial_autocorrelations_use_their_own_number_of_pairs(spark):
     assert got == pytest.approx(want)
 
 
+def test_parameters_as_data_equal_bound_documents(spark):
+    """Periods, thresholds, sizes and costs as rows of a table: the curves of the documents bound one by one."""
+    ref = lambda k: {"param_ref": k}
+    cross = {**strategy.template("single_signal"), "cost": ref("cost")}
+    cross["features"] = {"fast": {"op": "indicator.sma", "period": ref("fast")}, "slow": {"op": "indicator.ema", "period": ref("slow")}}
+    level = {
+        "features": {"z": {"op": "indicator.zscore", "period": ref("n")}}, "entry": {"op": "gt", "left": "z", "right": ref("up")}, "exit": {"op": "lt", "left": "z", "right": 0.0},
+        "rebalance": {"op": "calendar.every_session"}, "allocation": {"type": "equal_weight", "position_limit": ref("limit")}, "execution": "next_open", "cost": 0.002,
+    }
+    rank = {**strategy.template("ranked_rotation"), "selector": {"score": "score", "top_n": ref("k")}, "cost": 0.001}
+    for doc, combos in (
+        (cross, [{"fast": f, "slow": s, "cost": c} for f in (2, 3) for s in (4, 6) for c in (0.0, 0.01)]), (level, [{"n": n, "up": u, "limit": w} for n in (3, 5) for u in (0.2, 0.8) for w in (0.4, 1.0)]),
+        (rank, [{"k": 1}, {"k": 2}]),
+    ):
+        assert strategy.gridable(doc)
+        got = strategy.run_matrix(two(spark), doc, combos)
+        docs = strategy.variants(doc, combos)
+        want = strategy.accounts(strategy.targets_long(two(spark), docs), docs)
+        for c in ("equity", "turnover"):
+            assert column(got, c, ["backtest_id", "ts"]) == pytest.approx(column(want, c, ["backtest_id", "ts"]), abs=1e-9)
+    assert not strategy.gridable({**cross, "risk_gates": {"max_drawdown": 0.1}}) and not strategy.gridable({**cross, "rebalance": {"op": "calendar.nth_session", "n": ref("n")}})
+
+
+def test_planning_does_not_grow_with_combinations(spark):
+    import time
+
+    doc = {**strategy.template("single_signal"), "cost": 0.001}
+    doc["features"]["slow"]["period"], doc["entry"] = {"param_ref": "slow"}, {"op": "gt", "left": "fast", "right": {"param_ref": "level"}}
+    took = []
+    for n in (20, 2000):
+        combos = [{"slow": 4 + k % 5, "level": k / 10} for k in range(n)]
+        start = time.perf_counter()
+        out = strategy.run_matrix(two(spark), doc, combos)
+        out._jdf.queryExecution().executedPlan()
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 and len(out._jdf.queryExecution().executedPlan().toString()) < 200_000
+    assert out.select("backtest_id").distinct().count() == 2000
+
+
 def test_quantiles_are_selected_exactly(spark):
     rng = np.random.default_rng(2)
     for x in (rng.normal(size=3000), np.r_[np.zeros(2000), rng.normal(size=1000)], np.ones(50), rng.integers(0, 4, 1001).astype(float)):
