@@ -6,6 +6,8 @@ import math
 import random
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,104 @@ def search(evaluate, domains: dict[str, dict], budget: int, batch: int = 8, seed
     return sorted(scores, key=lambda s: -s[1])
 
 
+def dominates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix: row i of a is at least as good as row j of b in every column (larger is better) and better in one."""
+    return (a[:, None, :] >= b[None, :, :]).all(axis=2) & (a[:, None, :] > b[None, :, :]).any(axis=2)
+
+
+def best_rows(values: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Mask of the rows that no row dominates; equal rows stay together. Blocks meet the front found so far."""
+    keep: list[int] = []
+    for start in range(0, len(values), block):
+        rows = np.array([*keep, *range(start, min(start + block, len(values)))])
+        keep = rows[~dominates(values[rows], values[rows]).any(axis=0)].tolist()
+    out = np.zeros(len(values), bool)
+    out[keep] = True
+    return out
+
+
+def sorted_fronts(values: np.ndarray) -> np.ndarray:
+    """The number of each row's front: 0 is dominated by none, 1 only by front 0, and so on."""
+    out, left, k = np.zeros(len(values), np.int64), np.arange(len(values)), 0
+    while len(left):
+        best = best_rows(values[left])
+        out[left[best]] = k
+        left, k = left[~best], k + 1
+    return out
+
+
+def crowding(values: np.ndarray) -> np.ndarray:
+    """Per row of one front: the summed gaps between its neighbours in each objective, over the objective's range; ends are infinite."""
+    out = np.zeros(len(values))
+    for c in values.T:
+        order = np.argsort(c, kind="stable")
+        width = c[order[-1]] - c[order[0]] if len(c) else 0.0
+        out[order[[0, -1]]] = np.inf
+        if width > 0:
+            out[order[1:-1]] += (c[order[2:]] - c[order[:-2]]) / width
+    return out
+
+
+def search_front(evaluate, domains: dict[str, dict], budget: int, directions: tuple[str, ...] = ("max", "max", "min"), batch: int = 8, seed: int = 42) -> list[tuple[dict, tuple, int]]:
+    """Sequential search for several objectives: ``evaluate`` gives a tuple of numbers for each combination of a batch.
+
+    Combinations are ordered by their front, within it by crowding distance (the less crowded first), and that order
+    guides the next draws as scores do in ``search``. Returns (combination, values, front), best first; front 0 is the
+    set that nothing found dominates. A missing value is the worst.
+    """
+    sign = np.array([1.0 if d == "max" else -1.0 for d in directions])
+    rows: list[dict] = []
+    values = np.zeros((0, len(directions)))
+    order = np.zeros(0, np.int64)
+    front = np.zeros(0, np.int64)
+    while len(rows) < budget:
+        guided = [(rows[i], -float(k)) for k, i in enumerate(order)]
+        new = suggested(domains, guided, min(batch, budget - len(rows)), seed)
+        if not new:
+            break
+        found = np.array([[np.nan if v is None else float(v) for v in t] for t in evaluate(new)]).reshape(len(new), -1) * sign
+        rows, values = rows + new, np.vstack([values, np.where(np.isnan(found), -np.inf, found)])
+        front, spread = sorted_fronts(values), np.zeros(len(rows))
+        for k in range(front.max() + 1):
+            spread[front == k] = crowding(np.nan_to_num(values[front == k], neginf=-1e300))
+        order = np.lexsort((-spread, front))
+    return [(rows[i], tuple((values[i] * sign).tolist()), int(front[i])) for i in order]
+
+
+def halved(evaluate, rows: list[dict], shares: tuple[float, ...] = (1 / 9, 1 / 3, 1.0), keep: float = 1 / 3) -> tuple[list[tuple[dict, float]], list[dict]]:
+    """Successive halving: all combinations are scored on the first share of the history, the best ``keep`` of them
+    on the next, and so on. ``evaluate(rows, share)`` gives one number each. Returns the last rung's scores, best first, and
+    a report of the rungs: share, evaluated, kept."""
+    report, scores = [], []
+    for i, share in enumerate(shares):
+        found = [float("-inf") if v is None or v != v else float(v) for v in evaluate(rows, share)]
+        scores = sorted(zip(rows, found), key=lambda s: -s[1])
+        left = len(scores) if i + 1 == len(shares) else max(1, math.ceil(len(scores) * keep))
+        report.append({"share": share, "evaluated": len(rows), "kept": left})
+        rows = [r for r, _ in scores[:left]]
+    return scores, report
+
+
+def front(rows: DataFrame, objectives: dict[str, str]) -> DataFrame:
+    """Rows that no row dominates in the objectives (name -> max or min); rows with a NULL in one are left out.
+
+    Each task keeps the front of its own rows; only those fronts meet in one task.
+    """
+    names = list(objectives)
+    sign = np.array([1.0 if objectives[n] == "max" else -1.0 for n in names])
+    full_ = rows.where(" and ".join(f"`{n}` is not null" for n in names))
+
+    def own(batches):
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = held[best_rows(held[names].to_numpy(float) * sign)]
+        if held is not None:
+            yield held
+
+    return full_.mapInPandas(own, rows.schema).coalesce(1).mapInPandas(own, rows.schema)
+
+
 def combo_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """combo_id and one column per axis; a control-plane table bounded by the cap."""
     return spark.createDataFrame([(i, *r.values()) for i, r in enumerate(rows)], ["combo_id", *rows[0]])

@@ -236,6 +236,16 @@ def matrix_ranking(spark, d):
     return rounded(rows.select("fast", "slow", "stability_score", "robust_score", "review", "balanced", "stable"), "stability_score", "robust_score")
 
 
+@query(
+    f"""with {{EB}}, {SCORED} select fast::bigint as fast, slow::bigint as slow, round(sharpe, 6) as sharpe, round(max_drawdown, 6) as max_drawdown, round(plateau_score, 6) as plateau_score from rb a where sharpe is not null and max_drawdown is not null and plateau_score is not null and not exists
+ (select 1 from rb b where b.sharpe >= a.sharpe and b.max_drawdown >= a.max_drawdown and b.plateau_score >= a.plateau_score and (b.sharpe > a.sharpe or b.max_drawdown > a.max_drawdown or b.plateau_score > a.plateau_score))"""
+)
+def matrix_front(spark, d):
+    """Combinations that none dominates in three objectives."""
+    out = matrix.front(scored(spark, d), {"sharpe": "max", "max_drawdown": "max", "plateau_score": "max"})
+    return rounded(out.select(F.col("fast").cast("long").alias("fast"), F.col("slow").cast("long").alias("slow"), "sharpe", "max_drawdown", "plateau_score"), "sharpe", "max_drawdown", "plateau_score")
+
+
 @query(
     f"""with {{EB}}, {SCORED} select representative_type, fast::bigint as fast, slow::bigint as slow from (select 'robust_score' as representative_type, * from (select fast, slow from rb order by robust_score desc, fast, slow limit 1)
  union all select 'plateau_score', * from (select fast, slow from rb order by plateau_score desc, fast, slow limit 1) union all select 'total_return', * from (select fast, slow from rb order by total_return desc, fast, slow limit 1))"""

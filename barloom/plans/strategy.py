@@ -426,16 +426,48 @@ def walk_forward(panel: DataFrame, doc: dict, combos: list[dict], plan_: list[tu
     return wfa.path_scores(rows.withColumn("ret", F.coalesce(F.try_divide(F.col("equity"), last) - 1, F.lit(0.0))), keys)
 
 
+def _measured(panel: DataFrame, doc: dict, rows: list[dict], names: tuple[str, ...]) -> list[tuple]:
+    """The named scores (as in wfa.path_scores) of each binding, from one run_matrix."""
+    curves = run_matrix(panel, doc, rows)
+    last = F.coalesce(F.lag("equity").over(by_time("backtest_id")), F.lit(100.0))
+    found = wfa.path_scores(curves.withColumn("ret", F.coalesce(F.try_divide(F.col("equity"), last) - 1, F.lit(0.0))), ("backtest_id",))
+    by = {r["backtest_id"]: tuple(r[n] for n in names) for r in found.select("backtest_id", *names).collect()}  # a few numbers a combination
+    return [by.get(f"v{i}", (None,) * len(names)) for i in range(len(rows))]
+
+
 def optimum(panel: DataFrame, doc: dict, domains: dict[str, dict], budget: int, objective: str = "total_return", batch: int = 8, seed: int = 42) -> list[tuple[dict, float]]:
     """Parameters of a document by sequential search (matrix.search), each batch one run_matrix; scores as in wfa.path_scores."""
-    def evaluate(rows: list[dict]) -> list[float]:
-        curves = run_matrix(panel, doc, rows)
-        last = F.coalesce(F.lag("equity").over(by_time("backtest_id")), F.lit(100.0))
-        found = wfa.path_scores(curves.withColumn("ret", F.coalesce(F.try_divide(F.col("equity"), last) - 1, F.lit(0.0))), ("backtest_id",))
-        by = {r["backtest_id"]: r[objective] for r in found.select("backtest_id", objective).collect()}  # one number a combination
-        return [by.get(f"v{i}") for i in range(len(rows))]
-
-    return matrix.search(evaluate, domains, budget, batch, seed)
+    return matrix.search(lambda rows: [v for (v,) in _measured(panel, doc, rows, (objective,))], domains, budget, batch, seed)
+
+
+def frontier(
+    panel: DataFrame, doc: dict, domains: dict[str, dict], budget: int, objectives: dict[str, str] = {"sharpe": "max", "calmar": "max", "max_drawdown": "max"}, batch: int = 8, seed: int = 42,  # noqa: B006
+) -> list[tuple[dict, tuple, int]]:
+    """Parameters by a search for several objectives (matrix.search_front): (binding, scores, front), front 0 first."""
+    names = tuple(objectives)
+    return matrix.search_front(lambda rows: _measured(panel, doc, rows, names), domains, budget, tuple(objectives.values()), batch, seed)
+
+
+def pruned(panel: DataFrame, doc: dict, combos: list[dict], objective: str = "total_return", shares: tuple[float, ...] = (1 / 9, 1 / 3, 1.0), keep: float = 1 / 3) -> tuple[list[tuple[dict, float]], list[dict]]:
+    """Successive halving over bindings (matrix.halved): all on the first share of the sessions, the best of them on more.
+
+    The report has the sessions and the bars (rows of the panel times bindings) that each rung read.
+    """
+    sessions = panel.groupBy("ts").agg(F.count("*").alias("n"))
+    place = F.percent_rank().over(Window.orderBy("ts"))  # one row a session
+    read = []
+
+    def evaluate(rows: list[dict], share: float) -> list[float]:
+        if share >= 1:
+            part = panel
+        else:
+            last = sessions.withColumn("p", place).where(F.col("p") < share).agg(F.max("ts")).first()[0]
+            part = panel.where(F.col("ts") <= F.lit(last))
+        read.append(part.count() * len(rows))
+        return [v for (v,) in _measured(part, doc, rows, (objective,))]
+
+    scores, report = matrix.halved(evaluate, combos, shares, keep)
+    return scores, [{**r, "bars": n} for r, n in zip(report, read)]
 
 
 def template(name: str, **changes) -> dict:

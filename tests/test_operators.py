@@ -397,6 +397,51 @@ def test_planning_does_not_grow_with_combinations(spark):
     assert out.select("backtest_id").distinct().count() == 2000
 
 
+def test_fronts_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    v = np.round(rng.normal(size=(150, 3)), 1)
+    v[7] = v[3]
+    left, want, k = set(range(150)), {}, 0
+    while left:
+        best = [i for i in left if not any((v[j] >= v[i]).all() and (v[j] > v[i]).any() for j in left)]
+        want |= {i: k for i in best}
+        left -= set(best)
+        k += 1
+    assert matrix.sorted_fronts(v).tolist() == [want[i] for i in range(150)]
+    assert [i for i in range(150) if matrix.best_rows(v, 16)[i]] == [i for i in range(150) if want[i] == 0]
+    df = spark.createDataFrame([(i, float(a), float(-b), float(c)) for i, (a, b, c) in enumerate(v)] + [(999, None, 0.0, 0.0)], "i int, a double, b double, c double").repartition(5)
+    assert sorted(column(matrix.front(df, {"a": "max", "b": "min", "c": "max"}), "i", ["i"])) == [i for i in range(150) if want[i] == 0]
+    gaps = matrix.crowding(np.array([[0.0, 4.0], [1.0, 3.0], [3.0, 1.0], [4.0, 0.0]]))
+    assert gaps.tolist() == [math.inf, 1.5, 1.5, math.inf] and matrix.crowding(np.ones((3, 2))).tolist()[1] == 0
+
+
+def test_search_for_several_objectives():
+    axes = {"x": {"type": "range", "start": 0, "stop": 20}, "y": {"type": "range", "start": 0, "stop": 20}}
+    goal = lambda p: (-((p["x"] - 5) ** 2) - p["y"], -((p["x"] - 15) ** 2) - p["y"], p["y"])
+    found = matrix.search_front(lambda rows: [goal(p) for p in rows], axes, 120)
+    best = [p for p, _, k in found if k == 0]
+    assert len(found) == 120 and found[0][2] == 0 and len({tuple(p.values()) for p, _, _ in found}) == 120
+    whole = np.array([goal({"x": x, "y": y}) for x in range(21) for y in range(21)]) * [1, 1, -1]
+    values = np.array([goal(p) for p in best]) * [1, 1, -1]
+    assert all(not matrix.dominates(values[i : i + 1], values).any() for i in range(len(best)))
+    true = {tuple(t) for t in whole[matrix.best_rows(whole)]}
+    assert sum(tuple(t) in true for t in values) >= 8
+
+
+def test_halving_finds_the_optimum_and_reads_less(spark):
+    rows = [(a, DAY + dt.timedelta(days=t), float(p)) for a, s in (("a", 15), ("b", 25)) for t, p in enumerate(100 + s * np.sin(np.arange(180) / 5))]
+    df = spark.createDataFrame(rows, "asset string, ts date, close double").withColumns({c: F.col("close") for c in ("open", "high", "low")}).withColumn("volume", F.lit(1.0))
+    doc = {**strategy.template("single_signal"), "cost": 0.001}
+    doc["features"]["fast"]["period"], doc["features"]["slow"]["period"] = {"param_ref": "fast"}, {"param_ref": "slow"}
+    combos = [{"fast": f, "slow": s} for f in (2, 3, 5) for s in (8, 13, 21)]
+    best, report = strategy.pruned(df, doc, combos, shares=(1 / 3, 1.0), keep=1 / 3)
+    every = strategy.optimum(df, doc, {"fast": {"type": "set", "values": [2, 3, 5]}, "slow": {"type": "set", "values": [8, 13, 21]}}, 9)
+    assert best[0][0] == every[0][0] and best[0][1] == pytest.approx(every[0][1]) and [r["evaluated"] for r in report] == [9, 3]
+    assert sum(r["bars"] for r in report) < 360 * 9
+    points = strategy.frontier(df, doc, {"fast": {"type": "set", "values": [2, 3]}, "slow": {"type": "set", "values": [8, 13]}}, 4, {"total_return": "max", "max_drawdown": "max"})
+    assert len(points) == 4 and points[0][2] == 0
+
+
 def test_quantiles_are_selected_exactly(spark):
     rng = np.random.default_rng(2)
     for x in (rng.normal(size=3000), np.r_[np.zeros(2000), rng.normal(size=1000)], np.ones(50), rng.integers(0, 4, 1001).astype(float)):
