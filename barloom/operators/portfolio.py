@@ -397,6 +397,35 @@ def _trades(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rows.where(F.abs("delta") > 1e-12).withColumns({"share": share, "cost": share * F.col("trade_cost")})
 
 
+def trade_reason(before, target, action, rank=None, eligible=None, rank_by: str = ""):
+    """Why an asset was traded: its rank (and by what), that it was not selected, whether it was eligible; else target unchanged."""
+    rank = F.lit(None) if rank is None else rank
+    eligible = rank.isNotNull() if eligible is None else F.coalesce(eligible, F.lit(False))
+    place = F.when(rank.isNotNull(), F.concat(F.lit("rank "), rank.cast("string"), F.lit(f" by {rank_by}" if rank_by else "")))
+    place = F.coalesce(place, F.when((before > 0) & (target <= 0), F.lit("not selected at this rebalance")))
+    said = F.concat_ws("; ", place, F.when(eligible, F.lit("eligible")).when(action != "hold", F.lit("not eligible")))
+    return F.when(said == "", "target unchanged").otherwise(said)
+
+
+def gate_summary(curve: DataFrame) -> DataFrame:
+    """Per backtest: event_count, gates_triggered (sorted names), first and last session with an event; 0 and none without one."""
+    found = gate_events(curve).groupBy(ID).agg(
+        F.count("*").alias("event_count"), F.array_sort(F.collect_set("gate")).alias("gates_triggered"), F.min("ts").alias("first_event"), F.max("ts").alias("last_event")
+    )
+    every = curve.select(ID).distinct().join(found, ID, "left")
+    return every.withColumns({"event_count": F.coalesce("event_count", F.lit(0)), "gates_triggered": F.coalesce("gates_triggered", F.array().cast("array<string>"))})
+
+
+def run_report(curve: DataFrame, trades: DataFrame) -> DataFrame:
+    """What an export must hold, per backtest: rows of the curve, holdings, rebalances, trades and gate events, and assets with a weight."""
+    counts = curve.groupBy(ID).agg(
+        F.count("*").alias("equity_rows"), F.sum(F.aggregate(F.map_values("weights"), F.lit(0), lambda a, w: a + (F.abs(w) > 1e-12).cast("int"))).alias("holding_rows"),
+        F.count_if(F.col("turnover") > 1e-12).alias("rebalance_rows"), F.sum(F.size("gate_events")).alias("gate_event_rows"), F.max(F.size("weights")).alias("weight_columns"),
+    )
+    traded = trades.groupBy(ID).agg(F.count("*").alias("trade_rows"))
+    return counts.join(traded, ID, "left").withColumn("trade_rows", F.coalesce("trade_rows", F.lit(0)))
+
+
 def account_trades(curve: DataFrame) -> DataFrame:
     """(backtest_id, ts, asset, before, target, delta, action, share, cost): the trades of an account's curve,
     against the drifted weights; the session's cost is dealt out by size."""

@@ -474,13 +474,51 @@ def account_holdings(spark, d):
     return portfolio.holdings(portfolio.account(targeted(spark, d).withColumn("rebalance", F.lit(True)), COST)).withColumn("weight", rnd(F.col("weight")))
 
 
-@query()
+GATED = f"""{fold_sql(CLIPPED)},
+o0 as (select g0.ts, g0.t, k.pk as kpk, p.ret, k.eq * (1 + p.ret) as eq1, list_transform(list_zip(k.w, g0.r), lambda z: case when 1 + p.ret > 0 then z[1] * (1 + z[2]) / (1 + p.ret) else z[1] end) as wb
+ from k join g0 on g0.backtest_id = k.backtest_id and g0.i = k.i + 1, lateral (select list_sum(list_transform(list_zip(k.w, g0.r), lambda z: z[1] * z[2])) as ret) p),
+o1 as (select *, greatest(kpk, eq1) as pk from o0), o2 as (select *, list_max(list_transform(list_zip(wb, {SINGLE}), lambda z: abs(z[2] - z[1]))) as move, len(list_filter(t, lambda x: abs(x) > 1e-12)) as live from o1),
+ge as (select ts, 'max_daily_loss' as gate, -0.3::double as lim, ret as obs from o2 where ret <= -0.3 union all select ts, 'max_drawdown', -0.5::double, eq1 / pk - 1 from o2 where eq1 / pk - 1 <= -0.5
+ union all select ts, 'max_positions', 1::double, live::double from o2 where live > 1 union all select ts, 'max_order_size', 0.4::double, move from o2 where move > 0.4::double + 1e-12)"""
+ALL_IN = "w0 as (select 'top2' as backtest_id, asset, ts, close, target, true as reb from t)"
+
+
+@query(f"""with recursive {{EB}}, {TARGET}, {ALL_IN}, {GATED} select 'top2' as backtest_id, ts, gate, lim as "limit", round(obs, 6) as observed from ge""")
 def account_gate_events(spark, d):
     rows = targeted(spark, d).withColumn("rebalance", F.lit(True))
     out = portfolio.account(rows, COST, portfolio.Gates(max_daily_loss=0.3, max_drawdown=0.5, max_positions=1, max_order_size=0.4, action="reduce_exposure"))
     return portfolio.gate_events(out).withColumns({c: rnd(F.col(c)) for c in ("limit", "observed")})
 
 
+@query(f"""with recursive {{EB}}, {TARGET}, {ALL_IN}, {GATED} select 'top2' as backtest_id, count(*) as event_count, array_to_string(list_sort(list(distinct gate)), ',') as gates_triggered, min(ts)::varchar as first_event, max(ts)::varchar as last_event from ge""")
+def account_gate_summary(spark, d):
+    rows = targeted(spark, d).withColumn("rebalance", F.lit(True))
+    curve = portfolio.account(rows, COST, portfolio.Gates(max_daily_loss=0.3, max_drawdown=0.5, max_positions=1, max_order_size=0.4, action="reduce_exposure"))
+    out = portfolio.gate_summary(curve).withColumn("gates_triggered", F.array_join("gates_triggered", ","))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("first_event", "last_event")})
+
+
+@query(
+    f"""with {{EB}}, {TARGET}, {DRIFT}, hb as (select p.*, case when 1 + p.p > 0 then w * (1 + r) / (1 + p.p) else w end as before from p),
+a as (select *, case when before > 1e-12 and abs(target) <= 1e-12 then 'exit' when target > before + 1e-12 then 'buy' when target < before - 1e-12 then 'sell' else 'hold' end as action from hb where abs(target - before) > 1e-12)
+select asset, ts, action, rank, concat_ws('; ', case when rank is not null then 'rank ' || rank || ' by score' when before > 0 and target <= 0 then 'not selected at this rebalance' end, case when rank is not null then 'eligible' when action <> 'hold' then 'not eligible' end) as reason from a"""
+)
+def report_trade_reasons(spark, d):
+    """Why each trade of a rotation was made."""
+    rows = portfolio.rebalance_trades(targeted(spark, d), COST)
+    return rows.select("asset", "ts", "action", "rank", portfolio.trade_reason(F.col("before"), F.col("target"), F.col("action"), F.col("rank"), rank_by="score").alias("reason"))
+
+
+@query(
+    f"""with recursive {{EB}}, {TARGET}, {WEEKLY}, {fold_sql()}, kk as (select * from k where i > 0)
+select 'weekly' as backtest_id, count(*) as equity_rows, sum(len(list_filter(w, lambda x: abs(x) > 1e-12)))::bigint as holding_rows, count(*) filter (tu > 1e-12) as rebalance_rows, 0::bigint as gate_event_rows, any_value(len(w))::int as weight_columns from kk"""
+)
+def account_run_report(spark, d):
+    """Row counts that an export of a weekly account must match."""
+    curve = portfolio.account(weekly(spark, d), COST)
+    return portfolio.run_report(curve, portfolio.account_trades(curve)).drop("trade_rows")
+
+
 @query(
     f"""with recursive {{EB}}, v0 as (select *, unnest([4, 5, 6]) as slow from bars),
 a0 as (select *, case when count(*) over (w rows between 2 preceding and current row) = 3 then avg(close) over (w rows between 2 preceding and current row) end as fa,
