@@ -576,7 +576,7 @@ def report_event_trades(spark, d):
 
 
 @query(
-    f"""with {{OB}}, f as (select asset, ts, close as x from bars where n > 1), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
+    f"""with {{OB}}, f as (select asset, ts + 1 as ts, close as x from bars), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
 i as (select *, row_number() over ({O}) as i from j), g as (select *, case when source_ts is not null then i - min(i) over (partition by asset, source_ts) end as age from i)
 select asset, count(*) as rows, count(*) filter (age > 3) as stale, count(*) filter (source_ts is null) as missing, max(age)::double as max_age, count(*) filter (age > 3) > 0.2 * count(*) as warn from g group by asset"""
 )
@@ -592,7 +592,7 @@ def report_feature_audit(spark, d):
 
 
 @query(
-    f"""with {{OB}}, f as (select asset, ts, close as x from bars where n > 1), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
+    f"""with {{OB}}, f as (select asset, ts + 1 as ts, close as x from bars), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
 i as (select *, row_number() over ({O}) as i from j), g as (select *, case when source_ts is not null then i - min(i) over (partition by asset, source_ts) end as age from i),
 s as (select asset, count(*) as rows, count(*) filter (age > 1) as stale_rows, count(*) filter (age > 0) as filled_rows, coalesce(max(age), 0)::double as max_age_bars from g group by asset)
 select *, round(stale_rows / rows::double, 6) as stale_ratio, round(filled_rows / rows::double, 6) as fill_ratio,

@@ -360,11 +360,12 @@ def legacy_combined(spark, d):
     """with {OB}, {SHIP}, b as (select *, year(ts) as y from bars), g as (select ts - lag(ts) over (order by ts) as g from (select distinct ts from bars)),
 m as (select median(g) as gap from g where g > 0)
 select b.asset, b.ts, case when b.ts - s.ts <= 5 * gap then s.ts end as source_ts, case when b.ts - s.ts <= 5 * gap then s.qty end as qty
-from b asof left join (select * from ship where qty > 150) s on b.ts >= s.ts cross join m"""
+from b asof left join (select ts + 1 as ts, qty from ship) s on b.ts >= s.ts cross join m"""
 )
 def join_as_of(spark, d):
+    """Quantities shipped, known a day later."""
     base = order_bars(spark, d).select("asset", "ts")
-    return align.as_of(base, ship_feature(spark, d).where("qty > 150"), ["qty"], bars=5)
+    return align.as_of(base, ship_feature(spark, d).withColumn("ts", F.date_add("ts", 1)), ["qty"], bars=5)
 
 
 def _event_times(spark, d, kind):
@@ -385,12 +386,13 @@ def join_as_of_intraday(spark, d):
 
 
 @query(
-    """with {OB}, f as (select asset, ts, close as x from bars where n > 1)
+    """with {OB}, f as (select asset, ts + 1 as ts, close as x from bars)
 select b.asset, b.ts, s.ts as source_ts, s.x from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts"""
 )
 def join_as_of_by_asset(spark, d):
+    """The last close of each asset, known a day later."""
     bars = order_bars(spark, d)
-    return align.as_of(bars.select("asset", "ts"), bars.where("n > 1").select("asset", "ts", F.col("close").alias("x")), ["x"], by=["asset"])
+    return align.as_of(bars.select("asset", "ts"), bars.select("asset", F.date_add("ts", 1).alias("ts"), F.col("close").alias("x")), ["x"], by=["asset"])
 
 
 @query("with {OB}, {SHIP} select asset, ts, qty, round(disc, 6) as disc from bars left join ship using (ts)")
@@ -425,7 +427,7 @@ def align_fill_and_lag(spark, d):
 
 
 @query(
-    f"""with {{OB}}, f as (select asset, ts, close as x from bars where n > 1), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
+    f"""with {{OB}}, f as (select asset, ts + 1 as ts, close as x from bars), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
 i as (select *, row_number() over ({O}) as i from j) select asset, ts, source_ts, case when source_ts is not null then (i - min(i) over (partition by asset, source_ts))::double end as age_bars from i"""
 )
 def align_age_bars(spark, d):
@@ -446,10 +448,11 @@ def join_constituents_as_of(spark, d):
     return align.as_of_members(members, dates)
 
 
-@query("select s_suppkey from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49.5 and l_discount < 0.01 and l_suppkey is not null)")
+@query("with {OB}, g as (select t.ts, a.asset from (select distinct ts from bars) t cross join (select distinct asset from bars) a) select ts, asset from g anti join bars using (ts, asset)")
 def join_anti(spark, d):
-    used = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 49.5 and l_discount < 0.01").select(F.col("l_suppkey").alias("s_suppkey"))
-    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").join(used, "s_suppkey", "left_anti")
+    """Sessions on which an asset has no bar."""
+    bars = order_bars(spark, d).select("ts", "asset")
+    return clean.densify(bars.withColumn("x", F.lit(1.0)), ["x"]).select("ts", "asset").join(bars, ["ts", "asset"], "left_anti")
 
 
 # Cleaning
