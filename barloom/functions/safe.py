@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,11 @@ def safe_power(base: Column, exponent: Column, fallback: float = 0.0) -> Column:
 
 def safe_sqrt(x: Column, fallback: float = 0.0) -> Column:
     return F.coalesce(F.when(x >= 0, F.sqrt(x)), F.lit(fallback))
+
+
+def control(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df for a broadcast, once it is counted: control data of more than ``most`` rows is an error."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows of control data")
+    return F.broadcast(df)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import div
+from ..functions.safe import control, div
 from .indicators import full, trailing
 from .simulate import compounded
 
@@ -224,7 +224,7 @@ def sweep_average_cross(panel: DataFrame, combos_: DataFrame, periods: list[int]
     avg = averages_by_period(panel, periods)
     fast = avg.select("asset", "ts", "close", F.col("period").alias("fast"), F.col("avg").alias("fa"))
     slow = avg.select("asset", "ts", F.col("period").alias("slow"), F.col("avg").alias("sa"))
-    grid = fast.join(F.broadcast(combos_), "fast").join(slow, ["asset", "ts", "slow"])  # combos are capped
+    grid = fast.join(control(combos_), "fast").join(slow, ["asset", "ts", "slow"])
     w = Window.partitionBy("combo_id", "asset").orderBy("ts")
     held = F.coalesce(F.lag((F.col("fa") > F.col("sa")).cast("double")).over(w), F.lit(0.0))
     r = F.coalesce(div(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))

@@ -443,13 +443,15 @@ def rebalance_trades(df: DataFrame, cost, keys: tuple[str, ...] = (ID,)) -> Data
 
 
 def invariant_breaches(curve: DataFrame, long_only: bool = True, max_gross: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
-    """Rows (backtest_id, ts, code, value) where an equity curve breaks an account rule; each rule is one filter."""
+    """Rows (backtest_id, ts, code, value) where an equity curve breaks an account rule; each rule is one filter. max_gross
+    limits the sum of sizes (gross_size, or the size of gross in curves without it)."""
+    size = F.col("gross_size") if "gross_size" in curve.columns else F.abs("gross")
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     rules = {
         "non_finite_equity": (bad(F.col("equity")), F.col("equity")), "non_finite_return": (bad(F.col("ret")), F.col("ret")),
         "negative_fee": (F.col("trade_cost") < -tolerance, F.col("trade_cost")), "negative_turnover": (F.col("turnover") < -tolerance, F.col("turnover")),
         "negative_cash": ((1 - F.col("gross") < -tolerance) & F.lit(long_only), 1 - F.col("gross")),
-        "max_gross": (F.col("gross_size") > max_gross + tolerance, F.col("gross_size")), "negative_equity": (F.col("equity") < 0, F.col("equity")),
+        "max_gross": (size > max_gross + tolerance, size), "negative_equity": (F.col("equity") < 0, F.col("equity")),
     }
     checks = F.array(*[F.struct(F.lit(k).alias("code"), hit.alias("hit"), v.cast("double").alias("value")) for k, (hit, v) in rules.items()])
     return curve.select(ID, "ts", F.explode(checks).alias("c")).where("c.hit").select(ID, "ts", "c.code", "c.value")

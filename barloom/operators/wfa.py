@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import by_time, div
+from ..functions.safe import by_time, control, div
 from .simulate import compounded
 
 
@@ -70,7 +70,7 @@ def sliced(spark: SparkSession, panel: DataFrame, plan: list[tuple]) -> DataFram
     pos = numbered.join(before, "_y").select("ts", (F.row_number().over(Window.partitionBy("_y").orderBy("ts")) - 1 + F.col("b")).alias("_i"))
     parts = [(w, p, a, z) for w, a0, a1, b0, b1 in plan for p, a, z in (("train", a0, a1), ("test", b0, b1))]
     cut = spark.createDataFrame(parts, "window_id int, part string, a long, z long")
-    return panel.join(pos, "ts").join(F.broadcast(cut), (F.col("_i") >= F.col("a")) & (F.col("_i") < F.col("z"))).drop("_i", "a", "z")
+    return panel.join(pos, "ts").join(control(cut), (F.col("_i") >= F.col("a")) & (F.col("_i") < F.col("z"))).drop("_i", "a", "z")
 
 
 def evaluate(slices: DataFrame, combos: DataFrame, periods: list[int]) -> DataFrame:
@@ -81,7 +81,7 @@ def evaluate(slices: DataFrame, combos: DataFrame, periods: list[int]) -> DataFr
     r = F.coalesce(div(F.col("close"), F.lag("close").over(w0)) - 1, F.lit(0.0))
     base = slices.withColumns({"r": r, "cells": cells})
     m = F.map_from_entries(F.col("cells"))
-    grid = base.withColumn("m", m).crossJoin(F.broadcast(combos))  # combos are capped by the combo guard
+    grid = base.withColumn("m", m).crossJoin(control(combos))
     grid = grid.withColumn("on", F.coalesce((F.col("m")[F.col("fast")] > F.col("m")[F.col("slow")]).cast("double"), F.lit(0.0))).drop("m", "cells")
     keys = ("window_id", "part", "combo_id")
     held = F.coalesce(F.lag("on").over(by_time(*keys, "asset")), F.lit(0.0))

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import by_time, upto
+from ..functions.safe import by_time, control, upto
 from ..operators import calendar, contract, factors, indicators, matrix, portfolio, registry, signals, simulate, wfa
 from ..operators.conditions import Context, compile_node
 
@@ -370,7 +370,7 @@ def targets_grid(panel: DataFrame, doc: dict, combos: list[dict]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys]) if keys else F.array(F.struct(F.lit("").alias("key"), F.lit(None).cast("double").alias("value")))
     first = sorted({f"_f{tag(u[moving[0]])}" for u in used}) if moving else [""]
     rows = base.withColumn("_cells", cells).withColumn("_k0" if moving else "_one", F.explode(F.array(*map(F.lit, first)))).drop(*keys)
-    rows = rows.join(F.broadcast(params), "_k0") if moving else rows.join(F.broadcast(params.withColumn("_one", F.lit(""))), "_one")  # one row a combination
+    rows = rows.join(control(params), "_k0") if moving else rows.join(control(params.withColumn("_one", F.lit(""))), "_one")  # one row a combination
     find = lambda j: F.element_at(F.filter("_cells", lambda c: c["key"] == F.col(f"_k{j}")), 1)["value"]
     rows = rows.withColumns({f"_x{j}": find(j) for j in range(len(moving))}).withColumn("_bk", F.concat_ws("|", "_id", "asset"))
     features = {n: f"_x{moving.index(n)}" if n in moving else f"_f{tag(s)}" for n, s in doc["features"].items()}
