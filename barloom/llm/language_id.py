@@ -320,7 +320,10 @@ def identify(
     languages = learned(taught, max_train_bytes)
     models = (languages.agg(F.max("grp")).first()[0] or 0) + 1
     sample = training_sample(taught, max_train_bytes, languages)
-    checks = training_sample(unseen, max_train_bytes, learned(unseen, max_train_bytes).drop("grp").join(languages.select("lang", "grp"), "lang")) if times is not None else None
+    checks = None
+    if times is not None:  # stored, so that the join of all texts knows how few rows this table has
+        own = stored(learned(unseen, max_train_bytes).drop("grp").join(languages.select("lang", "grp"), "lang"), "languages-held")
+        checks = training_sample(unseen, max_train_bytes, own)
     spark = docs.sparkSession
     text = text_col if text_col in carry else "_text"  # a carried text goes to the tasks once
     own = [] if text in carry else [F.col(f"`{text_col}`").alias(text)]
