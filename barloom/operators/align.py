@@ -157,7 +157,7 @@ def with_age(df: DataFrame, keys: tuple[str, ...] = ("asset",), ts: str = "ts",
     return rows.withColumn("age_bars", F.when(F.col(source_ts).isNotNull(), (F.col("_i") - first).cast("double"))).drop("_i")
 
 
-def audit(rows: DataFrame, feature: str = "feature", stale_after: int = 1, stale_ratio: float = 0.2, fill_ratio: float = 0.2, max_age: int = 5) -> DataFrame:
+def audit(rows: DataFrame, feature: str | list[str] = "feature", stale_after: int = 1, stale_ratio: float = 0.2, fill_ratio: float = 0.2, max_age: int = 5) -> DataFrame:
     """Quality of joined features, one row each, from rows with age_bars: rows, stale_rows (older than
     stale_after bars), filled_rows (carried from an earlier bar), max_age_bars, both ratios, and the
     warnings: a ratio at its threshold or above it, an age at the limit or above it."""

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import by_time, rnd
 from ..operators import portfolio, signals, simulate
-from ..sources.bars import event_bars
+from ..sources.bars import event_bars, order_bars
 from . import strategy
 from .base import query
-from .market import CROSS, O, featured, lag
+from .market import CROSS, GRID, O, featured, lag
 
 COST, SLIP = 0.001, 0.0004
 
@@ -592,18 +592,25 @@ def report_feature_audit(spark, d):
 
 
 @query(
-    f"""with {{OB}}, f as (select asset, ts + 1 as ts, close as x from bars), j as (select b.asset, b.ts, s.ts as source_ts from bars b asof left join f s on b.asset = s.asset and b.ts >= s.ts),
-i as (select *, row_number() over ({O}) as i from j), g as (select *, case when source_ts is not null then i - min(i) over (partition by asset, source_ts) end as age from i),
-s as (select asset, count(*) as rows, count(*) filter (age > 1) as stale_rows, count(*) filter (age > 0) as filled_rows, coalesce(max(age), 0)::double as max_age_bars from g group by asset)
+    f"""with {{OB}}, {GRID}, b as (select *, unnest(['close', 'month_close']) as feature from g),
+f as (select asset, 'close' as feature, ts + 1 as ts from bars union all select distinct asset, 'month_close', (date_trunc('month', ts) + interval 1 month)::date from bars),
+j as (select b.asset, b.feature, b.ts, s.ts as source_ts from b asof left join f s on b.asset = s.asset and b.feature = s.feature and b.ts >= s.ts),
+i as (select *, row_number() over (partition by asset, feature order by ts) as i from j), a as (select *, case when source_ts is not null then i - min(i) over (partition by asset, feature, source_ts) end as age from i),
+s as (select asset, feature, count(*) as rows, count(*) filter (age > 1) as stale_rows, count(*) filter (age > 0) as filled_rows, coalesce(max(age), 0)::double as max_age_bars from a group by asset, feature)
 select *, round(stale_rows / rows::double, 6) as stale_ratio, round(filled_rows / rows::double, 6) as fill_ratio,
 concat_ws(',', case when stale_rows / rows::double >= 0.2 then 'stale_ratio' end, case when filled_rows / rows::double >= 0.2 then 'fill_ratio' end, case when max_age_bars >= 5 then 'max_age' end) as warnings from s"""
 )
 def report_feature_quality(spark, d):
-    """Thresholds and warnings of the feature audit."""
-    from ..operators import align
-    from .market import align_age_bars
-
-    out = align.audit(align_age_bars(spark, d), "asset").withColumn("warnings", F.array_join("warnings", ","))
+    """Thresholds and warnings of the feature audit: each asset's last close, known a day later, and the close of its
+    last whole month, on every session of the market."""
+    from ..operators import align, clean
+
+    bars, keys = order_bars(spark, d), ["asset", "feature"]
+    grid = clean.densify(bars, []).select("asset", "ts", F.explode(F.array(F.lit("close"), F.lit("month_close"))).alias("feature"))
+    daily = bars.select("asset", F.lit("close").alias("feature"), F.date_add("ts", 1).alias("ts"))
+    monthly = bars.select("asset", F.lit("month_close").alias("feature"), F.add_months(F.trunc("ts", "month"), 1).alias("ts")).distinct()
+    rows = align.with_age(align.as_of(grid, daily.unionByName(monthly), [], by=keys), tuple(keys))
+    out = align.audit(rows, keys).withColumn("warnings", F.array_join("warnings", ","))
     return out.withColumns({c: rnd(F.col(c)) for c in ("stale_ratio", "fill_ratio")})
 
 

@@ -903,3 +903,27 @@ def test_lag_queries_cover_all_lags(spark, monkeypatch):
     monkeypatch.setattr(research, "ship_feature", lambda s, d: qty)
     assert sorted(r["lag"] for r in research.stats_correlation_p_values(spark, "").collect()) == sorted(stats.LAGS)
     assert [tuple(r) for r in research.stats_best_lag_all(spark, "").collect()] == [("a", 17, 17)]
+
+
+def test_feature_quality_audits_carried_values(spark):
+    """Every session of every asset is audited, and values that are carried show as filled and stale (with one feature known
+    anew before every bar nothing ever was)."""
+    from barloom.plans import catalog
+    from barloom.sources.bars import order_bars
+
+    d = "/root/testdata/sf0.001"
+    bars = order_bars(spark, d).select("asset", "ts").toPandas()
+    sessions, own = sorted(set(bars["ts"])), bars.groupby("asset")["ts"].apply(set)
+    got = {(r["asset"], r["feature"]): r for r in catalog.QUERIES["report_feature_quality"](spark, d).collect()}
+    assert len(got) == 2 * len(own)
+    for asset, days in own.items():
+        age, ages, before = None, [], None
+        for s in sessions:  # a bar is known a day later; until the next one its value is carried
+            source = max((x for x in days if x < s), default=None)
+            age = None if source is None else 0 if source != before else age + 1
+            before = source
+            ages.append(age)
+        known = [a for a in ages if a is not None]
+        r = got[asset, "close"]
+        assert (r["rows"], r["filled_rows"], r["stale_rows"], r["max_age_bars"]) == (len(sessions), sum(a > 0 for a in known), sum(a > 1 for a in known), max(known))
+        assert r["filled_rows"] > 0 and got[asset, "month_close"]["max_age_bars"] >= 5 and "max_age" in got[asset, "month_close"]["warnings"]
