@@ -302,3 +302,31 @@ def test_a_phrase_of_all_documents_and_items_makes_no_pairs(spark, monkeypatch):
 def test_mixture_weights_stay_below_one():
     m = lm_score.expectation_maximisation(np.full(20, 3), np.ones(20), np.full(20, 1e-9), np.ones(20), 1e-4)
     assert 0.9 < m.bigram[3] < 1 and m.unigram < 1
+
+
+def test_languages_learn_from_every_text(spark, monkeypatch):
+    """Models and bounds come from all texts, not from 500 kB a language: rates equal those of a plain model of every
+    taught text, in one model and over many models and parts of models."""
+    from barloom.llm import language_id
+
+    rng = np.random.default_rng(5)
+    words = {lang: ["".join(rng.choice(list(letters), 6)) for _ in range(3000)] for lang, letters in (("a", "abcdefgh"), ("b", "efghijkl"), ("c", "ijklmnop"))}
+    rows = [(i, " ".join(rng.choice(words["abc"[i % 3]][: 30 * (i // 3 + 1)], 2500 if i % 3 < 2 else 50)), "abc"[i % 3]) for i in range(300)]
+    d = spark.createDataFrame([*rows, *rows[:2], (900, None, "a"), (901, "", "b"), (902, "12", "d"), (903, "abc ijk", None)], "doc_id long, text string, lang string").repartition(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    taught, unseen = {}, {}
+    for i, t, lang in [*rows, *rows[:2], (902, "12", "d")]:
+        (unseen if held(i) else taught).setdefault(lang, []).append(t)
+    assert sum(map(len, taught["a"])) > 1_000_000
+    m = language_id.train(taught)
+    cost = {t: c for t, c in zip([r[1] for r in rows], language_id.code_lengths(m, [r[1] for r in rows]))}
+    bound = {lang: 1.02 * np.median([cost[t][m.languages.index(lang)] / len(t) for t in unseen[lang]]) for lang in "abc"}
+    for room in (language_id.MODEL_BYTES, 90_000):
+        monkeypatch.setattr(language_id, "MODEL_BYTES", room)
+        got = {r["doc_id"]: r for r in language_id.identify(d, times=1.02).collect()}
+        assert len(got) == 304 and got[900]["lang_pred"] == got[901]["lang_pred"] == got[902]["lang_pred"] == "und"
+        for i, t, lang in rows:
+            rate = cost[t].min() / len(t)
+            assert got[i]["lang_pred"] == m.languages[cost[t].argmin()] and got[i]["bits_per_byte"] == pytest.approx(rate, rel=1e-9)
+            assert got[i]["fits"] == (rate <= bound[got[i]["lang_pred"]] + 64 / len(t))
+        assert len({r["fits"] for r in got.values()}) == 2
