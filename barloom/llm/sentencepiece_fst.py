@@ -13,10 +13,11 @@ path, the merge result.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heappop, heappush, heapreplace
 from itertools import chain
 
 import numpy as np
@@ -101,7 +102,7 @@ class Row(dict):
 class Rows(dict):
     """The arc weights found so far, by remembered piece; begun anew when there are ``most``."""
 
-    def __init__(self, machine: "Transducer", most: int = 150_000):
+    def __init__(self, machine: "Transducer", most: int = 500_000):
         super().__init__()
         self.machine, self.most, self.held = machine, most, 0
 
@@ -297,12 +298,15 @@ class Transducer:
 
         States are taken by least cost, among equals the farthest first, until the end is reached
         (weights are never negative). All finite ways to a position remember the same piece, so each
-        position holds one state: [cost, position before, label]. Long strings are swept instead.
+        position holds one state: [cost, position before, label]. Long strings are swept instead, and arcs of merge
+        models are weighed late.
         """
         n = len(s)
         if n > BLOCK:
             return self._swept(s)
-        rows, arcs, remembers = self.rows, self.arcs, self.remembers
+        if self.remembers:
+            return self._shortest_merges(s)
+        rows, arcs = self.rows, self.arcs
         ways: list = [None] * (n + 1)
         queue: list[tuple[float, int]] = []
         cost, at, memory = 0.0, 0, START
@@ -324,14 +328,56 @@ class Transducer:
                 if cost == way[0]:
                     break
             at = -at
-            if remembers:
-                memory = way[2]
         out = []
         while at:
             _, at, label = ways[at]
             out.append(label)
         return out[::-1]
 
+    def _shortest_merges(self, s: str) -> list[int]:
+        """The same where every finite weight is 0 and a position has one finite way at most.
+
+        All states cost the same, so the farthest comes first, and an arc is weighed only when its end is the farthest
+        of all that are open; a state's shorter arcs wait in the queue: (-end, position, arcs left, arcs, memory).
+        """
+        n, rows, root, longest = len(s), self.rows, self.trie, self.longest
+        ways: list = [None] * (n + 1)
+        queue: list[tuple] = []
+        at, memory = 0, START
+        while at < n:
+            node, found = root, None
+            for c in s[at : at + longest]:
+                step = node.get(c)
+                if step is None:
+                    break
+                node, found = step
+            if found is None:
+                found = ((1, -2 - ord(s[at])),)
+            row, left = rows[memory], len(found)
+            while True:
+                if left:
+                    size, label = found[left - 1]
+                    end = at + size
+                    if queue and queue[0][0] < -end:
+                        _, at, left, found, memory = heapreplace(queue, (-end, at, left, found, memory))
+                        row = rows[memory]
+                        continue
+                    left -= 1
+                    if row[label] != INFINITY:
+                        break
+                else:
+                    _, at, left, found, memory = heappop(queue)
+                    row = rows[memory]
+            if left:
+                heappush(queue, (-at - found[left - 1][0], at, left, found, memory))
+            ways[end] = (at, label)
+            at, memory = end, label
+        out = []
+        while at:
+            at, label = ways[at]
+            out.append(label)
+        return out[::-1]
+
     def _swept(self, s: str) -> list[int]:
         """The same by position: after every block all open ways are traced back to where they meet, and what
         lies before is put out, so that memory stays small."""
@@ -414,7 +460,13 @@ def _encode(shared, column: str, decoded: bool):
         m: Transducer = shared.value
         low, high = (min(m.byte_id.values()), max(m.byte_id.values())) if m.byte_id else (0, -1)
         for batch in sliced(batches, column, 1 << 20):
-            ids = [m.encode(t or "") for t in batch.column(column).to_pylist()]
+            collects = gc.isenabled()
+            gc.disable()  # encoding makes no cycles, and its many short-lived tuples would have the tables traversed
+            try:
+                ids = [m.encode(t or "") for t in batch.column(column).to_pylist()]
+            finally:
+                if collects:
+                    gc.enable()
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             n_bytes = [int(((x >= low) & (x <= high)).sum()) for x in ids]
             texts = [pa.array([m.decode(x.tolist()) for x in ids], pa.string())] if decoded else []

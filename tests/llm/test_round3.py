@@ -330,3 +330,15 @@ def test_languages_learn_from_every_text(spark, monkeypatch):
             assert got[i]["lang_pred"] == m.languages[cost[t].argmin()] and got[i]["bits_per_byte"] == pytest.approx(rate, rel=1e-9)
             assert got[i]["fits"] == (rate <= bound[got[i]["lang_pred"]] + 64 / len(t))
         assert len({r["fits"] for r in got.values()}) == 2
+
+
+def test_merge_arcs_are_weighed_late():
+    """The search weighs an arc only when no open one reaches farther, and finds the path of the sweep by position."""
+    from barloom.llm import sentencepiece_fst
+
+    m = sentencepiece_fst.Transducer(sentencepiece_fst.read_model(sentencepiece_fst.MODEL))
+    assert len(m.shortest_path("▁the")) == 1 and m.rows.held == 1
+    rng = np.random.default_rng(3)
+    for k in range(2000):
+        s = "".join(rng.choice(list("aeinorst▁▁thé語😀.,!\n01"), rng.integers(1, 60)))
+        assert m.shortest_path(s) == m._swept(s)
